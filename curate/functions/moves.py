@@ -30,6 +30,12 @@ def _steps(uci: ColumnLike) -> tuple[Column, Column, Column, Column]:
     return rank, file, part(4, "1") - rank, part(3, "a") - file
 
 
+def _lookup(table: dict[int, int], size: int, code: Column) -> Column:
+    """A literal table by position; NULL for codes without an entry."""
+    cells = F.array(*[F.lit(table.get(i)).cast("int") for i in range(size)])
+    return F.get(cells, code.cast("int"))
+
+
 def policy_plane(uci: ColumnLike, strict: bool = True) -> Column:
     """Plane 0-72 of a move in the mover's frame: 56 sliding, 8 knight, 9 under-promotion planes.
 
@@ -37,24 +43,21 @@ def policy_plane(uci: ColumnLike, strict: bool = True) -> Column:
     """
     _, _, dr, df = _steps(uci)
     far = F.greatest(F.abs(dr), F.abs(df))
-    step_r, step_f = F.signum(dr), F.signum(df)
-    straight = (far > 0) & ((dr == 0) | (df == 0) | (F.abs(dr) == F.abs(df)))
-    slide, knight = F.lit(None).cast("int"), F.lit(None).cast("int")
-    for i, (r, f) in enumerate(SLIDE_STEPS):
-        slide = F.when(straight & (step_r == r) & (step_f == f), i * 7 + far - 1).otherwise(slide)
-    for i, (r, f) in enumerate(KNIGHT_STEPS):
-        knight = F.when((dr == r) & (df == f), KNIGHT_BASE + i).otherwise(knight)
+    direction = _lookup(
+        {(r + 1) * 3 + f + 1: i for i, (r, f) in enumerate(SLIDE_STEPS)}, 9, (F.signum(dr) + 1) * 3 + F.signum(df) + 1
+    )
+    straight = (dr == 0) | (df == 0) | (F.abs(dr) == F.abs(df))
+    jump = _lookup({(r + 2) * 5 + f + 2: i for i, (r, f) in enumerate(KNIGHT_STEPS)}, 25, (dr + 2) * 5 + df + 2)
     slot = F.position(F.substring(col(uci), 5, 1), F.lit(PROMOTION_PIECES)) - 1
-    promoted = F.when((slot >= 0) & F.abs(df).between(0, 1), PROMOTION_BASE + 3 * (df + 1) + slot)
-    plane = F.when(F.length(col(uci)) == 5, promoted).otherwise(F.coalesce(knight, slide))
+    plane = (
+        F.when(F.length(col(uci)) == 5, F.when((slot >= 0) & (F.abs(df) <= 1), PROMOTION_BASE + 3 * (df + 1) + slot))
+        .when(straight, direction * 7 + far - 1)
+        .when(far == 2, KNIGHT_BASE + jump)
+    )
     if not strict:
         return plane.cast("int")
     message = F.concat(F.lit("no policy plane for move "), col(uci))
-    return (
-        F.when(plane.isNull() & col(uci).isNotNull(), F.raise_error(message).cast("int"))
-        .otherwise(plane)
-        .cast("int")
-    )
+    return F.coalesce(plane, F.when(col(uci).isNotNull(), F.raise_error(message).cast("int"))).cast("int")
 
 
 def gather_index(uci: ColumnLike, strict: bool = True) -> Column:
