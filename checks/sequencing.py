@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks import roles
 from checks.base import query, r6, table
+from curate.functions.labels import is_priority
 from curate.operators import edges as edge_ops
 from curate.operators import sequences as seq
 from curate.operators.matches import running_score
@@ -40,10 +41,10 @@ def _(spark, sf):
        where role = 'solver' or priority""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", F.split("text", " ").alias("moves"), F.col("text").alias("themes"))
-    rows = seq.explode_lines(docs, "moves", "themes")
-    priority = F.col("themes").contains("mate") | F.col("themes").contains("endgame")
-    return rows.select("doc_id", "step", "move", "role", "wdl", priority.alias("priority"))
+    docs = table(spark, sf, "documents").select(
+        "doc_id", F.split("text", " ").alias("moves"), F.col("text").alias("themes"), is_priority("text").alias("priority")
+    )
+    return seq.explode_lines(docs, "moves", "themes").drop("themes")
 
 
 @query(

@@ -32,17 +32,19 @@ def explode_lines(df: DataFrame, moves: str = "moves", themes: str | None = None
     Defender steps are kept only where wanted and, if a themes column is named, only for priority
     puzzles. Lines of fewer than two moves give nothing.
     """
-    rows = df.where(F.size(moves) >= 2).select(
-        *[c for c in df.columns if c != moves], F.posexplode(moves).alias("step", "move")
-    )
-    solver = F.col("step") % 2 == 1
+    lines = df.where(F.size(moves) >= 2)
     defender = F.lit(want_defenders)
     if themes is not None:
-        defender = defender & is_priority(themes)
+        # Judged per line, before the steps are made, so no step carries the themes text for it.
+        lines = lines.withColumn("_priority", is_priority(themes))
+        defender = defender & F.col("_priority")
+    rows = lines.select(*[c for c in lines.columns if c != moves], F.posexplode(moves).alias("step", "move"))
+    solver = F.col("step") % 2 == 1
     return (
         rows.where((F.col("step") >= 1) & (solver | defender))
         .withColumn("role", F.when(solver, "solver").otherwise("defender"))
         .withColumn("wdl", F.when(solver, WIN).otherwise(LOSS))
+        .drop("_priority")
     )
 
 
