@@ -65,7 +65,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                cast(sum(cast(round(l_extendedprice * 100) as bigint)) // (100 * count(*)) - 35000 as integer) as cp,
                cast(1000 * sum(cast(round(l_discount * 100) as bigint)) // (count(*) + sum(cast(round(l_discount * 100) as bigint)) + sum(cast(round(l_tax * 100) as bigint))) as integer) as w,
                cast(1000 * sum(cast(round(l_tax * 100) as bigint)) // (count(*) + sum(cast(round(l_discount * 100) as bigint)) + sum(cast(round(l_tax * 100) as bigint))) as integer) as l
-             from lineitem where l_partkey % 2 = 0 group by l_partkey) a""",
+             from lineitem group by l_partkey having count(*) >= 30) a""",
     ),
     "predictions": (
         ("plies",),
@@ -118,6 +118,10 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         ("scored",),
         """select * from (select *, row_number() over (partition by cell, milestone, position order by rid) as _rn from scored) x where _rn = 1""",
     ),
+    "scored_cell": (
+        ("scored",),
+        """select * from (select *, row_number() over (partition by cell, position order by rid) as _rn from scored) x where _rn = 1""",
+    ),
     "edges": (
         (),
         """select l_orderkey as position, concat_ws('-', l_linenumber, l_partkey, l_suppkey) as move, cast(l_quantity as bigint) as n, l_discount as p from lineitem""",

@@ -239,7 +239,7 @@ def _(spark, sf):
 
 @query(
     "sweep_grid",
-    """with d as (select distinct l_linenumber / 2.0::double as c, case when l_suppkey % 4 > 0 then (l_suppkey % 4) / 10.0::double end as f from lineitem where l_partkey % 2 = 0 and l_linenumber < 5)
+    """with d as (select distinct l_linenumber / 2.0::double as c, case when l_suppkey % 4 > 0 then (l_suppkey % 4) / 10.0::double end as f from lineitem where l_returnflag = 'N' and l_linenumber < 5)
        select c as c_puct, f as fpu from (select distinct l_linenumber / 2.0::double as c from lineitem) a, unnest([null, 0.0, 0.1, 0.2, 0.5]::double[]) as u(f)
        where not exists (select 1 from d where d.c = a.c and d.f is not distinct from u.f)""",
 )
@@ -247,7 +247,7 @@ def _(spark, sf):
     lines = table(spark, sf, "lineitem")
     c = (F.col("l_linenumber") / 2.0).alias("c_puct")
     f = F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 4 / 10.0).alias("fpu")
-    done = lines.where("l_partkey % 2 = 0 and l_linenumber < 5").select(c, f)
+    done = lines.where("l_returnflag = 'N' and l_linenumber < 5").select(c, f)
     return seq.sweep_grid(lines.select(c), [None, 0.0, 0.1, 0.2, 0.5], done)
 
 
