@@ -35,13 +35,13 @@ def _(spark, sf):
 @query(
     "segment_table",
     PRED
-    + f"""select l_partkey, count(*) as n_rows, round(avg(p_draw), 6) as p_draw, round({ONE.format('best = 1')}, 6) as acc from pred
-      where (case when wdl = 1 then 'draw_train' else 'win_train' end) like 'draw%' group by l_partkey having count(*) >= 25""",
+    + f"""select l_suppkey, l_linenumber, count(*) as n_rows, round(avg(p_draw), 6) as p_draw, round({ONE.format('best = 1')}, 6) as acc from pred
+      where (case when wdl = 1 then 'draw_train' else 'win_train' end) like 'draw%' group by l_suppkey, l_linenumber having count(*) >= 25""",
     ("predictions",),
 )
 def _(spark, sf):
     rows = roles.predictions(spark, sf).withColumn("group", F.when(F.col("wdl") == 1, "draw_train").otherwise("win_train"))
-    out = reports.segment_table(rows, "l_partkey", "probs", "group", "draw")
+    out = reports.segment_table(rows, ["l_suppkey", "l_linenumber"], "probs", "group", "draw")
     return rounded(out, "p_draw", "acc")
 
 

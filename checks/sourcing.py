@@ -1 +1,302 @@
-"""."""
+"""Sources and sinks: every query writes files derived from the tables, reads them back and is checked on what it read."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks import roles
+from checks.base import query, rounded, table
+from curate.functions.names import cell_key
+from curate.sources import artifacts, chunks, games, logs, suites, tables
+from curate.storage import stage_path
+
+# Moves are the lower-case letters of each word.
+WORDS = """with words as (select conv_id, turn, role, list_filter(list_transform(string_split(text, ' '), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> '') as moves,
+    case conv_id % 3 when 0 then '1-0' when 1 then '0-1' else '1/2-1/2' end as result from conversations)
+"""
+
+
+def words(text: str = "text"):
+    cleaned = F.transform(F.split(text, " "), lambda w: F.regexp_replace(w, "[^a-z]", ""))
+    return F.filter(cleaned, lambda w: w != "")
+
+
+def played(spark, sf):
+    n = F.col("conv_id") % 3
+    headers = F.create_map(
+        F.lit("Event"), F.col("role"), F.lit("White"), F.concat(F.lit("conv "), F.col("conv_id").cast("string")),
+        F.lit("Black"), F.concat(F.lit("turn "), F.col("turn").cast("string")),
+    )
+    result = F.when(n == 0, "1-0").when(n == 1, "0-1").otherwise("1/2-1/2")
+    return table(spark, sf, "conversations").select(headers.alias("headers"), words().alias("moves"), result.alias("result"))
+
+
+def game_files(spark, sf) -> str:
+    path = stage_path(spark, "games")
+    games.write_games(played(spark, sf), path, summary="A vs B\n  score as recorded")
+    return path
+
+
+@query(
+    "read_games",
+    WORDS
+    + """select concat('conv ', cast(conv_id as varchar)) as white, concat('turn ', cast(turn as varchar)) as black, role as event, '?' as site, result,
+      cast(len(moves) as integer) as n_moves, md5(array_to_string(moves, ' ')) as moves from words""",
+)
+def _(spark, sf):
+    rows = games.with_moves(games.read_games(spark, game_files(spark, sf)))
+    h = F.col("headers")
+    return rows.select(
+        h["White"].alias("white"),
+        h["Black"].alias("black"),
+        h["Event"].alias("event"),
+        h["Site"].alias("site"),
+        "result",
+        F.size("moves").alias("n_moves"),
+        F.md5(F.array_join("moves", " ")).alias("moves"),
+    )
+
+
+@query(
+    "write_games",
+    WORDS
+    + """select 'header' as kind, 7 * count(*) as n from words union all select 'moves', count(*) from words union all select 'result ' || result, count(*) from words group by result""",
+)
+def _(spark, sf):
+    lines = spark.read.text(game_files(spark, sf)).where("value <> '' and value not like '\\%%'")
+    header = F.col("value").startswith("[")
+    result = F.element_at(F.split("value", " "), -1)
+    kinds = F.when(header, F.array(F.lit("header"))).otherwise(F.array(F.lit("moves"), F.concat(F.lit("result "), result)))
+    return lines.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "with_moves",
+    """select doc_id, cast(len(moves) as integer) as n_moves, md5(array_to_string(moves, ' ')) as moves
+       from (select doc_id, list_filter(list_transform(string_split(text, ' '), lambda w: regexp_replace(w, '[^a-z]', '', 'g')), lambda w: w <> '') as moves from documents) x""",
+)
+def _(spark, sf):
+    # Each move gets a number, a comment, a nested side line, a glyph or a mark, by its place.
+    def dressed(w, i):
+        number = F.concat((F.floor(i / 2) + 1).cast("string"), F.when(i % 2 == 0, ". ").otherwise("... "))
+        side = F.concat(F.lit(" (1... "), w, F.lit(" (2. a {b (c} d) e)"))
+        tail = F.when(i % 5 == 0, F.concat(F.lit(" {best "), w, F.lit("}"))).when(i % 5 == 1, side).when(i % 5 == 2, "!? $13").otherwise("")
+        return F.concat(number, w, tail)
+
+    text = F.concat(F.array_join(F.transform("w", dressed), " "), F.lit(" ; end of line\n1/2-1/2"))
+    rows = table(spark, sf, "documents").select("doc_id", words().alias("w")).select("doc_id", text.alias("movetext"))
+    out = games.with_moves(rows)
+    return out.select("doc_id", F.size("moves").alias("n_moves"), F.md5(F.array_join("moves", " ")).alias("moves"))
+
+
+@query(
+    "read_puzzles",
+    """select cast(doc_id as varchar) as id, fen, cast(len(string_split(text, ' ')) as integer) as n_moves, concat(lang, ' mateIn', cast(doc_id % 4 as varchar)) as themes
+       from positions p join (select doc_id as id, text, lang from documents) d on id = doc_id""",
+    ("positions",),
+)
+def _(spark, sf):
+    path = stage_path(spark, "puzzles")
+    docs = table(spark, sf, "documents").select("doc_id", "lang", F.split("text", " ").alias("w"))
+    letters = F.array_join(F.transform("w", lambda w: F.concat(F.lit("m"), F.length(w).cast("string"))), " ")
+    themes = F.concat(F.col("lang"), F.lit(" mateIn"), (F.col("doc_id") % 4).cast("string"))
+    rows = docs.join(roles.positions(spark, sf), "doc_id").select(
+        F.col("doc_id").cast("string").alias("PuzzleId"), F.col("fen").alias("FEN"), letters.alias("Moves"), F.lit(1500).alias("Rating"), themes.alias("Themes")
+    )
+    rows.write.option("header", True).csv(path)
+    out = tables.read_puzzles(spark, path)
+    return out.select(F.col("PuzzleId").alias("id"), F.col("FEN").alias("fen"), F.size("Moves").alias("n_moves"), F.col("Themes").alias("themes"))
+
+
+def manifest(spark, sf):
+    move = F.when(F.col("doc_id") % 4 > 0, F.col("n_chars") % 1858).cast("int")
+    docs = table(spark, sf, "documents").select("doc_id", move.alias("move_idx"), (F.col("doc_id") % 3).cast("int").alias("wdl"))
+    return docs.join(roles.positions(spark, sf), "doc_id")
+
+
+@query(
+    "read_manifest",
+    """select p.fen, case when p.doc_id % 4 > 0 then cast(n_chars % 1858 as integer) end as move_idx, cast(p.doc_id % 3 as integer) as wdl,
+         case when p.doc_id % 2 = 0 then 'game' else 'tablebase' end as source
+       from positions p join (select doc_id as id, n_chars from documents) d on id = p.doc_id""",
+    ("positions",),
+)
+def _(spark, sf):
+    path = stage_path(spark, "pools")
+    rows = manifest(spark, sf)
+    tables.write_manifest(rows.where("doc_id % 2 = 0"), f"{path}/pool_games_w0")
+    tables.write_manifest(rows.where("doc_id % 2 = 1"), f"{path}/pool_tablebase_w0")
+    return tables.read_manifest(spark, [f"{path}/pool_games_w0", f"{path}/pool_tablebase_w0"], with_source=True)
+
+
+@query(
+    "read_routed",
+    """select rid as fen, case when l_partkey % 50 > 0 then cast(l_partkey as integer) end as move_idx, wdl, cast(case source when 'game' then 0 when 'puzzle' then 1 else 2 end as integer) as source_id,
+         case when l_linenumber > 3 then w end as w, case when l_linenumber > 3 then d end as d, case when l_linenumber > 3 then l end as l
+       from plies left join annotations on fen = l_partkey""",
+    ("plies", "annotations"),
+)
+def _(spark, sf):
+    source = F.when(F.col("source") == "game", 0).when(F.col("source") == "puzzle", 1).otherwise(2)
+    ann = roles.annotations(spark, sf).withColumnRenamed("fen", "l_partkey")
+    rows = roles.plies(spark, sf).join(ann, "l_partkey", "left").select(
+        F.col("rid").alias("fen"),
+        F.when(F.col("l_partkey") % 50 > 0, F.col("l_partkey")).cast("int").alias("move_idx"),
+        "wdl",
+        source.alias("source_id"),
+        "w",
+        "d",
+        "l",
+        "l_linenumber",
+    )
+    # Short and long lines are mixed in one set of files, as after a join that was stopped half way.
+    line = F.when(F.col("l_linenumber") > 3, tables.routed_line(True)).otherwise(tables.routed_line(False))
+    path = stage_path(spark, "routed")
+    rows.select(line.alias("value")).write.text(path)
+    return tables.read_routed(spark, path)
+
+
+@query(
+    "read_annotations",
+    """select fen, cp, w, d, l from (select cast(l_partkey as varchar) as fen, cast(l_suppkey as integer) as cp, cast(l_linenumber as integer) as w, cast(l_quantity as integer) as d, cast(100 * l_discount as integer) as l,
+         row_number() over (partition by l_partkey order by l_orderkey, l_linenumber, l_suppkey) as rn from lineitem where l_linenumber < 7) x where rn = 1""",
+)
+def _(spark, sf):
+    fields = [F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber"), F.col("l_quantity").cast("int"), F.round(100 * F.col("l_discount")).cast("int")]
+    whole = F.concat_ws(",", *[f.cast("string") for f in fields])
+    # A line cut off in the middle keeps two fields only.
+    line = F.when(F.col("l_linenumber") < 7, whole).otherwise(F.substring_index(whole, ",", 2))
+    path = stage_path(spark, "annotations")
+    lines = table(spark, sf, "lineitem").orderBy("l_orderkey", "l_linenumber", "l_suppkey", "l_partkey")
+    lines.select(line.alias("value")).write.text(path)
+    return tables.read_annotations(spark, path)
+
+
+@query("read_suite", "select cast(position as varchar) as fen, p_type as phase, move as uci, cp, rank, best_cp from suite join part on p_partkey = position", ("suite",))
+def _(spark, sf):
+    path = stage_path(spark, "suite")
+    position = F.struct("fen", "phase", "moves")
+    meta = F.struct(F.lit("2024-01-01").alias("created"), F.lit(393).alias("suite_size"), F.lit(16).alias("sf_depth"), F.lit(7).alias("seed"))
+    roles.suite_positions(spark, sf).select(meta.alias("meta"), F.array(position).alias("positions")).write.json(path)
+    return suites.read_suite(spark, path, multi_line=False)
+
+
+@query(
+    "suite_meta",
+    """select unnest(['created', 'suite_size', 'sf_depth', 'seed']) as field, unnest(['n' || cast(count(*) as varchar), cast(count(*) as varchar), '16', '7']) as value from part""",
+)
+def _(spark, sf):
+    path = stage_path(spark, "suite")
+    n = table(spark, sf, "part").count()
+    meta = F.struct(F.lit(f"n{n}").alias("created"), F.lit(n).alias("suite_size"), F.lit(16).alias("sf_depth"), F.lit(7).alias("seed"))
+    roles.suite_positions(spark, sf).select(meta.alias("meta"), F.array(F.struct("fen", "phase", "moves")).alias("positions")).write.json(path)
+    return suites.suite_meta(spark, path, multi_line=False)
+
+
+@query(
+    "read_sweep",
+    """select concat('cpuct=', printf('%.2f', l_linenumber / 2.0::double), ',fpu=', case when l_suppkey % 4 > 0 then printf('%.2f', (l_suppkey % 4) / 10.0::double) else 'None' end) as cell,
+         l_linenumber / 2.0::double as c_puct, case when l_suppkey % 4 > 0 then (l_suppkey % 4) / 10.0::double end as fpu,
+         concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as fen, cast(m as integer) as milestone, concat('m', cast(l_partkey % 20 as varchar)) as move,
+         l_quantity / 10.0::double as elapsed, cast(m as integer) as sims, l_discount as topvis
+       from lineitem, unnest([100, 800]) as q(m)""",
+)
+def _(spark, sf):
+    c, f = F.col("l_linenumber") / 2.0, F.when(F.col("l_suppkey") % 4 > 0, F.col("l_suppkey") % 4 / 10.0)
+
+    def snap(m):
+        return F.struct(
+            F.concat(F.lit("m"), (F.col("l_partkey") % 20).cast("string")).alias("move"),
+            (F.col("l_quantity") / 10.0).alias("elapsed"),
+            F.lit(m).alias("sims"),
+            F.col("l_discount").alias("topvis"),
+        )
+
+    snaps = F.create_map(F.lit("100"), snap(100), F.lit("800"), snap(800))
+    row = F.struct(roles.row_id().alias("fen"), snaps.alias("snaps"))
+    cell = F.struct(c.alias("c_puct"), f.alias("fpu"), F.array(row).alias("rows"), F.lit(1.0).alias("wall"))
+    blob = F.struct(F.create_map(F.lit("min_spread"), F.lit("50")).alias("meta"), F.create_map(cell_key(c, f), cell).alias("cells"))
+    path = stage_path(spark, "sweep")
+    table(spark, sf, "lineitem").select(F.to_json(blob).alias("value")).write.text(path)
+    return suites.read_sweep(spark, path, whole_files=False)
+
+
+def chunk_files(spark, sf) -> str:
+    path = stage_path(spark, "chunks")
+    soft = table(spark, sf, "labels").select("doc_id", (600 + 100 * F.col("quality")).alias("w"))
+    rows = manifest(spark, sf).join(soft, "doc_id", "left").withColumns({"d": F.lit(200), "l": F.lit(100)})
+    coded = chunks.encode_samples(rows).withColumn("chunk_id", F.floor(F.col("doc_id") / 100).cast("int"))
+    chunks.write_chunks(coded.select("doc_id", "planes", "move_idx", "value", "policy_weight", "chunk_id"), path, "doc_id")
+    return path
+
+
+@query(
+    "read_chunks",
+    """select doc_id, cast(doc_id // 100 as integer) as chunk_id, case when doc_id % 4 > 0 then 1.0::double else 0.0::double end as policy_weight, cast(1280 as integer) as cells from documents""",
+)
+def _(spark, sf):
+    rows = chunks.read_chunks(spark, chunk_files(spark, sf))
+    return rows.select("doc_id", "chunk_id", "policy_weight", F.size("planes").alias("cells"))
+
+
+@query("chunk_sizes", "select cast(doc_id // 100 as integer) as chunk_id, count(*) as n_rows from documents group by 1")
+def _(spark, sf):
+    return chunks.stored_chunk_sizes(spark, chunk_files(spark, sf))
+
+
+@query(
+    "append_metrics",
+    """select cast(l_suppkey as varchar) as run, cast(l_linenumber as bigint) as step, round(avg(l_quantity), 6) as loss, round(avg(case when l_linenumber > 2 then l_discount end), 6) as acc
+       from lineitem group by l_suppkey, l_linenumber""",
+)
+def _(spark, sf):
+    path = stage_path(spark, "metrics")
+    acc = F.avg(F.when(F.col("l_linenumber") > 2, F.col("l_discount")))
+    wide = table(spark, sf, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(F.avg("l_quantity").alias("loss"), acc.alias("acc"))
+    long = logs.to_long(wide, "l_suppkey", "l_linenumber", ["loss", "acc"])
+    logs.append_metrics(long.where("step <= 3"), path)
+    logs.append_metrics(long.where("step > 3"), path)
+    return rounded(logs.read_metrics(spark, path, ["loss", "acc"]), "loss", "acc")
+
+
+@query(
+    "read_summary",
+    """select concat(l_returnflag, '.', cast(l_linenumber as varchar)) as metric, round(avg(l_quantity), 6) as value, case when l_linestatus = 'F' then 'v1' else 'v2' end as tag
+       from lineitem group by l_returnflag, l_linenumber, l_linestatus""",
+)
+def _(spark, sf):
+    path = stage_path(spark, "summaries")
+    metric = F.concat_ws(".", "l_returnflag", F.col("l_linenumber").cast("string"))
+    for status, tag in (("F", "v1"), ("O", "v2")):
+        rows = table(spark, sf, "lineitem").where(F.col("l_linestatus") == status)
+        logs.write_summary(rows.groupBy(metric.alias("metric")).agg(F.avg("l_quantity").alias("value")), path, tag)
+    return rounded(logs.read_summary(spark, path, ["v1", "v2"]), "value")
+
+
+@query(
+    "scan_artifacts",
+    """with f as (select concat('gen_', cast(p_partkey as varchar)) as label, concat('/weights/gen_', cast(p_partkey as varchar), '.weights.h5') as path, cast(p_partkey as integer) as generation from part where p_size <= 25)
+       select concat('gen_', cast(p_partkey as varchar)) as label, path, generation, path is not null as available from part left join f on f.label = concat('gen_', cast(p_partkey as varchar))""",
+)
+def _(spark, sf):
+    label = F.concat(F.lit("gen_"), F.col("p_partkey").cast("string"))
+    part = table(spark, sf, "part")
+    files = part.where("p_size <= 25").select(F.concat(F.lit("/weights/"), label, F.lit(".weights.h5")).alias("path"))
+    out = artifacts.against_expected(files, part.select(label.alias("label")))
+    return out.select("label", "path", "generation", "available")
+
+
+@query("read_ids", "select distinct cast(l_partkey as varchar) as id from lineitem where l_linenumber = 1")
+def _(spark, sf):
+    path = stage_path(spark, "ids")
+    tables.write_ids(table(spark, sf, "lineitem").where("l_linenumber = 1"), path, "l_partkey")
+    return tables.read_ids(spark, path)
+
+
+@query("materialize", "select l_returnflag, count(*) as n from lineitem group by l_returnflag")
+def _(spark, sf):
+    path = stage_path(spark, "positions")
+    rows = table(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"))
+    tables.materialize(rows, path)
+    # The second call finds the stored rows and does not run its own query.
+    return tables.materialize(rows.withColumn("n", F.lit(0)), path)

@@ -1 +1,100 @@
-"""."""
+"""Structured Streaming jobs over the tables, run to the end of the data."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from checks import roles
+from checks.base import query, rounded, table
+from curate.storage import stage_path
+from curate.streaming import ingest, monitor, progress
+
+
+def stream(spark, sf, name: str) -> DataFrame:
+    schema = table(spark, sf, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+
+
+@query("ingest_annotations", "select cast(fen as varchar) as fen, cp, w, d, l from annotations", ("annotations",))
+def _(spark, sf):
+    ann = roles.annotations(spark, sf)
+    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("fen", "cp", "w", "d", "l")])
+    inbox, sink, checkpoint = (stage_path(spark, n) for n in ("inbox", "store", "checkpoint"))
+    lines = ann.select(line.alias("value"), "w")
+    lines.where("w >= 100").drop("w").write.mode("append").text(inbox)
+    ingest.ingest_annotations(ingest.stream_results(spark, inbox, 2), sink, checkpoint).awaitTermination()
+    # After a stop everything lands once more, with cut-off lines; only what is new may be added.
+    cut = ann.select(F.concat_ws(",", F.col("fen").cast("string"), F.lit("1"), F.lit("2")).alias("value"))
+    lines.drop("w").unionByName(cut).write.mode("append").text(inbox)
+    ingest.ingest_annotations(ingest.stream_results(spark, inbox, 2), sink, checkpoint).awaitTermination()
+    return ingest.read_store(spark, sink).drop("shard")
+
+
+WINDOWS = """with w as (select time_bucket(interval '20 seconds', ts) as b, count(*) filter (where event_type <> 'error') as done, count(*) filter (where event_type = 'error') as errors
+    from events group by 1),
+  p as (select b, done, errors, cast(sum(done) over (order by b) as bigint) as done_so_far, cast(sum(errors) over (order by b) as bigint) as errors_so_far,
+    epoch(b) + 20 - epoch(min(b) over ()) as elapsed from w)
+"""
+SECOND = "yyyy-MM-dd HH:mm:ss"
+
+
+@query(
+    "progress",
+    WINDOWS
+    + """select strftime(b, '%Y-%m-%d %H:%M:%S') as window_start, done, errors, done_so_far, errors_so_far, cast(elapsed as bigint) as elapsed_s,
+      round(100 * (500 + done_so_far) / (500 + (select count(*) from events where event_type <> 'error'))::double, 6) as percent, round(done_so_far / elapsed, 6) as mean_rate,
+      round(case when done_so_far > 0 then ((select count(*) from events where event_type <> 'error') - done_so_far) / (done_so_far / elapsed) / 3600 else 0 end, 6) as eta_hours from p""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    total = events.where("event_type <> 'error'").count()
+    windows = progress.progress_windows(events, "ts", F.col("event_type") == "error")
+    out = rounded(progress.progress(windows, total, already=500).drop("rate"), "percent", "mean_rate", "eta_hours")
+    return out.withColumn("window_start", F.date_format("window_start", SECOND))
+
+
+@query(
+    "progress_windows",
+    WINDOWS + "select strftime(b, '%Y-%m-%d %H:%M:%S') as window_start, done, errors, round(done / 20.0::double, 6) as rate from w",
+)
+def _(spark, sf):
+    windows = progress.progress_windows(stream(spark, sf, "events"), "ts", F.col("event_type") == "error", watermark="10 minutes")
+    out = ingest.run_updates(windows, ["window_start"], stage_path(spark, "windows"), stage_path(spark, "checkpoint"))
+    return rounded(out, "rate").withColumn("window_start", F.date_format("window_start", SECOND))
+
+
+@query(
+    "replay_windows",
+    """with it as (select event_id // 1000 as it, count(*) as n, sum(cast(round(value * 100) as bigint)) as v from events group by 1)
+       select cast(e as bigint) as window_end, cast(sum(n) as bigint) as n_rows, cast(sum(v) as bigint) as cents from it, unnest(range(it, it + 4)) as u(e) where e <= (select max(it) from it) group by e""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events").withColumn("iteration", F.floor(F.col("event_id") / 1000))
+    cents = F.round(F.col("value") * 100).cast("long")
+    return progress.replay_windows(events, "iteration", {"cents": ("sum", cents)})
+
+
+@query(
+    "sliding_windows",
+    """with d as (select cast(ts as date) as day, count(*) as n, sum(cast(round(value * 100) as bigint)) as v from events group by 1)
+       select strftime(day - cast(k as integer), '%Y-%m-%d') as first_day, cast(sum(n) as bigint) as n_rows, cast(sum(v) as bigint) as cents from d, unnest(range(4)) as u(k) group by 1""",
+)
+def _(spark, sf):
+    measures = [F.count(F.lit(1)).alias("n_rows"), F.sum(F.round(F.col("value") * 100).cast("long")).alias("cents")]
+    windows = progress.sliding_windows(stream(spark, sf, "events"), "ts", "4 days", "1 day", measures, watermark="1 day")
+    out = ingest.run_updates(windows, ["window_start"], stage_path(spark, "sliding"), stage_path(spark, "checkpoint"))
+    return out.select(F.date_format("window_start", "yyyy-MM-dd").alias("first_day"), "n_rows", "cents")
+
+
+@query(
+    "stream_best",
+    """with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as i from events),
+       fold as (select user_id, event_id, value, i, value as best, true as hit from o where i = 1
+         union all select o.user_id, o.event_id, o.value, o.i, case when o.value < best - 0.5 then o.value else best end, o.value < best - 0.5
+         from fold join o on o.user_id = fold.user_id and o.i = fold.i + 1)
+       select user_id, event_id, value from fold where hit""",
+)
+def _(spark, sf):
+    best = monitor.stream_best(stream(spark, sf, "events"), "user_id", "event_id", "value", 0.5)
+    return ingest.run_table(best, stage_path(spark, "best"), stage_path(spark, "checkpoint"))

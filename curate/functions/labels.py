@@ -69,8 +69,13 @@ def blend(cls: ColumnLike, w: ColumnLike, d: ColumnLike, l: ColumnLike, lam: flo
 
 
 def source_of(path: ColumnLike) -> Column:
-    """Source name from the pool file's name; an unknown prefix is an error."""
-    name = F.element_at(F.split(col(path), "/"), -1)
+    """Source name from the name of the pool's file, or of its folder where the pool is a set of part files.
+
+    A name of no known prefix is an error.
+    """
+    last = F.element_at(F.split(col(path), "/"), -1)
+    folder = F.regexp_extract(col(path), r"/(pool_[^/]*)/[^/]*$", 1)
+    name = F.when(folder == "", last).otherwise(folder)
     out = None
     for prefix, source in POOL_PREFIXES.items():
         hit = name.startswith(prefix)

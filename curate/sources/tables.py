@@ -20,7 +20,7 @@ def read_puzzles(spark: SparkSession, path, schema: str = PUZZLE_SCHEMA, limit:
     wanted = [part.split()[0] for part in schema.split(",")]
     rows = raw.select(*wanted)
     rows = rows if limit is None else rows.limit(limit)
-    return rows.withColumn("moves", F.split(F.trim("Moves"), " +")).drop("Moves").withColumnRenamed("moves", "Moves")
+    return rows.withColumn("Moves", F.split(F.trim("Moves"), " +"))
 
 
 def _field(text: Column, i: int, n: int) -> Column:

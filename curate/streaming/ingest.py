@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -63,13 +61,10 @@ def ingest_annotations(
     return writer.start()
 
 
-def run_table(
-    df: DataFrame, path: str, checkpoint: str, mode: str = "append", trigger: Callable | None = None
-) -> DataFrame:
-    """Run a stream over what there is now into a Parquet table, and read it."""
+def run_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run an append-mode stream over what there is now into a Parquet table, and read it."""
     query = (
         df.writeStream.format("parquet")
-        .outputMode(mode)
         .option("path", path)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
@@ -77,3 +72,25 @@ def run_table(
     )
     query.awaitTermination()
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def run_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Run an aggregating stream over what there is now, appending each batch's changed rows; read the last state per key.
+
+    Only changed rows are written, unlike in complete mode, and open windows are in the result, unlike
+    in append mode. A replayed batch writes its folder again.
+    """
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    query = (
+        df.writeStream.foreachBatch(write)
+        .outputMode("update")
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    schema = df.schema.add("epoch", "long")
+    return dedupe_first(df.sparkSession.read.schema(schema).parquet(path), keys, [F.desc("epoch")]).drop("epoch")
