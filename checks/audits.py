@@ -96,7 +96,7 @@ def expectations(spark, sf):
 @query(
     "agreement",
     EXPECT
-    + """select phase, cast(grouping(phase) as integer) as overall, count(*) as n_rows, round(avg(abs(net - ref)), 6) as mae, round(corr(net, ref), 6) + 0.0 as corr
+    + """select phase, cast(grouping(phase) as integer) as overall, count(*) as n_rows, round(avg(abs(net - ref)), 6) as mae, round(case when stddev_pop(net) * stddev_pop(ref) > 0 then corr(net, ref) end, 6) + 0.0 as corr
       from e group by rollup (phase)""",
     ("predictions", "annotations"),
 )
@@ -253,7 +253,7 @@ def _(spark, sf):
         union all select 'value_ce', avg(-ln(pt)) from g union all select 'acc', {ONE.format('best = wdl')} from g
         union all select 'ece', sum(n * abs(m - a)) / sum(n) from b
         union all select concat('mae.', phase), avg(abs(net - ref)) from g group by phase
-        union all select 'mae.all', avg(abs(net - ref)) from g union all select 'corr', corr(net, ref) from g) x""",
+        union all select 'mae.all', avg(abs(net - ref)) from g union all select 'corr', case when stddev_pop(net) * stddev_pop(ref) > 0 then corr(net, ref) end from g) x""",
     ("predictions", "annotations"),
 )
 def _(spark, sf):

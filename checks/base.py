@@ -62,7 +62,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         (),
         """select l_partkey as fen, cp, w, 1000 - w - l as d, l from (
              select l_partkey,
-               cast(sum(cast(round(l_extendedprice * 100) as bigint)) // (100 * count(*)) - 35000 as integer) as cp,
+               cast((sum(cast(round(l_extendedprice * 100) as bigint)) // (100 * count(*)) - 50000) // 20 as integer) as cp,
                cast(1000 * sum(cast(round(l_discount * 100) as bigint)) // (count(*) + sum(cast(round(l_discount * 100) as bigint)) + sum(cast(round(l_tax * 100) as bigint))) as integer) as w,
                cast(1000 * sum(cast(round(l_tax * 100) as bigint)) // (count(*) + sum(cast(round(l_discount * 100) as bigint)) + sum(cast(round(l_tax * 100) as bigint))) as integer) as l
              from lineitem group by l_partkey having count(*) >= 30) a""",
@@ -124,7 +124,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     ),
     "edges": (
         (),
-        """select l_orderkey as position, concat_ws('-', l_linenumber, l_partkey, l_suppkey) as move, cast(l_quantity as bigint) as n, l_discount as p from lineitem""",
+        """select l_orderkey as position, concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as move, cast(l_quantity as bigint) as n, l_discount as p from lineitem""",
     ),
 }
 

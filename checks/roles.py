@@ -54,7 +54,7 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
     # Rarely seen parts have no annotation, so joins to this view miss some rows.
     return totals.where("n >= 30").selectExpr(
         "fen",
-        "cast(price div (100 * n) - 35000 as int) as cp",
+        "cast((price div (100 * n) - 50000) div 20 as int) as cp",
         "cast(1000 * a div (n + a + b) as int) as w",
         "cast(1000 - 1000 * a div (n + a + b) - 1000 * b div (n + a + b) as int) as d",
         "cast(1000 * b div (n + a + b) as int) as l",
@@ -140,9 +140,11 @@ def scored_once(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf: str) -> DataFrame:
+    cents = F.round(F.col("l_extendedprice") * 100).cast("long")
+    move = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents]
     return table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("position"),
-        F.concat_ws("-", *[F.col(c).cast("string") for c in ("l_linenumber", "l_partkey", "l_suppkey")]).alias("move"),
+        F.concat_ws("-", *[c.cast("string") for c in move]).alias("move"),
         F.col("l_quantity").cast("long").alias("n"),
         F.col("l_discount").alias("p"),
     )

@@ -165,7 +165,7 @@ def _(spark, sf):
     """select position, move from (select position, move, row_number() over (partition by position order by tier,
            case when tier = 1 then case when own >= 2 then dtz else -dtz end else 0 end, case when tier = 1 and own >= 2 then seen else 0 end, move) as rn
          from (select *, case when mate then 0 when (own >= 2 and after >= 2) or own <= -2 then 1 else 2 end as tier
-           from (select l_orderkey as position, concat_ws('-', l_linenumber, l_partkey, l_suppkey) as move, l_orderkey % 5 - 2 as own, l_partkey % 5 - 2 as after,
+           from (select l_orderkey as position, concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as move, l_orderkey % 5 - 2 as own, l_partkey % 5 - 2 as after,
                cast(l_quantity as bigint) as dtz, l_suppkey % 2 as seen, l_linenumber = 7 and l_partkey % 50 = 0 as mate from lineitem) x) y) z where rn = 1""",
 )
 def _(spark, sf):

@@ -112,13 +112,16 @@ def value_ce(df: DataFrame, by=(), probs: str = "probs", cls: str = "true_cls")
 
 
 def agreement(df: DataFrame, predicted: ColumnLike, reference: ColumnLike, pieces: ColumnLike) -> DataFrame:
-    """Mean absolute error and correlation of two expected scores: overall (phase NULL) and per phase."""
+    """Mean absolute error and correlation of two expected scores: overall (phase NULL) and per phase.
+
+    The correlation is NULL where one side does not vary.
+    """
     rows = df.select(col(predicted).alias("_p"), col(reference).alias("_r"), phase(pieces).alias("phase"))
     return rows.rollup("phase").agg(
         F.grouping("phase").alias("overall"),
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.abs(F.col("_p") - F.col("_r"))).alias("mae"),
-        F.corr("_p", "_r").alias("corr"),
+        F.try_divide(F.covar_pop("_p", "_r"), F.stddev_pop("_p") * F.stddev_pop("_r")).alias("corr"),
     )
 
 

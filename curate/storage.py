@@ -13,16 +13,17 @@ CHECKPOINT_KEY = "spark.checkpoint.dir"
 def stage_root(spark: SparkSession) -> str:
     """The shared folder for staged data.
 
-    A cluster sets ``spark.checkpoint.dir``. Only where it is unset and the master is local
-    (tests, a laptop) is a temporary folder made; elsewhere the missing setting is an error, as
-    a machine-local folder would be lost with its machine.
+    A cluster sets ``spark.checkpoint.dir``. Only where it is unset and the master is local (tests, a
+    laptop) is a temporary folder made; elsewhere the missing setting is an error, as a machine-local
+    folder would be lost with its machine.
     """
-    root = spark.conf.get(CHECKPOINT_KEY, None)
+    sc = spark.sparkContext
+    root = spark.conf.get(CHECKPOINT_KEY, None) or sc.getCheckpointDir()
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not sc.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="curate-")
-        spark.conf.set(CHECKPOINT_KEY, root)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="curate-"))
+        root = sc.getCheckpointDir()
     return root.rstrip("/")
 
 
