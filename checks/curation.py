@@ -10,6 +10,7 @@ from checks.base import query, r6, rounded, table
 from curate.operators import joins, reports, sampling
 from curate.operators.ranking import dedupe_first, ordered_rank
 from curate.plans.training_set import plan_and_route
+from curate.storage import stage
 
 # Unequal on purpose, so that the scarcest stratum is not the same for every scale.
 QUOTAS = {
@@ -42,9 +43,13 @@ ROUTED = (
 )
 
 
+def pools(spark, sf):
+    """The pools as the stored table they are: counted once and read again for the draw."""
+    return stage(roles.plies(spark, sf).select("rid", "source", "wdl", "l_partkey"), "pools")
+
+
 def routed(spark, sf):
-    pools = roles.plies(spark, sf).select("rid", "source", "wdl", "l_partkey")
-    return plan_and_route(pools, "rid", QUOTAS, CHUNK, seed=SEED).rows
+    return plan_and_route(pools(spark, sf), "rid", QUOTAS, CHUNK, seed=SEED).rows
 
 
 @query(
@@ -78,9 +83,9 @@ def _(spark, sf):
     ("plies",),
 )
 def _(spark, sf):
-    pools = roles.plies(spark, sf).select("rid", "source", "wdl", "l_partkey")
-    plan = sampling.plan_chunks(sampling.stratum_counts(pools), QUOTAS, chunk_size=CHUNK)
-    return sampling.route(pools, plan, "rid", SEED, assign="stream", order=["l_partkey", "rid"]).drop("l_partkey")
+    stored = pools(spark, sf)
+    plan = sampling.plan_chunks(sampling.stratum_counts(stored), QUOTAS, chunk_size=CHUNK)
+    return sampling.route(stored, plan, "rid", SEED, assign="stream", order=["l_partkey", "rid"]).drop("l_partkey")
 
 
 @query(
@@ -100,8 +105,8 @@ def _(spark, sf):
     ("plies",),
 )
 def _(spark, sf):
-    pools = roles.plies(spark, sf).where("source <> 'puzzle' or wdl = 0")
-    return rounded(sampling.shortcut_audit(pools), "share", "max_share")
+    rows = roles.plies(spark, sf).where("source <> 'puzzle' or wdl = 0")
+    return rounded(sampling.shortcut_audit(rows), "share", "max_share")
 
 
 @query(
@@ -120,9 +125,9 @@ def _(spark, sf):
 
 
 def annotated(spark, sf):
-    pools = roles.plies(spark, sf).select("rid", F.col("l_partkey").alias("fen"), "source", "wdl")
+    rows = roles.plies(spark, sf).select("rid", F.col("l_partkey").alias("fen"), "source", "wdl")
     source = F.when(F.col("source") == "game", 0).when(F.col("source") == "puzzle", 1).otherwise(2)
-    return joins.join_annotations(pools.withColumn("source_id", source), roles.annotations(spark, sf))
+    return joins.join_annotations(rows.withColumn("source_id", source), roles.annotations(spark, sf))
 
 
 JOINED = """with joined as (select rid, l_partkey, source, wdl, case when source <> 'tablebase' then w end as w, case when source <> 'tablebase' then d end as d,
@@ -429,8 +434,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     rows = roles.plies(spark, sf)
-    pools = {s: rows.where(F.col("source") == s).select("rid", "wdl") for s in SOURCE_IDS}
-    return sampling.union_pools(pools).groupBy("source", "wdl").agg(
+    parts = {s: rows.where(F.col("source") == s).select("rid", "wdl") for s in SOURCE_IDS}
+    return sampling.union_pools(parts).groupBy("source", "wdl").agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_distinct("rid").alias("n_ids")
     )
 

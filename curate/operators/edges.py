@@ -15,9 +15,9 @@ def masked_softmax_rows(df: DataFrame, position, move: str, logit: str, allowed:
     position = cols(position)
     rows = df if allowed is None else df.where(F.col(allowed))
     tops = rows.groupBy(*position).agg(F.max(logit).alias("_top"))
-    weighted = join_unique(rows, tops, position, salt=[move]).withColumn("_w", F.exp(F.col(logit) - F.col("_top")))
+    weighted = join_unique(rows, tops, position).withColumn("_w", F.exp(F.col(logit) - F.col("_top")))
     sums = weighted.groupBy(*position).agg(F.sum("_w").alias("_sum"))
-    out = join_unique(weighted, sums, position, salt=[move])
+    out = join_unique(weighted, sums, position)
     return out.withColumn("prior", F.col("_w") / F.col("_sum")).drop("_top", "_w", "_sum")
 
 

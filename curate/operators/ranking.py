@@ -10,46 +10,53 @@ from curate.functions.base import ColumnLike, col, cols
 from curate.functions.seeded import PREFIX_SPAN, key_number, seeded_key
 from curate.storage import stage
 
-BUCKET_ROWS = 1_000_000
+BUCKETS = 16_384
 PARTITION_BITS = 33
 
 
+def _buckets(df: DataFrame, key, seed: int, buckets: int) -> DataFrame:
+    keyed = df.withColumn("_key", seeded_key(seed, *cols(key)))
+    return keyed.withColumn("_bucket", F.floor(key_number(F.col("_key")) * buckets / PREFIX_SPAN).cast("int"))
+
+
+def seeded_histogram(df: DataFrame, by, key, seed: int, buckets: int = BUCKETS) -> DataFrame:
+    """(by..., _bucket, _size): rows per group and hash bucket, at most groups x buckets rows.
+
+    One map-combined pass over the group and key columns; the group sizes are its sums.
+    """
+    return _buckets(df, key, seed, buckets).groupBy(*cols(by), "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+
+
 def seeded_rank(
     df: DataFrame,
     by,
     key,
     seed: int,
-    groups: DataFrame,
-    keep: ColumnLike | None = None,
-    bucket_rows: int = BUCKET_ROWS,
+    keep: DataFrame | None = None,
+    histogram: DataFrame | None = None,
+    buckets: int = BUCKETS,
     name: str = "rank",
 ) -> DataFrame:
-    """Rank rows 1..n within each group in the order of their seeded hash.
-
-    A group is cut into hash buckets of about ``bucket_rows`` rows: the rank is the number of rows in
-    lower buckets plus the rank inside the bucket. Hashes are uniform, so buckets are even however
-    large one group is. ``groups`` holds (by..., n_rows) for the groups to rank, one row each: a short
-    list of strata, which is broadcast; rows of other groups are dropped before the shuffle. With
-    ``keep`` (a column of ``groups``) only ranks up to it are returned, and whole buckets beyond it are
-    dropped before the shuffle too. ``key`` must identify a row.
+    """Rank rows 1..n within each of a few groups in the order of their seeded hash.
+
+    Each group is cut into hash buckets: the rank is the number of rows in lower buckets plus the rank
+    inside the bucket. Hashes are uniform, so buckets are even however large one group is, and no
+    window holds more than about a ``buckets``-th of a group. With ``keep`` (by..., keep: one row per
+    group, other groups are dropped) only ranks up to it are returned; buckets beyond it, and groups
+    without it, go before the shuffle. ``key`` must identify a row. ``buckets`` must be the histogram's.
     """
     by = cols(by)
-    n_buckets = F.ceil(F.col("n_rows") / bucket_rows).cast("long")
-    hashed = (
-        df.join(F.broadcast(groups), by)
-        .withColumn("_key", seeded_key(seed, *cols(key)))
-        .withColumn("_bucket", F.floor(key_number(F.col("_key")) * n_buckets / PREFIX_SPAN))
-    )
-    sizes = hashed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    sizes = seeded_histogram(df, by, key, seed, buckets) if histogram is None else histogram
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_below"))
-    placed = hashed.join(below, [*by, "_bucket"])
     if keep is not None:
-        placed = placed.where(F.col("_below") < col(keep))
+        below = below.join(keep.select(*by, F.col("keep").alias("_keep")), by).where("_below < _keep")
+    # At most groups x buckets narrow rows, whatever the size of df.
+    placed = _buckets(df, key, seed, buckets).join(F.broadcast(below), [*by, "_bucket"])
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", *cols(key))
     ranked = placed.withColumn(name, F.col("_below") + F.row_number().over(inside))
     if keep is not None:
-        ranked = ranked.where(F.col(name) <= col(keep))
+        ranked = ranked.where(F.col(name) <= F.col("_keep")).drop("_keep")
     return ranked.drop("_key", "_bucket", "_below")
 
 

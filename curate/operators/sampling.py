@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from curate.functions.base import ColumnLike, col, cols
 from curate.functions.positions import mirror_fen
 from curate.functions.seeded import seeded_int, seeded_key
-from curate.operators.ranking import BUCKET_ROWS, dedupe_first, ordered_rank, seeded_rank, top_per_group
+from curate.operators.ranking import BUCKETS, dedupe_first, ordered_rank, seeded_rank, top_per_group
+from curate.storage import stage
 
 # Chunk size, rows per chunk of (source, class), seeds, windows.
 CHUNK_SIZE = 50_000
@@ -78,19 +79,23 @@ def route(
     strata=("source", "wdl"),
     assign: str = "hash",
     order: list | None = None,
-    bucket_rows: int = BUCKET_ROWS,
+    histogram: DataFrame | None = None,
+    buckets: int = BUCKETS,
 ) -> DataFrame:
     """Draw exactly n_chunks x quota rows of every stratum and give each its chunk_id.
 
     The draw is by seeded hash, without replacement. assign "hash" cuts chunks along the same hash;
     "stream" cuts them along ``order``, so that a chunk is a contiguous part of each pool.
+    ``histogram`` is the ``seeded_histogram`` of the pools, if there is one already.
     """
-    groups = plan.where(F.col("quota") > 0).select(*strata, "n_rows", "quota", "keep")
-    drawn = seeded_rank(df, list(strata), key, seed, groups, "keep", bucket_rows)
+    by = list(strata)
+    quotas = plan.where(F.col("quota") > 0).select(*by, "quota", "keep")
+    drawn = seeded_rank(df, by, key, seed, quotas, histogram, buckets)
     if assign == "stream":
-        drawn = ordered_rank(drawn.drop("rank"), list(strata), order)
+        drawn = ordered_rank(drawn.drop("rank"), by, order)
+    placed = drawn.join(F.broadcast(quotas.drop("keep")), by)
     chunk = F.floor((F.col("rank") - 1) / F.col("quota")).cast("int")
-    return drawn.withColumn("chunk_id", chunk).drop("n_rows", "quota", "keep", "rank")
+    return placed.withColumn("chunk_id", chunk).drop("quota", "rank")
 
 
 def with_shuffle_key(df: DataFrame, by: str, key, seed: int = SEED) -> DataFrame:
@@ -116,7 +121,7 @@ def capped_fill(df: DataFrame, caps: dict[int, int], cls: str, priority: str, or
 
 
 def sample_per_group(
-    df: DataFrame, group, key, cls: str, k: int, per_class: int, seed: int = SEED, n_classes: int = 3
+    df: DataFrame, group, key, cls: str, k: int, per_class: int, seed: int = SEED
 ) -> DataFrame:
     """k random rows per group, then at most 2 x per_class rows per class, then exactly per_class of them at random.
 
@@ -125,14 +130,15 @@ def sample_per_group(
     picked = top_per_group(
         df.withColumn("_draw", seeded_key(seed, *cols(key))), group, ["_draw", *cols(key)], k, "_pick"
     ).drop("_pick", "_draw")
-    pool = _seeded_cap(picked, cls, key, seed + 1, 2 * per_class)
+    # Both caps read their input twice, so the picks, and then the few capped rows, are stored in between.
+    pool = stage(_seeded_cap(stage(picked, "picked"), cls, key, seed + 1, 2 * per_class), "pool")
     final = _seeded_cap(pool, cls, key, seed + 2, per_class)
     return final.withColumn("shuffle_key", seeded_key(seed + 3, *cols(key)))
 
 
 def _seeded_cap(df: DataFrame, cls: str, key, seed: int, n: int) -> DataFrame:
-    sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("n_rows")).withColumn("keep", F.lit(n))
-    return seeded_rank(df, cls, key, seed, sizes, "keep").drop("n_rows", "keep", "rank")
+    keep = df.select(cls).distinct().withColumn("keep", F.lit(n))
+    return seeded_rank(df, cls, key, seed, keep).drop("rank")
 
 
 def head_per_group(df: DataFrame, group: str, quotas: dict, order: list) -> DataFrame:

@@ -72,16 +72,11 @@ def with_position(df: DataFrame, key, order: str, name: str = "i", span: int = S
 
 def assign_targets(df: DataFrame, key, order: str, result: str, turn: str, span: int = SPAN) -> DataFrame:
     """value_target (+1/0/-1 for the mover) and moves_left_target (n for the first of n rows, 1 for the last)."""
-    key = cols(key)
     white = F.when(F.col(result) == "1-0", 1.0).when(F.col(result) == "0-1", -1.0).otherwise(0.0)
     value = F.when(white == 0, 0.0).when(F.col(turn) == "w", white).otherwise(-white)
-    lengths = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
-    rows = join_unique(with_position(df, key, order, "_i", span), lengths, key)
-    return (
-        rows.withColumn("value_target", value)
-        .withColumn("moves_left_target", F.col("_n") - F.col("_i") + 1)
-        .drop("_n", "_i")
-    )
+    # Counting from the end needs neither the length nor the position of a row.
+    backwards = running(df.withColumn("_back", -F.col(order)), key, "_back", {"moves_left_target": ("count", F.lit(1))}, span)
+    return backwards.withColumn("value_target", value).drop("_back")
 
 
 def resign_events(
@@ -89,12 +84,11 @@ def resign_events(
 ) -> DataFrame:
     """(key, fire_at, side): the first row that ends k rows in a row, of either side, with q below the threshold."""
     key = cols(key)
-    low = col(q) < threshold
-    counted = with_position(df, key, order, "_i", span)
-    reset = F.when(~F.coalesce(low, F.lit(False)), F.col("_i"))
-    streak = running(counted, key, order, {"_reset": ("max", reset)}, span)
-    fired = streak.where(F.col("_i") - F.coalesce("_reset", F.lit(0)) >= k)
-    return fired.groupBy(*key).agg(F.min(order).alias("fire_at"), F.min_by(turn, order).alias("side"))
+    low = F.coalesce(col(q) < threshold, F.lit(False))
+    marked = running(df.withColumn("_low", low), key, order, {"_reset": ("max", F.when(~F.col("_low"), F.col(order)))}, span)
+    # Low rows with the same last reset form one streak; its k-th row is where it fires.
+    kth = top_per_group(marked.where("_low"), [*key, "_reset"], [order], k, "_nth").where(F.col("_nth") == k)
+    return kth.groupBy(*key).agg(F.min(order).alias("fire_at"), F.min_by(turn, order).alias("side"))
 
 
 def truncate_at(df: DataFrame, events: DataFrame, key, order: str, playout: str | None = None) -> DataFrame:
@@ -166,11 +160,11 @@ def visit_distribution(edges: DataFrame, position, move: str, n: str, temperatur
     position = cols(position)
     if temperature == 0:
         facts = edges.groupBy(*position).agg(F.min(F.struct((-F.col(n)).alias("_n"), F.col(move).alias("_m"))).alias("_best"))
-        rows = join_unique(edges, facts, position, salt=[move])
+        rows = join_unique(edges, facts, position)
         return rows.withColumn("prob", (F.col(move) == F.col("_best._m")).cast("double")).drop("_best")
     weight = F.col(n).cast("double") if temperature == 1 else F.pow(F.col(n).cast("double"), 1.0 / temperature)
     facts = edges.groupBy(*position).agg(F.sum(weight).alias("_sum"), F.count(F.lit(1)).alias("_edges"))
-    rows = join_unique(edges, facts, position, salt=[move])
+    rows = join_unique(edges, facts, position)
     prob = F.when(F.col("_sum") == 0, 1.0 / F.col("_edges")).otherwise(weight / F.col("_sum"))
     return rows.withColumn("prob", prob).drop("_sum", "_edges")
 

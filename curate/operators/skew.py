@@ -2,14 +2,11 @@
 
 Two tools carry the rest of the package:
 
-* ``join_unique`` attaches one row per key to many rows per key. Keys above a share of the rows are
-  found by a frequent-items sketch (one map-side pass, at most ``SHARES`` keys by arithmetic, so the
-  list is safe to broadcast) and get several copies on the unique side; rows pick one by hash.
+* ``join_unique`` attaches one row per key to many rows per key, in a form whose hot partitions
+  adaptive execution can split.
 * ``running`` is a running aggregate over an integer order. Windows are cut into segments of
   ``SPAN`` order values, so none holds more than that many rows of a key; the result of the earlier
   segments is added by a join on one row per (key, segment).
-
-Neither depends on the sketch or the cut for its result, only for its balance.
 """
 
 from __future__ import annotations
@@ -22,56 +19,21 @@ from pyspark.sql.window import Window
 
 from curate.functions.base import cols
 
-SHARES = 1000
-HOT_FLOOR = 100_000
 SPAN = 100_000
 
 
-def hot_keys(df: DataFrame, on, shares: int = SHARES, floor: int = HOT_FLOOR) -> DataFrame:
-    """(_hot, _copies): hashes of keys with more than 1/shares of the rows, at most ``shares`` of them."""
-    hashed = df.select(F.xxhash64(*cols(on)).alias("_hot"))
-    sketch = hashed.agg(
-        F.expr(f"approx_top_k(_hot, {shares}, {10 * shares})").alias("_top"),
-        F.count(F.lit(1)).alias("_rows"),
-    )
-    limit = F.greatest(F.col("_rows") / shares, F.lit(float(floor)))
-    top = sketch.select(F.explode("_top").alias("_t"), limit.alias("_limit"))
-    return top.where("_t.count > _limit").select(
-        F.col("_t.item").alias("_hot"), F.ceil(F.col("_t.count") / F.col("_limit")).cast("int").alias("_copies")
-    )
-
-
-def _salt_columns(df: DataFrame, on: list[str]) -> list[str]:
-    plain = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-    return [c for c in plain if c not in on] or plain
+def join_unique(df: DataFrame, facts: DataFrame, on, how: str = "left") -> DataFrame:
+    """Join ``facts`` (one row per key) to ``df`` (any number of rows per key); left, inner, semi or anti.
 
-
-def join_unique(
-    df: DataFrame,
-    facts: DataFrame,
-    on,
-    how: str = "left",
-    salt=None,
-    shares: int = SHARES,
-    floor: int = HOT_FLOOR,
-) -> DataFrame:
-    """Join ``facts`` (one row per key) to ``df`` (any number of rows per key); left, inner, semi or anti."""
+    Adaptive execution splits the hot partitions of a sort-merge join only where both inputs come
+    straight from the join's own shuffles. Facts that were just aggregated by the key would be joined
+    in place; the key's hash as a second join key makes the join shuffle them (one row per key) itself.
+    Small facts still become a broadcast by their measured size.
+    """
     on = cols(on)
-    hot = hot_keys(df, on, shares, floor)
-    spread = F.xxhash64(*(cols(salt) if salt else _salt_columns(df, on)))
-    left = (
-        df.withColumn("_hot", F.xxhash64(*on))
-        .join(F.broadcast(hot), "_hot", "left")
-        .withColumn("_salt", F.coalesce(F.pmod(spread, F.col("_copies")), F.lit(0)).cast("int"))
-        .drop("_hot", "_copies")
-    )
-    right = (
-        facts.withColumn("_hot", F.xxhash64(*on))
-        .join(F.broadcast(hot), "_hot", "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_copies", F.lit(1)) - 1)))
-        .drop("_hot", "_copies")
-    )
-    return left.join(right, [*on, "_salt"], how).drop("_salt")
+    key_hash = F.xxhash64(*on)
+    left, right = df.withColumn("_hash", key_hash), facts.withColumn("_hash", key_hash)
+    return left.join(right, [*on, "_hash"], how).drop("_hash")
 
 
 _MERGE: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "count": F.sum, "min": F.min, "max": F.max}

@@ -5,10 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from curate.functions.labels import BLEND
 from curate.operators.joins import join_annotations, worklist
-from curate.operators.sampling import CHUNK_SIZE, QUOTAS, SEED, plan_chunks, route, stratum_counts, union_pools
+from curate.operators.ranking import seeded_histogram
+from curate.operators.sampling import CHUNK_SIZE, QUOTAS, SEED, plan_chunks, route, union_pools
 from curate.sources.chunks import encode_samples, write_chunks
 from curate.storage import stage
 
@@ -24,12 +26,16 @@ class RoutedSet:
 def plan_and_route(
     pools: DataFrame, key, quotas: dict = QUOTAS, chunk_size: int | None = CHUNK_SIZE, max_chunks: int | None = None, seed: int = SEED
 ) -> RoutedSet:
-    """Count the strata, plan the chunks, draw and route the rows.
+    """Count the strata, plan the chunks, draw and route the rows: two passes over the pools.
 
-    The plan is staged: it is a handful of rows, and the count pass then runs once for both uses.
+    The first pass counts rows per stratum and hash bucket. That table (strata x buckets rows) is
+    staged; it gives both the stratum counts of the plan and the ranks of the draw.
     """
-    plan = stage(plan_chunks(stratum_counts(pools), quotas, max_chunks, chunk_size), "plan")
-    return RoutedSet(plan, route(pools, plan, key, seed))
+    strata = ["source", "wdl"]
+    histogram = stage(seeded_histogram(pools, strata, key, seed), "histogram")
+    counts = histogram.groupBy(*strata).agg(F.sum("_size").alias("n_rows"))
+    plan = stage(plan_chunks(counts, quotas, max_chunks, chunk_size), "plan")
+    return RoutedSet(plan, route(pools, plan, key, seed, histogram=histogram))
 
 
 def build_training_set(

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curate.operators.ranking import dedupe_first, ordered_rank, seeded_rank, top_per_group
-from curate.operators.skew import hot_keys, join_unique, running
+from curate.operators.skew import join_unique, running
 from tests.conftest import rows
 
 
@@ -20,32 +20,40 @@ def skewed(spark):
     return df.cache()
 
 
-def test_hot_keys_finds_the_third(spark, skewed):
-    hot = hot_keys(skewed, "k", shares=20, floor=10).collect()
-    assert len(hot) == 1 and hot[0]._copies >= 6
-    assert hot_keys(skewed, "k").count() == 0
-
-
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
 def test_join_unique_equals_the_plain_join(spark, skewed, how):
     facts = skewed.where("k % 2 = 0").groupBy("k").agg(F.sum("v").alias("s"))
-    want = rows(skewed.join(facts, "k", how))
-    assert rows(join_unique(skewed, facts, "k", how, shares=20, floor=10)) == want
-    assert rows(join_unique(skewed, facts, "k", how)) == want
+    assert rows(join_unique(skewed, facts, "k", how)) == rows(skewed.join(facts, "k", how))
 
 
-def test_join_unique_spreads_the_hot_key(spark, skewed):
-    facts = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    # The salt is gone from the result, so its effect is read from the plan's partitions.
-    spark.conf.set("spark.sql.adaptive.enabled", "false")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        out = join_unique(skewed, facts, "k", shares=100, floor=10).withColumn("p", F.spark_partition_id())
-        parts = out.where("k = 0").groupBy("p").count().collect()
-    finally:
-        spark.conf.unset("spark.sql.adaptive.enabled")
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    assert len(parts) >= 4 and max(r["count"] for r in parts) < 600
+# A large cluster's thresholds, scaled to 3,000 rows; no side is small enough to broadcast.
+SMALL = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "3k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+}
+
+
+@pytest.fixture
+def scaled(spark):
+    for k, v in SMALL.items():
+        spark.conf.set(k, v)
+    yield spark
+    for k in SMALL:
+        spark.conf.unset(k)
+
+
+@pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
+def test_the_hot_partition_of_a_join_on_aggregated_facts_is_split(scaled, skewed, how):
+    facts = skewed.groupBy("k").agg(F.sum("v").alias("s"))
+    out = join_unique(skewed, facts, "k", how)
+    got = out.collect()
+    assert len(got) == (0 if how == "left_anti" else 3000)
+    assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    plain = skewed.join(facts, "k", how)
+    plain.collect()
+    assert "skew=true" not in plain._jdf.queryExecution().executedPlan().toString()
 
 
 def test_join_unique_with_null_keys_and_two_columns(spark):
@@ -99,15 +107,14 @@ def test_ordered_rank_splits_a_group_over_partitions(spark, skewed):
     assert got == [(i * 7, 3000 - i) for i in range(3000)]
 
 
-@pytest.mark.parametrize("bucket_rows", [7, 100, 10**6])
-def test_seeded_rank_equals_row_number(spark, skewed, bucket_rows):
-    groups = skewed.groupBy("k").agg(F.count(F.lit(1)).alias("n_rows")).withColumn("keep", F.lit(12))
+@pytest.mark.parametrize("buckets", [1, 10, 16_384])
+def test_seeded_rank_equals_row_number(spark, skewed, buckets):
+    keep = skewed.select("k").distinct().where("k < 150").withColumn("keep", F.lit(12))
     key = F.md5(F.concat_ws(":", F.lit("3"), F.col("i").cast("string")))
     want = skewed.select("k", "i", F.row_number().over(Window.partitionBy("k").orderBy(key)).alias("rank"))
-    got = seeded_rank(skewed, "k", "i", 3, groups, bucket_rows=bucket_rows)
-    assert rows(got, "k", "i", "rank") == rows(want)
-    kept = seeded_rank(skewed, "k", "i", 3, groups, "keep", bucket_rows=bucket_rows)
-    assert rows(kept, "k", "i", "rank") == rows(want.where("rank <= 12"))
+    assert rows(seeded_rank(skewed, "k", "i", 3, buckets=buckets), "k", "i", "rank") == rows(want)
+    kept = seeded_rank(skewed, "k", "i", 3, keep, buckets=buckets)
+    assert rows(kept, "k", "i", "rank") == rows(want.where("rank <= 12 and k < 150"))
 
 
 def test_top_per_group_cuts_before_the_shuffle(skewed):
