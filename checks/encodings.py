@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import roles
 from checks.base import query, r6, table
 from curate.functions import moves, positions
+from curate.functions.base import let
 from curate.sources.chunks import dense_policy, encode_samples
 
 UNDIGIT = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '8', '........'), '7', '.......'), '6', '......'), '5', '.....'), '4', '....'), '3', '...'), '2', '..'), '1', '.')"
@@ -69,12 +70,22 @@ def _(spark, sf):
     ("positions",),
 )
 def _(spark, sf):
-    coded = roles.positions(spark, sf).select("doc_id", positions.encode_planes("fen").alias("p"))
-    cells = coded.select("doc_id", F.posexplode("p").alias("i", "v"))
-    v, square = F.col("v").cast("double"), F.floor(F.col("i") / positions.PLANES) + 1
-    return cells.groupBy("doc_id", (F.col("i") % positions.PLANES).alias("plane")).agg(
-        r6(F.sum(v)).alias("total"), r6(F.sum(v * square)).alias("by_square")
-    )
+    def sums(p):
+        """Per plane the sum of its cells, and the sum weighted by square number."""
+
+        def plane(k):
+            def add(acc, s):
+                v = F.get(p, s * positions.PLANES + k).cast("double")
+                return F.struct((acc["total"] + v).alias("total"), (acc["by_square"] + v * (s + 1)).alias("by_square"))
+
+            return F.aggregate(squares, F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("by_square")), add)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(positions.PLANES - 1)), plane)
+
+    squares = F.sequence(F.lit(0), F.lit(positions.SQUARES - 1))
+    coded = roles.positions(spark, sf).select("doc_id", let(positions.encode_planes("fen"), sums).alias("sums"))
+    rows = coded.select("doc_id", F.posexplode("sums").alias("plane", "s"))
+    return rows.select("doc_id", "plane", r6("s.total").alias("total"), r6("s.by_square").alias("by_square"))
 
 
 @query(

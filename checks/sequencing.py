@@ -183,22 +183,47 @@ def _(spark, sf):
     return seq.best_candidate(candidates, "position", "move", "own", "after", "dtz", "seen", "mate").select("position", "move")
 
 
+VISITS = """with v as (select position, move, cast(case when position % 7 = 0 then 0 else n end as double) as v from edges)
+"""
+
+
+def visits(spark, sf):
+    """Edges, of which one position in seven was never visited."""
+    n = F.when(F.col("position") % 7 == 0, 0).otherwise(F.col("n"))
+    return roles.edges(spark, sf).select("position", "move", n.alias("n"))
+
+
 @query(
     "visit_distribution",
-    """select position, move, round(case when s = 0 then 1.0::double / c else v / s end, 6) as prob, round(case when s = 0 then 1.0::double / c else sqrt(v) / s2 end, 6) as cool,
-         case when rn = 1 then 1.0::double else 0.0::double end as greedy
-       from (select *, sum(v) over (partition by position) as s, sum(sqrt(v)) over (partition by position) as s2, count(*) over (partition by position) as c,
-               row_number() over (partition by position order by v desc, move) as rn
-             from (select position, move, cast(case when position % 7 = 0 then 0 else n end as double) as v from edges) x) y""",
+    VISITS
+    + """select position, move, round(case when s = 0 then 1.0::double / c else v / s end, 6) as prob
+      from (select *, sum(v) over (partition by position) as s, count(*) over (partition by position) as c from v) x""",
+    ("edges",),
+)
+def _(spark, sf):
+    out = seq.visit_distribution(visits(spark, sf), "position", "move", "n", 1.0)
+    return out.select("position", "move", r6("prob").alias("prob"))
+
+
+@query(
+    "visit_distribution_warm",
+    VISITS
+    + """select position, move, round(case when s = 0 then 1.0::double / c else sqrt(v) / s end, 6) as prob
+      from (select *, sum(sqrt(v)) over (partition by position) as s, count(*) over (partition by position) as c from v) x""",
+    ("edges",),
+)
+def _(spark, sf):
+    out = seq.visit_distribution(visits(spark, sf), "position", "move", "n", 2.0)
+    return out.select("position", "move", r6("prob").alias("prob"))
+
+
+@query(
+    "visit_distribution_greedy",
+    VISITS + """select position, move, case when row_number() over (partition by position order by v desc, move) = 1 then 1.0::double else 0.0::double end as prob from v""",
     ("edges",),
 )
 def _(spark, sf):
-    edges = roles.edges(spark, sf).withColumn("n", F.when(F.col("position") % 7 == 0, 0).otherwise(F.col("n"))).select("position", "move", "n")
-    key = ["position", "move", "n"]
-    plain = seq.visit_distribution(edges, "position", "move", "n", 1.0)
-    cool = seq.visit_distribution(edges, "position", "move", "n", 2.0).withColumnRenamed("prob", "cool")
-    greedy = seq.visit_distribution(edges, "position", "move", "n", 0).withColumnRenamed("prob", "greedy")
-    return plain.join(cool, key).join(greedy, key).select("position", "move", r6("prob").alias("prob"), r6("cool").alias("cool"), "greedy")
+    return seq.visit_distribution(visits(spark, sf), "position", "move", "n", 0).select("position", "move", "prob")
 
 
 @query(

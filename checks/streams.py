@@ -96,5 +96,7 @@ def _(spark, sf):
        select user_id, event_id, value from fold where hit""",
 )
 def _(spark, sf):
-    best = monitor.stream_best(stream(spark, sf, "events"), "user_id", "event_id", "value", 0.5)
-    return ingest.run_table(best, stage_path(spark, "best"), stage_path(spark, "checkpoint"))
+    events = stream(spark, sf, "events").select("user_id", "event_id", "value")
+    path = stage_path(spark, "best")
+    monitor.stream_best(events, "user_id", "event_id", "value", path, stage_path(spark, "checkpoint"), 0.5).awaitTermination()
+    return monitor.read_best(spark, path, events.schema).drop("epoch")

@@ -8,6 +8,7 @@ from checks import roles
 from checks.base import query, r6, rounded
 from curate.operators import joins, sweeps
 from curate.operators.ranking import dedupe_first
+from curate.storage import stage
 
 ONE = "avg(case when {0} then 1.0::double else 0.0::double end)"
 
@@ -71,9 +72,14 @@ PAIRS = """with pairs as (select a.cell, a.rid, a.milestone, a.position, a.cp_lo
 """
 
 
+def stored(spark, sf):
+    """The scored sweep as a table: pairing reads it once for the baseline and once for the other cells."""
+    return stage(roles.scored_once(spark, sf).select("rid", "cell", "milestone", "position", "cp_loss"), "scored")
+
+
 @query("paired", PAIRS + "select rid, cell, base_value, delta from pairs", ("scored_once",))
 def _(spark, sf):
-    out = joins.paired(roles.scored_once(spark, sf), "c0", on=["milestone", "position"])
+    out = joins.paired(stored(spark, sf), "c0", on=["milestone", "position"])
     return out.select("rid", "cell", "base_value", "delta")
 
 
@@ -85,7 +91,7 @@ def _(spark, sf):
     ("scored_once",),
 )
 def _(spark, sf):
-    out = sweeps.paired_delta(roles.scored_once(spark, sf), "c0", on=["milestone", "position"])
+    out = sweeps.paired_delta(stored(spark, sf), "c0", on=["milestone", "position"])
     return rounded(out, "mean_delta")
 
 

@@ -122,24 +122,30 @@ def encode_planes(fen: ColumnLike) -> Column:
     Planes: 0-5 own and 6-11 other pieces, 12-15 castling (own queen side, own king side, other queen
     side, other king side), 16 black to move, 17 halfmove clock / 100, 18 en passant square, 19 ones.
     """
-    piece_rows = F.array(
-        *[F.array(*[F.lit(1.0 if p == q else 0.0).cast("float") for q in PIECES]) for p in PIECES],
-        F.array(*[F.lit(0.0).cast("float") for _ in PIECES]),
-    )
+    # One row of 12 piece planes per character of PIECES, and a row of zeros for an empty square. SQL
+    # text, as building some 160 literals one by one takes longer than the query on a small table.
+    hot = ["array(" + ",".join("1f" if p == q else "0f" for q in PIECES) + ")" for p in PIECES + "."]
+    piece_rows = F.expr("array(" + ",".join(hot) + ")")
 
     def planes(board: Column) -> Column:
         def as_float(flag: Column) -> Column:
             return F.coalesce(flag, F.lit(False)).cast("float")
 
-        whole = F.array(
+        whole = [
             as_float(_right(fen, board, True, False)),
             as_float(_right(fen, board, True, True)),
             as_float(_right(fen, board, False, False)),
             as_float(_right(fen, board, False, True)),
             as_float(_field(fen, 1) == "b"),
             (_field(fen, 4).cast("int") / 100).cast("float"),
+        ]
+        zero, one = F.lit(0.0).cast("float"), F.lit(1.0).cast("float")
+        # What follows the piece planes is the same for every square but the en passant target.
+        row = F.struct(
+            F.array(*whole, zero, one).alias("plain"),
+            F.array(*whole, one, one).alias("target"),
+            ep_index(fen, board).alias("ep"),
         )
-        row = F.struct(whole.alias("whole"), ep_index(fen, board).alias("ep"))
 
         def squares(r: Column) -> Column:
             return F.flatten(
@@ -147,8 +153,7 @@ def encode_planes(fen: ColumnLike) -> Column:
                     F.split(board, ""),
                     lambda piece, i: F.concat(
                         F.element_at(piece_rows, F.position(piece, F.lit(PIECES + "."))),
-                        r["whole"],
-                        F.array((i == r["ep"]).cast("float"), F.lit(1.0).cast("float")),
+                        F.when(i == r["ep"], r["target"]).otherwise(r["plain"]),
                     ),
                 )
             )

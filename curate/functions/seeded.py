@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from curate.functions.base import ColumnLike, col
 
-PREFIX_SPAN = 2**32
-
 
 def seeded_key(seed: int | ColumnLike, *key: ColumnLike) -> Column:
     """md5 of 'seed:key1:key2...' as hex text; other systems can compute the same."""

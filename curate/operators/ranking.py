@@ -7,24 +7,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from curate.functions.base import ColumnLike, col, cols
-from curate.functions.seeded import PREFIX_SPAN, key_number, seeded_key
+from curate.functions.seeded import seeded_key
 from curate.storage import stage
 
-BUCKETS = 16_384
+DIGITS = 3
 PARTITION_BITS = 33
 
 
-def _buckets(df: DataFrame, key, seed: int, buckets: int) -> DataFrame:
-    keyed = df.withColumn("_key", seeded_key(seed, *cols(key)))
-    return keyed.withColumn("_bucket", F.floor(key_number(F.col("_key")) * buckets / PREFIX_SPAN).cast("int"))
+def _buckets(df: DataFrame, key, seed: int, digits: int) -> DataFrame:
+    keyed = df.withColumn("_key", F.coalesce(seeded_key(seed, *cols(key)), F.lit("")))
+    return keyed.withColumn("_bucket", F.substring("_key", 1, digits))
 
 
-def seeded_histogram(df: DataFrame, by, key, seed: int, buckets: int = BUCKETS) -> DataFrame:
-    """(by..., _bucket, _size): rows per group and hash bucket, at most groups x buckets rows.
+def seeded_histogram(df: DataFrame, by, key, seed: int, digits: int = DIGITS) -> DataFrame:
+    """(by..., _bucket, _size): rows per group and hash prefix, at most groups x 16^digits rows.
 
     One map-combined pass over the group and key columns; the group sizes are its sums.
     """
-    return _buckets(df, key, seed, buckets).groupBy(*cols(by), "_bucket").agg(F.count(F.lit(1)).alias("_size"))
+    return _buckets(df, key, seed, digits).groupBy(*cols(by), "_bucket").agg(F.count(F.lit(1)).alias("_size"))
 
 
 def seeded_rank(
@@ -34,25 +34,26 @@ def seeded_rank(
     seed: int,
     keep: DataFrame | None = None,
     histogram: DataFrame | None = None,
-    buckets: int = BUCKETS,
+    digits: int = DIGITS,
     name: str = "rank",
 ) -> DataFrame:
     """Rank rows 1..n within each of a few groups in the order of their seeded hash.
 
-    Each group is cut into hash buckets: the rank is the number of rows in lower buckets plus the rank
-    inside the bucket. Hashes are uniform, so buckets are even however large one group is, and no
-    window holds more than about a ``buckets``-th of a group. With ``keep`` (by..., keep: one row per
-    group, other groups are dropped) only ranks up to it are returned; buckets beyond it, and groups
-    without it, go before the shuffle. ``key`` must identify a row. ``buckets`` must be the histogram's.
+    Each group is cut by the first hex digits of the hash: the rank is the number of rows with a lower
+    prefix plus the rank inside the prefix. Hashes are uniform, so the parts are even however large one
+    group is: a window holds about a 4096th of its group (3 digits; 4 digits from some 10^12 rows on).
+    With ``keep`` (by..., keep: one row per group, other groups are dropped) only ranks up to it are
+    returned; prefixes beyond it, and groups without it, go before the shuffle. ``key`` must identify a
+    row. ``digits`` must be the histogram's.
     """
     by = cols(by)
-    sizes = seeded_histogram(df, by, key, seed, buckets) if histogram is None else histogram
+    sizes = seeded_histogram(df, by, key, seed, digits) if histogram is None else histogram
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_below"))
     if keep is not None:
         below = below.join(keep.select(*by, F.col("keep").alias("_keep")), by).where("_below < _keep")
-    # At most groups x buckets narrow rows, whatever the size of df.
-    placed = _buckets(df, key, seed, buckets).join(F.broadcast(below), [*by, "_bucket"])
+    # At most groups x 16^digits narrow rows, whatever the size of df.
+    placed = _buckets(df, key, seed, digits).join(F.broadcast(below), [*by, "_bucket"])
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", *cols(key))
     ranked = placed.withColumn(name, F.col("_below") + F.row_number().over(inside))
     if keep is not None:

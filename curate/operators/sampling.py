@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from curate.functions.base import ColumnLike, col, cols
 from curate.functions.positions import mirror_fen
 from curate.functions.seeded import seeded_int, seeded_key
-from curate.operators.ranking import BUCKETS, dedupe_first, ordered_rank, seeded_rank, top_per_group
+from curate.operators.ranking import DIGITS, dedupe_first, ordered_rank, seeded_rank, top_per_group
 from curate.storage import stage
 
 # Chunk size, rows per chunk of (source, class), seeds, windows.
@@ -80,7 +80,7 @@ def route(
     assign: str = "hash",
     order: list | None = None,
     histogram: DataFrame | None = None,
-    buckets: int = BUCKETS,
+    digits: int = DIGITS,
 ) -> DataFrame:
     """Draw exactly n_chunks x quota rows of every stratum and give each its chunk_id.
 
@@ -90,7 +90,7 @@ def route(
     """
     by = list(strata)
     quotas = plan.where(F.col("quota") > 0).select(*by, "quota", "keep")
-    drawn = seeded_rank(df, by, key, seed, quotas, histogram, buckets)
+    drawn = seeded_rank(df, by, key, seed, quotas, histogram, digits)
     if assign == "stream":
         drawn = ordered_rank(drawn.drop("rank"), by, order)
     placed = drawn.join(F.broadcast(quotas.drop("keep")), by)

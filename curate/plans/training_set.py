@@ -34,7 +34,7 @@ def plan_and_route(
     strata = ["source", "wdl"]
     histogram = stage(seeded_histogram(pools, strata, key, seed), "histogram")
     counts = histogram.groupBy(*strata).agg(F.sum("_size").alias("n_rows"))
-    plan = stage(plan_chunks(counts, quotas, max_chunks, chunk_size), "plan")
+    plan = plan_chunks(counts, quotas, max_chunks, chunk_size)
     return RoutedSet(plan, route(pools, plan, key, seed, histogram=histogram))
 
 

@@ -11,6 +11,7 @@ from curate.functions.base import let
 TAGS = ("Event", "Site", "Date", "Round", "White", "Black", "Result")
 RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 GAME_BREAK = "\n[Event "
+HEADER_BLOCK = r"^((?:\s*\[[^\n]*(?:\n|$))*)"
 HEADER = r'(?m)^\[(\w+)\s+"(.*?)"\]\s*$'
 UNKNOWN = "?"
 
@@ -48,10 +49,10 @@ def read_games(spark: SparkSession, paths) -> DataFrame:
     text = F.when(F.col("_starts"), clean).otherwise(F.concat(F.lit("[Event "), clean))
     rows = raw.withColumn("_starts", F.ltrim(F.regexp_replace("value", r"(?m)^%.*$", "")).rlike(r'^\s*\[\w+\s+"'))
     rows = rows.where(F.col("_starts") | (headless & F.col("value").rlike(r'^"')))
-    parsed = rows.select(text.alias("text"), "file")
+    parsed = rows.select(text.alias("text"), "file").withColumn("head", F.regexp_extract("text", HEADER_BLOCK, 1))
     games = parsed.select(
-        _header_map(F.col("text")).alias("headers"),
-        F.trim(F.regexp_replace("text", HEADER, ""), F.lit(" \n\t")).alias("movetext"),
+        _header_map(F.col("head")).alias("headers"),
+        F.trim(F.substring(F.col("text"), F.length("head") + 1, F.length("text")), F.lit(" \n\t")).alias("movetext"),
         "file",
     )
     result = F.col("headers")["Result"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from curate.operators.ranking import dedupe_first
 from curate.sources.tables import SHARDS, parse_annotations, shard_of
@@ -20,14 +21,14 @@ def stream_results(spark: SparkSession, path: str, files_per_batch: int | None =
     return reader.text(path)
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+def exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def read_store(spark: SparkSession, sink: str) -> DataFrame:
     """Everything ingested so far, one row per key."""
-    if not _exists(spark, sink):
+    if not exists(spark, sink):
         return spark.createDataFrame([], STORE_SCHEMA)
     return spark.read.schema(STORE_SCHEMA).parquet(sink)
 
@@ -61,19 +62,6 @@ def ingest_annotations(
     return writer.start()
 
 
-def run_table(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
-    """Run an append-mode stream over what there is now into a Parquet table, and read it."""
-    query = (
-        df.writeStream.format("parquet")
-        .option("path", path)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def run_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
     """Run an aggregating stream over what there is now, appending each batch's changed rows; read the last state per key.
 
@@ -92,5 +80,5 @@ def run_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> D
         .start()
     )
     query.awaitTermination()
-    schema = df.schema.add("epoch", "long")
+    schema = StructType([*df.schema.fields, StructField("epoch", LongType())])
     return dedupe_first(df.sparkSession.read.schema(schema).parquet(path), keys, [F.desc("epoch")]).drop("epoch")

@@ -2,38 +2,42 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
+
+from curate.operators.monitor import EPS, best_so_far
+from curate.streaming.ingest import exists
+
 
-from curate.operators.monitor import EPS
+def read_best(spark, path: str, schema, before: int | None = None) -> DataFrame:
+    """The rows emitted so far, or by the batches before one."""
+    stored = StructType([*schema.fields, StructField("epoch", LongType())])
+    if not exists(spark, path):
+        return spark.createDataFrame([], stored)
+    rows = spark.read.schema(stored).parquet(path)
+    return rows if before is None else rows.where(F.col("epoch") < before)
 
 
-def stream_best(df: DataFrame, run: str, order: str, value: str, eps: float = EPS) -> DataFrame:
-    """Emit a row whenever a run's value beats its best so far by more than eps.
+def stream_best(
+    stream: DataFrame, run: str, order: str, value: str, path: str, checkpoint: str, eps: float = EPS
+) -> StreamingQuery:
+    """Append a row whenever a run's value beats its best so far by more than eps; all files there are, then stop.
 
-    The state per run is the best value. Rows must arrive in order across batches, as a log does; inside
-    a batch they are sorted.
+    Every batch is judged by the batch operator, with the best rows of the earlier batches put before its
+    own, so a run of any length needs no state in one task. Rows must arrive in order across batches, as
+    a log does. A replayed batch writes its own folder again.
     """
-    types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    schema = f"{run} {types[run]}, {order} {types[order]}, {value} double"
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best = state.get[0] if state.exists else None
-        rows = pd.concat(parts).sort_values(order)
-        better = []
-        for at, v in zip(rows[order], rows[value]):
-            if pd.notna(v) and (best is None or v < best - eps):
-                best = float(v)
-                better.append((key[0], at, best))
-        if best is not None:
-            state.update((best,))
-        yield pd.DataFrame(better, columns=[run, order, value])
-
-    return (
-        df.select(run, order, value)
-        .groupBy(run)
-        .applyInPandasWithState(step, schema, "best double", "append", GroupStateTimeout.NoTimeout)
-    )
+    rows = stream.select(run, order, F.col(value).cast("double").alias(value))
+    schema = rows.schema
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        known = read_best(batch.sparkSession, path, schema, epoch)
+        best = known.groupBy(run).agg(F.min(F.struct(F.col(value), F.col(order))).alias("b"))
+        before = best.select(run, F.col(f"b.{order}").alias(order), F.col(f"b.{value}").alias(value), F.lit(True).alias("_known"))
+        joined = batch.withColumn("_known", F.lit(False)).unionByName(before)
+        fresh = best_so_far(joined, run, order, value, eps).where(~F.col("_known")).drop("_known")
+        fresh.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -70,7 +70,8 @@ def test_stream_best_keeps_state_over_batches(spark, tmp_path):
     for cut in ("step < 2", "step >= 2"):
         log.where(cut).coalesce(1).write.mode("append").parquet(path)
         stream = spark.readStream.schema(log.schema).parquet(path)
-        got = ingest.run_table(monitor.stream_best(stream, "run", "step", "v"), str(tmp_path / "out"), str(tmp_path / "cp"))
+        monitor.stream_best(stream, "run", "step", "v", str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    got = monitor.read_best(spark, str(tmp_path / "out"), log.schema).drop("epoch")
     assert rows(got) == [("r", 0, 1.0), ("r", 2, 0.9)]
 
 
