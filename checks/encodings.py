@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import roles
 from checks.base import query, r6, table
 from curate.functions import moves, positions
-from curate.functions.base import let
 from curate.sources.chunks import dense_policy, encode_samples
 
 UNDIGIT = "replace(replace(replace(replace(replace(replace(replace(replace({0}, '8', '........'), '7', '.......'), '6', '......'), '5', '.....'), '4', '....'), '3', '...'), '2', '..'), '1', '.')"
@@ -56,36 +55,18 @@ def _(spark, sf):
 @query(
     "encode_planes",
     BOARDS
-    + """, cells as (
-      select doc_id, s, strpos('PNBRQKpnbrqk', substr(seen, cast(s + 1 as bigint), 1)) - 1 as plane, 1.0::double as v
-      from planes_in, unnest(range(64)) as r(s) where substr(seen, cast(s + 1 as bigint), 1) <> '.'
-      union all
-      select doc_id, s, p, case p when 12 then c12 when 13 then c13 when 14 then c14 when 15 then c15
-        when 16 then case when turn = 'b' then 1 else 0 end when 17 then cast(cast(clock / 100.0::double as float) as double)
-        when 18 then case when s = ep_square then 1 else 0 end else 1 end
-      from planes_in, unnest(range(64)) as r(s), unnest(range(12, 20)) as q(p)),
-    docs as (select doc_id, p as plane from planes_in, unnest(range(20)) as q(p))
-    select d.doc_id, cast(d.plane as integer) as plane, round(coalesce(sum(v), 0), 6) as total, round(coalesce(sum(v * (s + 1)), 0), 6) as by_square
-    from docs d left join cells c on c.doc_id = d.doc_id and c.plane = d.plane group by d.doc_id, d.plane""",
+    + """select doc_id, cast(1280 as integer) as n_cells, md5(array_to_string(list_transform(range(1280), lambda i:
+        case when i % 20 < 12 then case when strpos('PNBRQKpnbrqk', substr(seen, i // 20 + 1, 1)) = i % 20 + 1 then 100 else 0 end
+          when i % 20 = 12 then 100 * c12 when i % 20 = 13 then 100 * c13 when i % 20 = 14 then 100 * c14 when i % 20 = 15 then 100 * c15
+          when i % 20 = 16 then case when turn = 'b' then 100 else 0 end when i % 20 = 17 then clock
+          when i % 20 = 18 then case when i // 20 = ep_square then 100 else 0 end else 100 end), ',')) as cells
+      from planes_in""",
     ("positions",),
 )
 def _(spark, sf):
-    def sums(p):
-        """Per plane the sum of its cells, and the sum weighted by square number."""
-
-        def plane(k):
-            def add(acc, s):
-                v = F.get(p, s * positions.PLANES + k).cast("double")
-                return F.struct((acc["total"] + v).alias("total"), (acc["by_square"] + v * (s + 1)).alias("by_square"))
-
-            return F.aggregate(squares, F.struct(F.lit(0.0).alias("total"), F.lit(0.0).alias("by_square")), add)
-
-        return F.transform(F.sequence(F.lit(0), F.lit(positions.PLANES - 1)), plane)
-
-    squares = F.sequence(F.lit(0), F.lit(positions.SQUARES - 1))
-    coded = roles.positions(spark, sf).select("doc_id", let(positions.encode_planes("fen"), sums).alias("sums"))
-    rows = coded.select("doc_id", F.posexplode("sums").alias("plane", "s"))
-    return rows.select("doc_id", "plane", r6("s.total").alias("total"), r6("s.by_square").alias("by_square"))
+    coded = roles.positions(spark, sf).select("doc_id", positions.encode_planes("fen").alias("p"))
+    cells = F.array_join(F.transform("p", lambda v: F.round(v * 100).cast("int")), ",")
+    return coded.select("doc_id", F.size("p").alias("n_cells"), F.md5(cells).alias("cells"))
 
 
 @query(
