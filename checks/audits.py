@@ -186,17 +186,21 @@ def _(spark, sf):
     return rounded(reports.batch_stats(calls, "l_returnflag"), "mean_batch")
 
 
-# A fixed linear model over the 64 features: weight of feature i for class k.
 def linear_model():
-    i, k = np.meshgrid(np.arange(64), np.arange(3), indexing="ij")
-    weights = (((7 * i + 13 * k) % 11) - 5) / 4.0
+    """Load function of a fixed linear model over the 64 features; a closure, so tasks need not import this module."""
 
-    def predict(x: np.ndarray) -> np.ndarray:
-        z = x.astype(np.float64) @ weights
-        e = np.exp(z - z.max(axis=1, keepdims=True))
-        return e / e.sum(axis=1, keepdims=True)
+    def load():
+        i, k = np.meshgrid(np.arange(64), np.arange(3), indexing="ij")
+        weights = (((7 * i + 13 * k) % 11) - 5) / 4.0
 
-    return predict
+        def predict(x: np.ndarray) -> np.ndarray:
+            z = x.astype(np.float64) @ weights
+            e = np.exp(z - z.max(axis=1, keepdims=True))
+            return e / e.sum(axis=1, keepdims=True)
+
+        return predict
+
+    return load
 
 
 SCORED = """with f as (select vec_id, label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as i from embeddings),
@@ -207,7 +211,7 @@ SCORED = """with f as (select vec_id, label, unnest(embedding)::double as v, gen
 
 @query("batch_score", SCORED + "select vec_id, cast(k as integer) as k, round(p, 6) as p from p")
 def _(spark, sf):
-    scored = scoring.batch_score(table(spark, sf, "embeddings"), linear_model, "embedding")
+    scored = scoring.batch_score(table(spark, sf, "embeddings"), linear_model(), "embedding")
     return scored.select("vec_id", F.posexplode("probs").alias("k", "p")).withColumn("p", r6("p"))
 
 
@@ -219,7 +223,7 @@ def _(spark, sf):
 def _(spark, sf):
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("l_partkey"), "embedding")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").join(vectors, "l_partkey")
-    scored = scoring.score_distinct(lines, "l_partkey", linear_model, "embedding")
+    scored = scoring.score_distinct(lines, "l_partkey", linear_model(), "embedding")
     return scored.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", r6(F.col("probs")[0]).alias("p_win"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from curate.functions.base import ColumnLike, col, cols
@@ -11,6 +12,8 @@ from curate.functions.seeded import seeded_key
 from curate.storage import stage
 
 DIGITS = 3
+QUANTILES = 1000
+CUT_MARGIN = 0.002
 PARTITION_BITS = 33
 
 
@@ -82,6 +85,29 @@ def ordered_rank(df: DataFrame, by, order: list, name: str = "rank") -> DataFram
     )
 
 
+def cut_beyond(df: DataFrame, by, order: str, keep: Column) -> DataFrame:
+    """Drop, before any shuffle of rows, nearly all rows that cannot be among the first ``keep`` of their group.
+
+    One map-combined pass takes 1000 quantiles of the order column per group, each within a 10,000th of
+    the group's rows of its place. The cut lies 2 of 1000 beyond the wanted share, well outside that
+    error, so every wanted row stays and an exact rank of the rest decides. For a few groups (the limits
+    are broadcast); ``keep`` may use the group columns. Columns without quantiles (text) pass uncut.
+    """
+    kind = df.schema[order].dataType
+    if not isinstance(kind, (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return df
+    by = cols(by)
+    places = ",".join(f"{i / QUANTILES}D" for i in range(1, QUANTILES + 1))
+    quantiles = F.expr(f"percentile_approx(`{order}`, array({places}), {10 * QUANTILES})")
+    stats = df.groupBy(*by).agg(F.count(order).alias("_n"), quantiles.alias("_places"))
+    wanted = F.ceil(QUANTILES * (keep / F.greatest(F.col("_n"), F.lit(1)) + CUT_MARGIN))
+    place = F.least(F.greatest(wanted, F.lit(1)), F.lit(QUANTILES)).cast("int")
+    limits = stats.where("_n > 0").select(*by, F.element_at("_places", place).alias("_limit"))
+    marked = df.join(F.broadcast(limits), by, "left")
+    within = F.col(order).isNull() | F.col("_limit").isNull() | (F.col(order) <= F.col("_limit"))
+    return marked.where(within).drop("_limit")
+
+
 def _sort(o: ColumnLike) -> Column:
     return F.col(o).asc() if isinstance(o, str) else o
 

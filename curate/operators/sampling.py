@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from curate.functions.base import ColumnLike, col, cols
 from curate.functions.positions import mirror_fen
 from curate.functions.seeded import seeded_int, seeded_key
-from curate.operators.ranking import DIGITS, dedupe_first, ordered_rank, seeded_rank, top_per_group
+from curate.operators.ranking import DIGITS, cut_beyond, dedupe_first, ordered_rank, seeded_rank, top_per_group
 from curate.storage import stage
 
 # Chunk size, rows per chunk of (source, class), seeds, windows.
@@ -109,14 +109,17 @@ def shuffle_in(df: DataFrame, by: str, key, seed: int = SEED) -> DataFrame:
     return keyed.repartitionByRange(by, "shuffle_key").sortWithinPartitions(by, "shuffle_key").drop("shuffle_key")
 
 
-def capped_fill(df: DataFrame, caps: dict[int, int], cls: str, priority: str, order: list, fill_classes=(0,)) -> DataFrame:
+def capped_fill(
+    df: DataFrame, caps: dict[int, int], cls: str, priority: str, order: list[str], fill_classes=(0,)
+) -> DataFrame:
     """Priority rows first, then the other rows of the fill classes, up to the cap of each class, in order."""
     allowed = df.where(F.col(priority) | F.col(cls).isin(*fill_classes))
     cap = F.lit(None).cast("long")
     for c, n in caps.items():
         cap = F.when(F.col(cls) == c, F.lit(n)).otherwise(cap)
-    first = F.when(F.col(priority), 0).otherwise(1)
-    ranked = ordered_rank(allowed.withColumn("_second", first), cls, ["_second", *order])
+    passes = allowed.where(cap.isNotNull()).withColumn("_second", F.when(F.col(priority), 0).otherwise(1))
+    # Neither pass can give a class more rows than its cap.
+    ranked = ordered_rank(cut_beyond(passes, [cls, "_second"], order[0], cap), cls, ["_second", *order])
     return ranked.withColumn("_cap", cap).where(F.col("rank") <= F.col("_cap")).drop("_cap", "_second", "rank")
 
 
@@ -141,7 +144,7 @@ def _seeded_cap(df: DataFrame, cls: str, key, seed: int, n: int) -> DataFrame:
     return seeded_rank(df, cls, key, seed, keep).drop("rank")
 
 
-def head_per_group(df: DataFrame, group: str, quotas: dict, order: list) -> DataFrame:
+def head_per_group(df: DataFrame, group: str, quotas: dict, order: list[str]) -> DataFrame:
     """The first rows of each named group, up to its quota, in stream order."""
     quota = F.lit(None).cast("long")
     for g, n in quotas.items():
@@ -151,7 +154,7 @@ def head_per_group(df: DataFrame, group: str, quotas: dict, order: list) -> Data
     if largest <= SMALL_K:
         ranked = top_per_group(named, group, order, largest)
     else:
-        ranked = ordered_rank(named, group, order)
+        ranked = ordered_rank(cut_beyond(named, group, order[0], quota), group, order)
     return ranked.withColumn("_quota", quota).where(F.col("rank") <= F.col("_quota")).drop("_quota", "rank")
 
 

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from curate.operators.ranking import dedupe_first, ordered_rank, seeded_rank, top_per_group
+from curate.operators.ranking import cut_beyond, dedupe_first, ordered_rank, seeded_rank, top_per_group
 from curate.operators.skew import join_unique, running
 from tests.conftest import rows
 
@@ -127,3 +127,21 @@ def test_top_per_group_cuts_before_the_shuffle(skewed):
 def test_dedupe_first_keeps_whole_rows(skewed):
     first = skewed.groupBy("k").agg(F.min("i").alias("i"))
     assert rows(dedupe_first(skewed, "k", ["i"]), "k", "i", "v") == rows(skewed.join(first, ["k", "i"]), "k", "i", "v")
+
+
+@pytest.mark.parametrize("keep", [1, 40, 700, 5000])
+def test_cut_beyond_keeps_every_wanted_row(spark, keep):
+    """Heavy ties, NULL orders, groups of very different size; text orders pass uncut."""
+    df = spark.range(20_000).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 7).cast("string"))).alias("g"),
+        F.when(F.col("id") % 50 > 0, F.pmod(F.xxhash64("id"), F.lit(300))).alias("o"),
+    )
+    first = Window.partitionBy("g").orderBy("o", "id")
+    want = rows(df.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep), "id", "r")
+    cut = cut_beyond(df, "g", "o", F.lit(keep))
+    assert rows(cut.withColumn("r", F.row_number().over(first)).where(F.col("r") <= keep), "id", "r") == want
+    if keep == 40:
+        assert cut.where("o is not null").count() < 2000
+    text = df.withColumn("o", F.col("o").cast("string"))
+    assert cut_beyond(text, "g", "o", F.lit(keep)).count() == 20_000
