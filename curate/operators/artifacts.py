@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curate.functions.base import cols
 from curate.functions.names import artifact_version, file_name
 
 # Fixed values.
@@ -25,11 +26,11 @@ def latest(df: DataFrame, prefix: str, path: str = "path") -> DataFrame:
 
 def retention(df: DataFrame, number: str = "generation", every: int = KEEP_EVERY, recent: int = KEEP_RECENT, by=()) -> DataFrame:
     """Add ``keep``: every 10th number and the newest 3; the rest is listed for removal."""
-    by = [by] if isinstance(by, str) else list(by)
-    newest = df.groupBy(*by).agg(F.max(number).alias("_newest"))
+    by = cols(by)
+    newest = F.max(number).alias("_newest")
     if by:
-        rows = df.join(newest, by)
+        rows = df.join(df.groupBy(*by).agg(newest), by)
     else:
-        rows = df.withColumn("_one", F.lit(1)).join(F.broadcast(newest.withColumn("_one", F.lit(1))), "_one").drop("_one")
+        rows = df.withColumn("_newest", df.agg(newest).scalar())
     keep = (F.col(number) % every == 0) | (F.col(number) > F.col("_newest") - recent)
     return rows.withColumn("keep", keep).drop("_newest")

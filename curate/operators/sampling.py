@@ -174,14 +174,14 @@ def split_chunks(sizes: DataFrame, full: int = CHUNK_SIZE, val: int = VAL_CHUNKS
     """
     whole = sizes.where(F.col("n_rows") >= full)
     last = whole.orderBy(F.desc(chunk)).limit(val).select(chunk, F.lit(1).alias("_last"))
-    n_whole = whole.agg(F.count(F.lit(1)).alias("_whole")).withColumn("_one", F.lit(1))
-    marked = sizes.withColumn("_one", F.lit(1)).join(F.broadcast(n_whole), "_one").join(F.broadcast(last), chunk, "left")
+    n_whole = whole.agg(F.count(F.lit(1))).scalar()
+    marked = sizes.join(F.broadcast(last), chunk, "left")
     split = (
         F.when(F.col("n_rows") < full, "tail")
-        .when(F.col("_last").isNotNull() & (F.col("_whole") > val) & F.lit(val > 0), "val")
+        .when(F.col("_last").isNotNull() & (n_whole > val) & F.lit(val > 0), "val")
         .otherwise("train")
     )
-    return marked.withColumn("split", split).drop("_one", "_whole", "_last")
+    return marked.withColumn("split", split).drop("_last")
 
 
 def epoch_order(

@@ -177,9 +177,8 @@ def paired_schedule(openings: DataFrame, opening: str, mode: str = "paired") ->
     """
     if mode == "paired":
         return openings.withColumn("a_is_white", F.explode(F.array(F.lit(True), F.lit(False))))
-    total = openings.agg(F.count(F.lit(1)).alias("_n"))
-    rows = openings.withColumn("_one", F.lit(1)).join(F.broadcast(total.withColumn("_one", F.lit(1))), "_one")
-    return rows.withColumn("a_is_white", F.col(opening) < F.floor(F.col("_n") / 2)).drop("_one", "_n")
+    total = openings.agg(F.count(F.lit(1))).scalar()
+    return openings.withColumn("a_is_white", F.col(opening) < F.floor(total / 2))
 
 
 def sweep_grid(c_values: DataFrame, fpu_values: list, done: DataFrame, c: str = "c_puct", fpu: str = "fpu") -> DataFrame:

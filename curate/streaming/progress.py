@@ -65,13 +65,9 @@ def replay_windows(df: DataFrame, iteration: str, measures: dict[str, tuple[str,
     per_iteration = df.groupBy(F.col(iteration).alias("_it")).agg(
         F.count(F.lit(1)).alias("n_rows"), *[merge[how](c).alias(n) for n, (how, c) in measures.items()]
     )
-    last = per_iteration.agg(F.max("_it").alias("_last")).withColumn("_one", F.lit(1))
-    ends = (
-        per_iteration.withColumn("_one", F.lit(1))
-        .join(F.broadcast(last), "_one")
-        .withColumn("window_end", F.explode(F.sequence(F.col("_it"), F.col("_it") + size - 1)))
-        .where(F.col("window_end") <= F.col("_last"))
-    )
+    last = per_iteration.agg(F.max("_it")).scalar()
+    window_end = F.explode(F.sequence(F.col("_it"), F.col("_it") + size - 1))
+    ends = per_iteration.withColumn("window_end", window_end).where(F.col("window_end") <= last)
     return ends.groupBy("window_end").agg(
         F.sum("n_rows").alias("n_rows"), *[merge[how](n).alias(n) for n, (how, _) in measures.items()]
     )
