@@ -225,8 +225,8 @@ def chunk_files(spark, sf) -> str:
     path = stage_path(spark, "chunks")
     soft = table(spark, sf, "labels").select("doc_id", (600 + 100 * F.col("quality")).alias("w"))
     rows = manifest(spark, sf).join(soft, "doc_id", "left").withColumns({"d": F.lit(200), "l": F.lit(100)})
-    coded = chunks.encode_samples(rows).withColumn("chunk_id", F.floor(F.col("doc_id") / 100).cast("int"))
-    chunks.write_chunks(coded.select("doc_id", "planes", "move_idx", "value", "policy_weight", "chunk_id"), path, "doc_id")
+    routed = rows.withColumn("chunk_id", F.floor(F.col("doc_id") / 100).cast("int"))
+    chunks.write_chunks(routed, path, "doc_id", encode=chunks.encode_samples)
     return path
 
 

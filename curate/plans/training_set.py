@@ -48,7 +48,7 @@ def build_training_set(
     """
     routed = plan_and_route(union_pools(pools), key, **plan_args)
     joined = join_annotations(routed.rows, annotations)
-    write_chunks(encode_samples(joined, lam), out, key)
+    write_chunks(joined, out, key, encode=lambda rows: encode_samples(rows, lam))
     return routed
 
 

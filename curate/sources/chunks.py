@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,15 +24,25 @@ def dense_policy(move_idx: str = "move_idx", size: int = 1858):
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.when(i == F.col(move_idx), one).otherwise(zero))
 
 
-def write_chunks(df: DataFrame, path: str, key, seed: int = SEED, chunk: str = "chunk_id") -> None:
+def write_chunks(
+    df: DataFrame,
+    path: str,
+    key,
+    seed: int = SEED,
+    chunk: str = "chunk_id",
+    encode: Callable[[DataFrame], DataFrame] | None = None,
+) -> None:
     """One folder per chunk, rows in the chunk's random order.
 
     Rows are range-partitioned by (chunk, shuffle key): a large chunk is spread over several tasks, and
-    a task holds few open files.
+    a task holds few open files. ``encode`` (``encode_samples``, say) runs after that, just before the
+    write: the shuffle and its sampling pass then move position texts and not the arrays made of them.
     """
     keyed = with_shuffle_key(df, chunk, key, seed)
     ranged = keyed.repartitionByRange(chunk, "shuffle_key").sortWithinPartitions(chunk, "shuffle_key")
-    ranged.drop("shuffle_key").write.partitionBy(chunk).parquet(path)
+    rows = ranged.drop("shuffle_key")
+    rows = rows if encode is None else encode(rows)
+    rows.write.partitionBy(chunk).parquet(path)
 
 
 def read_chunks(spark: SparkSession, path: str, chunks: list | None = None, chunk: str = "chunk_id") -> DataFrame:

@@ -43,7 +43,8 @@ def append_new(batch: DataFrame, sink: str, shards: int = SHARDS) -> None:
     fresh = dedupe_first(parse_annotations(batch), "fen", ["cp", "w", "d", "l"]).withColumn("shard", shard_of("fen", shards))
     store = read_store(spark, sink).select("shard", "fen")
     todo = fresh.join(store, ["shard", "fen"], "left_anti")
-    todo.write.mode("append").partitionBy("shard").parquet(sink)
+    # By range, so that a task writes few shards and a batch leaves few files.
+    todo.repartitionByRange("shard", "fen").write.mode("append").partitionBy("shard").parquet(sink)
 
 
 def ingest_annotations(
