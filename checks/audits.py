@@ -9,7 +9,7 @@ from checks import roles
 from checks.base import query, r6, rounded, table
 from curate.functions.labels import wdl_expect
 from curate.functions.scores import expected_score
-from curate.functions.vectors import argmax, entropy, hard_ce, soft_ce
+from curate.functions.vectors import argmax, hard_ce, soft_ce
 from curate.operators import joins, monitor, ranking, reports, scoring
 from curate.plans.model_audit import audit
 

@@ -133,6 +133,16 @@ def _(spark, sf):
     )
 
 
+@query(
+    "n_pieces",
+    """select n_pieces, count(*) as n_rows from (select cast(length(regexp_replace(placement, '[^A-Za-z]', '', 'g')) as integer) as n_pieces from positions) x group by n_pieces""",
+    ("positions",),
+)
+def _(spark, sf):
+    counted = roles.positions(spark, sf).select(positions.n_pieces("fen").alias("n_pieces"))
+    return counted.groupBy("n_pieces").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 # Endings with few pieces: the two kings and up to two more pieces, placed by the row's numbers.
 ENDINGS = """with endings as (
   select l_orderkey, l_linenumber, l_partkey, l_suppkey,
@@ -188,6 +198,16 @@ def _(spark, sf):
     )
 
 
+@query(
+    "eval_key",
+    """select concat(placement, ' ', turn, ' ', castling, ' ', ep, ' ', cast(clock as varchar)) as eval_key, count(*) as n_rows from positions group by 1""",
+    ("positions",),
+)
+def _(spark, sf):
+    keyed = roles.positions(spark, sf).select(positions.eval_key("fen").alias("eval_key"))
+    return keyed.groupBy("eval_key").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 UCI = """with ucis as (select l_orderkey, l_linenumber, l_partkey, l_suppkey, turn,
     concat(sq(src), sq(dst), case when l_linenumber = 1 then 'q' when l_linenumber = 2 then 'n' when l_linenumber = 3 then 'r' else '' end) as uci
   from (select l_orderkey, l_linenumber, l_partkey, l_suppkey, case when l_orderkey % 2 = 0 then 'w' else 'b' end as turn,

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import roles
 from checks.base import query, rounded, table
 from curate.functions.names import cell_key
+from curate.operators.ranking import ordered_rank
 from curate.sources import artifacts, chunks, games, logs, suites, tables
 from curate.storage import stage_path
 
@@ -129,6 +130,18 @@ def _(spark, sf):
     return tables.read_manifest(spark, [f"{path}/pool_games_w0", f"{path}/pool_tablebase_w0"], with_source=True)
 
 
+@query(
+    "write_manifest",
+    """select concat(p.fen, ',', cast(case when p.doc_id % 4 > 0 then n_chars % 1858 else -1 end as varchar), ',', cast(p.doc_id % 3 as varchar)) as line
+       from positions p join (select doc_id as id, n_chars from documents) d on id = p.doc_id""",
+    ("positions",),
+)
+def _(spark, sf):
+    path = stage_path(spark, "manifest")
+    tables.write_manifest(manifest(spark, sf), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 @query(
     "read_routed",
     """select rid as fen, case when l_partkey % 50 > 0 then cast(l_partkey as integer) end as move_idx, wdl, cast(case source when 'game' then 0 when 'puzzle' then 1 else 2 end as integer) as source_id,
@@ -293,6 +306,24 @@ def _(spark, sf):
     return tables.read_ids(spark, path)
 
 
+@query("write_ids", "select distinct cast(l_suppkey as varchar) as line from lineitem")
+def _(spark, sf):
+    path = stage_path(spark, "ids")
+    tables.write_ids(table(spark, sf, "lineitem"), path, "l_suppkey")
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
+@query(
+    "write_chunks",
+    """select cast(doc_id // 100 as integer) as chunk_id, row_number() over (partition by doc_id // 100 order by md5(concat(cast(7 + doc_id // 100 as varchar), ':', cast(doc_id as varchar)))) as place, doc_id from documents""",
+)
+def _(spark, sf):
+    """The place of every row in its stored chunk is its place in the chunk's seeded order."""
+    rows = chunks.read_chunks(spark, chunk_files(spark, sf)).select("doc_id", "chunk_id")
+    placed = rows.select("doc_id", "chunk_id", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    return ordered_rank(placed, "chunk_id", ["file", "at"], "place").select("chunk_id", "place", "doc_id")
+
+
 @query("materialize", "select l_returnflag, count(*) as n from lineitem group by l_returnflag")
 def _(spark, sf):
     path = stage_path(spark, "positions")

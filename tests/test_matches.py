@@ -1,5 +1,4 @@
 import pytest
-from pyspark.sql import functions as F
 
 from curate.operators import artifacts, matches, monitor, sweeps
 from curate.plans.match_report import match_report
