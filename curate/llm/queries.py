@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curate.llm import decontam, substring
+from curate.llm import binary, decontam, jaccard, packing, substring
 from curate.llm.registry import ORACLES, QUERIES, query, table
+from curate.operators.skew import join_unique
+from curate.storage import stage_path
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -66,3 +68,32 @@ def _(spark, sf):
 )
 def _(spark, sf):
     return substring.digests(table(spark, sf, "documents")).withColumnRenamed("_id", "doc_id")
+
+
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op6_binary_output")
+def _(spark, sf):
+    path = stage_path(spark, "ids")
+    binary.write_ids(table(spark, sf, "documents"), path, vocabulary(), end_id=1)
+    return binary.read_documents(spark, path)
+
+
+@query("op8_best_fit_packing")
+def _(spark, sf):
+    return packing.pack(packing.pieces(table(spark, sf, "documents"), vocabulary(), end_id=0))
+
+
+@query("op9_jaccard_join")
+def _(spark, sf):
+    rows = jaccard.similarity_join(table(spark, sf, "documents"))
+    names = rows.groupBy("group").agg(F.min("_id").alias("least")).where("group is not null")
+    ids = F.when(F.col("group").isNull(), F.col("_id")).otherwise(F.col("least"))
+    linked = join_unique(rows.where("group is not null"), names, "group").unionByName(
+        rows.where("group is null").withColumn("least", F.col("_id"))
+    )
+    return linked.select(F.col("_id").alias("doc_id"), ids.alias("class_id"), "n_links", "n_grams")
