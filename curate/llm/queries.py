@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curate.llm import binary, decontam, jaccard, packing, substring
+from curate.llm import binary, chat, decontam, hostrules, jaccard, licenses, packing, substring
 from curate.llm.registry import ORACLES, QUERIES, query, table
 from curate.operators.skew import join_unique
 from curate.storage import stage_path
@@ -16,6 +16,38 @@ _FOLDED = r"regexp_extract_all(" + _FOLD + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'
 _PLAIN = r"regexp_extract_all({0}, '[^\x20\x09-\x0D]+')"
 
 
+@query(
+    "op1_chat_format",
+    r"""
+    with c as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+               union all select * from (values (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok')) v),
+    e as (select *, replace(replace(replace(text, '\', '\b'), '###', '\h'), '</turn>', '\t') as body,
+                 replace(replace(replace(replace(role, '\', '\b'), '###', '\h'), '</turn>', '\t'), chr(10), '\l') as name from c)
+    select conv_id, count(*) as n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+           cast(coalesce(sum(length(text)) filter (role = 'assistant'), 0) as bigint) as loss_chars,
+           sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+           cast(sum(4 + length(name) + 2 + length(body) + 8) as bigint) as formatted_chars
+    from e group by conv_id
+    """,
+)
+def _(spark, sf):
+    turns = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    text = r"\### Assistant: </turn> ok"
+    control = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    rows = chat.format_chats(chat.as_events(turns.union(control)))
+    rows = rows.withColumns({"turns": chat.read_turns(F.col("formatted")), "learnt": F.array_join(chat.read_loss(F.col("formatted"), F.col("loss")), "")})
+    whole = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return rows.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(whole.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
 @query(
     "op2_decontamination",
     f"""
@@ -97,3 +129,48 @@ def _(spark, sf):
         rows.where("group is null").withColumn("least", F.col("_id"))
     )
     return linked.select(F.col("_id").alias("doc_id"), ids.alias("class_id"), "n_links", "n_grams")
+
+
+@query(
+    "op7_host_rules",
+    f"""
+    with d as (select row_number() over () as r, doc_id, source, coalesce(text, '') as text, coalesce({_PLAIN.format("text")}, []) as w from documents),
+    ln as (select r, s from (select r, unnest(string_split(text, chr(10))) as s from d) x where regexp_matches(s, '[^\\x20\\x09-\\x0D]')),
+    lines as (select r, count(*) as n_lines, count(*) - count(distinct s) as n_dup from ln group by r),
+    win as (select r, i, count(*) over (partition by r, s) as n
+            from (select r, i, array_to_string(w[i:i + 4], ' ') as s from (select r, w, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5) x) y),
+    rep as (select r, count(distinct p) as n_rep from (select r, unnest(range(i, i + 5)) as p from win where n > 1) x group by r),
+    c as (select r, doc_id, source, cast(len(w) as bigint) as n_words,
+                 cast(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) as bigint) as word_chars,
+                 cast(length(text) - length(translate(text, '#*$%&|<>', '')) as bigint) as n_symbols,
+                 coalesce(n_lines, 0) as n_lines, coalesce(n_dup, 0) as n_dup_lines, coalesce(n_rep, 0) as n_repeat_words
+          from d left join lines using (r) left join rep using (r)),
+    j as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed from c),
+    f as (select *, base_failed or 100 * n_symbols > 15 * word_chars or 100 * n_dup_lines > 50 * n_lines as failed from j),
+    h as (select source, count(*) as n, count(*) filter (failed) as k from f group by source),
+    m as (select sum(k) / sum(n) as m, var_samp(round(k / n, 9)) as v from h),
+    p as (select m, case when coalesce(m, 0) = 0 or coalesce(v, 0) = 0 then 1000.0 else least(greatest(m * (1 - m) / v - 1, 2.0), 1000.0) end as s from m),
+    ok as (select source, (k + m * s) / (n + s) as rate from h, p)
+    select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) as host_rate, not base_failed and rate <= 0.5 as kept
+    from f join ok on f.source is not distinct from ok.source
+    """,
+)
+def _(spark, sf):
+    rows = hostrules.judge(table(spark, sf, "documents"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select(F.col("_id").alias("doc_id"), *counts, "base_failed", F.round("host_rate", 6).alias("host_rate"), "kept")
+
+
+@query("op10_license_scan")
+def _(spark, sf):
+    rows = licenses.scan(table(spark, sf, "documents"))
+    return rows.select(
+        F.col("_id").alias("doc_id"),
+        "n_words",
+        "n_base",
+        "first_word",
+        "last_word",
+        F.array_join("base", ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"),
+        "score",
+    )
