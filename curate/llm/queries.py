@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curate.llm import binary, chat, decontam, hostrules, jaccard, licenses, packing, substring
+from curate.llm import binary, chat, decontam, hostrules, html, jaccard, licenses, packing, quality, substring
 from curate.llm.registry import ORACLES, QUERIES, query, table
 from curate.operators.skew import join_unique
 from curate.storage import stage_path
@@ -102,6 +102,21 @@ def _(spark, sf):
     return substring.digests(table(spark, sf, "documents")).withColumnRenamed("_id", "doc_id")
 
 
+@query("op4_html_extraction")
+def _(spark, sf):
+    rows = html.extract(table(spark, sf, "pages"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op5_quality_classifier")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = quality.train(docs, table(spark, sf, "labels"))
+    rows = quality.score(docs, model).withColumnRenamed("_id", "doc_id")
+    accepted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return rows.select("doc_id", quality.held_out("doc_id").alias("held_out"), "score", accepted.alias("predicted"))
+
+
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 

@@ -218,10 +218,18 @@ def digests(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_
     )
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with repeated windows cut from the text; other texts and columns stay as they are."""
+def without_repeats(
+    docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = None
+) -> DataFrame:
+    """``docs`` with repeated windows cut from the text; other texts and columns stay as they are.
+
+    A text that is cut to nothing stays as an empty one. ``length_col`` is a column to hold the new length of a cut text.
+    """
     cut = substring_dedup(docs, window, id_col, text_col).select("_id", "_th", F.col("kept").alias("_kept"))
     cut = cut.withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
     match = docs[id_col].eqNullSafe(cut["_fid"]) & (F.xxhash64(docs[text_col]) == cut["_fth"])
-    text = F.coalesce(cut["_kept"], docs[text_col]).alias(text_col)
-    return docs.join(cut, match, "left").select(*[text if c == text_col else docs[c] for c in docs.columns])
+    new = {text_col: F.coalesce(cut["_kept"], docs[text_col]).alias(text_col)}
+    if length_col:
+        kind = docs.schema[length_col].dataType
+        new[length_col] = F.coalesce(F.length(cut["_kept"]).cast(kind), docs[length_col]).alias(length_col)
+    return docs.join(cut, match, "left").select(*[new.get(c, docs[c]) for c in docs.columns])
