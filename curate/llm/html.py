@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 
 #: Pages learnt from, at most: those with the least hashes of their html.
 TRAIN_PAGES = 200
-EPOCHS = 30
+#: Training sequences, about: each page as it is, and rebuilt as often as that takes.
+SEQUENCES = 1200
+EPOCHS = 24
 #: Blocks of a training sequence.
 TRAIN_BLOCKS = 80
 #: Characters of a training page that are read; scoring reads every page whole.
@@ -354,7 +356,7 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
         word = CHROME_WORDS[draw.integers(len(CHROME_WORDS))]
         tags = ["nav", "header", "footer", "aside", "form"]
         box = (tags[draw.integers(5)], ()) if draw.random() < 0.35 else (("div", "section", "ul", "p", "aside")[draw.integers(5)], (word,))
-        leaf = [("p", ()), ("li", ()), ("div", ()), ("span", ()), ("h2", ()), ("label", ())][draw.integers(6)]
+        leaf = (("p", "li", "div", "span", "h2", "label", "h3", "button", "td", "legend")[draw.integers(10)], ())
         head = (("html", ()), ("body", ()))
         for _ in range(draw.integers(1, 5)):
             text = texts[draw.integers(len(texts))][: int(draw.integers(5, 300))].strip() or "text"
@@ -362,7 +364,7 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
             out.append((Block(text, head + inside + deep, float(draw.random() < 0.4)), 0.0))
 
     main = [k for k in range(len(page)) if labels[k]]
-    places = set(draw.integers(0, len(page) + 1, 3).tolist())
+    places = set(draw.integers(0, len(page) + 1, 5).tolist())
     for k, block in enumerate(page):
         if k in places:
             chrome((new,) if main and main[0] < k <= main[-1] else ())
@@ -382,7 +384,7 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
 
 
 def learn(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_PAGES) -> Net:
-    """Train on at most ``limit`` pages (least hashes of the html, at most TRAIN_CHARS of each) and three rebuilt copies of each."""
+    """Train on at most ``limit`` pages (least hashes of the html, at most TRAIN_CHARS of each) and rebuilt copies of them."""
     text = F.substring(F.coalesce(html_col, F.lit("")), 1, TRAIN_CHARS)
     sample = pages.select(F.xxhash64(html_col).alias("h"), text.alias("t")).orderBy("h", "t").limit(limit).collect()
     draw = np.random.default_rng(11)
@@ -390,7 +392,7 @@ def learn(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_PAGES) ->
     for row in sample:
         page = blocks(row["t"])
         marks = weak_labels(page)
-        for copy in range(4):
+        for copy in range(-(-SEQUENCES // len(sample))):
             b, y = (page, marks) if copy == 0 else rebuilt(page, marks, draw)
             if b and marks.any():
                 # Another stretch of a long page each time.

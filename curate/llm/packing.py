@@ -137,8 +137,9 @@ def _place(table: np.ndarray):
     lengths, ranks, first, offset = table
     order = np.lexsort((ranks, lengths))
     lengths, ranks, first, offset = lengths[order], ranks[order], first[order], offset[order]
-    begin = {int(x): int(i) for x, i in zip(*np.unique(lengths, return_index=True), strict=True)}
-    end = {x: i for x, i in zip(begin, [*list(begin.values())[1:], len(lengths)], strict=True)}
+    sizes, starts = np.unique(lengths, return_index=True)
+    stops = np.append(starts[1:], len(lengths))[: len(starts)]
+    span = {int(x): (int(a), int(b)) for x, a, b in zip(sizes, starts, stops, strict=True)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -146,7 +147,7 @@ def _place(table: np.ndarray):
             at = np.zeros(len(batch), np.int64)
             for x in np.unique(length):
                 mine = length == x
-                a, b = begin[int(x)], end[int(x)]
+                a, b = span[int(x)]
                 at[mine] = a + np.searchsorted(ranks[a:b], rank[mine], "right") - 1
             columns = [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
             yield pa.RecordBatch.from_arrays(

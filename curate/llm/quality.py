@@ -146,7 +146,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         by_word(_CLASSES["upper"][letter]) / some,
         count / np.maximum(lines, 1),
         np.log1p(lines),
-        1 - line_distinct / np.maximum(lines, 1),
+        (lines - line_distinct) / np.maximum(lines, 1),
         by_word(_CLASSES["stop"][ending]) / some,
         np.log1p(longest),
     ]
