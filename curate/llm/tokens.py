@@ -8,10 +8,26 @@ import numpy as np
 
 #: Chunks kept per worker; beyond it the memory is emptied, which costs time and changes no result.
 REMEMBERED = 600_000
+#: Words encoded in one go, and chunks given to the library at once: its working memory is about 1 kB per word.
+TOGETHER = 100
+AT_ONCE = 5_000
+#: Words of letters below this are letters in every version of Unicode, and stand alone in lower-casing and composing.
+LATIN_END = "\u0250"
+WORD_END = "</w>"
 
 _ENCODERS: dict[str, Encoder] = {}
-_TAIL = b".,;:!?|"
-_PLAIN_END = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+#: Marks that are cut from the end of a chunk (the apostrophe is not one: it may begin an ending of its own).
+_TAIL = b".,;:!?|$#&*%"
+_LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+
+
+def _ends_in_letter(chunk: bytes) -> bool:
+    """An ASCII letter, or one of U+00C0 to U+023F (two bytes), which holds two signs that are no letters."""
+    if not chunk:
+        return False
+    if chunk[-1] in _LETTERS:
+        return True
+    return len(chunk) > 1 and 0xC3 <= chunk[-2] <= 0xC8 and chunk[-2:] not in (b"\xc3\x97", b"\xc3\xb7")
 
 
 class Encoder:
@@ -20,37 +36,75 @@ class Encoder:
     Holds for vocabularies whose pre-tokenizer never joins characters across white space and drops it, and whose
     normalizer lower-cases: then the ids of a text are those of its chunks, one after the other. Nothing else of
     the library's work is taken over; every chunk's ids come from the library.
+
+    A lower-case word of Latin letters is its own normal form and its own pre-token. Such words go to the same model
+    by hundreds, parted by blanks alone; the vocabulary's word ends tell their ids apart. A vocabulary without word ends,
+    or one that does not pass the trial, is asked chunk by chunk.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.words = Tokenizer(self.tokenizer.model)
+        self.words.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
+        trial = ["a", "trial", "größe", "über", "ñandú", "zzyzx", "straße", "œuvre"]
+        self.has_ends = self._together(trial) == [self._alone([w])[0] for w in trial]
+
+    def _alone(self, chunks: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in encoded]
+
+    def _together(self, words: list[str]) -> list[bytes]:
+        """Ids of plain words; empty if the word ends do not tell them apart."""
+        out: list[bytes] = []
+        groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
+        for group, e in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stops) != len(group) or stops[-1] != len(ids):
+                return []
+            raw = ids.tobytes()
+            out += [raw[4 * a : 4 * b] for a, b in zip([0, *stops], stops, strict=False)]
+        return out
+
+    def _ask(self, chunks: list[bytes]) -> None:
+        """Remember the ids of chunks that the library has not been asked for."""
+        plain, other = [], []
+        for chunk in chunks:
+            text = chunk.decode()
+            easy = self.has_ends and text.isalpha() and max(text) < LATIN_END and text == text.lower()
+            (plain if easy else other).append((chunk, text))
+        for todo, encode in ((plain, self._together), (other, self._alone)):
+            for i in range(0, len(todo), AT_ONCE):
+                part = todo[i : i + AT_ONCE]
+                found = encode([text for _, text in part]) or self._alone([text for _, text in part])
+                self.known.update(zip([chunk for chunk, _ in part], found, strict=True))
 
     def _encode(self, chunks: list[bytes]) -> None:
-        """Remember the ids of new chunks. A letter and a mark such as a full stop are always parted, so ``word.`` is ``word`` and ``.``."""
+        """Remember the ids of new chunks. A letter and the marks after it are always parted, so ``word.`` is ``word`` and ``.``."""
         known = self.known
         ask: set[bytes] = set()
-        parts = []
+        split, cores, tails = [], [], []
         for chunk in chunks:
             core = chunk.rstrip(_TAIL)
-            if not core or len(core) == len(chunk) or core[-1] not in _PLAIN_END:
-                core, tail = chunk, b""
+            if len(core) == len(chunk) or not _ends_in_letter(core):
+                ask.add(chunk)
             else:
-                tail = chunk[len(core) :]
-                if tail not in known:
-                    ask.add(tail)
-            if core not in known:
-                ask.add(core)
-            parts.append((chunk, core, tail))
-        if ask:
-            todo = list(ask)
-            encoded = self.tokenizer.encode_batch_fast([x.decode() for x in todo], add_special_tokens=False)
-            known.update((x, np.array(e.ids, "<u4").tobytes()) for x, e in zip(todo, encoded, strict=True))
-        for chunk, core, tail in parts:
-            if tail:
-                known[chunk] = known[core] + known[tail]
+                split.append(chunk)
+                cores.append(core)
+                tails.append(chunk[len(core) :])
+        ask.update(cores)
+        ask.update(tails)
+        self._ask([x for x in ask if x not in known])
+        for chunk, core, tail in zip(split, cores, tails, strict=True):
+            known[chunk] = known[core] + known[tail]
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; NULL is empty."""
@@ -69,10 +123,13 @@ class Encoder:
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        new = {c for parts in chunks for c in parts if c not in known}
+        distinct: set[bytes] = set()
+        for parts in chunks:
+            distinct.update(parts)
+        new = [c for c in distinct if c not in known]
         if new:
-            self._encode(list(new))
-        return [b"".join([known[c] for c in parts]) for parts in chunks]
+            self._encode(new)
+        return [b"".join(map(known.__getitem__, parts)) for parts in chunks]
 
 
 def encoder(path: str) -> Encoder:
