@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curate.operators.skew import join_unique
 from curate.storage import stage
 
 
@@ -14,19 +15,19 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _least(rows: DataFrame) -> DataFrame:
     """The least of each node and its neighbours; the aggregate combines a hot node's rows before the shuffle."""
-    return rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")).withColumnRenamed("a", "node")
+    return rows.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node points to the least of node and neighbours."""
     rows = _both(edges)
-    joined = rows.where("b > a").join(_least(rows), F.col("a") == F.col("node"))
+    joined = join_unique(rows.where("b > a"), _least(rows), "a", "inner")
     return joined.select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, point to the least of them. Here b < a in every edge."""
-    joined = edges.join(_least(edges), F.col("a") == F.col("node"))
+    joined = join_unique(edges, _least(edges), "a", "inner")
     to = joined.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
     return to.where("a != b").distinct()
 
