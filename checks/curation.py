@@ -101,11 +101,11 @@ def _(spark, sf):
     "shortcut_audit",
     """select source, wdl, n_rows, round(share, 6) as share, round(max(share) over (partition by source), 6) as max_share, max(share) over (partition by source) = 1 as give_away
        from (select source, wdl, count(*) as n_rows, count(*) / sum(count(*)) over (partition by source) as share
-             from plies where source <> 'puzzle' or wdl = 0 group by source, wdl) x""",
+             from (select source, case when source = 'puzzle' then 0 else wdl end as wdl from plies) p group by source, wdl) x""",
     ("plies",),
 )
 def _(spark, sf):
-    rows = roles.plies(spark, sf).where("source <> 'puzzle' or wdl = 0")
+    rows = roles.plies(spark, sf).withColumn("wdl", F.expr("case when source = 'puzzle' then 0 else wdl end"))
     return rounded(sampling.shortcut_audit(rows), "share", "max_share")
 
 
@@ -395,10 +395,10 @@ def _(spark, sf):
 
 @query(
     "unique_sequences",
-    """select conv_id, turn from (select conv_id, turn, row_number() over (partition by substr(text, 1, 2) order by conv_id, turn) as rn from conversations) x where rn = 1""",
+    """select conv_id, turn from (select conv_id, turn, row_number() over (partition by text order by conv_id, turn) as rn from conversations) x where rn = 1""",
 )
 def _(spark, sf):
-    letters = F.split(F.substring("text", 1, 2), "")
+    letters = F.split("text", "")
     rows = table(spark, sf, "conversations").select("conv_id", "turn", letters.alias("moves"))
     return sampling.unique_sequences(rows, "moves", ["conv_id", "turn"]).select("conv_id", "turn")
 

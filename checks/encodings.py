@@ -122,9 +122,10 @@ SIDES = """with sides as (select doc_id, turn, placement,
     "material_sig",
     SIDES.format("positions")
     + """select doc_id, cast(length(regexp_replace(placement, '[^A-Za-z]', '', 'g')) as integer) as pieces,
-      replace(concat('K', case when first_white then a else b end, ' v K', case when first_white then b else a end), 'K-', 'K') as sig
-    from (select *, length(a) > length(b) or (length(a) = length(b) and a <= b) as first_white
-      from (select *, case when white = '' then '-' else white end as a, case when black = '' then '-' else black end as b from sides) x) y""",
+      case when greatest(length(white), 1) > greatest(length(black), 1) then 'K' || white || ' v K' || black
+           when greatest(length(white), 1) < greatest(length(black), 1) then 'K' || black || ' v K' || white
+           else 'K' || least(white, black) || ' v K' || greatest(white, black) end as sig
+    from sides""",
     ("positions",),
 )
 def _(spark, sf):

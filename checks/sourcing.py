@@ -299,10 +299,10 @@ def _(spark, sf):
     return out.select("label", "path", "generation", "available")
 
 
-@query("read_ids", "select distinct cast(l_partkey as varchar) as id from lineitem where l_linenumber = 1")
+@query("read_ids", "select distinct cast(l_partkey as varchar) as id from lineitem")
 def _(spark, sf):
     path = stage_path(spark, "ids")
-    tables.write_ids(table(spark, sf, "lineitem").where("l_linenumber = 1"), path, "l_partkey")
+    tables.write_ids(table(spark, sf, "lineitem"), path, "l_partkey")
     return tables.read_ids(spark, path)
 
 

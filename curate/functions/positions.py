@@ -183,15 +183,17 @@ def _side(fen: ColumnLike, pattern: str) -> Column:
 
 
 def material_sig(fen: ColumnLike) -> Column:
-    """'KQ v KR': the longer side first, equal lengths in text order, a bare king counted as '-'."""
-    white = F.when(_side(fen, "[^QRBNP]") == "", "-").otherwise(_side(fen, "[^QRBNP]"))
-    black = F.when(_side(fen, "[^qrbnp]") == "", "-").otherwise(_side(fen, "[^qrbnp]"))
-    white_first = (F.length(white) > F.length(black)) | (
-        (F.length(white) == F.length(black)) & (white <= black)
-    )
-    first = F.when(white_first, white).otherwise(black)
-    second = F.when(white_first, black).otherwise(white)
-    return F.replace(F.concat(F.lit("K"), first, F.lit(" v K"), second), F.lit("K-"), F.lit("K"))
+    """'KQ v KR': each side's king and other pieces; the side of more pieces first, equal numbers in text order.
+
+    A bare king counts like a side of one piece that sorts before every letter.
+    """
+
+    def side(pattern: str) -> Column:
+        pieces = _side(fen, pattern)
+        return F.struct((-F.greatest(F.length(pieces), F.lit(1))).alias("rank"), F.concat(F.lit("K"), pieces).alias("text"))
+
+    sides = F.array_sort(F.array(side("[^QRBNP]"), side("[^qrbnp]")))
+    return F.array_join(F.transform(sides, lambda s: s["text"]), " v ")
 
 
 def insufficient(fen: ColumnLike) -> Column:

@@ -16,7 +16,8 @@ CHECKPOINT_ALL, CHECKPOINT_MID, CHECKPOINT_MID_EVERY, CHECKPOINT_EVERY = 12, 40,
 
 def clip_cp(cp: ColumnLike, mate: ColumnLike | None = None) -> Column:
     """Clip a score to +-32000; a non-zero mate distance counts as a full +-32000."""
-    clipped = F.greatest(F.least(col(cp), F.lit(MATE_CP)), F.lit(-MATE_CP))
+    # least and greatest pass over NULL, so an unknown score is kept apart.
+    clipped = F.when(col(cp).isNotNull(), F.greatest(F.least(col(cp), F.lit(MATE_CP)), F.lit(-MATE_CP)))
     if mate is None:
         return clipped
     return F.when(col(mate) > 0, MATE_CP).when(col(mate) < 0, -MATE_CP).otherwise(clipped)
@@ -42,7 +43,7 @@ def elo_diff(score: ColumnLike, cap: float | None = None) -> Column:
     return (
         F.when(s <= 0, F.lit(-float(cap)))
         .when(s >= 1, F.lit(float(cap)))
-        .otherwise(F.greatest(F.least(raw, F.lit(float(cap))), F.lit(-float(cap))))
+        .when(inside, F.greatest(F.least(raw, F.lit(float(cap))), F.lit(-float(cap))))
     )
 
 

@@ -16,7 +16,7 @@ def total(values: Column) -> Column:
 
 
 def clip(v: Column, floor: float) -> Column:
-    return F.greatest(F.least(v, F.lit(1.0)), F.lit(floor))
+    return F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1.0)), F.lit(floor)))
 
 
 def entropy(target: ColumnLike) -> Column:

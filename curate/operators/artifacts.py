@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from curate.functions.base import cols
 from curate.functions.names import artifact_version, file_name
+from curate.operators.skew import null_safe
 
 # Fixed values.
 KEEP_EVERY, KEEP_RECENT = 10, 3
@@ -29,7 +30,7 @@ def retention(df: DataFrame, number: str = "generation", every: int = KEEP_EVERY
     by = cols(by)
     newest = F.max(number).alias("_newest")
     if by:
-        rows = df.join(df.groupBy(*by).agg(newest), by)
+        rows = null_safe(df, df.groupBy(*by).agg(newest), by)
     else:
         rows = df.withColumn("_newest", df.agg(newest).scalar())
     keep = (F.col(number) % every == 0) | (F.col(number) > F.col("_newest") - recent)

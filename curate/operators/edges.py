@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from curate.functions.base import cols
 from curate.operators.ranking import top_per_group
-from curate.operators.skew import join_unique
+from curate.operators.skew import join_unique, null_safe
 
 
 def masked_softmax_rows(df: DataFrame, position, move: str, logit: str, allowed: str | None = None) -> DataFrame:
@@ -26,7 +26,7 @@ def top_moves(edges: DataFrame, position, move: str, k: int = 5, n: str = "N", p
     position = cols(position)
     totals = edges.groupBy(*position).agg(F.sum(n).alias("_total"))
     best = top_per_group(edges, position, [F.desc(n), F.desc(p), move], k, "place")
-    out = best.join(totals, position).withColumn("share", F.col(n) / F.when(F.col("_total") == 0, 1).otherwise(F.col("_total")))
+    out = null_safe(best, totals, position).withColumn("share", F.col(n) / F.when(F.col("_total") == 0, 1).otherwise(F.col("_total")))
     if chosen is not None:
         out = out.withColumn("is_chosen", F.col(move) == F.col(chosen))
     return out.drop("_total")

@@ -23,10 +23,10 @@ def filter_games(
     min_plies: int = MIN_PLIES,
 ) -> DataFrame:
     """Games of two strong players with a known result, without one kind of event; where a moves column is named,
-    of ``min_plies`` moves at least. Unknown ratings do not pass."""
+    of ``min_plies`` moves at least. Unknown ratings do not pass; an unknown event is not one to skip."""
     keep = (F.col(white) >= min_elo) & (F.col(black) >= min_elo) & F.col(result).isin(*RESULTS[:3])
     if event is not None:
-        keep = keep & ~F.col(event).like(skip_event)
+        keep = keep & ~F.coalesce(F.col(event).ilike(skip_event), F.lit(False))
     if moves is not None:
         keep = keep & (F.size(moves) >= min_plies)
     return df.where(keep)

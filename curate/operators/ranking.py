@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 
 from curate.functions.base import ColumnLike, col, cols
 from curate.functions.seeded import seeded_key
+from curate.operators.skew import null_safe
 from curate.storage import stage
 
 DIGITS = 3
@@ -54,9 +55,9 @@ def seeded_rank(
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_below"))
     if keep is not None:
-        below = below.join(keep.select(*by, F.col("keep").alias("_keep")), by).where("_below < _keep")
+        below = null_safe(below, keep.select(*by, F.col("keep").alias("_keep")), by).where("_below < _keep")
     # At most groups x 16^digits narrow rows, whatever the size of df.
-    placed = _buckets(df, key, seed, digits).join(F.broadcast(below), [*by, "_bucket"])
+    placed = null_safe(_buckets(df, key, seed, digits), F.broadcast(below), [*by, "_bucket"])
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", *cols(key))
     ranked = placed.withColumn(name, F.col("_below") + F.row_number().over(inside))
     if keep is not None:
@@ -79,7 +80,7 @@ def ordered_rank(df: DataFrame, by, order: list, name: str = "rank") -> DataFram
     pieces = placed.groupBy(*by, "_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_size"))
     earlier = Window.partitionBy(*(by or [F.lit(1)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     start = pieces.withColumn("_before", F.coalesce(F.sum("_size").over(earlier), F.lit(0))).drop("_size")
-    ranked = placed.join(start, [*by, "_part"])
+    ranked = null_safe(placed, start, [*by, "_part"])
     return ranked.withColumn(name, F.col("_before") + F.col("_at") - F.col("_first") + 1).drop(
         "_at", "_part", "_first", "_before"
     )
@@ -102,9 +103,16 @@ def cut_beyond(df: DataFrame, by, order: str, keep: Column) -> DataFrame:
     stats = df.groupBy(*by).agg(F.count(order).alias("_n"), quantiles.alias("_places"))
     wanted = F.ceil(QUANTILES * (keep / F.greatest(F.col("_n"), F.lit(1)) + CUT_MARGIN))
     place = F.least(F.greatest(wanted, F.lit(1)), F.lit(QUANTILES)).cast("int")
-    limits = stats.where("_n > 0").select(*by, F.element_at("_places", place).alias("_limit"))
-    marked = df.join(F.broadcast(limits), by, "left")
-    within = F.col(order).isNull() | F.col("_limit").isNull() | (F.col(order) <= F.col("_limit"))
+    # Where the last place is wanted nothing may be cut. Quantiles are computed as doubles: wide numbers get the room
+    # that the conversion may have cost.
+    limit = F.when(wanted < QUANTILES, F.element_at("_places", place))
+    limits = stats.where("_n > 0").select(*by, limit.alias("_limit"))
+    marked = null_safe(df, F.broadcast(limits), by, "left")
+    far = F.col("_limit")
+    if isinstance(kind, (T.LongType, T.DecimalType)):
+        far = far.cast("decimal(38,0)" if isinstance(kind, T.LongType) else kind)
+        far = far + F.ceil(F.abs(F.col("_limit").cast("double")) / float(1 << 48)).cast("decimal(20,0)")
+    within = F.col(order).isNull() | F.col("_limit").isNull() | F.coalesce(F.col(order) <= far, F.lit(True))
     return marked.where(within).drop("_limit")
 
 

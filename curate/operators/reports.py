@@ -87,9 +87,10 @@ def segment_table(
 
 
 def calibration(df: DataFrame, p: ColumnLike, hit: ColumnLike, bins: int = CALIBRATION_BINS, by=()) -> DataFrame:
-    """Equal-width bins of p (the last includes 1): n, mean p and actual share; empty bins have no row."""
+    """Equal-width bins of p (the last includes 1): n, mean p and actual share; empty bins have no row, unknown p or hit no bin."""
     b = F.least(F.floor(col(p) * bins), F.lit(bins - 1)).cast("int")
     rows = df.select(*cols(by), b.alias("bin"), col(p).alias("_p"), col(hit).cast("double").alias("_hit"))
+    rows = rows.where("_p is not null and _hit is not null")
     return rows.groupBy(*cols(by), "bin").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("_p").alias("mean_p"), F.avg("_hit").alias("actual")
     )
@@ -103,8 +104,8 @@ def ece(df: DataFrame, p: ColumnLike, hit: ColumnLike, bins: int = CALIBRATION_B
 
 
 def value_ce(df: DataFrame, by=(), probs: str = "probs", cls: str = "true_cls") -> DataFrame:
-    """Mean cross-entropy on the true class and argmax accuracy."""
-    return df.groupBy(*cols(by)).agg(
+    """Mean cross-entropy on the true class and argmax accuracy, over the rows whose class and probabilities are known."""
+    return df.where(hard_ce(cls, probs).isNotNull()).groupBy(*cols(by)).agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(hard_ce(cls, probs)).alias("value_ce"),
         share(argmax(probs) == F.col(cls)).alias("acc"),

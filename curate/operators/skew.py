@@ -12,9 +12,11 @@ Two tools carry the rest of the package:
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from curate.functions.base import cols
@@ -22,6 +24,46 @@ from curate.functions.base import cols
 SPAN = 100_000
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The type in which keys of two types are compared; an error where none holds both without loss."""
+    if a == b:
+        return a
+    if isinstance(a, _WHOLE) and isinstance(b, _WHOLE):
+        return T.LongType()
+    if isinstance(a, T.StringType) and isinstance(b, T.StringType):
+        return T.StringType()
+    if isinstance(a, (T.FloatType, T.DoubleType)) and isinstance(b, (T.FloatType, T.DoubleType)):
+        return T.DoubleType()
+    times = (T.DateType, T.TimestampType)
+    if isinstance(a, times) and isinstance(b, times):
+        return T.TimestampType()
+    whole = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}
+    digits = []
+    for kind in (a, b):
+        if isinstance(kind, T.DecimalType):
+            digits.append((kind.precision - kind.scale, kind.scale))
+        elif isinstance(kind, _WHOLE):
+            digits.append((whole[type(kind)], 0))
+    if len(digits) == 2:
+        before, after = max(x for x, _ in digits), max(x for _, x in digits)
+        if before + after <= 38:
+            return T.DecimalType(before + after, after)
+    raise TypeError(f"keys of {a.simpleString()} and {b.simpleString()} cannot be joined without loss: cast one side")
+
+
+def null_safe(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """Join on key columns where NULL equals NULL; the left side's key columns stay. Without keys the right side is one row."""
+    on = cols(on)
+    renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in on})
+    match = reduce(lambda a, b: a & b, [left[c].eqNullSafe(renamed[f"_r_{c}"]) for c in on], F.lit(True))
+    if not on:
+        return left.join(F.broadcast(renamed), match, how)
+    return left.join(renamed, match, how).drop(*[f"_r_{c}" for c in on])
+
+
 def join_unique(df: DataFrame, facts: DataFrame, on, how: str = "left") -> DataFrame:
     """Join ``facts`` (one row per key) to ``df`` (any number of rows per key); left, inner, semi or anti.
 
@@ -31,7 +73,9 @@ def join_unique(df: DataFrame, facts: DataFrame, on, how: str = "left") -> DataF
     Small facts still become a broadcast by their measured size.
     """
     on = cols(on)
-    key_hash = F.xxhash64(*on)
+    # Equal values of different types have different hashes, so both sides hash the common type.
+    kinds = [common_type(df.schema[c].dataType, facts.schema[c].dataType) for c in on]
+    key_hash = F.xxhash64(*[F.col(c).cast(kind) for c, kind in zip(on, kinds, strict=True)])
     left, right = df.withColumn("_hash", key_hash), facts.withColumn("_hash", key_hash)
     return left.join(right, [*on, "_hash"], how).drop("_hash")
 
@@ -52,10 +96,17 @@ def running(df: DataFrame, key, order: str, measures: dict[str, tuple[str, Colum
     """Add running aggregates from the first row of the key up to the current row.
 
     ``order`` is an integer column, unique within the key. ``measures`` maps a new column name to
-    (sum | count | min | max, column).
+    (sum | count | min | max, column). Segments are as wide as the key's mean step asks for, so orders with
+    large steps (times, say) are cut into as few segments as dense ones.
     """
     key = cols(key)
-    cut = df.withColumn("_seg", F.floor(F.col(order) / span))
+    ends = df.groupBy(*key).agg(
+        F.count(order).alias("_n"), F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi")
+    )
+    step = F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.col("_n"), F.lit(1)))
+    ends = ends.select(*key, F.col("_lo"), (step * span).alias("_width"))
+    cut = null_safe(df, ends, key, "left").withColumn("_seg", F.floor((F.col(order) - F.col("_lo")) / F.col("_width")))
+    cut = cut.drop("_lo", "_width")
     local = Window.partitionBy(*key, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.withColumns({n: _LOCAL[how](c).over(local) for n, (how, c) in measures.items()})
     per_segment = cut.groupBy(*key, "_seg").agg(*[_LOCAL[how](c).alias(f"_{n}") for n, (how, c) in measures.items()])
@@ -66,6 +117,6 @@ def running(df: DataFrame, key, order: str, measures: dict[str, tuple[str, Colum
         .where(F.col("_seg") > F.col("_first"))
         .drop("_first")
     )
-    joined = rows.join(carried, [*key, "_seg"], "left")
+    joined = null_safe(rows, carried, [*key, "_seg"], "left")
     merged = {n: _combine(how, F.col(n), F.col(f"_{n}")) for n, (how, _) in measures.items()}
     return joined.withColumns(merged).drop("_seg", *[f"_{n}" for n in measures])

@@ -76,7 +76,7 @@ def best_cell_trend(metrics: DataFrame, cell: str = "cell", milestone: str = "mi
 
 def throughput(df: DataFrame, config: str = "batch", cap: int = CP_CAP) -> DataFrame:
     """Per configuration: searches, searches per second, losses, top-k counts, and the speed-up over the first one."""
-    loss = F.least(F.col("cp_loss"), F.lit(cap))
+    loss = F.when(F.col("cp_loss").isNotNull(), F.least(F.col("cp_loss"), F.lit(cap)))
     rows = df.withColumn("_loss", loss)
     out = rows.groupBy(config).agg(
         F.count(F.lit(1)).alias("n"),

@@ -42,13 +42,13 @@ def suite_moves(positions: DataFrame, min_spread: int = MIN_SPREAD) -> DataFrame
 
 def read_suite(spark: SparkSession, path, min_spread: int = MIN_SPREAD, multi_line: bool = True) -> DataFrame:
     """Suite files to (fen, phase, uci, cp, rank, best_cp). A large suite comes as JSON lines (multi_line false)."""
-    blobs = spark.read.schema(SUITE_SCHEMA).option("multiLine", multi_line).json(path)
+    blobs = spark.read.schema(SUITE_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     return suite_moves(blobs.select(F.explode("positions").alias("p")).select("p.*"), min_spread)
 
 
 def suite_meta(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
     """(field, value) of a suite's identity, for the compatibility check."""
-    blobs = spark.read.schema(SUITE_SCHEMA).option("multiLine", multi_line).json(path)
+    blobs = spark.read.schema(SUITE_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST").json(path)
     pairs = F.create_map(
         *[x for f in ("created", "suite_size", "sf_depth", "seed") for x in (F.lit(f), F.col(f"meta.{f}").cast("string"))]
     )
@@ -58,7 +58,7 @@ def suite_meta(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
 def read_sweep(spark: SparkSession, path, whole_files: bool = True) -> DataFrame:
     """Sweep results to (cell, c_puct, fpu, fen, milestone, move, elapsed, sims, topvis)."""
     raw = spark.read.text(path, wholetext=whole_files)
-    blob = raw.select(F.from_json("value", SWEEP_TYPE).alias("b"))
+    blob = raw.select(F.from_json("value", SWEEP_TYPE, {"mode": "FAILFAST"}).alias("b"))
     cells = blob.select(F.explode("b.cells").alias("cell", "c"))
     rows = cells.select("cell", "c.c_puct", "c.fpu", F.explode("c.rows").alias("r"))
     snaps = rows.select("cell", "c_puct", "fpu", "r.fen", F.explode("r.snaps").alias("milestone", "s"))
