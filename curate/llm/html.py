@@ -386,7 +386,10 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
 def learn(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_PAGES) -> Net:
     """Train on at most ``limit`` pages (least hashes of the html, at most TRAIN_CHARS of each) and rebuilt copies of them."""
     text = F.substring(F.coalesce(html_col, F.lit("")), 1, TRAIN_CHARS)
-    sample = pages.select(F.xxhash64(html_col).alias("h"), text.alias("t")).orderBy("h", "t").limit(limit).collect()
+    rows = pages.select(F.xxhash64(html_col).alias("h"), text.alias("t"))
+    # The hashes alone are sorted, so no more than the chosen pages' texts come to the driver.
+    least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(limit).collect()]
+    sample = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
     draw = np.random.default_rng(11)
     seen, want = [], []
     for row in sample:
