@@ -150,11 +150,9 @@ def blocks(page: str) -> list[Block]:
 
 
 _HASHED: dict[str, np.ndarray] = {}
-#: Words of a block that are hashed, from its start: a block's kind shows in its first words; its text is kept whole.
-FIRST_WORDS = 6
 BUCKETS = 512
 #: Directions of the word buckets: a page's vocabulary needs no memory.
-_BUCKET = (np.random.default_rng(3).standard_normal((BUCKETS, WORDS)) / np.sqrt(WORDS) / FIRST_WORDS).astype(np.float32)
+_BUCKET = (np.random.default_rng(3).standard_normal((BUCKETS, WORDS)) / np.sqrt(WORDS)).astype(np.float32)
 
 
 def _part(name: str) -> np.ndarray:
@@ -182,24 +180,25 @@ def vectors(page: list[Block], paths: dict | None = None) -> np.ndarray:
     paths = {} if paths is None else paths
     if len(paths) > 5_000:
         paths.clear()
-    rows, buckets, owner, shape = [], [], [], []
-    for k, block in enumerate(page):
+    rows, buckets, counts, shape = [], [], [], []
+    for block in page:
         v = paths.get(block.path)
         if v is None:
             v = paths[block.path] = _path_vector(block.path)
         rows.append(v)
         text = block.text
-        n_words = text.count(" ") + 1
-        for word in text.lower().split(" ", FIRST_WORDS)[:FIRST_WORDS]:
-            buckets.append(zlib.crc32(word.encode()) % BUCKETS)
-            owner.append(k)
+        found = [zlib.crc32(word) % BUCKETS for word in text.lower().encode("utf-8", "replace").split(b" ")]
+        n_words = len(found)
+        buckets += found
+        counts.append(n_words)
         commas = text.count(",") + text.count(";") + text.count(":")
         shape.append((len(text), n_words, block.linked, text[-1] in ".!?", commas / (n_words + 1), len(block.path) / 8))
     out = np.zeros((len(page), PATH + WORDS + SHAPE), np.float32)
     out[:, :PATH] = rows
-    words = np.zeros((len(page), WORDS), np.float32)
-    np.add.at(words, owner, _BUCKET[buckets])
-    out[:, PATH : PATH + WORDS] = words
+    # The mean direction of all words of a block.
+    n = np.array(counts)
+    places = np.concatenate([[0], np.cumsum(n)[:-1]])
+    out[:, PATH : PATH + WORDS] = np.add.reduceat(_BUCKET[buckets], places, axis=0) / n[:, None]
     shape = np.array(shape, np.float32)
     shape[:, 0] = np.log1p(shape[:, 0]) / 5
     shape[:, 1] = np.log1p(shape[:, 1]) / 4
