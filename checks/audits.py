@@ -101,8 +101,7 @@ def expectations(spark, sf):
     ("predictions", "annotations"),
 )
 def _(spark, sf):
-    out = reports.agreement(expectations(spark, sf), "net", "ref", "pieces")
-    return rounded(out.withColumn("overall", F.col("overall").cast("int")), "mae", "corr")
+    return rounded(reports.agreement(expectations(spark, sf), "net", "ref", "pieces"), "mae", "corr")
 
 
 @query(
@@ -123,15 +122,15 @@ TARGETS = PRED + """, t as (select *, case when l_linenumber = 7 then 0.0::doubl
 @query(
     "weighted_metrics",
     TARGETS
-    + f"""select *, policy_loss + value_loss as loss from (select source, count(*) as n_rows, round(sum(ploss * weight) / count(*), 5) as policy_loss,
+    + f"""select *, policy_loss + value_loss as loss from (select source, cast(grouping(source) as integer) as overall, count(*) as n_rows, round(sum(ploss * weight) / count(*), 5) as policy_loss,
       round(sum(case when pmatch then weight else 0 end) / greatest(sum(weight), 1e-9), 5) as policy_acc, round(avg(vloss), 5) as value_loss,
-      round({ONE.format('vmatch')}, 5) as value_acc from t group by rollup (source)) x""",
+      round({ONE.format('vmatch')}, 5) as value_acc from (select * replace (nullif(source, 'puzzle') as source) from t) t group by rollup (source)) x""",
     ("predictions",),
 )
 def _(spark, sf):
     target = F.array(F.lit(0.5), F.lit(0.3), F.lit(0.2))
     rows = roles.predictions(spark, sf).select(
-        "source",
+        F.expr("nullif(source, 'puzzle')").alias("source"),
         hard_ce("wdl", "probs").alias("ploss"),
         (argmax("probs") == F.col("wdl")).alias("pmatch"),
         soft_ce(target, "probs").alias("vloss"),
@@ -146,14 +145,14 @@ def _(spark, sf):
 @query(
     "entropy_floor",
     PRED
-    + """select source, count(*) as n_rows, round(avg(h), 6) as floor, round(avg(ce), 6) as loss, round(avg(ce) - avg(h), 6) + 0.0 as excess
-      from (select source, -(p_win * ln(p_win) + p_draw * ln(p_draw) + p_loss * ln(p_loss)) as h, -(p_win + p_draw + p_loss) * ln(1.0::double / 3) as ce from pred) x
+    + """select source, cast(grouping(source) as integer) as overall, count(*) as n_rows, round(avg(h), 6) as floor, round(avg(ce), 6) as loss, round(avg(ce) - avg(h), 6) + 0.0 as excess
+      from (select nullif(source, 'puzzle') as source, -(p_win * ln(p_win) + p_draw * ln(p_draw) + p_loss * ln(p_loss)) as h, -(p_win + p_draw + p_loss) * ln(1.0::double / 3) as ce from pred) x
       group by rollup (source)""",
     ("predictions",),
 )
 def _(spark, sf):
     flat = F.array(*[F.lit(1.0 / 3)] * 3)
-    rows = roles.predictions(spark, sf).withColumn("ce", soft_ce("probs", flat))
+    rows = roles.predictions(spark, sf).withColumns({"ce": soft_ce("probs", flat), "source": F.expr("nullif(source, 'puzzle')")})
     return rounded(reports.entropy_floor(rows, "probs", "ce"), "floor", "loss", "excess")
 
 
@@ -230,20 +229,22 @@ def _(spark, sf):
 @query(
     "compare_runs",
     PRED
-    + f""", m as (select wdl, source, avg(p_true_cls) as p, {ONE.format('best = wdl')} as a from pred where source <> 'tablebase' or wdl = 0 group by wdl, source),
-      long as (select concat(source, '.p_true.', cast(wdl as varchar)) as metric, source, p as value from m union all select concat(source, '.acc.', cast(wdl as varchar)), source, a from m),
-      a as (select replace(metric, concat(source, '.'), '') as metric, value from long where source = 'game'),
-      b as (select replace(metric, concat(source, '.'), '') as metric, value from long where source = 'tablebase')
+    + f""", m as (select wdl, source = 'game' as first, avg(p_true_cls) as p, {ONE.format('best = wdl')} as a from pred group by 1, 2),
+      long as (select concat('p_true.', cast(wdl as varchar)) as metric, first, p as value from m union all select concat('acc.', cast(wdl as varchar)), first, a from m),
+      a as (select metric, value from long where first union all select 'acc', {ONE.format('best = wdl')} from pred where source = 'game'),
+      b as (select metric, value from long where not first)
       select a.metric, round(a.value, 6) as value_a, round(b.value, 6) as value_b, round(b.value - a.value, 6) + 0.0 as delta from a left join b on a.metric = b.metric""",
     ("predictions",),
 )
 def _(spark, sf):
-    rows = roles.predictions(spark, sf).where("source <> 'tablebase' or wdl = 0")
-    groups = reports.group_report(rows, ["source", "wdl"], "probs", "wdl")
-    long = groups.unpivot(["source", "wdl"], ["p_true", "acc"], "m", "value")
-    named = long.select("source", F.concat_ws(".", "m", F.col("wdl").cast("string")).alias("metric"), "value")
-    runs = [named.where(F.col("source") == s) for s in ("game", "tablebase")]
-    return rounded(joins.compare_runs(*runs), "value_a", "value_b", "delta")
+    """Two runs over all rows; the first has a metric that the second lacks."""
+    rows = roles.predictions(spark, sf).withColumn("first", F.col("source") == "game")
+    groups = reports.group_report(rows, ["first", "wdl"], "probs", "wdl")
+    long = groups.unpivot(["first", "wdl"], ["p_true", "acc"], "m", "value")
+    named = long.select("first", F.concat_ws(".", "m", F.col("wdl").cast("string")).alias("metric"), "value")
+    whole = reports.value_ce(rows, "first", "probs", "wdl").where("first").select(F.lit("acc").alias("metric"), F.col("acc").alias("value"))
+    one, two = (named.where(c).select("metric", "value") for c in ("first", "not first"))
+    return rounded(joins.compare_runs(one.unionByName(whole), two), "value_a", "value_b", "delta")
 
 
 @query(

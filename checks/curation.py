@@ -54,11 +54,14 @@ def routed(spark, sf):
 
 @query(
     "stratum_counts",
-    "select source, wdl, count(*) as n_rows from plies group by rollup (source, wdl)",
+    """select source, wdl, grouping_id(source, wdl) as level, count(*) as n_rows from (select nullif(source, 'puzzle') as source, case when l_linenumber <> 7 then wdl end as wdl from plies) p
+       group by rollup (source, wdl)""",
     ("plies",),
 )
 def _(spark, sf):
-    return sampling.stratum_counts(roles.plies(spark, sf))
+    # Unknown sources and classes are counted as such, beside the totals.
+    rows = roles.plies(spark, sf).withColumns({"source": F.expr("nullif(source, 'puzzle')"), "wdl": F.expr("case when l_linenumber <> 7 then wdl end")})
+    return sampling.stratum_counts(rows)
 
 
 @query(
@@ -90,11 +93,13 @@ def _(spark, sf):
 
 @query(
     "composition",
-    ROUTED + "select chunk_id, source, wdl, count(*) as n_rows from routed group by cube (chunk_id, source, wdl)",
+    ROUTED
+    + """select chunk_id, source, wdl, grouping_id(chunk_id, source, wdl) as level, count(*) as n_rows from (select chunk_id, nullif(source, 'puzzle') as source, wdl from routed) r
+       group by cube (chunk_id, source, wdl)""",
     ("plies",),
 )
 def _(spark, sf):
-    return reports.composition(routed(spark, sf))
+    return reports.composition(routed(spark, sf).withColumn("source", F.expr("nullif(source, 'puzzle')")))
 
 
 @query(
@@ -164,7 +169,7 @@ def _(spark, sf):
 @query(
     "agreement_matrix",
     JOINED
-    + """select wdl as outcome, count(*) as n_rows, count(*) filter (where judged = 0) as judged_win, count(*) filter (where judged = 1) as judged_draw,
+    + """select wdl as outcome, cast(grouping(wdl) as integer) as overall, count(*) as n_rows, count(*) filter (where judged = 0) as judged_win, count(*) filter (where judged = 1) as judged_draw,
          count(*) filter (where judged = 2) as judged_loss, round(avg(case when judged = 1 then 1.0::double else 0.0::double end), 6) as share_drawn,
          round(avg(agrees), 6) as agreement
        from (select *, case when judged = wdl then 1.0::double else 0.0::double end as agrees

@@ -16,19 +16,34 @@ def stream(spark, sf, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
 
 
-@query("ingest_annotations", "select cast(fen as varchar) as fen, cp, w, d, l from annotations", ("annotations",))
+@query(
+    "ingest_annotations",
+    """select cast(fen as varchar) as fen, 12 as depth, cp, w, d, l from annotations
+       union all select cast(fen as varchar), 20, cp + 1, w, d, l from annotations where fen % 4 = 0""",
+    ("annotations",),
+)
 def _(spark, sf):
     ann = roles.annotations(spark, sf)
-    line = F.concat_ws(",", *[F.col(c).cast("string") for c in ("fen", "cp", "w", "d", "l")])
-    inbox, sink, checkpoint = (stage_path(spark, n) for n in ("inbox", "store", "checkpoint"))
-    lines = ann.select(line.alias("value"), "w")
-    lines.where("w >= 100").drop("w").write.mode("append").text(inbox)
-    ingest.ingest_annotations(ingest.stream_results(spark, inbox, 2), sink, checkpoint).awaitTermination()
-    # After a stop everything lands once more, with cut-off lines; only what is new may be added.
-    cut = ann.select(F.concat_ws(",", F.col("fen").cast("string"), F.lit("1"), F.lit("2")).alias("value"))
-    lines.drop("w").unionByName(cut).write.mode("append").text(inbox)
-    ingest.ingest_annotations(ingest.stream_results(spark, inbox, 2), sink, checkpoint).awaitTermination()
-    return ingest.read_store(spark, sink).drop("shard")
+
+    def line(cp):
+        return F.concat_ws(",", F.col("fen").cast("string"), cp.cast("string"), *[F.col(c).cast("string") for c in ("w", "d", "l")])
+
+    def land(rows, box: str, *lines, depth: int = ingest.DEPTH) -> None:
+        """The lines of each row one after the other, then a run of the ingest."""
+        rows.select(F.explode(F.array(*lines)).alias("value")).write.mode("append").text(boxes[box])
+        ingest.ingest_annotations(ingest.stream_results(spark, boxes[box], 2), sink, boxes[f"{box} checkpoint"], depth).awaitTermination()
+
+    boxes = {n: stage_path(spark, n.replace(" ", "-")) for n in ("first", "first checkpoint", "second", "second checkpoint")}
+    sink, cp = stage_path(spark, "store"), F.col("cp")
+    cut_off = F.concat_ws(",", F.col("fen").cast("string"), F.lit("1"), F.lit("2"))
+    # Another value of a key in the same file, and after a restart in later files: the first written stays.
+    land(ann.where("w >= 100"), "first", cut_off, line(cp), line(cp - 1000))
+    land(ann, "first", line(F.when(F.col("w") >= 100, cp + 500).otherwise(cp)), line(cp + 7))
+    land(ann.where("fen % 4 = 0"), "second", line(cp + 1), depth=20)
+    ingest.compact(spark, sink)
+    # With the checkpoint lost, everything is read once more.
+    ingest.ingest_annotations(ingest.stream_results(spark, boxes["first"]), sink, stage_path(spark, "checkpoint")).awaitTermination()
+    return ingest.read_store(spark, sink)
 
 
 WINDOWS = """with w as (select time_bucket(interval '20 seconds', ts) as b, count(*) filter (where event_type <> 'error') as done, count(*) filter (where event_type = 'error') as errors

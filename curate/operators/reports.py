@@ -19,9 +19,18 @@ def share(flag: Column) -> Column:
     return F.avg(flag.cast("double"))
 
 
+def total(name: str) -> Column:
+    """1 on the row of all values of ``name``, 0 on the row of one value, NULL included."""
+    return F.grouping(name).cast("int").alias("overall")
+
+
 def composition(df: DataFrame, chunk: str = "chunk_id", source: str = "source", cls: str = "wdl") -> DataFrame:
-    """Rows per chunk x source x class with every total (NULL stands for "all")."""
-    return df.cube(chunk, source, cls).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows per chunk x source x class with every total; ``level`` tells a total from a NULL value (0: no total).
+
+    Rows are counted once per cell; only the cells are copied for the totals.
+    """
+    cells = df.groupBy(chunk, source, cls).agg(F.count(F.lit(1)).alias("_n"))
+    return cells.cube(chunk, source, cls).agg(F.grouping_id().alias("level"), F.sum("_n").alias("n_rows"))
 
 
 def coverage(df: DataFrame, by=(), value: str = "w") -> DataFrame:
@@ -36,7 +45,7 @@ def coverage(df: DataFrame, by=(), value: str = "w") -> DataFrame:
 def agreement_matrix(df: DataFrame, outcome: str = "wdl", w: str = "w", d: str = "d", l: str = "l") -> DataFrame:
     """Outcome class against the annotation's likeliest class.
 
-    One row per outcome class plus a total (outcome NULL): counts per annotated class, the share judged
+    One row per outcome class plus a total (``overall`` 1): counts per annotated class, the share judged
     drawn and the share that agrees. Rows without an annotation do not count.
     """
     judged = argmax(F.array(w, d, l))
@@ -45,6 +54,7 @@ def agreement_matrix(df: DataFrame, outcome: str = "wdl", w: str = "w", d: str =
     # The grouping column is NULL on the total row, so agreement is computed before the rollup.
     flagged = rows.withColumn("agrees", F.col("outcome") == F.col("judged"))
     return flagged.rollup("outcome").agg(
+        total("outcome"),
         F.count(F.lit(1)).alias("n_rows"),
         *counts,
         share(F.col("judged") == 1).alias("share_drawn"),
@@ -113,13 +123,13 @@ def value_ce(df: DataFrame, by=(), probs: str = "probs", cls: str = "true_cls")
 
 
 def agreement(df: DataFrame, predicted: ColumnLike, reference: ColumnLike, pieces: ColumnLike) -> DataFrame:
-    """Mean absolute error and correlation of two expected scores: overall (phase NULL) and per phase.
+    """Mean absolute error and correlation of two expected scores: ``overall`` 1 for all rows, and per phase.
 
     The correlation is NULL where one side does not vary.
     """
     rows = df.select(col(predicted).alias("_p"), col(reference).alias("_r"), phase(pieces).alias("phase"))
     return rows.rollup("phase").agg(
-        F.grouping("phase").alias("overall"),
+        total("phase"),
         F.count(F.lit(1)).alias("n_rows"),
         F.avg(F.abs(F.col("_p") - F.col("_r"))).alias("mae"),
         F.try_divide(F.covar_pop("_p", "_r"), F.stddev_pop("_p") * F.stddev_pop("_r")).alias("corr"),
@@ -129,7 +139,7 @@ def agreement(df: DataFrame, predicted: ColumnLike, reference: ColumnLike, piece
 def weighted_metrics(
     df: DataFrame, source: str = "source", ploss="ploss", pmatch="pmatch", vloss="vloss", vmatch="vmatch", weight="weight"
 ) -> DataFrame:
-    """Loss and accuracy overall (source NULL) and per source, in one pass.
+    """Loss and accuracy over all rows (``overall`` 1) and per source, in one pass.
 
     The policy loss divides by the row count, the policy accuracy by the weight sum: rows without a
     move dilute the first and do not touch the second.
@@ -144,6 +154,7 @@ def weighted_metrics(
     )
     n = F.count(F.lit(1))
     out = rows.rollup("source").agg(
+        total("source"),
         n.alias("n_rows"),
         (F.sum("_pl") / F.greatest(n, F.lit(1))).alias("policy_loss"),
         (F.sum("_pm") / F.greatest(F.sum("_w"), F.lit(WEIGHT_FLOOR))).alias("policy_acc"),
@@ -154,10 +165,10 @@ def weighted_metrics(
 
 
 def entropy_floor(df: DataFrame, target: str, loss: ColumnLike, source: str = "source") -> DataFrame:
-    """Mean target entropy overall and per source, and the excess of the loss over it."""
+    """Mean target entropy over all rows (``overall`` 1) and per source, and the excess of the loss over it."""
     rows = df.select(F.col(source).alias("source"), entropy(target).alias("_h"), col(loss).alias("_loss"))
     out = rows.rollup("source").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.avg("_h").alias("floor"), F.avg("_loss").alias("loss")
+        total("source"), F.count(F.lit(1)).alias("n_rows"), F.avg("_h").alias("floor"), F.avg("_loss").alias("loss")
     )
     return out.withColumn("excess", F.col("loss") - F.col("floor"))
 

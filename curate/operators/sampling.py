@@ -29,12 +29,12 @@ SEED = 7
 VAL_CHUNKS = 2
 REPLAY_ITERATIONS, REPLAY_ROWS = 4, 8_000
 CLOCK_JITTER = 30
-SMALL_K = 1000
 
 
 def stratum_counts(df: DataFrame, strata=("source", "wdl")) -> DataFrame:
-    """Rows per (source, class), with per-source totals (class NULL) and the grand total (both NULL)."""
-    return df.rollup(*strata).agg(F.count(F.lit(1)).alias("n_rows"))
+    """Rows per (source, class), per source and overall; ``level`` tells a total from a NULL value (0: no total)."""
+    cells = df.groupBy(*strata).agg(F.count(F.lit(1)).alias("_n"))
+    return cells.rollup(*strata).agg(F.grouping_id().alias("level"), F.sum("_n").alias("n_rows"))
 
 
 def quota_table(spark, quotas: dict, strata=("source", "wdl"), chunk_size: int | None = None) -> DataFrame:
@@ -52,10 +52,11 @@ def plan_chunks(
 ) -> DataFrame:
     """(stratum, quota, n_rows, n_chunks, keep): as many chunks as the scarcest stratum allows.
 
-    No whole chunk is an error. The result has one row per quota, so it is small by construction.
+    ``counts`` has a row per stratum, and may have totals marked by ``level``. No whole chunk is an error. The result has one
+    row per quota, so it is small by construction.
     """
     table = quota_table(counts.sparkSession, quotas, strata, chunk_size)
-    sizes = counts.where(F.col(strata[0]).isNotNull() & F.col(strata[1]).isNotNull())
+    sizes = counts.where("level = 0") if "level" in counts.columns else counts
     planned = table.join(sizes.select(*strata, "n_rows"), list(strata), "left")
     rows = planned.withColumn("n_rows", F.coalesce("n_rows", F.lit(0)))
     fits = F.when(F.col("quota") > 0, F.floor(F.col("n_rows") / F.when(F.col("quota") > 0, F.col("quota"))))
@@ -150,11 +151,7 @@ def head_per_group(df: DataFrame, group: str, quotas: dict, order: list[str]) ->
     for g, n in quotas.items():
         quota = F.when(F.col(group) == g, F.lit(n)).otherwise(quota)
     named = df.where(F.col(group).isin(*quotas))
-    largest = max(quotas.values())
-    if largest <= SMALL_K:
-        ranked = top_per_group(named, group, order, largest)
-    else:
-        ranked = ordered_rank(cut_beyond(named, group, order[0], quota), group, order)
+    ranked = ordered_rank(cut_beyond(named, group, order[0], quota), group, order)
     return ranked.withColumn("_quota", quota).where(F.col("rank") <= F.col("_quota")).drop("_quota", "rank")
 
 

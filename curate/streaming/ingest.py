@@ -1,68 +1,106 @@
-"""Annotation results as a stream of files: cleaned, deduplicated, appended by shard."""
+"""Annotation results as a stream of files: cleaned, logged batch by batch, one row per key on reading.
+
+The store is a log: a batch adds the first copy of each of its keys, with the place it was written at, and reads nothing
+of what is there. Reading takes the first written row of a key; ``compact`` does the same for good.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from curate.operators.ranking import dedupe_first
-from curate.sources.tables import SHARDS, parse_annotations, shard_of
+from curate.sources.tables import parse_annotations
 
-STORE_SCHEMA = "fen string, cp int, w int, d int, l int, shard int"
+# Fixed value: search depth of the annotation job.
+DEPTH = 12
+KEY = ["fen", "depth"]
+#: What was written first: by the file's time, its name, the block in it and the line in the block.
+WRITTEN = ["_at", "_file", "_block", "_line"]
+STORE_SCHEMA = "fen string, cp int, w int, d int, l int, depth int, _at timestamp, _file string, _block long, _line long, run string, epoch long"
 
 
 def stream_results(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """Result lines fen,cp,w,d,l from files as they land."""
+    """Result lines fen,cp,w,d,l from files as they land, with the place they come from."""
     reader = spark.readStream
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.text(path)
+    return reader.text(path).select(
+        "value",
+        F.col("_metadata.file_modification_time").alias("_at"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+    )
 
 
-def exists(spark: SparkSession, path: str) -> bool:
+def _folder(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def read_store(spark: SparkSession, sink: str) -> DataFrame:
-    """Everything ingested so far, one row per key."""
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _folder(spark, path)
+    return fs.exists(p)
+
+
+def _log(spark: SparkSession, sink: str) -> DataFrame:
+    """All rows of the store; ``run`` and ``epoch`` are its folders."""
     if not exists(spark, sink):
         return spark.createDataFrame([], STORE_SCHEMA)
-    return spark.read.schema(STORE_SCHEMA).parquet(sink)
+    return spark.read.schema(STORE_SCHEMA).option("basePath", sink).parquet(sink)
 
 
-def append_new(batch: DataFrame, sink: str, shards: int = SHARDS) -> None:
-    """Append the batch's annotations whose key the store does not hold yet.
+def read_store(spark: SparkSession, sink: str, depth: int | None = None) -> DataFrame:
+    """(fen, depth, cp, w, d, l): everything ingested so far, of each key the row that was written first; of one depth if asked for."""
+    rows = _log(spark, sink)
+    rows = rows if depth is None else rows.where(F.col("depth") == depth)
+    return dedupe_first(rows, KEY, WRITTEN).select(*KEY, "cp", "w", "d", "l")
 
-    A replayed batch finds its own rows in the store and adds nothing. The difference is taken on
-    (shard, fen), so only the shards of the batch are read.
-    """
-    spark = batch.sparkSession
-    fresh = dedupe_first(parse_annotations(batch), "fen", ["cp", "w", "d", "l"]).withColumn("shard", shard_of("fen", shards))
-    store = read_store(spark, sink).select("shard", "fen")
-    todo = fresh.join(store, ["shard", "fen"], "left_anti")
-    # By range, so that a task writes few shards and a batch leaves few files.
-    todo.repartitionByRange("shard", "fen").write.mode("append").partitionBy("shard").parquet(sink)
+
+def append_batch(batch: DataFrame, sink: str, run: str, epoch: int, depth: int = DEPTH) -> None:
+    """Log the first copy of each key of the batch under its run and number; a replayed batch writes its folder again."""
+    placed = batch.withColumns({"_line": F.monotonically_increasing_id() % (1 << 33), "depth": F.lit(depth)})
+    first = dedupe_first(parse_annotations(placed), KEY, WRITTEN)
+    first.write.mode("overwrite").parquet(f"{sink}/run={run}/epoch={epoch}")
 
 
 def ingest_annotations(
-    stream: DataFrame, sink: str, checkpoint: str, shards: int = SHARDS, once: bool = True, flush: str = "20 seconds"
+    stream: DataFrame, sink: str, checkpoint: str, depth: int = DEPTH, once: bool = True, flush: str = "20 seconds"
 ) -> StreamingQuery:
-    """Run the ingest: all files there are and stop, or keep flushing every 20 seconds.
+    """Run the ingest of results of one search depth: all files there are and stop, or keep flushing every 20 seconds.
 
-    The checkpoint remembers finished files, so a restart goes on where the last run stopped.
+    The checkpoint remembers finished files, so a restart goes on where the last run stopped. A lost checkpoint costs a second
+    reading of the files and changes no row: its batches go under another run, and the place of a line decides.
     """
 
-    def write(batch: DataFrame, _: int) -> None:
-        append_new(batch, sink, shards)
+    def write(batch: DataFrame, epoch: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        append_batch(batch, sink, run, epoch, depth)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=flush)
     return writer.start()
 
 
+def compact(spark: SparkSession, sink: str) -> None:
+    """Rewrite the log to one row per key, then remove the batches that went in. Run it while no ingest writes.
+
+    The new folder is complete before the first old one goes, so a job that is lost in between leaves copies, no gaps.
+    """
+    if not exists(spark, sink):
+        return
+    fs, root = _folder(spark, sink)
+    old = [s.getPath() for s in fs.listStatus(root) if s.isDirectory() and s.getPath().getName().startswith("run=")]
+    first = dedupe_first(_log(spark, sink), KEY, WRITTEN).drop("run", "epoch")
+    first.write.parquet(f"{sink}/run=compact-{uuid.uuid4().hex}/epoch=0")
+    for path in old:
+        fs.delete(path, True)
+
+
 def run_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
     """Run an aggregating stream over what there is now, appending each batch's changed rows; read the last state per key.
 

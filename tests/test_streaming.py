@@ -11,7 +11,7 @@ def lines(spark, path, values):
 
 
 def run(spark, inbox, sink, checkpoint):
-    ingest.ingest_annotations(ingest.stream_results(spark, inbox, 1), sink, checkpoint, shards=4).awaitTermination()
+    ingest.ingest_annotations(ingest.stream_results(spark, inbox, 1), sink, checkpoint).awaitTermination()
     return rows(ingest.read_store(spark, sink), "fen", "cp", "w", "d", "l")
 
 
@@ -25,11 +25,37 @@ def test_ingest_restarts_without_double_work(spark, tmp_path):
     assert run(spark, inbox, sink, checkpoint) == [*first, ("c w", 4, 0, 0, 1000)]
 
 
-def test_a_replayed_batch_adds_nothing(spark, tmp_path):
-    batch = spark.createDataFrame([("a w,1,10,20,970",)], "value string")
+def test_the_first_written_value_stays(spark, tmp_path):
+    inbox, sink, checkpoint = (str(tmp_path / n) for n in ("in", "store", "cp"))
+    lines(spark, inbox, ["a w,90,1,2,997", "a w,-50,3,4,993"])
+    lines(spark, inbox, ["a w,10,5,5,990", "b w,7,1,1,998"])
+    want = [("a w", 90, 1, 2, 997), ("b w", 7, 1, 1, 998)]
+    assert run(spark, inbox, sink, checkpoint) == want
+    ingest.compact(spark, sink)
+    assert rows(ingest.read_store(spark, sink), "fen", "cp", "w", "d", "l") == want
+    assert run(spark, inbox, sink, str(tmp_path / "other")) == want
+
+
+def test_depths_are_kept_apart(spark, tmp_path):
+    sink = str(tmp_path / "store")
+    for depth in (12, 20):
+        inbox = str(tmp_path / f"in{depth}")
+        lines(spark, inbox, [f"a w,{depth},1,2,997"])
+        ingest.ingest_annotations(ingest.stream_results(spark, inbox), sink, str(tmp_path / f"cp{depth}"), depth).awaitTermination()
+    assert rows(ingest.read_store(spark, sink), "fen", "depth", "cp") == [("a w", 12, 12), ("a w", 20, 20)]
+    assert rows(ingest.read_store(spark, sink, 20), "cp") == [(20,)]
+
+
+def test_a_replayed_batch_adds_nothing_and_reads_no_store(spark, tmp_path):
+    place = "timestamp'2024-01-01' as _at, 'f' as _file, 0L as _block"
+    batch = spark.createDataFrame([("a w,1,10,20,970",)], "value string").selectExpr("value", *place.split(", "))
     sink = str(tmp_path / "store")
     for _ in range(3):
-        ingest.append_new(batch, sink)
+        ingest.append_batch(batch, sink, "r", 0)
+    # A file that no reader can open does not trouble the next batch.
+    (tmp_path / "store" / "run=r" / "epoch=1").mkdir()
+    (tmp_path / "store" / "run=r" / "epoch=1" / "part-0.parquet").write_text("no parquet")
+    ingest.append_batch(batch, sink, "r", 1)
     assert ingest.read_store(spark, sink).count() == 1
 
 
