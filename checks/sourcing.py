@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from checks import roles
 from checks.base import query, rounded, table
 from curate.functions.names import cell_key
+from curate.operators import matches
 from curate.operators.ranking import ordered_rank
 from curate.sources import artifacts, chunks, games, logs, suites, tables
 from curate.storage import stage_path
@@ -272,6 +273,87 @@ def _(spark, sf):
     return rounded(logs.read_metrics(spark, path, ["loss", "acc"]), "loss", "acc")
 
 
+MEANS = """with m as (select l_linenumber as epoch, l_suppkey as step, avg(l_quantity) as loss, avg(case when l_linenumber > 2 then l_discount end) as acc, avg(l_tax) as tax
+    from lineitem group by 1, 2), r as (select *, case when step % 2 = 0 then 'even' else 'odd' end as run from m)
+"""
+
+
+@query(
+    "read_metrics_csv",
+    MEANS
+    + """select run, cast(step as bigint) as step, 'epoch' as metric, cast(epoch as double) as value from r
+         union all select run, step, 'loss', round(loss, 6) from r union all select run, step, 'val_acc', round(acc, 6) from r
+         union all select run, step, 'val_ploss_game', round(tax, 6) from r where run = 'odd'""",
+)
+def _(spark, sf):
+    """Two runs, the second with a metric more, in another place of the header."""
+    path = stage_path(spark, "metrics-csv")
+    acc = F.avg(F.when(F.col("l_linenumber") > 2, F.col("l_discount"))).alias("val_acc")
+    wide = table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("epoch"), F.col("l_suppkey").alias("global_chunk")).agg(
+        F.avg("l_quantity").alias("loss"), acc, F.avg("l_tax").alias("val_ploss_game")
+    )
+    wide = wide.withColumn("chunk_file", F.concat(F.lit('chunk "'), F.col("epoch").cast("string"), F.lit(', b"')))
+    first = ["epoch", "global_chunk", "chunk_file"]
+    for run, names, odd in (("even", ["loss", "val_acc"], 0), ("odd", ["val_ploss_game", "loss", "val_acc"], 1)):
+        rows = wide.where(F.col("global_chunk") % 2 == odd).select(*first, *names)
+        rows.write.option("header", True).option("escape", '"').csv(f"{path}/{run}")
+    return rounded(logs.read_metrics_csv(spark, [f"{path}/even", f"{path}/odd"]), "value")
+
+
+@query(
+    "read_positions",
+    """select concat('p, "', cast(l_orderkey as varchar), '"') as fen, l_returnflag as "group", cast(l_linenumber % 3 as integer) as true_cls, cast(l_suppkey as varchar) as puzzle_id, null::integer as ply, null::integer as pieces from lineitem
+       union all select concat('c', cast(l_orderkey as varchar)), null, cast(l_linenumber % 3 as integer), null, cast(l_quantity as integer), cast(l_linenumber as integer) from lineitem""",
+)
+def _(spark, sf):
+    lines = table(spark, sf, "lineitem").withColumn("true_cls", (F.col("l_linenumber") % 3).cast("int"))
+    order = F.col("l_orderkey").cast("string")
+    probe = lines.select(F.concat(F.lit('p, "'), order, F.lit('"')).alias("fen"), F.col("l_returnflag").alias("group"), "true_cls", F.col("l_suppkey").alias("puzzle_id"))
+    ply, pieces = F.col("l_quantity").cast("int").alias("ply"), F.col("l_linenumber").alias("pieces")
+    calibration = lines.select(F.concat(F.lit("c"), order).alias("fen"), "true_cls", ply, pieces)
+    paths = []
+    for rows in (probe, calibration):
+        paths.append(stage_path(spark, "positions"))
+        tables.write_positions(rows, paths[-1])
+    return tables.read_positions(spark, paths[0]).unionByName(tables.read_positions(spark, paths[1]))
+
+
+@query(
+    "read_eval_cache",
+    """select cast(p_partkey as varchar) as fen, cast(d as integer) as depth, cast(p_size + d as integer) as cp, p_size / 64.0::double as sf_e from part, (values (12), (20)) v(d)""",
+)
+def _(spark, sf):
+    """Two depths of each key; every key was written twice, the second time with the value that counts."""
+    size = F.col("p_size")
+    kept = [F.struct(F.lit(d).alias("depth"), (size + d).alias("cp"), (size / 64.0).alias("sf_e")) for d in (12, 20)]
+    older = [F.struct(F.lit(d).alias("depth"), (size - d).alias("cp"), F.lit(0.0).alias("sf_e")) for d in (12, 20)]
+    rows = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("fen"), F.explode(F.array(*older, *kept)).alias("x"))
+    path = stage_path(spark, "cache")
+    rows.select("fen", "x.*").write.option("header", True).csv(path)
+    return tables.read_eval_cache(spark, path)
+
+
+@query(
+    "read_gauntlet",
+    """with s as (select cast(user_id as varchar) as label, count(*) as games, count(*) filter (points = 1) as wins, count(*) filter (points = 0.5) as draws, count(*) filter (points = 0) as losses, avg(points) as score from results group by 1)
+       select label, concat('weights/', label) as path, games, wins, draws, losses, round(score, 6) as score,
+         round(case when score <= 0 then -800.0 when score >= 1 then 800.0 else greatest(-800.0, least(800.0, -400 * log10(1 / score - 1))) end, 6) + 0.0 as elo, form
+       from s, (values ('document'), ('lines')) f(form)""",
+    ("results",),
+)
+def _(spark, sf):
+    games = roles.results(spark, sf).withColumn("label", F.col("user_id").cast("string"))
+    record = matches.gauntlet(games).withColumn("path", F.concat(F.lit("weights/"), F.col("label")))
+    documents, lines = stage_path(spark, "records"), stage_path(spark, "record-lines")
+    logs.write_gauntlet(record, lines)
+    entry = F.struct("label", F.struct("label", "path", "games", "wins", "draws", "losses", "score", "elo"))
+    blob = record.groupBy(F.substring("label", 1, 1).alias("file")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    blob.select("file", F.to_json("m", {"pretty": "true"}).alias("value")).write.partitionBy("file").text(documents)
+    whole = logs.read_gauntlet(spark, documents).withColumn("form", F.lit("document"))
+    both = whole.unionByName(logs.read_gauntlet(spark, lines, document=False).withColumn("form", F.lit("lines")))
+    return rounded(both, "score", "elo").withColumn("elo", F.col("elo") + 0.0)
+
+
 @query(
     "read_summary",
     """select concat(l_returnflag, '.', cast(l_linenumber as varchar)) as metric, round(avg(l_quantity), 6) as value, case when l_linestatus = 'F' then 'v1' else 'v2' end as tag

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks import roles
 from checks.base import query, rounded, table
+from curate.sources import logs
 from curate.storage import stage_path
 from curate.streaming import ingest, monitor, progress
 
@@ -69,6 +70,29 @@ def _(spark, sf):
     return out.withColumn("window_start", F.date_format("window_start", SECOND))
 
 
+@query(
+    "read_progress_log",
+    WINDOWS
+    + """, t as (select count(*) as total from events where event_type <> 'error')
+      select strftime(b + interval '20 seconds', '%Y-%m-%d %H:%M:%S') as updated, 12 as depth, 8 as engines, 500 + done_so_far as annotated_total, 500 + total as target_total,
+        total - done_so_far as remaining, round(100 * (500 + done_so_far) / (500 + total)::double, 2) as percent, done_so_far as done_this_run, total as total_this_run, cast(500 as bigint) as cached_before_run,
+        round(done_so_far / elapsed, 2) as rate_pos_per_s, round(elapsed / 3600, 3) as elapsed_hours,
+        round(case when done_so_far > 0 then (total - done_so_far) / (done_so_far / elapsed) / 3600 else 0 end, 3) as eta_hours, errors_so_far as errors,
+        errors_so_far // 10 as engine_restarts, done_so_far = total as run_finished from p, t""",
+)
+def _(spark, sf):
+    events = table(spark, sf, "events")
+    total = events.where("event_type <> 'error'").count()
+    rows = progress.progress(progress.progress_windows(events, "ts", F.col("event_type") == "error"), total, already=500)
+    restarts = F.floor(F.col("errors_so_far") / 10)
+    states = progress.log_state(rows, total, 500, engines=8, restarts=restarts, finished=F.col("done_so_far") == total)
+    path = stage_path(spark, "progress")
+    logs.write_progress_log(states, path)
+    # A job that was stopped in the middle of a line.
+    states.select(F.substring(F.to_json(F.struct("*")), 1, 40).alias("value")).write.mode("append").text(path)
+    return logs.read_progress_log(spark, path)
+
+
 @query(
     "progress_windows",
     WINDOWS + "select strftime(b, '%Y-%m-%d %H:%M:%S') as window_start, done, errors, round(done / 20.0::double, 6) as rate from w",

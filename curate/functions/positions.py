@@ -5,6 +5,8 @@ The board text used below holds 64 characters, a1 b1 .. h8, with '.' for an empt
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,8 +20,19 @@ PLANES = 20
 SQUARES = 64
 
 
-def _field(fen: ColumnLike, i: int) -> Column:
-    return F.get(F.split(col(fen), " +"), F.lit(i))
+@dataclass
+class Parts:
+    """A FEN that is split already, for expressions that look at several fields."""
+
+    fields: Column
+
+
+def split_fen(fen: ColumnLike) -> Column:
+    return F.split(col(fen), " +")
+
+
+def _field(fen: ColumnLike | Parts, i: int) -> Column:
+    return F.get(fen.fields if isinstance(fen, Parts) else split_fen(fen), F.lit(i))
 
 
 def fen_fields(fen: ColumnLike, strict: bool = True) -> Column:
@@ -127,7 +140,7 @@ def encode_planes(fen: ColumnLike) -> Column:
     hot = ["array(" + ",".join("1f" if p == q else "0f" for q in PIECES) + ")" for p in PIECES + "."]
     piece_rows = F.expr("array(" + ",".join(hot) + ")")
 
-    def planes(board: Column) -> Column:
+    def planes(fen: Parts, board: Column) -> Column:
         def as_float(flag: Column) -> Column:
             return F.coalesce(flag, F.lit(False)).cast("float")
 
@@ -160,7 +173,11 @@ def encode_planes(fen: ColumnLike) -> Column:
 
         return let(row, squares)
 
-    return let(board_text(fen, oriented=True), planes)
+    def on_board(fields: Column) -> Column:
+        fen = Parts(fields)
+        return let(board_text(fen, oriented=True), lambda board: planes(fen, board))
+
+    return let(split_fen(fen), on_board)
 
 
 def encode_sample(fen, move_idx, cls, w, d, l, lam: float) -> dict[str, Column]:

@@ -11,6 +11,8 @@ from curate.functions.base import let
 TAGS = ("Event", "Site", "Date", "Round", "White", "Black", "Result")
 RESULTS = ("1-0", "0-1", "1/2-1/2", "*")
 GAME_BREAK = "\n[Event "
+#: A header line after a line of moves, blank lines between them or not.
+NEXT_GAME = r'(\n(?!\[\w+\s+")[^\s][^\n]*)\n\s*(?=\[\w+\s+")'
 HEADER_BLOCK = r"^((?:\s*\[[^\n]*(?:\n|$))*)"
 HEADER = r'(?m)^\[(\w+)\s+"(.*?)"\]\s*$'
 UNKNOWN = "?"
@@ -36,9 +38,10 @@ def _header_map(text: Column) -> Column:
 def read_games(spark: SparkSession, paths) -> DataFrame:
     """One row per game: headers map, result, movetext, file.
 
-    Records end where the next game's first header begins, so files of any size split over tasks. Bytes
-    that are no UTF-8 are replaced; lines starting with % are comments; text without headers or moves is
-    skipped. A result that is none of the four known ones becomes '*'.
+    Files split over tasks at headers named Event; inside such a stretch a game begins at any header after moves. A header
+    block that an Event header interrupts (Event not first) is an error, as its games would be cut apart. Bytes that are no
+    UTF-8 are replaced; lines starting with % are comments; text without headers or moves is skipped. A result that is
+    none of the four known ones becomes '*'.
     """
     raw = spark.read.option("lineSep", GAME_BREAK).text(paths).select(
         F.make_valid_utf8("value").alias("value"), F.col("_metadata.file_path").alias("file")
@@ -49,12 +52,16 @@ def read_games(spark: SparkSession, paths) -> DataFrame:
     text = F.when(F.col("_starts"), clean).otherwise(F.concat(F.lit("[Event "), clean))
     rows = raw.withColumn("_starts", F.ltrim(F.regexp_replace("value", r"(?m)^%.*$", "")).rlike(r'^\s*\[\w+\s+"'))
     rows = rows.where(F.col("_starts") | (headless & F.col("value").rlike(r'^"')))
-    parsed = rows.select(text.alias("text"), "file").withColumn("head", F.regexp_extract("text", HEADER_BLOCK, 1))
+    each = F.split(F.regexp_replace(text, NEXT_GAME, "$1\u0001"), "\u0001")
+    parsed = rows.select(F.explode(each).alias("text"), "file").withColumn("head", F.regexp_extract("text", HEADER_BLOCK, 1))
     games = parsed.select(
         _header_map(F.col("head")).alias("headers"),
         F.trim(F.substring(F.col("text"), F.length("head") + 1, F.length("text")), F.lit(" \n\t")).alias("movetext"),
         "file",
     )
+    torn = (F.size("headers") > 0) & (F.col("movetext") == "") & F.col("headers")["Event"].isNull()
+    wrong = F.raise_error(F.concat(F.lit("headers without moves, or before Event, in "), F.col("file"))).cast("string")
+    games = games.withColumn("movetext", F.when(torn, wrong).otherwise(F.col("movetext")))
     result = F.col("headers")["Result"]
     known = F.when(result.isin(*RESULTS), result).otherwise("*")
     return games.where((F.size("headers") > 0) & (F.col("movetext") != "")).select(

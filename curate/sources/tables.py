@@ -119,6 +119,39 @@ def read_annotations(spark: SparkSession, path) -> DataFrame:
     return dedupe_first(rows, "fen", ["_file", "_block", "_line"]).drop("_file", "_block", "_line")
 
 
+def read_eval_cache(spark: SparkSession, path) -> DataFrame:
+    """(fen, depth, cp, sf_e) of evaluation caches with a header; of a (fen, depth) that stands twice the last line counts."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    rows = raw.select(
+        "fen",
+        F.col("depth").cast("int").alias("depth"),
+        F.col("cp").cast("int").alias("cp"),
+        F.col("sf_e").cast("double").alias("sf_e"),
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        (F.monotonically_increasing_id() % (1 << 33)).alias("_line"),
+    )
+    last = [F.desc("_file"), F.desc("_block"), F.desc("_line")]
+    return dedupe_first(rows, ["fen", "depth"], last).drop("_file", "_block", "_line")
+
+
+def read_positions(spark: SparkSession, path) -> DataFrame:
+    """(fen, group, true_cls, puzzle_id, ply, pieces) of position files of one kind, by their header; columns a kind lacks are NULL."""
+    raw = spark.read.option("header", True).option("escape", '"').csv(path)
+    kinds = {"fen": "string", "group": "string", "true": "int", "puzzle_id": "string", "ply": "int", "pieces": "int"}
+    return raw.select(
+        *[
+            (F.col(c) if c in raw.columns else F.lit(None)).cast(kind).alias("true_cls" if c == "true" else c)
+            for c, kind in kinds.items()
+        ]
+    )
+
+
+def write_positions(df: DataFrame, path: str) -> None:
+    """Write position rows as CSV with a header."""
+    df.withColumnRenamed("true_cls", "true").write.option("header", True).option("escape", '"').csv(path)
+
+
 def shard_of(key: str, shards: int = SHARDS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(shards)).cast("int")
 

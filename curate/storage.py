@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_OWNED: ContextVar[list[str] | None] = ContextVar("owned", default=None)
 
 
 def stage_root(spark: SparkSession) -> str:
@@ -29,7 +33,26 @@ def stage_root(spark: SparkSession) -> str:
 
 def stage_path(spark: SparkSession, name: str) -> str:
     """A fresh path for one staged table."""
-    return f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{stage_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OWNED.get() is not None:
+        _OWNED.get().append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Own what is staged inside the block: it is removed at the end, so results must be written or collected before.
+
+    Without an owner staged tables stay until the shared folder is cleared, as a lazy result may still read them.
+    """
+    mark = _OWNED.set([])
+    try:
+        yield
+    finally:
+        for path in _OWNED.get():
+            p = spark._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+        _OWNED.reset(mark)
 
 
 def stage(df: DataFrame, name: str = "stage") -> DataFrame:

@@ -56,6 +56,30 @@ def progress(windows: DataFrame, total: int, already: int = 0, seconds: int = FL
     )
 
 
+def log_state(rows: DataFrame, total: int, already: int = 0, depth: int = 12, engines: int = 1, restarts: ColumnLike | None = None, finished: ColumnLike | None = None, seconds: int = FLUSH_SECONDS) -> DataFrame:
+    """The states of ``progress`` in the fields of the progress log; ``restarts`` and ``finished`` come from the job."""
+    done = F.col("done_so_far")
+    end = F.timestamp_seconds(F.unix_seconds("window_start") + seconds)
+    return rows.select(
+        F.date_format(end, "yyyy-MM-dd HH:mm:ss").alias("updated"),
+        F.lit(depth).alias("depth"),
+        F.lit(engines).alias("engines"),
+        (already + done).alias("annotated_total"),
+        F.lit(already + total).cast("long").alias("target_total"),
+        F.greatest(F.lit(total) - done, F.lit(0)).alias("remaining"),
+        F.round("percent", 2).alias("percent"),
+        done.alias("done_this_run"),
+        F.lit(total).cast("long").alias("total_this_run"),
+        F.lit(already).cast("long").alias("cached_before_run"),
+        F.round("mean_rate", 2).alias("rate_pos_per_s"),
+        F.round(F.col("elapsed_s") / 3600.0, 3).alias("elapsed_hours"),
+        F.round("eta_hours", 3).alias("eta_hours"),
+        F.col("errors_so_far").alias("errors"),
+        (F.lit(0) if restarts is None else col(restarts)).cast("long").alias("engine_restarts"),
+        (F.lit(False) if finished is None else col(finished)).alias("run_finished"),
+    )
+
+
 def replay_windows(df: DataFrame, iteration: str, measures: dict[str, tuple[str, Column]], size: int = REPLAY_SIZE) -> DataFrame:
     """Aggregates over the last ``size`` iterations, for each window end. Measures are (sum|min|max, column).
 

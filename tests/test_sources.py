@@ -46,6 +46,36 @@ def test_read_games(spark, tmp_path):
     assert got[1].headers["White"] == "C" and got[1].result == "*" and got[1].moves == ["d4"]
 
 
+def test_games_may_begin_with_any_header(spark, tmp_path):
+    one = '[Site "a"]\n[Round "1"]\n\n1. e4 {[%clk 0:01]\n[%eval 0.1]} e5 1-0\n\n[Site "b"]\n\n1. d4 *\n[Event "c"]\n\n1. c4 *\n[White "d"]\n1. f4 *\n'
+    got = games.with_moves(games.read_games(spark, write(tmp_path, "s.pgn", one))).collect()
+    assert sorted(next(iter(r.headers.values())) + r.moves[0] for r in got) == ["ae4", "bd4", "cc4", "df4"]
+    assert {tuple(sorted(r.headers)) for r in got} == {("Round", "Site"), ("Site",), ("Event",), ("White",)}
+
+
+def test_headers_before_event_are_an_error(spark, tmp_path):
+    path = write(tmp_path, "t.pgn", '[Event "a"]\n\n1. e4 *\n\n[Site "x"]\n[Event "b"]\n\n1. d4 *\n')
+    with pytest.raises(Exception, match="before Event"):
+        games.read_games(spark, path).collect()
+
+
+def test_metric_files_with_different_headers(spark, tmp_path):
+    write(tmp_path, "a/metrics.csv", "epoch,global_chunk,chunk_file,loss,acc\r\n0,1,c.npz,0.5,\r\n0,2,\"c, d\",0.25,0.75\r\n")
+    write(tmp_path, "b/metrics.csv", "epoch,global_chunk,val_loss\n1,7,3.5\n1,8")
+    got = rows(logs.read_metrics_csv(spark, [str(tmp_path / "a"), str(tmp_path / "b")]).where("metric <> 'epoch'").fillna(-1.0))
+    assert got == [("a", 1, "acc", -1.0), ("a", 1, "loss", 0.5), ("a", 2, "acc", 0.75), ("a", 2, "loss", 0.25), ("b", 7, "val_loss", 3.5), ("b", 8, "val_loss", -1.0)]
+    write(tmp_path, "c/metrics.csv", "0,1,0.5\n")
+    with pytest.raises(Exception, match="not one header"):
+        logs.read_metrics_csv(spark, str(tmp_path / "c")).collect()
+
+
+def test_a_cut_off_match_record_is_an_error(spark, tmp_path):
+    record = '{\n  "v2": {"elo": 10.0, "games": 2, "label": "v2", "wins": 1, "draws": 1, "losses": 0, "path": "w", "score": 0.75}'
+    assert rows(logs.read_gauntlet(spark, write(tmp_path, "good.json", record + "\n}\n"))) == [("v2", "w", 2, 1, 1, 0, 0.75, 10.0)]
+    with pytest.raises(Exception, match="[Mm]alformed"):
+        logs.read_gauntlet(spark, write(tmp_path, "bad.json", record[:-30])).collect()
+
+
 def test_read_games_without_leading_comments_and_over_splits(spark, tmp_path):
     one = '[Event "e{0}"]\r\n[Result "1/2-1/2"]\r\n\r\n1. e4 e5 1/2-1/2\r\n\r\n'
     path = write(tmp_path, "b.pgn", "".join(one.replace("{0}", str(i)) for i in range(500)))

@@ -1,3 +1,5 @@
+import os
+
 from pyspark.sql import functions as F
 
 from curate.plans.training_set import annotation_worklist, build_training_set
@@ -32,3 +34,16 @@ def test_build_training_set(spark, tmp_path):
     assert got.where((F.size("planes") != 1280) | (F.col("policy_weight") != F.col("move_idx").isNotNull().cast("double"))).count() == 0
     todo = annotation_worklist(routed, ann, ["rid"])
     assert todo.where("rid % 2 = 0").count() == 0 and todo.where("rid >= 70").count() == 0
+
+
+def test_staged_tables_go_with_their_owner(spark, tmp_path):
+    from curate.operators.ranking import ordered_rank
+    from curate.storage import stage_path, staging
+
+    kept = stage_path(spark, "kept")
+    spark.range(3).write.parquet(kept)
+    root = os.path.dirname(kept.removeprefix("file:"))
+    before = set(os.listdir(root))
+    with staging(spark):
+        ordered_rank(spark.range(50), [], ["id"]).write.parquet(str(tmp_path / "ranked"))
+    assert set(os.listdir(root)) == before and spark.read.parquet(str(tmp_path / "ranked")).count() == 50
