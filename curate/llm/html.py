@@ -332,6 +332,8 @@ CHROME_WORDS = (
     "tags toolbar widget hidden"
 ).split()
 MAIN_WORDS = "article content entry post story body main text".split()
+#: Where a block of main text may stand besides its own element.
+MAIN_LEAVES = [t.split() for t in ("ul li", "ol li", "blockquote p", "table tr td", "table tr th", "dl dd", "pre", "figure figcaption", "h2", "h3")]
 
 
 def weak_labels(page: list[Block]) -> np.ndarray:
@@ -369,8 +371,9 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
             chrome((new,) if main and main[0] < k <= main[-1] else ())
         if labels[k]:
             path = tuple(new if t in MAIN else (t, n) for t, n in block.path)
-            if draw.random() < 0.15:
-                path = path + ((("ul", ()), ("li", ())) if draw.random() < 0.5 else (("blockquote", ()),))
+            if draw.random() < 0.25:
+                other = MAIN_LEAVES[draw.integers(len(MAIN_LEAVES))]
+                path = (path if path[-1] == new else path[:-1]) + tuple((t, ()) for t in other)
             text = block.text
             if draw.random() < 0.25:  # fragments and headings
                 text = " ".join(text.split(" ")[: int(draw.integers(1, 4))])

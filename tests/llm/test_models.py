@@ -102,6 +102,14 @@ def test_another_template(net):
     assert html.main_texts(net, [page]) == ["The title\n\nA first paragraph, with words.\n\nSecond & last <one>. It ends here."]
 
 
+def test_main_text_in_tables_headings_and_lists(net):
+    page = """<html><body><header><h2>Site</h2><nav><a href=/a>Home</a></nav></header><div class="post-body"><h1>A title of words</h1><p>First of all, the words of a paragraph. More of them follow.</p>
+    <h2>Between</h2><table><tr><td>one cell</td><td>two</td></tr></table><ul><li>an entry of the list</li></ul><pre>plain   words</pre><p>And, at the end, more words of it.</p></div>
+    <aside><p>Read on elsewhere, please.</p></aside><footer>&copy; x</footer></body></html>"""
+    want = ["A title of words", "First of all, the words of a paragraph. More of them follow.", "Between", "one cell", "two", "an entry of the list", "plain words", "And, at the end, more words of it."]
+    assert html.main_texts(net, [page]) == ["\n\n".join(want)]
+
+
 def test_blocks_of_broken_markup():
     texts = lambda page: [b.text for b in html.blocks(page)]
     assert texts("a < b <p>c<!-- x --> d<br>e<p>f &am") == ["a < b", "c d e", "f &am"]
