@@ -114,14 +114,6 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
              1 / (1 + pow(10.0, -s.best_cp / 400.0)) - 1 / (1 + pow(10.0, -s.cp / 400.0)) as esc_loss
            from choices c join suite s on s.position = c.position and s.move = c.move""",
     ),
-    "scored_once": (
-        ("scored",),
-        """select * from (select *, row_number() over (partition by cell, milestone, position order by rid) as _rn from scored) x where _rn = 1""",
-    ),
-    "scored_cell": (
-        ("scored",),
-        """select * from (select *, row_number() over (partition by cell, position order by rid) as _rn from scored) x where _rn = 1""",
-    ),
     "edges": (
         (),
         """select l_orderkey as position, concat_ws('-', l_linenumber, l_partkey, l_suppkey, cast(round(l_extendedprice * 100) as bigint)) as move, cast(l_quantity as bigint) as n, l_discount as p from lineitem""",

@@ -51,10 +51,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     label = F.when(F.col("p_size") > 40, F.col("p_type")).otherwise(F.col("p_size").cast("string"))
-    ordered = matches.order_labels(table(spark, sf, "part").select(label.alias("label")).distinct())
-    # The sort is global, so the place of a row is its number in the sorted frame.
-    places = ordered.coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
-    return places.select("label", "place")
+    return matches.order_labels(table(spark, sf, "part").select(label.alias("label")).distinct(), place="place")
 
 
 ANCHORS = """with m as (select n_name, 1400 + 100 * (o_orderkey % 10) as anchor, count(*) as n, sum(case o_orderstatus when 'F' then 1.0::double when 'O' then 0.0::double else 0.5::double end) as pts
@@ -66,6 +63,11 @@ ANCHORS = """with m as (select n_name, 1400 + 100 * (o_orderkey % 10) as anchor,
 """
 
 
+# One step from the ratings of step {1}, and the standard error there.
+STEP = """s{0} as (select n_name, any_value(r) + sum(pts - n * e) / (ln(10) / 400 * sum(n * e * (1 - e))) as r, 1 / (ln(10) / 400 * sqrt(sum(n * e * (1 - e)))) as se
+    from (select m.*, r, 1 / (1 + pow(10.0::double, (anchor - r) / 400.0::double)) as e from m join s{1} using (n_name)) x group by n_name)"""
+
+
 def anchored(spark, sf):
     orders, customer, nation = (table(spark, sf, t) for t in ("orders", "customer", "nation"))
     status = F.col("o_orderstatus")
@@ -84,7 +86,8 @@ def anchored(spark, sf):
     "anchored_elo",
     ANCHORS
     + """select grid.n_name, games, points, cast(arg_max(r, grid.ll) as integer) as rating, cast(min(r) filter (where grid.ll >= best.ll - 1.92) as integer) as ci_low,
-      cast(max(r) filter (where grid.ll >= best.ll - 1.92) as integer) as ci_high
+      cast(max(r) filter (where grid.ll >= best.ll - 1.92) as integer) as ci_high,
+      min(r) filter (where grid.ll >= best.ll - 1.92) = 0 or max(r) filter (where grid.ll >= best.ll - 1.92) = 4000 as at_edge
     from grid join best on best.n_name = grid.n_name join total on total.n_name = grid.n_name group by grid.n_name, games, points""",
 )
 def _(spark, sf):
@@ -94,14 +97,13 @@ def _(spark, sf):
 @query(
     "anchored_elo_newton",
     ANCHORS
-    + """select grid.n_name, true as near from grid join best on best.n_name = grid.n_name group by grid.n_name""",
+    + f""", s0 as (select n_name, cast(arg_max(r, ll) as double) as r from grid group by n_name),
+  {STEP.format(1, 0)}, {STEP.format(2, 1)}, {STEP.format(3, 2)}
+select n_name, round(r, 6) as rating, round(se, 6) as std_error from s3""",
 )
 def _(spark, sf):
-    """The exact maximum lies within one point of the grid's."""
-    rows = anchored(spark, sf)
-    exact = matches.anchored_elo(rows, "n_name", method="newton").select("n_name", F.col("rating").alias("exact"))
-    grid = matches.anchored_elo(rows, "n_name").select("n_name", "rating")
-    return exact.join(grid, "n_name").select("n_name", (F.abs(F.col("exact") - F.col("rating")) <= 1.0).alias("near"))
+    """Against three Newton steps from the best of the grid."""
+    return rounded(matches.anchored_elo(anchored(spark, sf), "n_name", method="newton"), "rating", "std_error")
 
 
 @query(

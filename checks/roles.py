@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from checks.base import table
 from curate.functions.labels import wdl_class
 from curate.operators.joins import score_choice
-from curate.operators.ranking import dedupe_first
 from curate.sources.suites import suite_moves
 
 HOUR = 3600
@@ -134,11 +133,6 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     return score_choice(choices(spark, sf).join(kept, "position", "left_semi"), s)
 
 
-def scored_once(spark: SparkSession, sf: str) -> DataFrame:
-    """One scored row per (cell, milestone, position): the first by row id."""
-    return dedupe_first(scored(spark, sf), ["cell", "milestone", "position"], ["rid"])
-
-
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     move = [F.col("l_linenumber"), F.col("l_partkey"), F.col("l_suppkey"), cents]

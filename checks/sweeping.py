@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from checks import roles
 from checks.base import query, r6, rounded
 from curate.operators import joins, sweeps
-from curate.operators.ranking import dedupe_first
 from curate.storage import stage
 
 ONE = "avg(case when {0} then 1.0::double else 0.0::double end)"
@@ -67,28 +66,33 @@ def _(spark, sf):
     return sweeps.best_cell_trend(rounded(sweeps.cell_metrics(roles.scored(spark, sf)), *NUMBERS))
 
 
-PAIRS = """with pairs as (select a.cell, a.rid, a.milestone, a.position, a.cp_loss, b.cp_loss as base_value, a.cp_loss - b.cp_loss as delta
-  from scored_once a join scored_once b on b.cell = 'c0' and a.cell <> 'c0' and b.milestone = a.milestone and b.position = a.position)
-"""
+BASE = "select milestone, position, avg(cp_loss) as base_value from scored where cell = 'c0' group by milestone, position"
 
 
 def stored(spark, sf):
     """The scored sweep as a table: pairing reads it once for the baseline and once for the other cells."""
-    return stage(roles.scored_once(spark, sf).select("rid", "cell", "milestone", "position", "cp_loss"), "scored")
+    return stage(roles.scored(spark, sf).select("rid", "cell", "milestone", "position", "cp_loss"), "scored")
 
 
-@query("paired", PAIRS + "select rid, cell, base_value, delta from pairs", ("scored_once",))
+@query(
+    "paired",
+    f"""select rid, cell, round(base_value, 6) as base_value, round(cp_loss - base_value, 6) + 0.0 as delta
+       from scored join ({BASE}) b using (milestone, position) where cell <> 'c0'""",
+    ("scored",),
+)
 def _(spark, sf):
     out = joins.paired(stored(spark, sf), "c0", on=["milestone", "position"])
-    return out.select("rid", "cell", "base_value", "delta")
+    return rounded(out.select("rid", "cell", "base_value", "delta"), "base_value", "delta")
 
 
 @query(
     "paired_delta",
-    PAIRS
-    + """select cell, count(*) as npair, round(avg(delta), 6) + 0.0 as mean_delta, count(*) filter (where delta < 0) as better, count(*) filter (where delta > 0) as worse,
-      count(*) filter (where delta = 0) as tie from pairs group by cell""",
-    ("scored_once",),
+    f"""select cell, count(*) as npair, round(avg(delta), 6) + 0.0 as mean_delta, count(*) filter (where delta < 0) as better, count(*) filter (where delta > 0) as worse,
+      count(*) filter (where delta = 0) as tie
+    from (select cell, v - base_value as delta
+          from (select cell, milestone, position, avg(cp_loss) as v from scored where cell <> 'c0' group by all) a join ({BASE}) b using (milestone, position)) x
+    group by cell""",
+    ("scored",),
 )
 def _(spark, sf):
     out = sweeps.paired_delta(stored(spark, sf), "c0", on=["milestone", "position"])
@@ -114,12 +118,13 @@ def _(spark, sf):
 @query(
     "disagreements",
     """select position, cast(count(distinct move) as bigint) as n_moves, string_agg(concat(cell, '=', move, '(r', cast(rank as varchar), ',', cast(cp_loss as varchar), 'cp)'), ' ' order by cell) as choices
-       from scored_cell group by position having count(distinct move) > 1""",
-    ("scored_cell",),
+       from (select *, row_number() over (partition by position, cell order by n desc, move) as nth
+             from (select position, cell, move, count(*) as n, min(rank) as rank, min(cp_loss) as cp_loss from scored group by position, cell, move) c) x
+       where nth = 1 group by position having count(distinct move) > 1""",
+    ("scored",),
 )
 def _(spark, sf):
-    once = dedupe_first(roles.scored(spark, sf), ["cell", "position"], ["rid"])
-    out = sweeps.disagreements(once, config="cell")
+    out = sweeps.disagreements(roles.scored(spark, sf), config="cell")
     shown = F.transform(
         F.map_entries("choices"),
         lambda e: F.concat(

@@ -113,11 +113,13 @@ def score_choice(
 def paired(df: DataFrame, baseline: str, cell: str = "cell", on="position", value: str = "cp_loss") -> DataFrame:
     """Every other cell's rows next to the baseline's value on the same position; common positions only.
 
-    One row per (cell, position...) is expected; a repeated row would be a repeated measurement.
+    Rows without a value pair with nothing. Repeated measurements of the baseline on a position count as their mean;
+    those of the other cells are rows of their own.
     """
     on = cols(on)
-    base = df.where(F.col(cell) == baseline).select(*on, F.col(value).alias("base_value"))
-    others = df.where(F.col(cell) != baseline)
+    known = df.where(F.col(value).isNotNull())
+    base = known.where(F.col(cell) == baseline).groupBy(*on).agg(F.avg(value).alias("base_value"))
+    others = known.where(F.col(cell) != baseline)
     joined = join_unique(others, base, on, "inner")
     return joined.withColumn("delta", F.col(value) - F.col("base_value"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from curate.functions.base import ColumnLike, col, cols
 from curate.functions.scores import elo_diff, phase, win_advantage
+from curate.operators.ranking import ordered_rank
 from curate.operators.skew import running
 
 # Fixed values.
@@ -49,10 +50,11 @@ def match_summary(df: DataFrame, by, score: str = "points") -> DataFrame:
     return summary.withColumn("verdict", verdict)
 
 
-def order_labels(df: DataFrame, label: str = "label") -> DataFrame:
-    """Digit labels by their number, then the other labels in text order."""
+def order_labels(df: DataFrame, label: str = "label", place: str | None = None) -> DataFrame:
+    """Digit labels by their number, then the other labels in text order; ``place`` names a column for their place from 1."""
     numeric = F.col(label).rlike("^[0-9]+$")
-    return df.orderBy(numeric.desc(), F.when(numeric, F.col(label)).try_cast("long"), label)
+    order = [numeric.desc(), F.when(numeric, F.col(label)).try_cast("long").asc(), F.col(label).asc()]
+    return df.orderBy(*order) if place is None else ordered_rank(df, [], order, place)
 
 
 def gauntlet(df: DataFrame, label: str = "label", score: str = "points", cap: float = ELO_CAP) -> DataFrame:
@@ -108,10 +110,11 @@ def anchored_elo(
     """One rating per player by the logistic likelihood of its results against rated anchors.
 
     method "grid": best grid rating, and the interval of grid ratings whose log-likelihood is within
-    1.92 of the best. The likelihood is concave, so a coarse grid brackets the maximum and both interval
+    1.92 of the best; ``at_edge`` marks intervals that the grid's ends may have cut. The likelihood is concave, so a coarse grid brackets the maximum and both interval
     ends, and the fine grid is evaluated inside the brackets only; the result is that of the full grid.
     method "newton": the exact maximum and its curvature standard error, solved per player in pandas over
-    at most one row per anchor; NULL for all-win and all-loss records, which have no finite maximum.
+    at most one row per anchor; NULL for all-win and all-loss records, which have no finite maximum, and
+    where the steps do not settle.
     """
     by = cols(by)
     totals = anchor_totals(df, by, anchor, score)
@@ -146,7 +149,7 @@ def anchored_elo(
             "_highs": _curve(F.least(high_from, high_to), high_to, step),
         }
     )
-    return interval.select(
+    rows = interval.select(
         *by,
         "games",
         "points",
@@ -154,6 +157,8 @@ def anchored_elo(
         F.array_min(_ratings(F.filter("_lows", lambda c: c["ll"] >= cut))).alias("ci_low"),
         F.array_max(_ratings(F.filter("_highs", lambda c: c["ll"] >= cut))).alias("ci_high"),
     )
+    last = low + (high - low) // step * step
+    return rows.withColumn("at_edge", (F.col("ci_low") == low) | (F.col("ci_high") == last))
 
 
 def _ratings(curve: Column) -> Column:
@@ -177,9 +182,9 @@ def _newton(totals: DataFrame, by: list[str], anchor: str) -> DataFrame:
             curvature = slope**2 * (games * expected * (1.0 - expected)).sum()
             move = max(-400.0, min(400.0, gradient / curvature))
             rating += move
-            if abs(move) < 1e-10:
-                break
-        return keys.assign(rating=rating, std_error=curvature**-0.5)
+            if abs(move) < 1e-10 * max(1.0, abs(rating)):
+                return keys.assign(rating=rating, std_error=curvature**-0.5)
+        return keys.assign(rating=float("nan"), std_error=float("nan"))
 
     solved = totals.groupBy(*by).applyInPandas(solve, schema)
     return solved.withColumns({c: F.nanvl(c, F.lit(None).cast("double")) for c in ("rating", "std_error")})

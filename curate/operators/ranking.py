@@ -36,7 +36,7 @@ def seeded_rank(
     by,
     key,
     seed: int,
-    keep: DataFrame | None = None,
+    keep: DataFrame | int | None = None,
     histogram: DataFrame | None = None,
     digits: int = DIGITS,
     name: str = "rank",
@@ -46,7 +46,7 @@ def seeded_rank(
     Each group is cut by the first hex digits of the hash: the rank is the number of rows with a lower
     prefix plus the rank inside the prefix. Hashes are uniform, so the parts are even however large one
     group is: a window holds about a 4096th of its group (3 digits; 4 digits from some 10^12 rows on).
-    With ``keep`` (by..., keep: one row per group, other groups are dropped) only ranks up to it are
+    With ``keep`` (one number, or by..., keep: one row per group, other groups are dropped) only ranks up to it are
     returned; prefixes beyond it, and groups without it, go before the shuffle. ``key`` must identify a
     row. ``digits`` must be the histogram's.
     """
@@ -55,7 +55,11 @@ def seeded_rank(
     lower = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     below = sizes.select(*by, "_bucket", F.coalesce(F.sum("_size").over(lower), F.lit(0)).alias("_below"))
     if keep is not None:
-        below = null_safe(below, keep.select(*by, F.col("keep").alias("_keep")), by).where("_below < _keep")
+        if isinstance(keep, int):
+            below = below.withColumn("_keep", F.lit(keep))
+        else:
+            below = null_safe(below, keep.select(*by, F.col("keep").alias("_keep")), by)
+        below = below.where("_below < _keep")
     # At most groups x 16^digits narrow rows, whatever the size of df.
     placed = null_safe(_buckets(df, key, seed, digits), F.broadcast(below), [*by, "_bucket"])
     inside = Window.partitionBy(*by, "_bucket").orderBy("_key", *cols(key))

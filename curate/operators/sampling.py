@@ -141,8 +141,7 @@ def sample_per_group(
 
 
 def _seeded_cap(df: DataFrame, cls: str, key, seed: int, n: int) -> DataFrame:
-    keep = df.select(cls).distinct().withColumn("keep", F.lit(n))
-    return seeded_rank(df, cls, key, seed, keep).drop("rank")
+    return seeded_rank(df, cls, key, seed, n).drop("rank")
 
 
 def head_per_group(df: DataFrame, group: str, quotas: dict, order: list[str]) -> DataFrame:
@@ -195,21 +194,19 @@ def epoch_order(
 def replay_sample(df: DataFrame, iteration: str, key, iters: int = REPLAY_ITERATIONS, k: int = REPLAY_ROWS, seed: int = SEED) -> DataFrame:
     """k rows, uniform over the last ``iters`` iterations; with replacement only where the window holds fewer.
 
-    Adds ``draw`` 0..k-1. Short windows (fewer than k rows) are numbered in one task, as k bounds them.
+    Adds ``draw`` 0..k-1.
     """
     last = df.agg(F.max(iteration).alias("_last")).first()["_last"]
     if last is None:
         return df.withColumn("draw", F.lit(0)).limit(0)
     recent = df.where(F.col(iteration) > last - iters)
     n = recent.count()
-    keyed = recent.withColumn("_key", seeded_key(seed, *cols(key)))
-    numbered = Window.orderBy("_key", *cols(key))
+    ranked = seeded_rank(recent, [], key, seed, k if n >= k else None, name="_rank")
     if n >= k:
-        top = keyed.orderBy("_key", *cols(key)).limit(k)
-        return top.withColumn("draw", F.row_number().over(numbered) - 1).drop("_key")
-    rows = keyed.withColumn("_row", F.row_number().over(numbered) - 1).drop("_key")
+        return ranked.withColumn("draw", (F.col("_rank") - 1).cast("int")).drop("_rank")
+    rows = ranked.withColumn("_row", F.col("_rank") - 1).drop("_rank")
     draws = df.sparkSession.range(k).select(F.col("id").cast("int").alias("draw"))
-    return draws.withColumn("_row", seeded_int(seed + 1, n, "draw")).join(F.broadcast(rows), "_row").drop("_row")
+    return draws.withColumn("_row", seeded_int(seed + 1, n, "draw").cast("long")).join(rows, "_row").drop("_row")
 
 
 def unique_sequences(df: DataFrame, moves: str, order: list, n: int | None = None) -> DataFrame:

@@ -4,9 +4,8 @@ Two tools carry the rest of the package:
 
 * ``join_unique`` attaches one row per key to many rows per key, in a form whose hot partitions
   adaptive execution can split.
-* ``running`` is a running aggregate over an integer order. Windows are cut into segments of
-  ``SPAN`` order values, so none holds more than that many rows of a key; the result of the earlier
-  segments is added by a join on one row per (key, segment).
+* ``running`` is a running aggregate over an integer order. Windows are cut into segments of about
+  ``SPAN`` rows; the result of the earlier segments is added by a join on one row per (key, segment).
 """
 
 from __future__ import annotations
@@ -92,21 +91,42 @@ def _combine(how: str, a: Column, b: Column) -> Column:
     return F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)) if how == "count" else F.coalesce(a + b, a, b)
 
 
+def _width(by: list[str], df: DataFrame, order: str, span: int) -> DataFrame:
+    """(by..., _n, _lo, _width): where the orders of a group begin, and how many order values hold ``span`` rows on average."""
+    ends = df.groupBy(*by).agg(
+        F.count(order).alias("_n"), F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi")
+    )
+    step = F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.col("_n"), F.lit(1)))
+    return ends.select(*by, "_n", F.col("_lo"), (step * span).alias("_width"))
+
+
+def _segments(df: DataFrame, key: list[str], order: str, span: int) -> DataFrame:
+    """Add ``_seg``, a struct that sorts like the order inside a key.
+
+    First by the key's mean step; a segment that orders crowd into is cut again by its own mean step.
+    """
+
+    def place(name: str):
+        return F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).alias(name)
+
+    coarse = null_safe(df, _width(key, df, order, span), key, "left").select(*df.columns, place("_s1"))
+    by = [*key, "_s1"]
+    crowded = _width(by, coarse, order, span).where(F.col("_n") > 2 * span).drop("_n")
+    fine = null_safe(coarse, crowded, by, "left")
+    second = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.col("_width")), F.lit(0)).alias("s2")
+    return fine.withColumn("_seg", F.struct(F.col("_s1").alias("s1"), second)).drop("_s1", "_lo", "_width")
+
+
 def running(df: DataFrame, key, order: str, measures: dict[str, tuple[str, Column]], span: int = SPAN) -> DataFrame:
     """Add running aggregates from the first row of the key up to the current row.
 
     ``order`` is an integer column, unique within the key. ``measures`` maps a new column name to
     (sum | count | min | max, column). Segments are as wide as the key's mean step asks for, so orders with
-    large steps (times, say) are cut into as few segments as dense ones.
+    large steps (times, say) are cut into as few segments as dense ones; segments that turn out crowded are
+    cut once more.
     """
     key = cols(key)
-    ends = df.groupBy(*key).agg(
-        F.count(order).alias("_n"), F.min(order).cast("double").alias("_lo"), F.max(order).cast("double").alias("_hi")
-    )
-    step = F.greatest(F.lit(1.0), (F.col("_hi") - F.col("_lo") + 1) / F.greatest(F.col("_n"), F.lit(1)))
-    ends = ends.select(*key, F.col("_lo"), (step * span).alias("_width"))
-    cut = null_safe(df, ends, key, "left").withColumn("_seg", F.floor((F.col(order) - F.col("_lo")) / F.col("_width")))
-    cut = cut.drop("_lo", "_width")
+    cut = _segments(df, key, order, span)
     local = Window.partitionBy(*key, "_seg").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     rows = cut.withColumns({n: _LOCAL[how](c).over(local) for n, (how, c) in measures.items()})
     per_segment = cut.groupBy(*key, "_seg").agg(*[_LOCAL[how](c).alias(f"_{n}") for n, (how, c) in measures.items()])

@@ -39,8 +39,12 @@ def cell_metrics(df: DataFrame, by=("cell", "milestone"), cap: int = CP_CAP) ->
 
 
 def paired_delta(df: DataFrame, baseline: str, cell: str = "cell", on="position", value: str = "cp_loss") -> DataFrame:
-    """Per cell against the baseline on common positions: pairs, mean delta, better / worse / tie; best first."""
-    pairs = paired(df, baseline, cell, on, value)
+    """Per cell against the baseline on common positions: pairs, mean delta, better / worse / tie; best first.
+
+    A pair is a (cell, position): repeated measurements are averaged first.
+    """
+    means = df.groupBy(cell, *cols(on)).agg(F.avg(value).alias(value))
+    pairs = paired(means, baseline, cell, on, value)
     out = pairs.groupBy(cell).agg(
         F.count(F.lit(1)).alias("npair"),
         F.avg("delta").alias("mean_delta"),
@@ -97,13 +101,19 @@ def throughput(df: DataFrame, config: str = "batch", cap: int = CP_CAP) -> DataF
 def disagreements(df: DataFrame, position: str = "position", config: str = "batch", move: str = "move", details=("rank", "cp_loss")) -> DataFrame:
     """Positions on which the configurations chose different moves, with each one's choice.
 
-    Needs one row per (position, configuration); a position's list is then as long as the list of
-    configurations. Positions without disagreement are dropped before any list is built.
+    A configuration that was measured repeatedly on a position chose its most frequent move there (of equals the
+    least), with the least details. A position's list is thus as long as the list of configurations. Positions
+    without disagreement are dropped before any list is built; rows without a move count for nothing.
     """
-    span = df.groupBy(position).agg(F.min(move).alias("_a"), F.max(move).alias("_b"))
+    seen = df.where(F.col(move).isNotNull()).groupBy(position, config, move)
+    seen = seen.agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*details)).alias("_d"))
+    best = F.min(F.struct((-F.col("_n")).alias("n"), F.col(move).alias("m"), F.col("_d").alias("d")))
+    chosen = seen.groupBy(position, config).agg(best.alias("_best"))
+    chosen = chosen.select(position, config, F.col("_best.m").alias(move), *[F.col(f"_best.d.{c}").alias(c) for c in details])
+    span = chosen.groupBy(position).agg(F.min(move).alias("_a"), F.max(move).alias("_b"))
     differ = span.where(F.col("_a") != F.col("_b")).select(position)
     entry = F.struct(config, F.struct(move, *details).alias("choice"))
-    rows = df.join(differ, position, "left_semi")
+    rows = chosen.join(differ, position, "left_semi")
     return rows.groupBy(position).agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("choices"),
         F.count_distinct(move).alias("n_moves"),

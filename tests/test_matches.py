@@ -92,6 +92,19 @@ def test_newton_without_a_finite_maximum(spark):
         matches.anchored_elo(df, "player", method="other")
 
 
+def test_intervals_at_the_ends_of_the_grid_are_marked(spark):
+    df = anchored(spark, {"v4": V4, "all": [(5, 0, 0)] * 10, "none": [(0, 0, 5)] * 10})
+    got = {r.player: r.at_edge for r in matches.anchored_elo(df, "player").collect()}
+    assert got == {"v4": False, "all": True, "none": True}
+
+
+def test_places_of_labels(spark):
+    df = spark.createDataFrame([("10",), ("9",), ("b",), ("a",), (None,)], "label string")
+    got = {r.label: r.place for r in matches.order_labels(df, place="place").collect()}
+    assert [got[x] for x in ("9", "10", "a", "b")] in ([1, 2, 3, 4], [1, 2, 4, 5]) and sorted(got.values()) == [1, 2, 3, 4, 5]
+    assert [r.label for r in matches.order_labels(df.dropna()).collect()] == ["9", "10", "a", "b"]
+
+
 def test_running_score_and_report(spark):
     report = match_report(games(spark, {"a": (1, 1, 1)}), "label", "game")
     got = report.progress.orderBy("game").select("points_so_far", "games_so_far", "score_so_far").collect()

@@ -91,3 +91,24 @@ def test_cut_off_documents_are_errors(spark, tmp_path):
     for read in (suites.read_suite, suites.read_sweep):
         with pytest.raises(Exception, match="(?i)malformed"):
             read(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("span", [3, 50])
+def test_running_where_orders_crowd(spark, span):
+    """Nearly all orders stand close together, one far away: the crowded segment is cut again."""
+    orders = [*range(200), 10**15]
+    df = spark.createDataFrame([(k, o) for o in orders for k in (1, 2)], "k int, o long")
+    cut = skew._segments(df, ["k"], "o", span)
+    assert cut.groupBy("k", "_seg").count().agg(F.max("count")).first()[0] <= 2 * span
+    got = skew.running(df, "k", "o", {"n": ("count", F.lit(1)), "m": ("max", F.col("o"))}, span=span).collect()
+    assert sorted((r["k"], r["o"], r["n"], r["m"]) for r in got) == [(k, o, i + 1, o) for k in (1, 2) for i, o in enumerate(orders)]
+
+
+def test_repeated_measurements_count_as_one(spark):
+    made = [("b", 1, 10), ("b", 1, 20), ("x", 1, 5), ("x", 1, 7), ("x", 2, 9), ("x", 1, None), ("b", 2, None)]
+    df = spark.createDataFrame(made, "cell string, position int, cp_loss int")
+    one = sweeps.paired_delta(df, "b").collect()
+    assert [(r["cell"], r["npair"], r["mean_delta"], r["better"]) for r in one] == [("x", 1, -9.0, 1)]
+    chosen = [("a", "p", m, 1, 0) for m in ("e4", "d4", "d4")] + [("b", "p", "e4", 2, 5), ("b", "p", None, 1, 0), ("a", "q", "e4", 1, 0), ("a", "q", "d4", 1, 0)]
+    rows = sweeps.disagreements(spark.createDataFrame(chosen, "batch string, position string, move string, rank int, cp_loss int")).collect()
+    assert [(r["position"], r["n_moves"], {k: v["move"] for k, v in r["choices"].items()}) for r in rows] == [("p", 2, {"a": "d4", "b": "e4"})]
