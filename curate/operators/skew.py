@@ -109,9 +109,11 @@ def _segments(df: DataFrame, key: list[str], order: str, span: int) -> DataFrame
     def place(name: str):
         return F.floor((F.col(order) - F.col("_lo")) / F.col("_width")).alias(name)
 
-    coarse = null_safe(df, _width(key, df, order, span), key, "left").select(*df.columns, place("_s1"))
-    by = [*key, "_s1"]
-    crowded = _width(by, coarse, order, span).where(F.col("_n") > 2 * span).drop("_n")
+    ends, by = _width(key, df, order, span), [*key, "_s1"]
+    # Only keys of more rows can have a crowded segment: where there are none, adaptive execution drops this branch.
+    large = null_safe(df.select(*dict.fromkeys([*key, order])), ends.where(F.col("_n") > 2 * span), key)
+    crowded = _width(by, large.select(*key, order, place("_s1")), order, span).where(F.col("_n") > 2 * span).drop("_n")
+    coarse = null_safe(df, ends, key, "left").select(*df.columns, place("_s1"))
     fine = null_safe(coarse, crowded, by, "left")
     second = F.coalesce(F.floor((F.col(order) - F.col("_lo")) / F.col("_width")), F.lit(0)).alias("s2")
     return fine.withColumn("_seg", F.struct(F.col("_s1").alias("s1"), second)).drop("_s1", "_lo", "_width")
