@@ -1,25 +1,26 @@
 """Signature rules: label | keyword | regular expression, on ASCII-lower-cased text; a blank stands for white space.
 
 Three tables by priority: exact identifiers and addresses, names of licences, and general clues. A rule is tried
-only on texts that contain its keyword.
+only on texts that contain its keyword, so every text that the expression matches must contain it: a keyword holds no
+blank (the expression takes any white space there) and stands in each alternative; else the rule is split.
 """
 
 from __future__ import annotations
 
 #: What any text must contain to be looked at; every keyword of a rule holds one of them.
-GATES = ("licen", "copyright", "spdx", "gpl", "public domain", "warrant", "permission", "redistribut", "creative", "cc", "copyleft", "(c)", "open source", "rights", "opensource.org", "unlicense")
+GATES = ("licen", "copyright", "spdx", "gpl", "domain", "warrant", "permission", "redistribut", "creative", "cc", "copyleft", "(c)", "source", "rights", "unlicense", "gnu.org", "wtfpl", "bitstream", "gemma", "datenlizenz")
 
 IDENTIFIERS = r"""
 apache-2.0 | licen | (?:www\.)?apache\.org/licenses/license-2\.0
 apache-1.1 | licen | (?:www\.)?apache\.org/licenses/license-1\.1
 gpl-3.0 | licen | gnu\.org/licenses/(?:old-licenses/)?gpl-3\.0
 gpl-2.0 | licen | gnu\.org/licenses/(?:old-licenses/)?gpl-2\.0
-gpl | licen | gnu\.org/(?:licenses|copyleft)/gpl\b
+gpl | gnu.org | gnu\.org/(?:licenses|copyleft)/gpl\b
 lgpl-3.0 | licen | gnu\.org/licenses/(?:old-licenses/)?lgpl-3\.0
 lgpl-2.1 | licen | gnu\.org/licenses/(?:old-licenses/)?lgpl-2\.1
-lgpl | licen | gnu\.org/(?:licenses|copyleft)/lesser\b
+lgpl | gnu.org | gnu\.org/(?:licenses|copyleft)/lesser\b
 agpl-3.0 | licen | gnu\.org/licenses/agpl(?:-3\.0)?
-gfdl | licen | gnu\.org/(?:licenses|copyleft)/fdl
+gfdl | gnu.org | gnu\.org/(?:licenses|copyleft)/fdl
 mit | licen | opensource\.org/licenses?/mit\b
 bsd-3-clause | licen | opensource\.org/licenses?/bsd-3-clause
 bsd-2-clause | licen | opensource\.org/licenses?/bsd-2-clause
@@ -130,12 +131,13 @@ postgresql | licen | \bpostgresql licen[cs]e
 unicode | licen | \bunicode(?: data files and software)? licen[cs]e
 icu | licen | \bicu licen[cs]e
 w3c | licen | \bw3c (?:software (?:notice and )?)?licen[cs]e
-wtfpl | licen | \b(?:wtfpl|do what the f\S+ you want to public licen[cs]e)
+wtfpl | wtfpl | \bwtfpl
+wtfpl | licen | \bdo what the f\S+ you want to public licen[cs]e
 unlicense | licen | \bthe unlicense\b
 beerware | licen | \bbeer-?ware licen[cs]e
 ofl-1.1 | licen | \bsil open font licen[cs]e
 ofl-1.1 | licen | \bopen font licen[cs]e
-bitstream-vera | licen | \bbitstream vera (?:fonts? )?(?:copyright|licen[cs]e)
+bitstream-vera | bitstream | \bbitstream vera (?:fonts? )?(?:copyright|licen[cs]e)
 upl-1.0 | licen | universal permissive licen[cs]e
 ncsa | licen | university of illinois/?\S* (?:open source )?licen[cs]e
 ecl-2.0 | licen | educational community licen[cs]e
@@ -159,7 +161,7 @@ watcom | licen | sybase open watcom public licen[cs]e
 xnet | licen | \bx\.?net licen[cs]e
 zpl | licen | zope public licen[cs]e
 fair | licen | \bfair licen[cs]e
-hpnd | licen | historical permission notice
+hpnd | permission | historical permission notice
 miros | licen | \bmiros licen[cs]e
 motosoto | licen | motosoto (?:open source )?licen[cs]e
 nasa-1.3 | licen | nasa open source agreement[^.]{0,40}licen|nasa open source licen[cs]e
@@ -193,7 +195,7 @@ redis-source | licen | redis source available licen[cs]e
 timescale | licen | timescale licen[cs]e
 openrail | licen | \b(?:creativeml )?open ?rail(?:-?\+?\+?m)? licen[cs]e
 llama | licen | llama [234](?:\.\d)? community licen[cs]e
-gemma | licen | gemma (?:terms of use|licen[cs]e)
+gemma | gemma | gemma (?:terms of use|licen[cs]e)
 cc0-1.0 | creative | creative commons (?:zero|cc0)(?: 1\.0)?
 cc0-1.0 | cc | \bcc0(?:[- ]1\.0)?\b
 cc-by-nc-nd | cc | \bcc[- ]by[- ]nc[- ]nd(?:[- ][1-4]\.[05])?\b
@@ -213,13 +215,13 @@ odc-by | licen | open data commons attribution licen[cs]e
 pddl | licen | public domain dedication and licen[cs]e
 ogl-uk | licen | open government licen[cs]e
 etalab | licen | (?:licence ouverte|open licen[cs]e)[ /]+(?:etalab|2\.0)
-dl-de-by | licen | datenlizenz deutschland
+dl-de-by | datenlizenz | datenlizenz deutschland
 gpl-fr | licen | licence publique g\S+ ?n\S*rale gnu
 """
 
 CLUES = r"""
-public-domain | public domain | \b(?:in|into|to) the public domain\b
-public-domain | public domain | \breleased? (?:in|into|to) the public domain
+public-domain | domain | \b(?:in|into|to) the public domain\b
+public-domain | domain | \breleased? (?:in|into|to) the public domain
 all-rights-reserved | rights | \ball rights reserved\b
 copyright-notice | copyright | \bcopyright (?:\(c\)|©)? ?(?:19|20)\d\d\b
 copyright-notice | (c) | \(c\) (?:copyright )?(?:19|20)\d\d\b
@@ -231,7 +233,7 @@ licence-mention | licen | \bdistributed under (?:the )?(?:terms|conditions) of\b
 licence-mention | licen | \bsee (?:the )?(?:file )?licen[cs]e(?:\.txt|\.md)?\b
 licence-mention | licen | \bsubject to the (?:following|terms of)[^.]{0,40}licen[cs]e
 copyleft | copyleft | \bcopyleft\b
-open-source | open source | \bopen source (?:software|initiative)\b
+open-source | source | \bopen source (?:software|initiative)\b
 proprietary | licen | \bproprietary licen[cs]e\b
 proprietary | licen | \bend[- ]user licen[cs]e agreement\b
 commercial-licence | licen | \bcommercial licen[cs]e\b

@@ -94,12 +94,12 @@ def test_no_rows_native(no_docs):
     assert licenses.scan(no_docs).count() == 0
 
 
-def detections(text):
-    """All detections that stand, by comparing each with each."""
+def detections(text, gated=True):
+    """All detections that stand, by comparing each with each; with ``gated`` off every rule is tried."""
     text = (text or "").translate({i: i + 32 for i in range(65, 91)})
     found = []
     for rule, label, priority, confidence, keyword, pattern in rows():
-        if keyword in text and any(g in text for g in GATES):
+        if not gated or (keyword in text and any(g in text for g in GATES)):
             found += [(m.start(), m.end(), priority, rule, label, confidence) for m in re.finditer(pattern, text, re.ASCII)]
     return [
         a for a in found
@@ -145,6 +145,54 @@ def test_rules_are_gated_and_valid():
     assert not any(re.search(r[5], "") for r in table)
 
 
+def least(parsed, blank):
+    """Shortest texts that a parsed expression matches, one per way through its alternatives; ``blank`` stands for white space."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            more = [chr(arg)]
+        elif op == "NOT_LITERAL":
+            more = [" "]
+        elif op == "IN":
+            kinds, spelt = [str(kind) for kind, _ in arg], str(arg)
+            if kinds[0] == "NEGATE" or "NOT_SPACE" in spelt:
+                more = ["x"]
+            elif "CATEGORY_SPACE" in spelt:
+                more = [blank]
+            else:
+                more = [chr(a) if kind == "LITERAL" else chr(a[0]) if kind == "RANGE" else "1" for kind, (_, a) in zip(kinds, arg, strict=True)]
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            more = [x * arg[0] for x in least(arg[2], blank)] + ([" "] if str(arg[2][0][0]) == "NOT_LITERAL" else [])
+        elif op == "SUBPATTERN":
+            more = least(arg[3], blank)
+        elif op == "BRANCH":
+            more = [x for way in arg[1] for x in least(way, blank)]
+        else:
+            assert op in ("AT", "ASSERT_NOT"), op
+            more = [""]
+        out = [a + b for a in out for b in dict.fromkeys(more)]
+    return out
+
+
+def test_no_gate_drops_a_match(spark):
+    from re import _parser
+
+    docs = ["released under the WTFPL", "see http://www.gnu.org/copyleft/gpl.html", "www.gnu.org/copyleft/lesser.html", "gnu.org/copyleft/fdl.html",
+            "Datenlizenz Deutschland", "historical permission notice", "the Gemma terms of use", "Bitstream Vera Copyright", "given\nto the public\n domain", "an open\tsource software"]
+    for _, _, _, _, keyword, pattern in rows():
+        ways = [x for blank in (" ", "\n ") for x in least(_parser.parse(pattern), blank)]
+        found = [x for x in ways if re.search(pattern, x, re.ASCII)]
+        assert found and all(keyword in x and any(g in x for g in GATES) for x in found), (keyword, pattern)
+        docs += found[:1] + found[-1:]
+    docs = list(dict.fromkeys(docs))
+    got = {r["_id"]: r for r in licenses.scan(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    for i, text in enumerate(docs):
+        want = detections(text, gated=False)
+        assert want and set(got[i]["labels"]) == {d[4] for d in want} | set(got[i]["base"]), text
+        assert got[i]["score"] == max([d[5] for d in want] + [licenses.BASE_SCORE if got[i]["n_base"] else 0.0])
+
+
 def test_no_python_in_native_plans(spark, sf):
     from curate.llm.queries import QUERIES
 
