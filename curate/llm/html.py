@@ -44,6 +44,8 @@ INLINE = frozenset(
     "sub sup time tt u var wbr".split()
 )
 HIDDEN_TEXT = frozenset("script style noscript template svg math iframe object textarea select head title".split())
+#: Start tags that leave an open head open; any other one ends it, as its own end tag may be left out.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
 RAW = re.compile(r"<(script|style|textarea|title|noscript|iframe|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 CUT_OFF = re.compile(r"</?[a-zA-Z!?]")
@@ -82,8 +84,14 @@ def blocks(page: str) -> list[Block]:
         held.clear()
         links = plain = 0
 
+    def end_head() -> None:
+        while path and path[-1][0] == "head":
+            path.pop()
+
     def words(text: str) -> None:
         nonlocal links, plain
+        if path and path[-1][0] == "head" and not text.isspace():
+            end_head()
         held.append(text)
         if any(tag == "a" for tag, _ in path):
             links += len(text)
@@ -116,6 +124,9 @@ def blocks(page: str) -> list[Block]:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if path and path[-1][0] == "head" and (tag in ("body", "html", "br") if m[1] else tag not in IN_HEAD):
+            flush()
+            end_head()
         if tag == "br":
             held.append(" ")
             continue

@@ -117,6 +117,20 @@ def test_blocks_of_broken_markup():
     assert texts("<ul><li>a<li>b</ul>c") == ["a", "b", "c"]
 
 
+def test_an_open_head_ends_where_the_body_begins(net):
+    texts = lambda page: [b.text for b in html.blocks(page)]
+    rest = "<article><h1>The title</h1><p>First of all, the words of a paragraph. More of them follow.</p></article><footer>&copy; x</footer>"
+    want = ["The title", "First of all, the words of a paragraph. More of them follow.", "© x"]
+    for head in ("<title>t</title><meta charset=utf-8><link rel=x>", "<style>p {}</style>\n<script>var a = '<p>'</script>\n", ""):
+        for end in ("</head><body>", "<body>", ""):
+            page = f"<!doctype html><html><head>{head}{end}{rest}"
+            assert texts(page) == want
+            assert all(tag != "head" for b in html.blocks(page) for tag, _ in b.path)
+            assert html.main_texts(net, [page]) == ["\n\n".join(want[:2])]
+    assert texts("<head><title>t</title>plain <b>words</b><p>p") == ["plain words", "p"]
+    assert texts("<head><meta><noframes>no</noframes></head><br>x") == ["x"] and texts("<head><img src=x>y") == ["y"]
+
+
 def test_pages_with_nulls_and_repeats(spark, net):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<article><p>x y</p></article>"), (None, "v", "<article><p>x y</p></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", __import__("pyspark").sql.functions.lit(1))
