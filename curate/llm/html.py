@@ -154,7 +154,7 @@ def blocks(page: str) -> list[Block]:
                     if key.lower() == "style":
                         names += ["hidden"] if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else []
                     else:
-                        names += PART.findall(value)[:8] or [key.lower()]
+                        names += PART.findall(value) or [key.lower()]
             path.append((tag, tuple(names)))
     flush()
     return out

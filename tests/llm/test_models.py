@@ -131,6 +131,16 @@ def test_an_open_head_ends_where_the_body_begins(net):
     assert texts("<head><meta><noframes>no</noframes></head><br>x") == ["x"] and texts("<head><img src=x>y") == ["y"]
 
 
+def test_all_words_of_a_class_count(net):
+    for word in ("comments", "advert", "cookie"):
+        box = f'<div class="mx-auto mt-4 flex flex-col px-2 py-3 rounded shadow-md border {word}"><p>Nice words, thanks.</p></div>'
+        page = f"<html><body><article><h1>The title</h1><p>First of all, the words of a paragraph.</p>{box}<p>And, at the end, more words of it.</p></article></body></html>"
+        found = html.blocks(page)
+        assert word in found[2].path[-2][1] and html.weak_labels(found).tolist() == [1, 1, 0, 1]
+        bare = html.blocks(page.replace(f" {word}", ""))
+        assert not np.array_equal(html.vectors(found)[2], html.vectors(bare)[2])
+
+
 def test_pages_with_nulls_and_repeats(spark, net):
     rows = [(1, "u", None), (2, None, ""), (None, "v", "<article><p>x y</p></article>"), (None, "v", "<article><p>x y</p></article>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", __import__("pyspark").sql.functions.lit(1))
