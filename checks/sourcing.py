@@ -347,7 +347,10 @@ def _(spark, sf):
     documents, lines = stage_path(spark, "records"), stage_path(spark, "record-lines")
     logs.write_gauntlet(record, lines)
     entry = F.struct("label", F.struct("label", "path", "games", "wins", "draws", "losses", "score", "elo"))
-    blob = record.groupBy(F.substring("label", 1, 1).alias("file")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
+    # A document is one row and one file: about a thousand labels each, however many there are.
+    n_files = -(-logs.read_gauntlet(spark, lines, document=False).count() // 1000)
+    file = F.pmod(F.xxhash64("label"), F.lit(max(n_files, 1)))
+    blob = record.groupBy(file.alias("file")).agg(F.map_from_entries(F.collect_list(entry)).alias("m"))
     blob.select("file", F.to_json("m", {"pretty": "true"}).alias("value")).write.partitionBy("file").text(documents)
     whole = logs.read_gauntlet(spark, documents).withColumn("form", F.lit("document"))
     both = whole.unionByName(logs.read_gauntlet(spark, lines, document=False).withColumn("form", F.lit("lines")))

@@ -76,6 +76,23 @@ def test_a_cut_off_match_record_is_an_error(spark, tmp_path):
         logs.read_gauntlet(spark, write(tmp_path, "bad.json", record[:-30])).collect()
 
 
+def test_match_documents_stay_small(spark, tmp_path, monkeypatch):
+    from checks import base, sourcing  # noqa: F401
+
+    users = spark.range(10_000, 15_000).select(F.col("id").alias("user_id"), F.col("id").alias("event_id"), F.current_timestamp().alias("ts"), F.lit("purchase").alias("event_type"))
+    users.write.parquet(str(tmp_path / "events.parquet"))
+    read, documents = logs.read_gauntlet, []
+
+    def spy(spark, path, document=True):
+        documents.extend([path] if document else [])
+        return read(spark, path, document)
+
+    monkeypatch.setattr(logs, "read_gauntlet", spy)
+    assert base.QUERIES["read_gauntlet"](spark, str(tmp_path)).where("form = 'document'").count() == 5000
+    sizes = [r[0] for r in spark.read.text(documents[0], wholetext=True).select(F.size(F.json_object_keys("value"))).collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 1500
+
+
 def test_read_games_without_leading_comments_and_over_splits(spark, tmp_path):
     one = '[Event "e{0}"]\r\n[Result "1/2-1/2"]\r\n\r\n1. e4 e5 1/2-1/2\r\n\r\n'
     path = write(tmp_path, "b.pgn", "".join(one.replace("{0}", str(i)) for i in range(500)))
