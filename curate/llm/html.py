@@ -33,9 +33,8 @@ TRAIN_BLOCKS = 80
 #: Characters of a training page that are read; scoring reads every page whole.
 TRAIN_CHARS = 20_000
 PATH, WORDS, SHAPE, HIDDEN = 64, 16, 6, 16
-#: Blocks of one page that are labelled with one context; a longer page is read in overlapping windows.
-CONTEXT = 512
-OVERLAP = 64
+#: Steps whose gate inputs are held at once; the state goes on from one stretch to the next.
+STRETCH = 512
 BATCH_BLOCKS = 16_384
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -237,10 +236,11 @@ def _run(x: np.ndarray, mask: np.ndarray, w: np.ndarray, b: np.ndarray, keep: li
     h = np.zeros((pages, HIDDEN), np.float32)
     c = np.zeros((pages, HIDDEN), np.float32)
     states = np.zeros((steps, pages, HIDDEN), np.float32)
-    drive = x.reshape(steps * pages, d) @ w[:d] + b
-    drive = drive.reshape(steps, pages, 4 * HIDDEN)
     for t in range(steps):
-        z = drive[t] + h @ w[d:]
+        if t % STRETCH == 0:
+            part = x[t : t + STRETCH]
+            drive = (part.reshape(len(part) * pages, d) @ w[:d] + b).reshape(len(part), pages, 4 * HIDDEN)
+        z = drive[t % STRETCH] + h @ w[d:]
         s = _sigmoid(z[:, : 3 * HIDDEN])
         i, f, o = s[:, :HIDDEN], s[:, HIDDEN : 2 * HIDDEN], s[:, 2 * HIDDEN :]
         g = np.tanh(z[:, 3 * HIDDEN :])
@@ -418,34 +418,21 @@ def learn(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_PAGES) ->
     return train(seen, want)
 
 
-def _windows(v: np.ndarray) -> list[tuple[int, int]]:
-    """Overlapping stretches of a long page."""
-    if len(v) <= CONTEXT:
-        return [(0, len(v))]
-    step = CONTEXT - 2 * OVERLAP
-    return [(a, min(a + CONTEXT, len(v))) for a in range(0, len(v) - 2 * OVERLAP, step)]
-
-
 def main_texts(net: Net, pages: list[str | None]) -> list[str]:
     """The main text of each page: accepted blocks in page order, joined by an empty line."""
     parsed = [blocks(p or "") for p in pages]
     paths: dict = {}
-    jobs = []
-    for k, page in enumerate(parsed):
-        if page:
-            v = vectors(page, paths)
-            jobs += [(k, a, v[a:b]) for a, b in _windows(v)]
+    # A page is one sequence, however long: each block is judged with all of the page.
+    jobs = [(k, vectors(page, paths)) for k, page in enumerate(parsed) if page]
     chosen = [np.zeros(len(p), np.float32) for p in parsed]
-    jobs.sort(key=lambda j: len(j[2]))
+    jobs.sort(key=lambda j: len(j[1]))
     lo = 0
     while lo < len(jobs):
         hi = lo + 1
-        while hi < len(jobs) and len(jobs[hi][2]) * (hi - lo + 1) <= BATCH_BLOCKS:
+        while hi < len(jobs) and len(jobs[hi][1]) * (hi - lo + 1) <= BATCH_BLOCKS:
             hi += 1
-        for (k, a, v), p in zip(jobs[lo:hi], probabilities(net, [j[2] for j in jobs[lo:hi]]), strict=True):
-            # Where windows overlap, each half of the overlap goes to the window that sees further around it.
-            head = OVERLAP if a else 0
-            chosen[k][a + head : a + len(v)] = p[head:]
+        for (k, _), p in zip(jobs[lo:hi], probabilities(net, [v for _, v in jobs[lo:hi]]), strict=True):
+            chosen[k] = p
         lo = hi
     return ["\n\n".join(b.text for b, p in zip(page, marks, strict=True) if p > 0.5) for page, marks in zip(parsed, chosen, strict=True)]
 

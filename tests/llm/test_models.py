@@ -153,3 +153,17 @@ def test_long_pages_are_read_whole(net):
     page = "<body><nav><a>m</a></nav><article>" + "".join(f"<p>Paragraph number {i}, with some words.</p>" for i in range(1500)) + "</article><footer>end</footer></body>"
     text = html.main_texts(net, [page])[0]
     assert text.count("\n\n") == 1499 and "number 1499," in text and "end" not in text
+
+
+def test_a_block_is_judged_with_the_whole_page():
+    # A net that opens its state at an h1 and never forgets it, ahead or back; without one it accepts nothing.
+    d = html.PATH + html.WORDS + html.SHAPE
+    gates, bias = np.zeros((d + html.HIDDEN, 4 * html.HIDDEN), np.float32), np.repeat(np.array([-20, 20, 20, 5], np.float32), html.HIDDEN)
+    gates[: html.PATH, : html.HIDDEN] = 40 * html._part("<h1")[:, None]
+    for first in (True, False):
+        ways = [gates, np.zeros_like(gates)] if first else [np.zeros_like(gates), gates]
+        net = html.Net(ways, [bias, bias], np.full(2 * html.HIDDEN, 1.0, np.float32), -8.0)
+        text = [f"p{i}" for i in range(1500)]
+        plain = "".join(f"<p>{x}</p>" for x in text)
+        page = "<h1>t</h1>" + plain if first else plain + "<h1>t</h1>"
+        assert html.main_texts(net, [page, plain]) == ["\n\n".join(["t", *text] if first else [*text, "t"]), ""]
