@@ -30,8 +30,6 @@ SEQUENCES = 1200
 EPOCHS = 24
 #: Blocks of a training sequence.
 TRAIN_BLOCKS = 80
-#: Characters of a training page that are read; scoring reads every page whole.
-TRAIN_CHARS = 20_000
 PATH, WORDS, SHAPE, HIDDEN = 64, 16, 6, 16
 #: Steps whose gate inputs are held at once; the state goes on from one stretch to the next.
 STRETCH = 512
@@ -396,26 +394,43 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
     return [b for b, _ in out], np.array([v for _, v in out], np.float32)
 
 
+def lessons(page: str, copies: int, seed: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training sequences of a page, read whole: itself and rebuilt copies, of each a stretch of TRAIN_BLOCKS from anywhere in it."""
+    draw = np.random.default_rng([11, seed])
+    found = blocks(page)
+    marks = weak_labels(found)
+    out = []
+    for copy in range(copies if marks.any() else 0):
+        b, y = (found, marks) if copy == 0 else rebuilt(found, marks, draw)
+        at = int(draw.integers(0, max(len(b) - TRAIN_BLOCKS, 0) + 1))
+        out.append((vectors(b[at : at + TRAIN_BLOCKS]), y[at : at + TRAIN_BLOCKS]))
+    return out
+
+
 def learn(pages: DataFrame, html_col: str = "html", limit: int = TRAIN_PAGES) -> Net:
-    """Train on at most ``limit`` pages (least hashes of the html, at most TRAIN_CHARS of each) and rebuilt copies of them."""
-    text = F.substring(F.coalesce(html_col, F.lit("")), 1, TRAIN_CHARS)
-    rows = pages.select(F.xxhash64(html_col).alias("h"), text.alias("t"))
-    # The hashes alone are sorted, so no more than the chosen pages' texts come to the driver.
+    """Train on at most ``limit`` whole pages (least hashes of the html) and rebuilt copies of them.
+
+    The pages are read inside tasks; the driver gets about SEQUENCES stretches of TRAIN_BLOCKS vectors, whatever the pages' length.
+    """
+    rows = pages.select(F.xxhash64(html_col).alias("h"), F.coalesce(html_col, F.lit("")).alias("t"))
+    # The hashes alone are sorted; texts stay in the tasks.
     least = [r["h"] for r in rows.select("h").distinct().orderBy("h").limit(limit).collect()]
-    sample = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("t").alias("t")).orderBy("h").collect()
-    draw = np.random.default_rng(11)
-    seen, want = [], []
-    for row in sample:
-        page = blocks(row["t"])
-        marks = weak_labels(page)
-        for copy in range(-(-SEQUENCES // len(sample))):
-            b, y = (page, marks) if copy == 0 else rebuilt(page, marks, draw)
-            if b and marks.any():
-                # Another stretch of a long page each time.
-                at = int(draw.integers(0, max(len(b) - TRAIN_BLOCKS, 0) + 1)) if copy else 0
-                seen.append(vectors(b)[at : at + TRAIN_BLOCKS])
-                want.append(y[at : at + TRAIN_BLOCKS])
-    return train(seen, want)
+    copies = -(-SEQUENCES // max(len(least), 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, t in zip(batch.column("h"), batch.column("t"), strict=True):
+                made = lessons(t.as_py(), copies, h.as_py() % 2**64)
+                n = len(made)
+                v, y = [x.tobytes() for x, _ in made], [x.tobytes() for _, x in made]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([h.as_py()] * n, pa.int64()), pa.array(range(n), pa.int32()), pa.array(v, pa.binary()), pa.array(y, pa.binary())], names=["h", "copy", "v", "y"]
+                )
+
+    sample = rows.where(F.col("h").isin(least)).groupBy("h").agg(F.min("t").alias("t"))
+    made = sorted(sample.mapInArrow(run, "h long, copy int, v binary, y binary").collect(), key=lambda r: (r["h"], r["copy"]))
+    seen = [np.frombuffer(r["v"], np.float32).reshape(-1, PATH + WORDS + SHAPE) for r in made]
+    return train(seen, [np.frombuffer(r["y"], np.float32) for r in made])
 
 
 def main_texts(net: Net, pages: list[str | None]) -> list[str]:

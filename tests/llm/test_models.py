@@ -167,3 +167,18 @@ def test_a_block_is_judged_with_the_whole_page():
         plain = "".join(f"<p>{x}</p>" for x in text)
         page = "<h1>t</h1>" + plain if first else plain + "<h1>t</h1>"
         assert html.main_texts(net, [page, plain]) == ["\n\n".join(["t", *text] if first else [*text, "t"]), ""]
+
+
+def test_training_reads_pages_whole(spark, monkeypatch):
+    words = "some words of a paragraph that is long enough to pass the first characters"
+    page = "<body><article>" + "".join(f"<p>{i} {words}</p>" for i in range(600)) + "</article><div class=remarks>" + "<p>a remark</p>" * 600 + "</div></body>"
+    seen = []
+    monkeypatch.setattr(html, "train", lambda v, y, *a: seen.extend(zip(v, y, strict=True)))
+    html.learn(spark.createDataFrame([(page,), (page,), (None,), ("",)], "html string"))
+    assert len(seen) == -(-html.SEQUENCES // 3) * 1 and all(len(v) == len(y) == html.TRAIN_BLOCKS for v, y in seen)
+    # Stretches from all of the page: some of the article alone, some of the remarks behind it alone.
+    shares = [y.mean() for _, y in seen]
+    assert sum(x > 0.5 for x in shares) > 50 and sum(x == 0 for x in shares) > 50
+    # The first copy is the page itself, and its stretch is drawn as well.
+    firsts = {html.lessons(page, 1, seed)[0][1].tobytes() for seed in range(20)}
+    assert len(firsts) > 1
