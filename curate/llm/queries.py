@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curate.llm import binary, chat, decontam, hostrules, html, jaccard, licenses, packing, quality, substring
+from curate.llm import binary, chat, decontam, hostrules, html, jaccard, licenses, packing, quality, substring, toxicity
 from curate.llm.registry import ORACLES, QUERIES, query, table
 from curate.operators.skew import join_unique
 from curate.storage import stage_path
@@ -189,3 +189,12 @@ def _(spark, sf):
         F.array_join("labels", ",").alias("labels"),
         "score",
     )
+
+
+@query("op12_toxicity")
+def _(spark, sf):
+    docs = table(spark, sf, "documents")
+    model = toxicity.train(docs, table(spark, sf, "labels"))
+    rows = toxicity.score(docs, model).withColumnRenamed("_id", "doc_id")
+    found = (F.col("score") >= toxicity.THRESHOLD).cast("int")
+    return rows.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", found.alias("predicted"))
