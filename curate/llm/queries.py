@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from curate.llm import binary, chat, decontam, hostrules, html, jaccard, licenses, packing, quality, substring, toxicity
+from curate.llm import binary, chat, decontam, hostrules, html, jaccard, lexical, licenses, negatives, packing, quality, substring, toxicity
 from curate.llm.registry import ORACLES, QUERIES, query, table
 from curate.operators.skew import join_unique
 from curate.storage import stage_path
@@ -198,3 +198,44 @@ def _(spark, sf):
     rows = toxicity.score(docs, model).withColumnRenamed("_id", "doc_id")
     found = (F.col("score") >= toxicity.THRESHOLD).cast("int")
     return rows.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", found.alias("predicted"))
+
+
+@query(
+    "op11_ranked_search",
+    f"""
+    with d as (select row_number() over () as r, doc_id, coalesce({_FOLDED.format("text")}, []) as w from documents),
+    t as (select r, doc_id, s, count(*) as tf from (select r, doc_id, unnest(w) as s from d) x group by all),
+    tot as (select count(*) as nd, cast(sum(len(w)) as bigint) as nw from d where len(w) > 0),
+    m as (select r, 100 - 75 + ((75 * len(w) * nd) // nw) as m from d, tot where len(w) > 0),
+    df as (select s, cast(floor(1000 * ln(cast(2 * nd + 2 as double) / (2 * count(*) + 1))) as bigint) as weight from t, tot group by s, nd),
+    i as (select row_number() over () as i, item_id, coalesce({_FOLDED.format("text")}, []) as w from benchmark),
+    q as (select i, item_id, s, count(*) as times from (select i, item_id, unnest(w) as s from i) x group by all),
+    sc as (select i, item_id, r, doc_id, cast(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+           from q join df using (s) join t using (s) join m using (r) group by all),
+    k as (select *, cast(row_number() over (partition by i order by score desc, doc_id, r) as int) as rank from sc where score > 0)
+    select item_id, rank, doc_id, score from k where rank <= 10
+    """,
+)
+def _(spark, sf):
+    return lexical.rank(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+    with v as (select row_number() over () as r, vec_id, cast(case when vec_id % 7 = 0 then (label + 1) % 10 else label end as bigint) as label,
+                      list_transform(embedding, lambda x: floor(256 * cast(x as double))) as q
+               from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    s as (select a.r as a, a.vec_id as anchor_id, v.r, v.vec_id, v.label = a.label as own, cast(list_dot_product(a.q, v.q) as bigint) as score
+          from v a join v on a.r <> v.r where a.vec_id % 100 = 0),
+    p as (select * from (select *, row_number() over (partition by a order by score desc, vec_id, r) as k from s where own) x where k <= 5),
+    n as (select p.anchor_id, p.vec_id as positive_id, s.vec_id as negative_id, p.score as positive_score, s.score as negative_score,
+                 cast(row_number() over (partition by p.a, p.r order by s.score desc, s.vec_id, s.r) as int) as rank
+          from p join s on p.a = s.a and not s.own and 80 * p.score <= 100 * s.score and 100 * s.score <= 100 * p.score)
+    select anchor_id, positive_id, rank, negative_id, positive_score, negative_score from n where rank <= 5
+    """,
+)
+def _(spark, sf):
+    vectors = table(spark, sf, "embeddings")
+    turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", turned))

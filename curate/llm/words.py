@@ -111,6 +111,27 @@ class Words:
         return b" ".join([raw[s:e].tobytes() for s, e in zip(self.start[a:b], self.end[a:b], strict=True)])
 
 
+def pieces(data: np.ndarray, offsets: np.ndarray, rule: np.ndarray, lower: bool, limit: int = SLICE) -> Iterator[tuple[int, Words]]:
+    """(first text, its words) of about ``limit`` bytes at a time. A longer text comes in several pieces, cut between words."""
+    for lo, hi in slices(offsets, limit):
+        part, ends = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1]
+        if hi - lo > 1 or len(part) <= limit:
+            yield lo, Words(part, ends, rule, lower)
+            continue
+        start = 0
+        while start < len(part):
+            end = min(start + limit, len(part))
+            # To the end of the word that stands there; words are short beside the limit, so a few bytes at a time will do.
+            while end < len(part):
+                gap = np.flatnonzero(~rule[_LOWER[part[end : end + 4096]] if lower else part[end : end + 4096]])
+                if len(gap):
+                    end += int(gap[0])
+                    break
+                end = min(end + 4096, len(part))
+            yield lo, Words(part[start:end], np.array([0, end - start]), rule, lower)
+            start = end
+
+
 def windows(h: np.ndarray, k: int) -> np.ndarray:
     """Hash of the k entries from each place on, built by doubling; places without k entries after them hold junk."""
 
