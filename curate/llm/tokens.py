@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import unicodedata
 
 import numpy as np
@@ -18,16 +19,33 @@ WORD_END = "</w>"
 _ENCODERS: dict[str, Encoder] = {}
 #: Marks that are cut from the end of a chunk (the apostrophe is not one: it may begin an ending of its own).
 _TAIL = b".,;:!?|$#&*%"
+#: Two signs between the letters, and the I with a dot, whose lower case ends in a combining dot.
+_NO_LETTERS = frozenset("×÷İ".encode()[i : i + 2] for i in (0, 2, 4))
 _LETTERS = frozenset(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
 
 
 def _ends_in_letter(chunk: bytes) -> bool:
-    """An ASCII letter, or one of U+00C0 to U+023F (two bytes), which holds two signs that are no letters."""
+    """An ASCII letter, or one of U+00C0 to U+023F (two bytes) that is a letter in lower case too."""
     if not chunk:
         return False
     if chunk[-1] in _LETTERS:
         return True
-    return len(chunk) > 1 and 0xC3 <= chunk[-2] <= 0xC8 and chunk[-2:] not in (b"\xc3\x97", b"\xc3\xb7")
+    return len(chunk) > 1 and 0xC3 <= chunk[-2] <= 0xC8 and chunk[-2:] not in _NO_LETTERS
+
+
+#: What the file of a vocabulary must say for its texts to be encoded in chunks. Fixed values.
+_NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORDS = {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}
+
+
+def _in_chunks(description: dict) -> bool:
+    """Whether white space parts the tokens and is dropped, and texts are lower-cased, as a vocabulary's file says."""
+    normalizer, split = description.get("normalizer") or {}, description.get("pre_tokenizer") or {}
+    parts = split.get("pretokenizers") or [{}]
+    rules = [normalizer.get("normalizers") == _NORMALIZERS, len(parts) == 2, parts[0].get("pattern") == _WORDS]
+    rules += [parts[0].get("behavior") == "Removed", parts[0].get("invert") is True, parts[-1].get("type") == "ByteLevel"]
+    rules += [not parts[-1].get("add_prefix_space"), not parts[-1].get("use_regex"), description.get("post_processor") is None]
+    return all(rules)
 
 
 class Encoder:
@@ -35,7 +53,8 @@ class Encoder:
 
     Holds for vocabularies whose pre-tokenizer never joins characters across white space and drops it, and whose
     normalizer lower-cases: then the ids of a text are those of its chunks, one after the other. Nothing else of
-    the library's work is taken over; every chunk's ids come from the library.
+    the library's work is taken over; every chunk's ids come from the library. Whether a vocabulary is of this kind is read
+    from its file; the texts of any other go to the library whole.
 
     A lower-case word of Latin letters is its own normal form and its own pre-token. Such words go to the same model
     by hundreds, parted by blanks alone; the vocabulary's word ends tell their ids apart. A vocabulary without word ends,
@@ -46,6 +65,7 @@ class Encoder:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.chunks = _in_chunks(json.loads(self.tokenizer.to_str()))
         self.known: dict[bytes, bytes] = {}
         self.words = Tokenizer(self.tokenizer.model)
         self.words.pre_tokenizer = pre_tokenizers.Sequence(
@@ -108,6 +128,8 @@ class Encoder:
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; NULL is empty."""
+        if not self.chunks:
+            return self._alone([text or "" for text in texts])
         chunks = []
         for text in texts:
             text = text or ""
