@@ -76,7 +76,7 @@ def pieces(docs: DataFrame, vocabulary: str, end_id: int, capacity: int = CAPACI
 
 
 class Runs:
-    """Gaps by size: each size has runs (first sequence, how many); all sequences of a size are filled equally far."""
+    """Gaps by size: each size has runs (first sequence, how many); all sequences of a size are filled equally far, runs of one size are taken last in, first out."""
 
     def __init__(self, capacity: int):
         self.capacity, self.sizes, self.runs, self.opened = capacity, [], {}, 0
@@ -113,11 +113,20 @@ def match(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
     """(length, first rank, first sequence, offset) of each matched run of pieces, from the number of pieces by length.
 
     Round by round from the longest: pieces sweep over their successor gaps; when no gap is left that holds the
-    length, new sequences are opened, as many as the remaining pieces fill if packed side by side.
+    length, new sequences are opened. A gap that took a piece and still holds the length is the next piece's successor, so
+    each sequence is filled before the next one: all but the last of a sweep alike, as one run, the last one by itself.
     """
     gaps, out = Runs(capacity), []
     for length in sorted(counts, reverse=True):
         rank, left = 0, counts[length]
+
+        def fill(size: int, first: int, n: int, pieces: int, length=length) -> None:
+            nonlocal rank, left
+            for k in range(pieces):
+                out.append((length, rank, first, capacity - size + k * length))
+                rank, left = rank + n, left - n
+            gaps.add(size - pieces * length, (first, n))
+
         while left:
             size = gaps.successor(length)
             if size is None:
@@ -125,10 +134,12 @@ def match(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, in
                 gaps.add(capacity, (gaps.opened, fresh))
                 gaps.opened += fresh
                 size = capacity
-            for first, n in gaps.take(size, left):
-                out.append((length, rank, first, capacity - size))
-                gaps.add(size - length, (first, n))
-                rank, left = rank + n, left - n
+            each = size // length
+            for first, n in gaps.take(size, left // each):
+                fill(size, first, n, each)
+            if 0 < left < each and size in gaps.runs:
+                (first, _), = gaps.take(size, 1)
+                fill(size, first, 1, left)
     return out
 
 

@@ -26,7 +26,7 @@ def encode():
 
 
 TEXT = st.text(
-    st.one_of(st.sampled_from("abzAZ019 \n\t.,'!|<>-é́̌JjKİΣσßＡ  ẞ日#*"), st.characters(exclude_categories=["Cs"])), max_size=40
+    st.one_of(st.sampled_from("abzAZ019 \n\t.,;'!|<>-é́̌JjKİΣσßＡ  ẞ日#*"), st.characters(exclude_categories=["Cs"])), max_size=40
 )
 
 
@@ -42,6 +42,30 @@ def test_ids_of_hard_texts(plain, encode, text):
     assert np.frombuffer(encode.ids([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["ANKARA ÜNİVERSİTESİ.", "KİŞİ, EVİ;", "İ!", "xİ.İ, é×. ÷% ǅ. ẞ.", "DİYARBAKIR'İ|"])
+def test_ids_of_letters_that_are_none_in_lower_case(plain, encode, text):
+    assert np.frombuffer(encode.ids([text])[0], "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+
+
+def test_every_last_letter_before_every_mark(plain, encode):
+    from curate.llm.tokens import _TAIL
+
+    letters = [chr(c) for c in range(0x21, 0x2000) if not chr(c).isspace()] + ["日", "ﬁ", "Ａ", "🙂"]
+    texts = [f"w{letter}{mark}" for letter in letters for mark in _TAIL.decode()]
+    got = [np.frombuffer(x, "<u4").tolist() for x in encode.ids(texts)]
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
+def test_other_vocabularies_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = vocabulary("byte_bpe_50k.json")
+    texts = ["Hello World, it's", "", " two  spaces\n", None, "ÜNİ. x"]
+    got = [np.frombuffer(x, "<u4").tolist() for x in Encoder(path).ids(texts)]
+    assert got == [Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_memory_is_bounded_and_forgetting_changes_nothing(plain, encode, monkeypatch):
     monkeypatch.setattr("curate.llm.tokens.REMEMBERED", 3)
     for text in ["one two three four", "five six one", "two"]:
@@ -111,19 +135,55 @@ def best_fit(lengths, capacity):
     return len(gaps)
 
 
-@settings(max_examples=100, deadline=None)
-@given(st.lists(st.integers(1, 32), min_size=1, max_size=80))
-def test_rounds_pack_as_tightly_as_one_by_one(lengths):
-    counts = {n: lengths.count(n) for n in set(lengths)}
-    places = packing.match(counts, 32)
-    used = {}
-    for n, rank, first, offset, until in [(*p, None) for p in places]:
-        of_length = sorted(x[1] for x in places if x[0] == n) + [counts[n]]
-        size = of_length[of_length.index(rank) + 1] - rank
-        for k in range(size):
-            used.setdefault(first + k, []).append((offset, n))
-    assert sum(len(v) for v in used.values()) == len(lengths)
+def packed(counts, capacity):
+    """Sequences by number, each the sorted (offset, length) of its pieces, from the matched runs."""
+    places, used = packing.match(counts, capacity), {}
+    for n in counts:
+        runs = sorted(p[1:] for p in places if p[0] == n)
+        for (rank, first, offset), after in zip(runs, [*(r[0] for r in runs[1:]), counts[n]], strict=True):
+            for k in range(after - rank):
+                used.setdefault(first + k, []).append((offset, n))
+    assert sum(len(v) for v in used.values()) == sum(counts.values())
     for v in used.values():
         v.sort()
-        assert [o for o, _ in v] == [0, *np.cumsum([n for _, n in v])[:-1].tolist()] and sum(n for _, n in v) <= 32
-    assert len(used) == best_fit(lengths, 32)
+        assert [o for o, _ in v] == [0, *np.cumsum([n for _, n in v])[:-1].tolist()] and sum(n for _, n in v) <= capacity
+    return used
+
+
+def sequences(lengths, capacity):
+    return sorted(sorted(n for _, n in v) for v in packed({n: lengths.count(n) for n in set(lengths)}, capacity).values())
+
+
+def best_fit_contents(lengths, capacity):
+    """The sequences of falling best fit, one piece at a time."""
+    made = []
+    for n in sorted(lengths, reverse=True):
+        fits = [s for s in made if capacity - sum(s) >= n]
+        (min(fits, key=lambda s: capacity - sum(s)) if fits else made.append([]) or made[-1]).append(n)
+    return sorted(map(sorted, made))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 32), min_size=1, max_size=80))
+def test_rounds_pack_as_one_by_one(lengths):
+    assert len(sequences(lengths, 32)) == best_fit(lengths, 32)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.dictionaries(st.integers(1, 40), st.integers(1, 60), min_size=1, max_size=4), st.sampled_from([32, 40, 41]))
+def test_few_lengths_in_large_numbers(counts, capacity):
+    counts = {n: c for n, c in counts.items() if n <= capacity} or {1: 1}
+    assert len(packed(counts, capacity)) == best_fit([n for n, c in counts.items() for _ in range(c)], capacity)
+
+
+@pytest.mark.parametrize("counts, capacity, want", [({600: 4, 482: 3}, 2048, 2), ({10: 4, 7: 3}, 32, 2)])
+def test_tails_are_filled_one_after_the_other(counts, capacity, want):
+    assert len(packed(counts, capacity)) == want == best_fit([n for n, c in counts.items() for _ in range(c)], capacity)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 12), min_size=1, max_size=40))
+def test_sequences_hold_the_same_lengths_as_one_by_one(lengths):
+    # Gaps of one size may be taken in another order, which changes no sequence's free space.
+    free = lambda made: sorted(24 - sum(s) for s in made)
+    assert free(sequences(lengths, 24)) == free(best_fit_contents(lengths, 24))
