@@ -45,18 +45,25 @@ def _(spark, sf):
     return rounded(out, "p_draw", "acc")
 
 
-BINS = PRED + """, binned as (select *, cast(least(floor(p_win * 10), 9) as integer) as bin, case when wdl = 0 then 1.0::double else 0.0::double end as won from pred),
+BINS = PRED + """, binned as (select *, cast(least(floor(p_win * 10), 9) as integer) as bin, case when wdl = 0 then 1.0::double else 0.0::double end as won from pred where l_linenumber < 6),
   cal as (select source, bin, count(*) as n_rows, avg(p_win) as mean_p, avg(won) as actual from binned group by source, bin)
 """
 
 
+def odd_chances(spark, sf):
+    """The predictions with ``chance``; on some rows it is no number, or none from 0 to 1, and these are in no bin."""
+    n, p = F.col("l_linenumber"), F.col("probs")[0]
+    odd = F.when(n == 6, float("nan")).when(F.col("l_suppkey") % 2 == 0, -p).otherwise(1 + p)
+    return roles.predictions(spark, sf).withColumn("chance", F.when(n >= 6, odd).otherwise(p))
+
+
 @query(
     "calibration",
     BINS + "select source, bin, n_rows, round(mean_p, 6) as mean_p, round(actual, 6) as actual from cal",
     ("predictions",),
 )
 def _(spark, sf):
-    out = reports.calibration(roles.predictions(spark, sf), F.col("probs")[0], F.col("wdl") == 0, by="source")
+    out = reports.calibration(odd_chances(spark, sf), "chance", F.col("wdl") == 0, by="source")
     return rounded(out, "mean_p", "actual")
 
 
@@ -66,7 +73,7 @@ def _(spark, sf):
     ("predictions",),
 )
 def _(spark, sf):
-    out = reports.ece(roles.predictions(spark, sf), F.col("probs")[0], F.col("wdl") == 0, by="source")
+    out = reports.ece(odd_chances(spark, sf), "chance", F.col("wdl") == 0, by="source")
     return rounded(out, "ece")
 
 
@@ -265,24 +272,30 @@ def _(spark, sf):
     return rounded(audit(expectations(spark, sf), "source", "probs", "wdl", "ref", "pieces"), "value")
 
 
+def measured(events):
+    """(user_id, event_id, value); the errors' values are no numbers, which beat nothing and are not beaten."""
+    return events.select("user_id", "event_id", F.when(F.col("event_type") == "error", float("nan")).otherwise(F.col("value")).alias("value"))
+
+
 @query(
     "best_so_far",
-    """select user_id, event_id, value from (select *, min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as best from events) x
+    """select user_id, event_id, value from (select *, min(value) over (partition by user_id order by event_id rows between unbounded preceding and 1 preceding) as best from events
+         where event_type <> 'error') x
        where best is null or value < best""",
 )
 def _(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_id", "value")
+    events = measured(table(spark, sf, "events"))
     return monitor.best_so_far(events, "user_id", "event_id", "value", eps=0)
 
 
 @query(
     "best_so_far_eps",
-    """with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as i from events),
+    """with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as i from events where event_type <> 'error'),
        fold as (select user_id, event_id, value, i, value as best, true as hit from o where i = 1
          union all select o.user_id, o.event_id, o.value, o.i, case when o.value < best - 2 then o.value else best end, o.value < best - 2
          from fold join o on o.user_id = fold.user_id and o.i = fold.i + 1)
        select user_id, event_id, value from fold where hit""",
 )
 def _(spark, sf):
-    events = table(spark, sf, "events").select("user_id", "event_id", "value")
+    events = measured(table(spark, sf, "events"))
     return monitor.best_so_far(events, "user_id", "event_id", "value", eps=2.0)

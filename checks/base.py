@@ -53,6 +53,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         """select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as rid, l_orderkey as game_id,
              l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_discount, l_tax, result,
              case when l_linenumber % 2 = 1 then 'w' else 'b' end as turn,
+             case l_linenumber when 7 then -l_partkey when 6 then null else l_partkey end as pos,
              case l_returnflag when 'N' then 'game' when 'A' then 'puzzle' else 'tablebase' end as source,
              case when result = '1/2-1/2' then 1
                   when (result = '1-0') = (l_linenumber % 2 = 1) then 0 else 2 end as wdl
@@ -65,7 +66,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                cast((sum(cast(round(l_extendedprice * 100) as bigint)) // (100 * count(*)) - 50000) // 20 as integer) as cp,
                cast(1000 * sum(cast(round(l_discount * 100) as bigint)) // (count(*) + sum(cast(round(l_discount * 100) as bigint)) + sum(cast(round(l_tax * 100) as bigint))) as integer) as w,
                cast(1000 * sum(cast(round(l_tax * 100) as bigint)) // (count(*) + sum(cast(round(l_discount * 100) as bigint)) + sum(cast(round(l_tax * 100) as bigint))) as integer) as l
-             from lineitem where l_partkey % 2 = 0 group by l_partkey) a""",
+             from lineitem group by l_partkey) a""",
     ),
     "predictions": (
         ("plies",),

@@ -129,20 +129,23 @@ def _(spark, sf):
     return ordered_rank(keyed, "chunk_id", ["shuffle_key"], "place").select("rid", "chunk_id", "place")
 
 
-def annotated(spark, sf):
-    rows = roles.plies(spark, sf).select("rid", F.col("l_partkey").alias("fen"), "source", "wdl")
-    source = F.when(F.col("source") == "game", 0).when(F.col("source") == "puzzle", 1).otherwise(2)
-    return joins.join_annotations(rows.withColumn("source_id", source), roles.annotations(spark, sf))
+def annotated(spark, sf, times: int = 1):
+    """Rows of unknown sources among the others; with ``times`` every key is annotated so often, the later ones with other values."""
+    rows = roles.plies(spark, sf).select("rid", F.col("pos").alias("fen"), F.expr("case when l_linenumber <> 5 then source end").alias("source"), "wdl")
+    source = F.when(F.col("source") == "game", 0).when(F.col("source") == "puzzle", 1).when(F.col("source") == "tablebase", 2)
+    again = roles.annotations(spark, sf).withColumn("at", F.explode(F.sequence(F.lit(1), F.lit(times))))
+    return joins.join_annotations(rows.withColumn("source_id", source), again.withColumn("w", F.col("w") + F.col("at") - 1), order=["at"])
 
 
-JOINED = """with joined as (select rid, l_partkey, source, wdl, case when source <> 'tablebase' then w end as w, case when source <> 'tablebase' then d end as d,
-    case when source <> 'tablebase' then l end as l from plies left join annotations on fen = l_partkey)
+JOINED = """with rows as (select *, case when l_linenumber <> 5 then source end as known from plies),
+  joined as (select rid, known as source, wdl, case when known is distinct from 'tablebase' then w end as w, case when known is distinct from 'tablebase' then d end as d,
+    case when known is distinct from 'tablebase' then l end as l from rows left join annotations on fen = pos)
 """
 
 
 @query("join_annotations", JOINED + "select rid, w, d, l from joined", ("plies", "annotations"))
 def _(spark, sf):
-    once = annotated(spark, sf)
+    once = annotated(spark, sf, times=2)
     again = joins.join_annotations(once, roles.annotations(spark, sf))
     return again.select("rid", "w", "d", "l")
 
@@ -150,7 +153,7 @@ def _(spark, sf):
 @query(
     "annotation_report",
     JOINED
-    + """select count(w) as hit, count(*) - count(w) as miss, round(100.0::double * count(w) / count(*), 6) as percent from joined where source <> 'tablebase'""",
+    + """select count(w) as hit, count(*) - count(w) as miss, round(100.0::double * count(w) / count(*), 6) as percent from joined where source is distinct from 'tablebase'""",
     ("plies", "annotations"),
 )
 def _(spark, sf):
@@ -183,11 +186,11 @@ def _(spark, sf):
 
 @query(
     "worklist",
-    """select key, doc_id from (select md5(text) as key, doc_id, row_number() over (partition by md5(text) order by doc_id) as rn from documents where source <> 'src3') x
+    """select key, doc_id from (select md5(text) as key, doc_id, row_number() over (partition by md5(text) order by doc_id) as rn from documents where nullif(source, 'src1') is distinct from 'src3') x
        where rn = 1 and key not in (select md5(text) from documents join labels on labels.doc_id = documents.doc_id)""",
 )
 def _(spark, sf):
-    docs = table(spark, sf, "documents").select(F.md5("text").alias("key"), "doc_id", "source")
+    docs = table(spark, sf, "documents").select(F.md5("text").alias("key"), "doc_id", F.expr("nullif(source, 'src1')").alias("source"))
     done = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("key")
     return joins.worklist(docs, done, "key", ["doc_id"], "source", ("src3",))
 
@@ -199,8 +202,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     docs = table(spark, sf, "documents").select(F.md5("text").alias("key"), "doc_id")
-    done = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("key").distinct()
-    return joins.worklist_report(docs, done, "key")
+    done = docs.join(table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("key")
+    return joins.worklist_report(docs, done.union(done), "key")
 
 
 @query(

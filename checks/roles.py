@@ -36,6 +36,8 @@ def plies(spark: SparkSession, sf: str) -> DataFrame:
         F.col("l_orderkey").alias("game_id"),
         *["l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax"],
         F.when(F.col("l_linenumber") % 2 == 1, "w").otherwise("b").alias("turn"),
+        # What the annotations are joined by: some rows have a position that is not annotated, some have none.
+        F.when(F.col("l_linenumber") == 7, -F.col("l_partkey")).when(F.col("l_linenumber") < 6, F.col("l_partkey")).alias("pos"),
         F.when(flag == "N", "game").when(flag == "A", "puzzle").otherwise("tablebase").alias("source"),
     )
     outcome = games(spark, sf).select("game_id", "result")
@@ -50,8 +52,7 @@ def annotations(spark: SparkSession, sf: str) -> DataFrame:
     totals = table(spark, sf, "lineitem").groupBy(F.col("l_partkey").alias("fen")).agg(
         price.alias("price"), a.alias("a"), b.alias("b"), n.alias("n")
     )
-    # Odd parts have no annotation, so joins to this view miss some rows.
-    return totals.where("fen % 2 = 0").selectExpr(
+    return totals.selectExpr(
         "fen",
         "cast((price div (100 * n) - 50000) div 20 as int) as cp",
         "cast(1000 * a div (n + a + b) as int) as w",

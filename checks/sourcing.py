@@ -62,14 +62,16 @@ def _(spark, sf):
 @query(
     "write_games",
     WORDS
-    + """select 'header' as kind, 7 * count(*) as n from words union all select 'moves', count(*) from words union all select 'result ' || result, count(*) from words group by result""",
+    + """, lines as (select unnest(['[Event "' || coalesce(role, '?') || '"]', '[Site "?"]', '[Date "?"]', '[Round "?"]', '[White "conv ' || cast(conv_id as varchar) || '"]',
+         '[Black "turn ' || cast(turn as varchar) || '"]', '[Result "' || result || '"]',
+         array_to_string(list_append(list_transform(range(1, len(moves) + 1), lambda i: case when i % 2 = 1 then cast((i + 1) // 2 as varchar) || '. ' || moves[i] else moves[i] end), result), ' ')]) as line
+         from words)
+       select left(line, 40) as line, md5(line) as md5, count(*) as n from lines group by line""",
 )
 def _(spark, sf):
+    """Every line of the written games, but for the blank ones and the summary on top of each file."""
     lines = spark.read.text(game_files(spark, sf)).where("value <> '' and value not like '\\%%'")
-    header = F.col("value").startswith("[")
-    result = F.element_at(F.split("value", " "), -1)
-    kinds = F.when(header, F.array(F.lit("header"))).otherwise(F.array(F.lit("moves"), F.concat(F.lit("result "), result)))
-    return lines.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+    return lines.groupBy(F.left("value", F.lit(40)).alias("line"), F.md5("value").alias("md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -147,13 +149,13 @@ def _(spark, sf):
     "read_routed",
     """select rid as fen, case when l_partkey % 50 > 0 then cast(l_partkey as integer) end as move_idx, wdl, cast(case source when 'game' then 0 when 'puzzle' then 1 else 2 end as integer) as source_id,
          case when l_linenumber > 3 then w end as w, case when l_linenumber > 3 then d end as d, case when l_linenumber > 3 then l end as l
-       from plies left join annotations on fen = l_partkey""",
+       from plies left join annotations on fen = pos""",
     ("plies", "annotations"),
 )
 def _(spark, sf):
     source = F.when(F.col("source") == "game", 0).when(F.col("source") == "puzzle", 1).otherwise(2)
-    ann = roles.annotations(spark, sf).withColumnRenamed("fen", "l_partkey")
-    rows = roles.plies(spark, sf).join(ann, "l_partkey", "left").select(
+    ann = roles.annotations(spark, sf).withColumnRenamed("fen", "pos")
+    rows = roles.plies(spark, sf).join(ann, "pos", "left").select(
         F.col("rid").alias("fen"),
         F.when(F.col("l_partkey") % 50 > 0, F.col("l_partkey")).cast("int").alias("move_idx"),
         "wdl",
@@ -186,13 +188,25 @@ def _(spark, sf):
     return tables.read_annotations(spark, path)
 
 
+def documents_of(rows, blob, path: str, n: int, key: str, size: int = 1000) -> str:
+    """Write ``rows`` as pretty-printed JSON documents, one to a file, each of about ``size`` rows (a list in ``blob``)."""
+    cut = rows.withColumn("_doc", F.pmod(F.xxhash64(key), F.lit(n // size + 1)))
+    each = cut.groupBy("_doc").agg(blob.alias("_blob")).select("_doc", F.to_json("_blob", {"pretty": "true"}).alias("value"))
+    each.repartition("_doc").write.partitionBy("_doc").text(path)
+    return path
+
+
 @query("read_suite", "select cast(position as varchar) as fen, p_type as phase, move as uci, cp, rank, best_cp from suite join part on p_partkey = position", ("suite",))
 def _(spark, sf):
-    path = stage_path(spark, "suite")
-    position = F.struct("fen", "phase", "moves")
-    meta = F.struct(F.lit("2024-01-01").alias("created"), F.lit(393).alias("suite_size"), F.lit(16).alias("sf_depth"), F.lit(7).alias("seed"))
-    roles.suite_positions(spark, sf).select(meta.alias("meta"), F.array(position).alias("positions")).write.json(path)
-    return suites.read_suite(spark, path, multi_line=False)
+    return suites.read_suite(spark, suite_files(spark, sf))
+
+
+def suite_files(spark, sf) -> str:
+    """Whole suites, each one JSON document over many lines."""
+    n = table(spark, sf, "part").count()
+    meta = F.struct(F.lit(f"n{n}").alias("created"), F.lit(n).alias("suite_size"), F.lit(16).alias("sf_depth"), F.lit(7).alias("seed"))
+    blob = F.struct(meta.alias("meta"), F.collect_list(F.struct("fen", "phase", "moves")).alias("positions"))
+    return documents_of(roles.suite_positions(spark, sf), blob, stage_path(spark, "suite"), n, "fen")
 
 
 @query(
@@ -200,11 +214,7 @@ def _(spark, sf):
     """select unnest(['created', 'suite_size', 'sf_depth', 'seed']) as field, unnest(['n' || cast(count(*) as varchar), cast(count(*) as varchar), '16', '7']) as value from part""",
 )
 def _(spark, sf):
-    path = stage_path(spark, "suite")
-    n = table(spark, sf, "part").count()
-    meta = F.struct(F.lit(f"n{n}").alias("created"), F.lit(n).alias("suite_size"), F.lit(16).alias("sf_depth"), F.lit(7).alias("seed"))
-    roles.suite_positions(spark, sf).select(meta.alias("meta"), F.array(F.struct("fen", "phase", "moves")).alias("positions")).write.json(path)
-    return suites.suite_meta(spark, path, multi_line=False)
+    return suites.suite_meta(spark, suite_files(spark, sf))
 
 
 @query(
@@ -227,12 +237,18 @@ def _(spark, sf):
         )
 
     snaps = F.create_map(F.lit("100"), snap(100), F.lit("800"), snap(800))
-    row = F.struct(roles.row_id().alias("fen"), snaps.alias("snaps"))
-    cell = F.struct(c.alias("c_puct"), f.alias("fpu"), F.array(row).alias("rows"), F.lit(1.0).alias("wall"))
-    blob = F.struct(F.create_map(F.lit("min_spread"), F.lit("50")).alias("meta"), F.create_map(cell_key(c, f), cell).alias("cells"))
+    lines = table(spark, sf, "lineitem").select(cell_key(c, f).alias("cell"), c.alias("c"), f.alias("f"), F.struct(roles.row_id().alias("fen"), snaps.alias("snaps")).alias("row"))
+    # A sweep file holds all its cells, a cell the rows of its positions; about 2000 rows to a file.
+    n = lines.count() // 2000 + 1
+    cut = lines.withColumn("_doc", F.pmod(F.xxhash64("row.fen"), F.lit(n)))
+    cells = cut.groupBy("_doc", "cell", "c", "f").agg(F.collect_list("row").alias("rows"))
+    cell = F.struct(F.col("c").alias("c_puct"), F.col("f").alias("fpu"), "rows", F.lit(1.0).alias("wall"))
+    meta = F.create_map(F.lit("min_spread"), F.lit("50")).alias("meta")
+    blob = F.struct(meta, F.map_from_entries(F.collect_list(F.struct("cell", cell.alias("c")))).alias("cells"))
+    each = cells.groupBy("_doc").agg(blob.alias("_blob")).select("_doc", F.to_json("_blob", {"pretty": "true"}).alias("value"))
     path = stage_path(spark, "sweep")
-    table(spark, sf, "lineitem").select(F.to_json(blob).alias("value")).write.text(path)
-    return suites.read_sweep(spark, path, whole_files=False)
+    each.repartition("_doc").write.partitionBy("_doc").text(path)
+    return suites.read_sweep(spark, path)
 
 
 def chunk_files(spark, sf) -> str:
@@ -373,15 +389,18 @@ def _(spark, sf):
 
 @query(
     "scan_artifacts",
-    """with f as (select concat('gen_', cast(p_partkey as varchar)) as label, concat('/weights/gen_', cast(p_partkey as varchar), '.weights.h5') as path, cast(p_partkey as integer) as generation from part where p_size <= 25)
-       select concat('gen_', cast(p_partkey as varchar)) as label, path, generation, path is not null as available from part left join f on f.label = concat('gen_', cast(p_partkey as varchar))""",
+    """select concat('gen_', cast(s_suppkey as varchar)) as label, case when s_acctbal >= 0 then concat('gen_', cast(s_suppkey as varchar), '.weights.h5') end as name,
+         case when s_acctbal >= 0 then cast(s_suppkey as integer) end as generation, case when s_acctbal >= 0 then 2 end as n_files, s_acctbal >= 0 as available from supplier""",
 )
 def _(spark, sf):
-    label = F.concat(F.lit("gen_"), F.col("p_partkey").cast("string"))
-    part = table(spark, sf, "part")
-    files = part.where("p_size <= 25").select(F.concat(F.lit("/weights/"), label, F.lit(".weights.h5")).alias("path"))
-    out = artifacts.against_expected(files, part.select(label.alias("label")))
-    return out.select("label", "path", "generation", "available")
+    """Saved models that are folders of two parts each, listed where Spark wrote them; some expected ones are missing."""
+    suppliers = table(spark, sf, "supplier")
+    label = F.concat(F.lit("gen_"), F.col("s_suppkey").cast("string"))
+    path = stage_path(spark, "weights")
+    saved = suppliers.where("s_acctbal >= 0").select(F.concat(label, F.lit(".weights.h5")).alias("model"), "s_name", F.explode(F.array(F.lit(1), F.lit(2))).alias("part"))
+    saved.repartition("model", "part").write.partitionBy("model", "part").parquet(path)
+    out = artifacts.scan_artifacts(spark, f"{path}/*/*", suppliers.select(label.alias("label")), folder="model=")
+    return out.select("label", "name", "generation", F.col("n_files").cast("int").alias("n_files"), "available")
 
 
 @query("read_ids", "select distinct cast(l_partkey as varchar) as id from lineitem")

@@ -128,7 +128,7 @@ def _(spark, sf):
 
 @query(
     "stream_best",
-    """with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as i from events),
+    """with recursive o as (select user_id, event_id, value, row_number() over (partition by user_id order by event_id) as i from events where event_type <> 'error'),
        fold as (select user_id, event_id, value, i, value as best, true as hit from o where i = 1
          union all select o.user_id, o.event_id, o.value, o.i, case when o.value < best - 0.5 then o.value else best end, o.value < best - 0.5
          from fold join o on o.user_id = fold.user_id and o.i = fold.i + 1)

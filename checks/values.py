@@ -71,12 +71,12 @@ def _(spark, sf):
        from (select rid, w, d, l, greatest(cast(w + d + l as double), 1e-9) as t,
                case when wdl = 0 then 1.0::double else 0.0::double end as h0, case when wdl = 1 then 1.0::double else 0.0::double end as h1,
                case when wdl = 2 then 1.0::double else 0.0::double end as h2
-             from plies left join annotations on fen = l_partkey) x""",
+             from plies left join annotations on fen = pos) x""",
     ("plies", "annotations"),
 )
 def _(spark, sf):
-    ann = roles.annotations(spark, sf).withColumnRenamed("fen", "l_partkey")
-    rows = roles.plies(spark, sf).join(ann, "l_partkey", "left")
+    ann = roles.annotations(spark, sf).withColumnRenamed("fen", "pos")
+    rows = roles.plies(spark, sf).join(ann, "pos", "left")
     target = labels.blend("wdl", "w", "d", "l").alias("t")
     return rows.select("rid", target).select("rid", *[r6(F.col("t")[i]).alias(n) for i, n in enumerate(("tw", "td", "tl"))])
 
@@ -291,11 +291,15 @@ def _(spark, sf):
 
 @query(
     "filter_games",
-    """select event, count(*) as n_games from games
-       where price >= 150000 and player * 1500 >= 150000 and event not like '5%' and result in ('1-0', '0-1', '1/2-1/2') group by event""",
+    """select game_id, event, count(l_orderkey) as n_plies from games left join lineitem on l_orderkey = game_id
+       where price >= 150000 and player * 1500 >= 150000 and event not like '5%' and result in ('1-0', '0-1', '1/2-1/2') group by game_id, event having count(l_orderkey) >= 4""",
     ("games",),
 )
 def _(spark, sf):
+    """Games of stored plies: strong players, a known result, no skipped event, four plies at least."""
     rows = roles.games(spark, sf).withColumn("white_elo", F.col("price")).withColumn("black_elo", F.col("player") * 1500)
-    kept = filter_games(rows, 150_000, "white_elo", "black_elo", event="event", skip_event="5%")
-    return kept.groupBy("event").agg(F.count(F.lit(1)).alias("n_games"))
+    # An order has at most seven lines.
+    plies = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("game_id")).agg(F.collect_list("l_partkey").alias("moves"))
+    stored = rows.join(plies, "game_id", "left")
+    kept = filter_games(stored, 150_000, "white_elo", "black_elo", event="event", skip_event="5%", moves="moves", min_plies=4)
+    return kept.select("game_id", "event", F.size("moves").cast("long").alias("n_plies"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curate.functions.base import ColumnLike, col, cols
@@ -18,25 +18,37 @@ CP_CAP = 1000
 ANNOTATION = ("w", "d", "l")
 
 
+def annotatable(source: str, skip) -> Column:
+    """Whether a row's source is annotated; rows of an unknown source are."""
+    return ~F.coalesce(F.col(source).isin(*skip), F.lit(False)) if skip else F.lit(True)
+
+
+def one_per_key(annotations: DataFrame, key, values, order=None, depth: int | None = None) -> DataFrame:
+    """(key..., values...): of each key the first annotation by ``order``, else the one of least values; of one search depth if asked for."""
+    key, values = cols(key), cols(values)
+    rows = annotations if depth is None else annotations.where(F.col("depth") == depth)
+    return dedupe_first(rows, key, cols(order) if order is not None else values).select(*key, *values)
+
+
 def join_annotations(
-    df: DataFrame, annotations: DataFrame, key="fen", source: str = "source_id", skip=SKIP_SOURCES, values=ANNOTATION
+    df: DataFrame, annotations: DataFrame, key="fen", source: str = "source_id", skip=SKIP_SOURCES, values=ANNOTATION, order=None, depth: int | None = None
 ) -> DataFrame:
     """Left join of the annotation values; rows of a skipped source stay without.
 
-    Values from an earlier join are dropped first, so a second run refreshes them and adds nothing.
-    ``annotations`` holds one row per key.
+    Values from an earlier join are dropped first, so a second run refreshes them and adds nothing. A key that is annotated
+    several times counts once (``one_per_key``: say by ``order`` which was written first), so no row is ever multiplied.
+    Rows of an unknown source are annotated; a NULL key matches nothing. ``depth`` picks one search depth out of several.
     """
     key = cols(key)
     base = df.drop(*values)
-    facts = annotations.select(*key, *values)
-    joined = join_unique(base, facts, key)
-    wanted = ~F.col(source).isin(*skip)
+    joined = join_unique(base, one_per_key(annotations, key, values, order, depth), key)
+    wanted = annotatable(source, skip)
     return joined.withColumns({v: F.when(wanted, F.col(v)) for v in values})
 
 
 def annotation_report(joined: DataFrame, source: str = "source_id", skip=SKIP_SOURCES, value: str = "w") -> DataFrame:
-    """hit, miss and hit percent over the annotatable rows."""
-    rows = joined.where(~F.col(source).isin(*skip))
+    """hit, miss and hit percent over the annotatable rows, those of an unknown source included."""
+    rows = joined.where(annotatable(source, skip))
     hit = F.count(value)
     total = F.count(F.lit(1))
     return rows.agg(
@@ -47,24 +59,27 @@ def annotation_report(joined: DataFrame, source: str = "source_id", skip=SKIP_SO
 
 
 def worklist(
-    df: DataFrame, annotations: DataFrame, key: str = "fen", order: list | None = None, source: str = "source_id", skip=SKIP_SOURCES
+    df: DataFrame, annotations: DataFrame, key="fen", order: list | None = None, source: str = "source_id", skip=SKIP_SOURCES, depth: int | None = None
 ) -> DataFrame:
     """(key, order...) of the distinct keys still to annotate, each at its first occurrence.
 
     Sorting the result by the order columns gives first-seen order. Copies are cut before the
-    difference, so both sides hold a key once.
+    difference, so both sides hold a key once. Rows of an unknown source are on the list; keys that hold a NULL are not. With
+    ``depth`` only annotations of that search depth count as done.
     """
-    order = order or []
-    wanted = df.where(~F.col(source).isin(*skip)) if source else df
-    first = dedupe_first(wanted.select(key, *order), key, order or [key])
-    return first.join(annotations.select(key), key, "left_anti")
+    order, key = order or [], cols(key)
+    wanted = df.where(annotatable(source, skip)) if source else df
+    first = dedupe_first(wanted.select(*key, *order).dropna(subset=key), key, order or key)
+    done = annotations if depth is None else annotations.where(F.col("depth") == depth)
+    return first.join(done.select(*key), key, "left_anti")
 
 
-def worklist_report(df: DataFrame, annotations: DataFrame, key: str = "fen", approximate: bool = False) -> DataFrame:
-    """rows, unique keys and keys left to do; the unique count can be approximate."""
-    per_key = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    marked = per_key.join(annotations.select(key, F.lit(1).alias("_done")), key, "left")
-    unique = F.approx_count_distinct(key) if approximate else F.count(F.lit(1))
+def worklist_report(df: DataFrame, annotations: DataFrame, key="fen", approximate: bool = False) -> DataFrame:
+    """rows, unique keys and keys left to do; the unique count can be approximate. Keys may be annotated several times."""
+    key = cols(key)
+    per_key = df.groupBy(*key).agg(F.count(F.lit(1)).alias("_n"))
+    marked = per_key.join(annotations.select(*key).distinct().withColumn("_done", F.lit(1)), key, "left")
+    unique = F.approx_count_distinct(F.struct(*key)) if approximate else F.count(F.lit(1))
     return marked.agg(
         F.sum("_n").alias("n_rows"),
         unique.alias("n_unique"),
@@ -90,12 +105,15 @@ def score_choice(
 ) -> DataFrame:
     """Score chosen moves by the suite: rank, raw and capped centipawn loss, expected-score loss.
 
-    ``suite`` holds (position, move, cp, rank, best_cp), one row per move. A move the suite does not
-    hold is an error, or a row with ``found`` false if not strict; it is never scored 0.
+    ``suite`` holds (position, move, cp, rank, best_cp), one row per move; a chosen move that it holds twice is an error. A
+    move the suite does not hold is an error, or a row with ``found`` false if not strict; it is never scored 0.
     """
     key = [*cols(position), move]
-    facts = suite.select(*key, "cp", "rank", "best_cp")
+    facts = suite.groupBy(*key).agg(F.min(F.struct("cp", "rank", "best_cp")).alias("_f"), F.count(F.lit(1)).alias("_times"))
+    twice = F.concat(F.lit("move twice in the suite: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in key]))
     joined = join_unique(choices, facts, key)
+    joined = joined.withColumns({v: F.col(f"_f.{v}") for v in ("rank", "best_cp")})
+    joined = joined.withColumn("cp", F.when(F.col("_times") > 1, F.raise_error(twice).cast("int")).otherwise(F.col("_f.cp"))).drop("_f", "_times")
     raw = F.col("best_cp") - F.col("cp")
     if strict:
         message = F.concat(F.lit("move not in the suite: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in key]))
@@ -166,7 +184,7 @@ def check_compat(have: DataFrame, want: DataFrame) -> DataFrame:
 
 def missing_annotations(work: DataFrame, annotations: DataFrame, key: str = "fen") -> DataFrame:
     """done and missing counts of a work list."""
-    marked = work.select(key).join(annotations.select(key, F.lit(1).alias("_done")), key, "left")
+    marked = work.select(key).join(annotations.select(key).distinct().withColumn("_done", F.lit(1)), key, "left")
     return marked.agg(
         F.count("_done").alias("done"), (F.count(F.lit(1)) - F.count("_done")).alias("missing")
     )

@@ -14,9 +14,16 @@ from curate.operators.skew import SPAN, running
 EPS = 1e-4
 
 
+def known(df: DataFrame, value: str) -> DataFrame:
+    """The rows whose value is a number."""
+    return df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+
+
 def best_so_far(df: DataFrame, run, order: str, value: str, eps: float = EPS, span: int = SPAN) -> DataFrame:
     """The rows that beat the best value so far by more than eps; the first row of a run always does.
 
+    Rows whose value is NULL or not a number beat nothing and are no best to be beaten.
+
     Only a strict new minimum can beat the best, so a running minimum finds the candidates. With eps 0
     these are the result. Otherwise the rule is a fold (a smaller improvement does not lower the best),
     which runs over the few candidates of each run, sorted, as a stream of batches. ``run`` names at least
@@ -24,7 +31,7 @@ def best_so_far(df: DataFrame, run, order: str, value: str, eps: float = EPS, sp
     """
     run = cols(run)
     counted = running(
-        df.where(F.col(value).isNotNull()),
+        known(df, value),
         run,
         order,
         {"_least": ("min", F.struct(F.col(value).alias("v"), F.col(order).alias("o")))},

@@ -97,10 +97,14 @@ def segment_table(
 
 
 def calibration(df: DataFrame, p: ColumnLike, hit: ColumnLike, bins: int = CALIBRATION_BINS, by=()) -> DataFrame:
-    """Equal-width bins of p (the last includes 1): n, mean p and actual share; empty bins have no row, unknown p or hit no bin."""
+    """Equal-width bins of p (the last includes 1): n, mean p and actual share.
+
+    Empty bins have no row. Rows without p or hit, and rows whose p is not a number from 0 to 1, are in no bin.
+    """
     b = F.least(F.floor(col(p) * bins), F.lit(bins - 1)).cast("int")
     rows = df.select(*cols(by), b.alias("bin"), col(p).alias("_p"), col(hit).cast("double").alias("_hit"))
-    rows = rows.where("_p is not null and _hit is not null")
+    # NaN compares as larger than 1.
+    rows = rows.where("_p >= 0 and _p <= 1 and _hit is not null and not isnan(_hit)")
     return rows.groupBy(*cols(by), "bin").agg(
         F.count(F.lit(1)).alias("n_rows"), F.avg("_p").alias("mean_p"), F.avg("_hit").alias("actual")
     )

@@ -106,3 +106,34 @@ def test_batch_score_and_score_distinct(spark):
     assert all(r.y == [2.0 * r.k] for r in plain.collect()) and plain.count() == 23
     once = scoring.score_distinct(df.select("id", "k", "x"), "k", doubling, "x", "y", batch=4)
     assert rows(once.select("id", F.col("y")[0])) == [(i, 2.0 * (i % 5)) for i in range(23)]
+
+
+def test_repeated_annotations_and_unknown_sources(spark):
+    df = spark.createDataFrame([("a", 0), ("a", None), ("b", 2), (None, 0), ("c", None)], "fen string, source_id int")
+    ann = spark.createDataFrame([("a", 2, 7, 1, 2, 12), ("a", 1, 5, 3, 4, 12), ("a", 3, 9, 9, 9, 20), ("b", 1, 1, 1, 1, 12), (None, 1, 8, 8, 8, 12)], "fen string, at int, w int, d int, l int, depth int")
+    joined = j.join_annotations(df, ann, order=["at"])
+    assert sorted(str(tuple(r)) for r in joined.select("fen", "source_id", "w").collect()) == sorted(
+        map(str, [("a", 0, 5), ("a", None, 5), ("b", 2, None), (None, 0, None), ("c", None, None)])
+    )
+    assert [r.w for r in j.join_annotations(df, ann, order=["at"], depth=20).collect() if r.fen == "a"] == [9, 9]
+    assert tuple(j.annotation_report(joined).first()) == (2, 2, 50.0)
+    assert sorted(r.fen for r in j.worklist(df, ann).collect()) == ["c"]
+    assert sorted(r.fen for r in j.worklist(df, ann, depth=16).collect()) == ["a", "c"]
+    report = j.worklist_report(df.where("fen in ('a', 'c')"), ann).first()
+    assert tuple(report) == (3, 2, 1)
+    assert tuple(j.missing_annotations(spark.createDataFrame([("a",), ("c",)], "fen string"), ann).first()) == (1, 1)
+
+
+def test_keys_of_several_columns(spark):
+    df = spark.createDataFrame([("a", 12), ("a", 20), ("a", 20)], "fen string, depth int")
+    done = df.limit(1)
+    assert rows(j.worklist(df, done, ["fen", "depth"], source=None)) == [("a", 20)]
+    assert tuple(j.worklist_report(df, done, ["fen", "depth"]).first()) == (3, 2, 1)
+
+
+def test_a_move_twice_in_the_suite_is_an_error(spark):
+    suite = spark.createDataFrame([("p", "x", 100, 1, 100), ("p", "x", 95, 2, 100), ("p", "y", 0, 3, 100)], "position string, move string, cp int, rank int, best_cp int")
+    choice = spark.createDataFrame([("p", "x")], "position string, move string")
+    with pytest.raises(Exception, match="move twice in the suite: p x"):
+        j.score_choice(choice, suite).collect()
+    assert j.score_choice(choice.withColumn("move", F.lit("y")), suite).first().cp_loss == 100

@@ -168,3 +168,10 @@ def test_disagreements(spark):
     df = spark.createDataFrame([(1, "p", "e4", 1, 0), (8, "p", "d4", 2, 9), (1, "q", "e4", 1, 0), (8, "q", "e4", 1, 0)], "batch int, position string, move string, rank int, cp_loss int")
     got = sweeps.disagreements(df).collect()
     assert [r.position for r in got] == ["p"] and got[0].choices[8].move == "d4" and got[0].n_moves == 2
+
+
+@pytest.mark.parametrize("values, want", [([float("nan"), 0.5, 0.1], [1, 2]), ([0.5, float("nan"), 0.1], [0, 2]), ([0.5, 0.1, float("nan")], [0, 1]), ([float("nan")], []), ([None, 0.5, None, 0.5], [1])])
+@pytest.mark.parametrize("eps", [0, 1e-4])
+def test_values_that_are_no_numbers_beat_nothing(spark, values, want, eps):
+    log = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, step long, v double")
+    assert [r.step for r in monitor.best_so_far(log, "run", "step", "v", eps).orderBy("step").collect()] == want

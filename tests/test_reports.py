@@ -81,3 +81,10 @@ def test_coverage_ledger_and_batches(spark):
 def test_audit_rows(scored):
     got = dict(rows(audit(scored, "g")))
     assert set(got) == {"a.p_true", "a.acc", "b.p_true", "b.acc", "value_ce", "acc", "ece"} and got["acc"] == 0.5
+
+
+def test_odd_probabilities_are_in_no_bin(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(0.25, 1.0), (nan, 1.0), (-0.05, 1.0), (1.5, 0.0), (None, 1.0), (0.5, None), (0.5, nan), (0.0, 0.0)], "p double, hit double")
+    assert rows(r.calibration(df, "p", "hit")) == [(0, 1, 0.0, 0.0), (2, 1, 0.25, 1.0)]
+    assert tuple(r.ece(df, "p", "hit").first()) == (pytest.approx(0.375), 2)
