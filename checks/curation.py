@@ -8,6 +8,7 @@ from checks import roles
 from checks.base import query, rounded, table
 
 from curate.operators import joins, reports, sampling
+from curate.operators.asof import asof_join
 from curate.operators.ranking import dedupe_first, ordered_rank
 from curate.plans.training_set import plan_and_route
 from curate.storage import stage
@@ -462,3 +463,43 @@ def _(spark, sf):
 @query("distinct_keys", "select distinct l_partkey, l_linenumber from lineitem")
 def _(spark, sf):
     return sampling.distinct_keys(table(spark, sf, "lineitem"), ["l_partkey", "l_linenumber"])
+
+
+ASOF = """with e as (select event_id, case when event_type = 'error' then 0 when event_type <> 'view' then user_id end as k, epoch_us(ts) as us from events),
+  o as (select k, us, max(o_orderkey) as o_orderkey, arg_max(o_totalprice, o_orderkey) as o_totalprice
+    from (select case when o_custkey % 3 = 0 then 0 else o_custkey % 150 end as k, 1000000 * (1704067200 + (epoch_us(o_orderdate) // 1000000 - 788918400) // 80) as us, o_orderkey, o_totalprice from orders) x
+    group by k, us)
+"""
+
+
+def asof_sides(spark, sf):
+    """Events and orders on one month's time; a third of both belongs to one key, and some events have none."""
+    kind = F.col("event_type")
+    key = F.when(kind == "error", 0).when(kind != "view", F.col("user_id"))
+    events = table(spark, sf, "events").select("event_id", key.alias("k"), "ts")
+    seconds = F.floor((F.unix_seconds(F.col("o_orderdate").cast("timestamp")) - 788918400) / 80) + 1704067200
+    k = F.when(F.col("o_custkey") % 3 == 0, 0).otherwise(F.col("o_custkey") % 150)
+    orders = table(spark, sf, "orders").select(k.alias("k"), F.timestamp_seconds(seconds).alias("at"), "o_orderkey", "o_totalprice")
+    return events.withColumn("ts", F.col("ts").cast("timestamp")), orders
+
+
+@query("asof_join", ASOF + "select event_id, o_orderkey, o_totalprice from e asof left join o on e.k = o.k and e.us >= o.us")
+def _(spark, sf):
+    events, orders = asof_sides(spark, sf)
+    out = asof_join(events, orders, "k", "ts", "at", ["o_orderkey", "o_totalprice"])
+    return out.select("event_id", "o_orderkey", "o_totalprice")
+
+
+@query(
+    "asof_join_forward",
+    ASOF
+    + """, f as (select event_id, n.o_orderkey, n.us - e.us as d from e asof left join (select k, us, min(key) as o_orderkey from
+           (select case when o_custkey % 3 = 0 then 0 else o_custkey % 150 end as k, 1000000 * (1704067200 + (epoch_us(o_orderdate) // 1000000 - 788918400) // 80) as us, o_orderkey as key from orders) x
+           group by k, us) n on e.k = n.k and e.us < n.us)
+       select event_id, case when d <= 7200000000 then o_orderkey end as o_orderkey from f""",
+)
+def _(spark, sf):
+    """The next order after the event, within two hours."""
+    events, orders = asof_sides(spark, sf)
+    out = asof_join(events, orders, "k", "ts", "at", "o_orderkey", forward=True, strict=True, tolerance=7_200_000_000)
+    return out.select("event_id", "o_orderkey")
