@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks import roles
+from checks.audits import measured
 from checks.base import query, rounded, table
 from curate.sources import logs
 from curate.storage import stage_path
@@ -135,7 +136,52 @@ def _(spark, sf):
        select user_id, event_id, value from fold where hit""",
 )
 def _(spark, sf):
-    events = stream(spark, sf, "events").select("user_id", "event_id", "value")
-    path = stage_path(spark, "best")
-    monitor.stream_best(events, "user_id", "event_id", "value", path, stage_path(spark, "checkpoint"), 0.5).awaitTermination()
-    return monitor.read_best(spark, path, events.schema).drop("epoch")
+    """A log in two files with a restart between them; the errors' values are no numbers."""
+    log = measured(table(spark, sf, "events"))
+    inbox, path, checkpoint = (stage_path(spark, n) for n in ("log", "best", "checkpoint"))
+    last = table(spark, sf, "events").agg(F.max("event_id")).scalar()
+    for cut in (F.col("event_id") <= last / 2, F.col("event_id") > last / 2):
+        log.where(cut).write.mode("append").parquet(inbox)
+        monitor.stream_best(spark.readStream.schema(log.schema).parquet(inbox), "user_id", "event_id", "value", path, checkpoint, 0.5).awaitTermination()
+    return monitor.read_best(spark, path, log.schema)
+
+
+@query(
+    "ingest_distinct",
+    """select cast(l_partkey as varchar) as fen, 12 as depth, cast(min(l_orderkey * 10 + l_linenumber) as integer) as cp, 1 as w, 2 as d, 997 as l, 1 as copies from lineitem group by l_partkey""",
+)
+def _(spark, sf):
+    """Every line annotates its part, so keys come back batch after batch, and after a restart; each is stored once, as first written."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("fen"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("at"))
+    text = F.concat_ws(",", F.col("fen").cast("string"), F.col("at").cast("string"), F.lit("1,2,997")).alias("value")
+    sink, inbox, checkpoint = (stage_path(spark, n) for n in ("store", "in", "checkpoint"))
+    middle = lines.agg(F.percentile_approx("at", [0.25, 0.6])).scalar()
+    for cut in (F.col("at") <= middle[0], (F.col("at") > middle[0]) & (F.col("at") <= middle[1]), F.col("at") > middle[1]):
+        lines.where(cut).coalesce(1).sortWithinPartitions("at").select(text).write.mode("append").text(inbox)
+        ingest.ingest_distinct(ingest.stream_results(spark, inbox, 1), sink, checkpoint).awaitTermination()
+    stored = spark.read.parquet(sink).groupBy("fen", "depth").agg(F.count(F.lit(1)).cast("int").alias("copies"))
+    return ingest.read_store(spark, sink).join(stored, ["fen", "depth"])
+
+
+@query(
+    "stream_progress",
+    WINDOWS
+    + """select strftime(b, '%Y-%m-%d %H:%M:%S') as window_start, done, errors, done_so_far, errors_so_far, cast(elapsed as bigint) as elapsed_s,
+      round(100 * (500 + done_so_far) / (500 + (select count(*) from events where event_type <> 'error'))::double, 6) as percent, round(done_so_far / elapsed, 6) as mean_rate,
+      round(case when done_so_far > 0 then ((select count(*) from events where event_type <> 'error') - done_so_far) / (done_so_far / elapsed) / 3600 else 0 end, 6) as eta_hours from p""",
+)
+def _(spark, sf):
+    """Totals kept by a stream over files that overlap in time, with a restart between them: late rows change earlier windows."""
+    events = table(spark, sf, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type")
+    total = events.where("event_type <> 'error'").count()
+    inbox, windows, totals, first, second = (stage_path(spark, n) for n in ("in", "windows", "totals", "checkpoint", "checkpoint"))
+    late = F.expr("unix_seconds(ts) + pmod(xxhash64(event_id), 86400)")
+    ends = events.agg(F.percentile_approx(late, [0.3, 0.7])).scalar()
+    for cut in (late <= ends[0], (late > ends[0]) & (late <= ends[1]), late > ends[1]):
+        events.where(cut).coalesce(1).write.mode("append").parquet(inbox)
+        arrived = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(inbox)
+        ingest.log_updates(progress.progress_windows(arrived, "ts", F.col("event_type") == "error", watermark="2 days"), windows, first).awaitTermination()
+        changes = spark.readStream.schema("window_start timestamp, done long, errors long, rate double, epoch long").parquet(windows)
+        progress.stream_totals(changes, totals, second, horizon=4 * 86_400).awaitTermination()
+    out = progress.read_progress(spark, totals, total, already=500).drop("rate", "job")
+    return rounded(out, "percent", "mean_rate", "eta_hours").withColumn("window_start", F.date_format("window_start", SECOND))

@@ -7,14 +7,17 @@ of what is there. Reading takes the first written row of a key; ``compact`` does
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from curate.operators.ranking import dedupe_first
 from curate.sources.tables import parse_annotations
+from curate.streaming.state import rocks_state
 
 # Fixed value: search depth of the annotation job.
 DEPTH = 12
@@ -61,10 +64,27 @@ def read_store(spark: SparkSession, sink: str, depth: int | None = None) -> Data
     return dedupe_first(rows, KEY, WRITTEN).select(*KEY, "cp", "w", "d", "l")
 
 
+def _placed(lines: DataFrame, depth: int) -> DataFrame:
+    """The annotations of the lines, with the place they were written at."""
+    if not lines.isStreaming:
+        return parse_annotations(lines.withColumns({"_line": F.monotonically_increasing_id() % (1 << 33), "depth": F.lit(depth)}))
+
+    def count(batches):
+        """A stream has no row numbers of its own: the lines of a task, as they are read."""
+        import pyarrow as pa
+
+        at = 0
+        for batch in batches:
+            yield batch.append_column("_line", pa.array(range(at, at + batch.num_rows), pa.int64()))
+            at += batch.num_rows
+
+    numbered = lines.mapInArrow(count, StructType([*lines.schema.fields, StructField("_line", LongType())]))
+    return parse_annotations(numbered.withColumn("depth", F.lit(depth)))
+
+
 def append_batch(batch: DataFrame, sink: str, run: str, epoch: int, depth: int = DEPTH) -> None:
     """Log the first copy of each key of the batch under its run and number; a replayed batch writes its folder again."""
-    placed = batch.withColumns({"_line": F.monotonically_increasing_id() % (1 << 33), "depth": F.lit(depth)})
-    first = dedupe_first(parse_annotations(placed), KEY, WRITTEN)
+    first = dedupe_first(_placed(batch, depth), KEY, WRITTEN)
     first.write.mode("overwrite").parquet(f"{sink}/run={run}/epoch={epoch}")
 
 
@@ -86,6 +106,55 @@ def ingest_annotations(
     return writer.start()
 
 
+def first_state(columns: list[str], order: list[str], expires: int | None) -> StatefulProcessor:
+    """The state of a key: that it was seen, for ``expires`` milliseconds or for good. Its first row by ``order`` goes on, no other."""
+
+    class First(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "yes boolean", expires)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            if self.seen.exists():
+                return
+            first = None
+            for part in rows:
+                both = part if first is None else pd.concat([first, part])
+                first = both.sort_values(order, kind="stable").head(1)
+            if first is not None:
+                self.seen.update((True,))
+                yield first[columns]
+
+        def close(self) -> None:
+            pass
+
+    return First()
+
+
+def ingest_distinct(stream: DataFrame, sink: str, checkpoint: str, depth: int = DEPTH, hours: float | None = None) -> StreamingQuery:
+    """The ingest with copies dropped before the log: a key is written once, however many batches and restarts its copies come in.
+
+    The state (RocksDB) holds the keys seen, for ``hours`` after they were seen or for good; a copy that comes later than
+    that is logged again, and reading still takes the first. For streams whose copies are many: the log then grows with the keys and
+    needs no ``compact``, while ``ingest_annotations`` keeps no state and logs a copy per batch. A lost checkpoint
+    costs what it costs there. All files there are, then stop.
+    """
+    # Stateful Python sees no column whose name begins with a line.
+    plain = {c: c.removeprefix("_") for c in WRITTEN}
+    rows = _placed(stream, depth).withColumnsRenamed(plain)
+    expires = None if hours is None else int(hours * 3_600_000)
+    state = first_state(rows.columns, list(plain.values()), expires)
+    # Without an expiry no clock is needed.
+    distinct = rows.groupBy(*KEY).transformWithStateInPandas(state, rows.schema, "append", "none" if expires is None else "processingTime")
+    distinct = distinct.withColumnsRenamed({b: a for a, b in plain.items()})
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        run = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch.write.mode("overwrite").parquet(f"{sink}/run={run}/epoch={epoch}")
+
+    with rocks_state(stream.sparkSession):
+        return distinct.writeStream.foreachBatch(write).outputMode("append").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def compact(spark: SparkSession, sink: str) -> None:
     """Rewrite the log to one row per key, then remove the batches that went in. Run it while no ingest writes.
 
@@ -101,23 +170,22 @@ def compact(spark: SparkSession, sink: str) -> None:
         fs.delete(path, True)
 
 
-def run_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
-    """Run an aggregating stream over what there is now, appending each batch's changed rows; read the last state per key.
+def log_updates(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Run an aggregating stream over what there is now, appending each batch's changed rows under its number.
 
-    Only changed rows are written, unlike in complete mode, and open windows are in the result, unlike
-    in append mode. A replayed batch writes its folder again.
+    Only changed rows are written, unlike in complete mode, and open windows are among them, unlike in append mode. A
+    replayed batch writes its folder again.
     """
 
     def write(batch: DataFrame, epoch: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/epoch={epoch}")
 
-    query = (
-        df.writeStream.foreachBatch(write)
-        .outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    writer = df.writeStream.foreachBatch(write).outputMode("update").option("checkpointLocation", checkpoint)
+    return writer.trigger(availableNow=True).start()
+
+
+def run_updates(df: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Log the changed rows of an aggregating stream over what there is now, and read the last state per key."""
+    log_updates(df, path, checkpoint).awaitTermination()
     schema = StructType([*df.schema.fields, StructField("epoch", LongType())])
     return dedupe_first(df.sparkSession.read.schema(schema).parquet(path), keys, [F.desc("epoch")]).drop("epoch")
