@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks import roles
 from checks.base import query, rounded, table
 
-from curate.operators import joins, reports, sampling
+from curate.operators import joins, reports, sampling, sketches
 from curate.operators.asof import asof_join
 from curate.operators.ranking import dedupe_first, ordered_rank
 from curate.plans.training_set import plan_and_route
-from curate.storage import stage
+from curate.sources import tables
+from curate.storage import stage, stage_path
 
 # Unequal on purpose, so that the scarcest stratum is not the same for every scale.
 QUOTAS = {
@@ -151,6 +154,38 @@ def _(spark, sf):
     return again.select("rid", "w", "d", "l")
 
 
+@query("join_store", JOINED + "select rid, w, d, l from joined", ("plies", "annotations"))
+def _(spark, sf):
+    """Against the bucketed table; of a key that was annotated twice the first is saved."""
+    name = f"annotations_{uuid.uuid4().hex}"
+    twice = roles.annotations(spark, sf).withColumn("at", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("w", F.col("w") + F.col("at") - 1)
+    tables.save_store(twice, name, order="at", path=stage_path(spark, "annotations"))
+    rows = roles.plies(spark, sf).select("rid", F.col("pos").alias("fen"), F.expr("case when l_linenumber <> 5 then source end").alias("source"))
+    source = F.when(F.col("source") == "game", 0).when(F.col("source") == "puzzle", 1).when(F.col("source") == "tablebase", 2)
+    return joins.join_store(rows.withColumn("source_id", source), name).select("rid", "w", "d", "l")
+
+
+@query(
+    "worklist_estimate",
+    """with k as (select l_partkey from lineitem group by 1), d as (select distinct l_partkey from lineitem where l_shipdate < '1998-01-01')
+       select (select count(*) from lineitem) as n_rows, true as near, (select count(*) from k where l_partkey not in (select l_partkey from d)) as n_todo, true as todo_near from (select 1) x""",
+)
+def _(spark, sf):
+    """The counts of a work list that came in three batches, one of them twice, from stored sketches; within 2 % of the exact ones."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_partkey").alias("fen"), "l_linenumber", "l_shipdate")
+    done = lines.where("l_shipdate < '1998-01-01'")
+    wanted, known = stage_path(spark, "wanted"), stage_path(spark, "known")
+    for name, cut in (("a", "l_linenumber <= 2"), ("b", "l_linenumber = 3"), ("b", "l_linenumber = 3"), ("c", "l_linenumber > 3")):
+        sketches.write_sketch(lines.where(cut), "fen", wanted, name)
+    sketches.write_sketch(done, "fen", known, "all")
+    got = sketches.worklist_estimate(sketches.read_sketches(spark, wanted), sketches.read_sketches(spark, known))
+    exact = joins.worklist_report(lines, done).select(F.col("n_unique").alias("u"), F.col("n_todo").alias("t"))
+    near = F.abs(F.col("n_unique") - F.col("u")) <= 0.02 * F.col("u")
+    todo = F.abs(F.col("n_todo") - F.col("t")) <= 0.02 * F.col("u")
+    both = got.crossJoin(F.broadcast(exact))
+    return both.select("n_rows", near.alias("near"), F.col("t").alias("n_todo"), todo.alias("todo_near"))
+
+
 @query(
     "annotation_report",
     JOINED

@@ -9,6 +9,7 @@ from curate.functions.base import ColumnLike, col, cols
 from curate.functions.scores import expected_score
 from curate.operators.ranking import dedupe_first
 from curate.operators.skew import join_unique
+from curate.sources.tables import BUCKETS
 
 # Fixed values.
 SKIP_SOURCES = (2,)
@@ -46,6 +47,20 @@ def join_annotations(
     return joined.withColumns({v: F.when(wanted, F.col(v)) for v in values})
 
 
+def join_store(df: DataFrame, table: str, key="fen", source: str = "source_id", skip=SKIP_SOURCES, values=ANNOTATION, buckets: int | None = None) -> DataFrame:
+    """``join_annotations`` with the bucketed table of ``save_store``: one shuffle, of ``df`` alone, into the table's buckets.
+
+    The table holds one row per key, so nothing is dropped or counted again. Say ``buckets`` if it was not saved with the default
+    number. A table of measured small size is broadcast instead. For keys without a hot one: the table's side is not shuffled, so
+    adaptive execution cannot split a bucket; ``join_annotations`` can.
+    """
+    key = cols(key)
+    base = df.drop(*values).repartition(buckets or BUCKETS, *key)
+    joined = base.join(df.sparkSession.table(table).select(*key, *values), key, "left")
+    wanted = annotatable(source, skip)
+    return joined.withColumns({v: F.when(wanted, F.col(v)) for v in values}).select(*[c for c in df.columns if c not in values], *values)
+
+
 def annotation_report(joined: DataFrame, source: str = "source_id", skip=SKIP_SOURCES, value: str = "w") -> DataFrame:
     """hit, miss and hit percent over the annotatable rows, those of an unknown source included."""
     rows = joined.where(annotatable(source, skip))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from curate.functions.base import ColumnLike, col, cols
 from curate.functions.positions import mirror_fen
 from curate.functions.seeded import seeded_int, seeded_key
-from curate.operators.ranking import DIGITS, cut_beyond, dedupe_first, ordered_rank, seeded_rank, top_per_group
+from curate.operators.ranking import DIGITS, dedupe_first, ordered_rank, seeded_rank, select_first, top_per_group
 from curate.storage import stage
 
 # Chunk size, rows per chunk of (source, class), seeds, windows.
@@ -115,13 +116,14 @@ def capped_fill(
 ) -> DataFrame:
     """Priority rows first, then the other rows of the fill classes, up to the cap of each class, in order."""
     allowed = df.where(F.col(priority) | F.col(cls).isin(*fill_classes))
-    cap = F.lit(None).cast("long")
-    for c, n in caps.items():
-        cap = F.when(F.col(cls) == c, F.lit(n)).otherwise(cap)
-    passes = allowed.where(cap.isNotNull()).withColumn("_second", F.when(F.col(priority), 0).otherwise(1))
-    # Neither pass can give a class more rows than its cap.
-    ranked = ordered_rank(cut_beyond(passes, [cls, "_second"], order[0], cap), cls, ["_second", *order])
-    return ranked.withColumn("_cap", cap).where(F.col("rank") <= F.col("_cap")).drop("_cap", "_second", "rank")
+    passes = allowed.where(F.col(cls).isin(*caps)).withColumn("_second", F.when(F.col(priority), 0).otherwise(1))
+    return select_first(passes, cls, order, _kept(df, cls, caps), then="_second").drop("_second")
+
+
+def _kept(df: DataFrame, group: str, quotas: dict) -> DataFrame:
+    """(group, keep) of the quotas."""
+    shape = T.StructType([T.StructField(group, df.schema[group].dataType), T.StructField("keep", T.LongType())])
+    return df.sparkSession.createDataFrame([(g, int(n)) for g, n in quotas.items()], shape)
 
 
 def sample_per_group(
@@ -146,12 +148,7 @@ def _seeded_cap(df: DataFrame, cls: str, key, seed: int, n: int) -> DataFrame:
 
 def head_per_group(df: DataFrame, group: str, quotas: dict, order: list[str]) -> DataFrame:
     """The first rows of each named group, up to its quota, in stream order."""
-    quota = F.lit(None).cast("long")
-    for g, n in quotas.items():
-        quota = F.when(F.col(group) == g, F.lit(n)).otherwise(quota)
-    named = df.where(F.col(group).isin(*quotas))
-    ranked = ordered_rank(cut_beyond(named, group, order[0], quota), group, order)
-    return ranked.withColumn("_quota", quota).where(F.col("rank") <= F.col("_quota")).drop("_quota", "rank")
+    return select_first(df.where(F.col(group).isin(*quotas)), group, order, _kept(df, group, quotas))
 
 
 def drop_ambiguous(df: DataFrame, score: ColumnLike, exact_draw_only: bool = False) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curate.functions.base import cols
 from curate.functions.labels import source_of
 from curate.operators.ranking import dedupe_first
 
@@ -12,6 +13,7 @@ from curate.operators.ranking import dedupe_first
 PUZZLE_SCHEMA = "PuzzleId string, FEN string, Moves string, Themes string"
 MANIFEST_SCHEMA = "fen string, move_idx int, wdl int"
 SHARDS = 64
+BUCKETS = 64
 
 
 def read_puzzles(spark: SparkSession, path, schema: str = PUZZLE_SCHEMA, limit: int | None = None) -> DataFrame:
@@ -162,6 +164,19 @@ def write_annotations(df: DataFrame, path: str, shards: int = SHARDS) -> None:
     df.select(line.alias("value"), shard_of("fen", shards).alias("shard")).write.mode("append").partitionBy("shard").text(path)
 
 
+def save_store(annotations: DataFrame, table: str, key="fen", buckets: int = BUCKETS, order=None, path: str | None = None) -> None:
+    """Save the annotations as a table of one row per key, bucketed and sorted by the key.
+
+    Joins and work lists against it (``join_store``) then shuffle the other side alone, however often they run. ``order`` says
+    which row of a key counts (the first); ``path`` keeps the files where the table is forgotten with its catalogue.
+    """
+    key = cols(key)
+    rows = dedupe_first(annotations, key, cols(order) if order is not None else [c for c in annotations.columns if c not in key])
+    # Each task holds whole buckets, so there is one file per bucket.
+    writer = rows.repartition(buckets, *key).write.bucketBy(buckets, *key).sortBy(*key).mode("overwrite")
+    (writer if path is None else writer.option("path", path)).saveAsTable(table)
+
+
 def read_ids(spark: SparkSession, path) -> DataFrame:
     """Held-out ids: trimmed non-empty lines, each once; a missing list is an empty one."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -137,3 +137,34 @@ def test_a_move_twice_in_the_suite_is_an_error(spark):
     with pytest.raises(Exception, match="move twice in the suite: p x"):
         j.score_choice(choice, suite).collect()
     assert j.score_choice(choice.withColumn("move", F.lit("y")), suite).first().cp_loss == 100
+
+
+def test_batch_score_of_odd_features(spark):
+    df = spark.createDataFrame([(1, [1.0, 2.0]), (2, None), (3, [3.0, None]), (4, [5.0, 6.0])], "id int, x array<double>")
+    got = {r.id: r.y for r in scoring.batch_score(df.coalesce(1), doubling, "x", "y").collect()}
+    assert got == {1: [2.0, 4.0], 2: None, 3: None, 4: [10.0, 12.0]}
+    assert scoring.batch_score(df.where("id = 2"), doubling, "x", "y").first().y is None
+    assert scoring.batch_score(df.limit(0), doubling, "x", "y").count() == 0
+    uneven = spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id int, x array<double>").coalesce(1)
+    with pytest.raises(Exception, match="feature lists of 1 and 2 values"):
+        scoring.batch_score(uneven, doubling, "x", "y").collect()
+
+
+def test_a_store_is_joined_with_one_shuffle(spark, tmp_path):
+    from curate.sources.tables import save_store
+
+    ann = spark.range(3000).selectExpr("cast(id % 2000 as string) fen", "id at", "cast(id as int) w", "1 d", "2 l")
+    df = spark.range(5000).selectExpr("cast(id % 2500 as string) fen", "id", "case when id % 7 = 0 then 2 when id % 5 > 0 then 0 end source_id")
+    save_store(ann, "store_of_test", buckets=4, order="at", path=str(tmp_path / "store"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = j.join_store(df, "store_of_test", buckets=4)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" in plan
+        key = lambda r: (r[0], r[1])
+        want = j.join_annotations(df, ann, order=["at"]).select(got.columns)
+        assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        spark.sql("drop table store_of_test")

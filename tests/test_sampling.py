@@ -154,3 +154,49 @@ def test_set_operations(spark):
     b = spark.createDataFrame([(2,)], "k int")
     assert rows(s.wanted_minus_done(a, b, "k")) == [(1,), (3,)] and s.distinct_keys(a, "k").count() == 3
     assert rows(s.union_pools({"game": a, "puzzle": b}).groupBy("source").count()) == [("game", 4), ("puzzle", 1)]
+
+
+ODD = "case when id % 5 < 2 then 7 when id % 11 = 0 then null else pmod(xxhash64(id), 1000) end"
+
+
+def first_by_window(df, by, order, keep, then=None):
+    from pyspark.sql.window import Window
+
+    w = Window.partitionBy(*by).orderBy(*([then] if then else []), *order)
+    return df.join(keep, by).withColumn("rk", F.row_number().over(w)).where("rk <= keep").drop("rk", "keep")
+
+
+@pytest.mark.parametrize("levels", [1, 2, 3])
+def test_select_first_equals_a_window(spark, levels):
+    """A tie on the first column holds a large share, some values are NULL, quotas are none, few, most, all and more."""
+    df = spark.range(30_000).selectExpr("id", "id % 6 as g", f"{ODD} as v", "concat('r', lpad(cast(pmod(xxhash64(id, 1), 100000) as string), 6, '0')) as s", "id % 3 = 0 as p")
+    df = df.withColumn("n", F.expr("cast(v as decimal(20,3)) / 7")).repartition(5)
+    keep = spark.createDataFrame([(0, 0), (1, 3), (2, 2_100), (3, 4_990), (4, 5_000), (5, 9_999)], "g long, keep long")
+    for order in (["v", "s", "id"], ["s", "id"], ["n", "id"], ["id"]):
+        got = s.select_first(df, "g", order, keep, levels=levels)
+        assert got.columns == df.columns
+        assert rows(got, "id") == rows(first_by_window(df, ["g"], order, keep), "id")
+    got = s.select_first(df.withColumn("second", ~F.col("p")), "g", ["v", "s", "id"], keep, then="second", levels=levels)
+    assert rows(got, "id") == rows(first_by_window(df.withColumn("second", ~F.col("p")), ["g"], ["v", "s", "id"], keep, "second"), "id")
+
+
+def test_select_first_sorts_few_rows_and_writes_nothing(spark, monkeypatch):
+    from curate.operators import ranking
+
+    monkeypatch.setattr(ranking, "stage", lambda *a: pytest.fail("a table is written"))
+    df = spark.range(200_000).selectExpr("id % 2 as g", "pmod(xxhash64(id), 1000000) as v", "id")
+    keep = spark.createDataFrame([(0, 30_000), (1, 70_000)], "g long, keep long")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    got = s.select_first(df, "g", ["v", "id"], keep)
+    got.explain()
+    assert not tracker.getJobIdsForGroup("planning")
+    spark.sparkContext.setJobGroup("", "")
+    assert got.groupBy("g").count().orderBy("g").collect() == [(0, 30_000), (1, 70_000)]
+
+
+def test_select_first_of_nothing(spark):
+    df = spark.createDataFrame([], "g long, v long")
+    assert s.select_first(df, "g", ["v"], spark.createDataFrame([(1, 2)], "g long, keep long")).count() == 0
+    some = spark.range(9).selectExpr("id g", "id v")
+    assert s.select_first(some, "g", ["v"], spark.createDataFrame([], "g long, keep long")).count() == 0
