@@ -59,6 +59,20 @@ def _(spark, sf):
     )
 
 
+@query(
+    "read_games_by_line",
+    WORDS
+    + """select concat('conv ', cast(conv_id as varchar)) as white, concat('turn ', cast(turn as varchar)) as black, result, cast(len(moves) as integer) as n_moves, md5(array_to_string(moves, ' ')) as moves from words""",
+)
+def _(spark, sf):
+    """Files without any Event header, split at any line."""
+    path = stage_path(spark, "games")
+    spark.read.text(game_files(spark, sf)).where("value not like '[Event %'").write.text(path)
+    rows = games.with_moves(games.read_games(spark, path, event_first=False))
+    h = F.col("headers")
+    return rows.select(h["White"].alias("white"), h["Black"].alias("black"), "result", F.size("moves").alias("n_moves"), F.md5(F.array_join("moves", " ")).alias("moves"))
+
+
 @query(
     "write_games",
     WORDS

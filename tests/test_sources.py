@@ -53,6 +53,39 @@ def test_games_may_begin_with_any_header(spark, tmp_path):
     assert {tuple(sorted(r.headers)) for r in got} == {("Round", "Site"), ("Site",), ("Event",), ("White",)}
 
 
+def by_line(spark, path, size):
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        df = games.read_games(spark, path, event_first=False)
+        return df.rdd.getNumPartitions(), sorted((sorted(r.headers.items()), r.result, " ".join(r.movetext.split())) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("size", ["37", "64", "150", "1000000"])
+def test_files_are_split_at_any_line(spark, tmp_path, size):
+    """The same games wherever the splits fall: in headers, in moves, in blank lines, several splits in one game."""
+    long = "\n".join(f"{i}. e4 e5" for i in range(1, 40))
+    text = '% c\n\n[Site "a"]\n[Round "1"]\n\n1. e4 {[%clk 0:01]\n[%eval 0.1]} e5 1-0\n\n\n[Site "b"]\n\n1. d4 *\n[Event "c"]\n\n1. c4\n% x\n2. c5 0-1\n[White "d"]\n[Result "1/2-1/2"]\n' + long + '\n\n[Site "e"]\n1. f4 *'
+    path = write(tmp_path, "s.pgn", text)
+    write(tmp_path, "t.pgn", 'no game\n[Site "z"]\n\n1. h4 *\n')
+    parts, got = by_line(spark, str(tmp_path), size)
+    sites = [next(iter(dict(h).values())) if len(h) == 1 else h for h, _, _ in got]
+    assert len(got) == 6 and "z" in sites and "e" in sites
+    moves = {dict(h).get("Site", dict(h).get("White", dict(h).get("Event"))): (r, m) for h, r, m in got}
+    assert moves["a"] == ("*", "1. e4 {[%clk 0:01] [%eval 0.1]} e5 1-0") and moves["c"][1] == "1. c4 2. c5 0-1"
+    assert moves["d"] == ("1/2-1/2", " ".join(long.split())) and moves["e"][1] == "1. f4 *" and moves["z"][1] == "1. h4 *"
+    assert parts > 4 or size in ("150", "1000000")
+    assert path
+
+
+def test_both_ways_of_splitting_read_the_same_games(spark, tmp_path):
+    path = write(tmp_path, "a.pgn", PGN * 30)
+    want = sorted((sorted(r.headers.items()), r.result, " ".join(r.movetext.split())) for r in games.read_games(spark, path).collect())
+    assert by_line(spark, path, "500")[1] == want and len(want) == 60
+
+
 def test_headers_before_event_are_an_error(spark, tmp_path):
     path = write(tmp_path, "t.pgn", '[Event "a"]\n\n1. e4 *\n\n[Site "x"]\n[Event "b"]\n\n1. d4 *\n')
     with pytest.raises(Exception, match="before Event"):
