@@ -35,6 +35,7 @@ PATH, WORDS, SHAPE, HIDDEN = 64, 16, 6, 16
 STRETCH = 512
 BATCH_BLOCKS = 16_384
 
+MAIN = frozenset(["article", "main"])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong "
@@ -43,16 +44,43 @@ INLINE = frozenset(
 HIDDEN_TEXT = frozenset("script style noscript template svg math iframe object textarea select head title".split())
 #: Start tags that leave an open head open; any other one ends it, as its own end tag may be left out.
 IN_HEAD = frozenset("html head base basefont bgsound link meta title style script noscript noframes template".split())
-RAW = re.compile(r"<(script|style|textarea|title|noscript|iframe|template)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.I)
+#: What stands in a tag after its name: a quote counts right after "=" only. Read once, without a second try.
+ATTRIBUTES = r"(?:=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>][^\s>]*)?|[^>=]+)*+"
+RAW = re.compile(rf"<(script|style|textarea|title|noscript|iframe|template)\b{ATTRIBUTES}>", re.I)
 RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 CUT_OFF = re.compile(r"</?[a-zA-Z!?]")
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-NAMES = re.compile(r"\b(class|id|role|itemprop|aria-label|hidden|style)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})>", re.S)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>][^\s>]*)))?")
+NAMING = frozenset("class id role itemprop aria-label hidden style".split())
 PART = re.compile(r"[a-z]+")
+#: Compounds that begin or end so tell a state or a way of layout, not what an element is: has-sidebar, overflow-hidden, menu-open.
+STATE_FIRST = frozenset("has no not is with without js overflow align are can show hide on".split())
+STATE_LAST = frozenset("open closed fixed sticky hidden visible active enabled disabled in on off loaded left right".split())
+#: Elements whose own words say nothing about a part of the page.
+WHOLE_PAGE = frozenset(["html", "body"])
 #: A start tag closes open elements of these names.
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _words_of(attributes: str) -> tuple[str, ...]:
+    """What an element is called: the parts of its class, id and role words, but for those that tell a state."""
+    names: list[str] = []
+    for key, a, b, c in ATTRIBUTE.findall(attributes):
+        key, value = key.lower(), (a or b or c).lower()
+        if key not in NAMING:
+            continue
+        if key == "style":
+            names += ["hidden"] if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else []
+        elif not PART.search(value):
+            names.append(key)
+        else:
+            for token in value.split():
+                parts = PART.findall(token)
+                if len(parts) < 2 or parts[0] not in STATE_FIRST and parts[-1] not in STATE_LAST:
+                    names += parts
+    return tuple(names)
+
+
 @dataclass
 class Block:
     """A leaf: its text, its ancestors (tag, words of class, id and role) and how much of the text is links."""
@@ -63,34 +91,44 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in order; comments, scripts, styles and markup give none. Broken markup is read as it stands."""
+    """The text blocks of a page in order; comments, scripts, styles and markup give none. Broken markup is read as it stands.
+
+    Words of ``html``, ``body`` and of the elements around the page's main landmark (the article or main element with the most text) are
+    left out of the paths, as they speak of the whole page. An inline element with words belongs to the path of a block that
+    stands in it with all its text.
+    """
     out: list[Block] = []
-    path: list[tuple[str, tuple[str, ...]]] = []
+    path: list[tuple[str, tuple[str, ...], int]] = []
+    places: list[tuple[tuple[str, tuple[str, ...], int], ...]] = []
     held: list[str] = []
-    links, plain = 0, 0
+    links, plain, opened = 0, 0, 0
+    around: list[tuple[str, tuple[str, ...], int]] | None = None
 
     def flush() -> None:
-        nonlocal links, plain
+        nonlocal links, plain, around
         text = "".join(held)
         if "&" in text:
             text = entities.unescape(text)
         text = " ".join(text.split())
-        if text and not any(tag in HIDDEN_TEXT for tag, _ in path):
-            ancestors = tuple(x for x in path if x[0] not in INLINE)
-            out.append(Block(text, ancestors, links / max(links + plain, 1)))
+        if text and not any(x[0] in HIDDEN_TEXT for x in path):
+            places.append(tuple(x for x in path if x[0] not in INLINE) + tuple(around or ()))
+            out.append(Block(text, (), links / max(links + plain, 1)))
         held.clear()
-        links = plain = 0
+        links, plain, around = 0, 0, None
 
     def end_head() -> None:
         while path and path[-1][0] == "head":
             path.pop()
 
     def words(text: str) -> None:
-        nonlocal links, plain
+        nonlocal links, plain, around
         if path and path[-1][0] == "head" and not text.isspace():
             end_head()
         held.append(text)
-        if any(tag == "a" for tag, _ in path):
+        if not text.isspace():
+            named = [x for x in path if x[0] in INLINE and x[1]]
+            around = named if around is None else [x for x in around if x in named]
+        if any(x[0] == "a" for x in path):
             links += len(text)
         else:
             plain += len(text)
@@ -144,19 +182,30 @@ def blocks(page: str) -> list[Block]:
                     break
                 if path[i][0] not in INLINE and path[i][0] not in ("p", "td", "th"):
                     break
-            names: list[str] = []
-            if m[3]:
-                for key, a, b, c in NAMES.findall(m[3]):
-                    value = (a or b or c).lower()
-                    if key.lower() == "style":
-                        names += ["hidden"] if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value) else []
-                    else:
-                        names += PART.findall(value) or [key.lower()]
-            path.append((tag, tuple(names)))
+            opened += 1
+            path.append((tag, _words_of(m[3]) if m[3] and tag not in WHOLE_PAGE else (), opened))
     flush()
+    outer = _around_main(out, places)
+    for block, place in zip(out, places, strict=True):
+        block.path = tuple((tag, () if number in outer else names) for tag, names, number in place)
     return out
 
 
+def _around_main(page: list[Block], places: list) -> set[int]:
+    """The elements around the main landmark: the article or main element that holds the most text."""
+    held: dict[int, int] = {}
+    above: dict[int, tuple] = {}
+    for block, place in zip(page, places, strict=True):
+        for i, (tag, _, number) in enumerate(place):
+            if tag in MAIN:
+                held[number] = held.get(number, 0) + len(block.text)
+                above.setdefault(number, place[:i])
+                break
+    if not held:
+        return set()
+    return {number for _, _, number in above[max(held, key=held.__getitem__)]}
+
+
 _HASHED: dict[str, np.ndarray] = {}
 BUCKETS = 512
 #: Directions of the word buckets: a page's vocabulary needs no memory.
@@ -178,8 +227,10 @@ def _path_vector(path: tuple) -> np.ndarray:
     for depth, (tag, names) in enumerate(reversed(path)):
         weight = 1.0 / (1.0 + 0.25 * depth)
         v += weight * _part("<" + tag)
+        # Many words of layout together weigh little more than one that tells something.
+        share = 2.0 * weight / max(1.0, len(names) / 2) ** 0.5
         for name in names:
-            v += 2.0 * weight * _part("." + name)
+            v += share * _part("." + name)
     return v
 
 
@@ -333,7 +384,6 @@ def train(pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCH
     return Net(weights[0:2], weights[2:4], weights[4], float(weights[5][0]))
 
 
-MAIN = frozenset(["article", "main"])
 CHROME = frozenset("nav header footer aside form button dialog menu".split())
 CHROME_WORDS = (
     "ad ads advert advertisement banner breadcrumb comment comments reply replies cookie consent notice disclaimer footer header legal login "
@@ -341,6 +391,8 @@ CHROME_WORDS = (
     "tags toolbar widget hidden"
 ).split()
 MAIN_WORDS = "article content entry post story body main text".split()
+#: What compounds are made of besides: words that tell neither.
+FILLERS = "box list area wrap wrapper container inner outer block item group row col grid flex card panel px mt top bottom site page layout rounded".split()
 #: Where a block of main text may stand besides its own element.
 MAIN_LEAVES = [t.split() for t in ("ul li", "ol li", "blockquote p", "table tr td", "table tr th", "dl dd", "pre", "figure figcaption", "h2", "h3")]
 
@@ -350,7 +402,7 @@ def weak_labels(page: list[Block]) -> np.ndarray:
     out = np.zeros(len(page), np.float32)
     for k, block in enumerate(page):
         inside = any(t in MAIN for t, _ in block.path)
-        chrome = any(t in CHROME or any(n in CHROME_WORDS for n in names) for t, names in block.path)
+        chrome = any(t in CHROME or any(n in CHROME_WORDS for n in names) for t, names in block.path if t not in WHOLE_PAGE)
         out[k] = inside and not chrome
     return out
 
@@ -359,13 +411,20 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
     """The page with another main landmark and with boilerplate of other kinds put around and into it."""
     landmark = [("article", ()), ("main", ()), ("div", (MAIN_WORDS[draw.integers(len(MAIN_WORDS))],)), ("section", (MAIN_WORDS[draw.integers(len(MAIN_WORDS))],))]
     new = landmark[draw.integers(4)]
+    if new[1] and draw.random() < 0.5:
+        new = (new[0], (*new[1], FILLERS[draw.integers(len(FILLERS))]))
+    # A wrapper of many layout words around a landmark that has no tag of its own.
+    wrap = ()
+    if new[0] not in MAIN and draw.random() < 0.5:
+        wrap = (("div", tuple(FILLERS[i] for i in draw.integers(0, len(FILLERS), draw.integers(1, 9)))),)
     out: list[tuple[Block, float]] = []
     texts = [b.text for b in page] or ["text"]
 
     def chrome(inside: tuple) -> None:
         word = CHROME_WORDS[draw.integers(len(CHROME_WORDS))]
+        other = (FILLERS[draw.integers(len(FILLERS))],) if draw.random() < 0.5 else ()
         tags = ["nav", "header", "footer", "aside", "form"]
-        box = (tags[draw.integers(5)], ()) if draw.random() < 0.35 else (("div", "section", "ul", "p", "aside")[draw.integers(5)], (word,))
+        box = (tags[draw.integers(5)], ()) if draw.random() < 0.35 else (("div", "section", "ul", "p", "aside")[draw.integers(5)], (word, *other) if draw.random() < 0.5 else (*other, word))
         leaf = (("p", "li", "div", "span", "h2", "label", "h3", "button", "td", "legend")[draw.integers(10)], ())
         head = (("html", ()), ("body", ()))
         for _ in range(draw.integers(1, 5)):
@@ -377,9 +436,9 @@ def rebuilt(page: list[Block], labels: np.ndarray, draw: np.random.Generator) ->
     places = set(draw.integers(0, len(page) + 1, 5).tolist())
     for k, block in enumerate(page):
         if k in places:
-            chrome((new,) if main and main[0] < k <= main[-1] else ())
+            chrome((*wrap, new) if main and main[0] < k <= main[-1] else wrap if draw.random() < 0.5 else ())
         if labels[k]:
-            path = tuple(new if t in MAIN else (t, n) for t, n in block.path)
+            path = tuple(x for t, n in block.path for x in ((*wrap, new) if t in MAIN else ((t, n),)))
             if draw.random() < 0.25:
                 other = MAIN_LEAVES[draw.integers(len(MAIN_LEAVES))]
                 path = (path if path[-1] == new else path[:-1]) + tuple((t, ()) for t in other)
