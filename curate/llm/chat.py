@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from curate.functions.base import let
+
 OPEN, CLOSE, HEAD = "### ", "</turn>\n", ":\n"
 #: In this order when escaping, in reverse when reading. Afterwards each backslash begins one of these escapes.
 ESCAPES = (("\\", "\\b"), ("###", "\\h"), ("</turn>", "\\t"), ("\n", "\\l"))
@@ -92,7 +94,8 @@ def fold(events: DataFrame) -> DataFrame:
 
 
 def render(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> DataFrame:
-    """(conv_id, n_turns, formatted, loss): one row per conversation; ``loss`` are (start, length) spans in code points.
+    """(conv_id, n_turns, formatted, loss): one row per conversation; ``loss`` are (start, length) spans in code points, and
+    (byte_start, byte_length), the same in bytes.
 
     The mask covers the escaped texts of ``loss_roles`` and nothing of the template. A conversation is one string, so it
     must fit a row; messages are rendered before they are brought together.
@@ -105,18 +108,22 @@ def render(messages: DataFrame, loss_roles: tuple[str, ...] = LOSS_ROLES) -> Dat
         F.concat("head", "body", F.lit(CLOSE)).alias("turn"),
         F.length("head").cast("long").alias("skip"),
         F.length("body").cast("long").alias("length"),
+        F.octet_length("head").cast("long").alias("byte_skip"),
+        F.octet_length("body").cast("long").alias("byte_length"),
         F.col("role").isin(*loss_roles).alias("masked"),
     )
     before = Window.partitionBy("conv_id").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(F.length("turn").cast("long")).over(before), F.lit(0)) + F.col("skip")
-    rows = rows.withColumn("start", start)
-    whole = F.sort_array(F.collect_list(F.struct("at", "turn", "masked", "start", "length")))
+    byte_start = F.coalesce(F.sum(F.octet_length("turn").cast("long")).over(before), F.lit(0)) + F.col("byte_skip")
+    rows = rows.withColumns({"start": start, "byte_start": byte_start})
+    spans = ["start", "length", "byte_start", "byte_length"]
+    whole = F.sort_array(F.collect_list(F.struct("at", "turn", "masked", *spans)))
     return rows.groupBy("conv_id").agg(whole.alias("turns")).select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
         F.array_join(F.transform("turns", lambda t: t["turn"]), "").alias("formatted"),
         F.transform(
-            F.filter("turns", lambda t: t["masked"]), lambda t: F.struct(t["start"].alias("start"), t["length"].alias("length"))
+            F.filter("turns", lambda t: t["masked"]), lambda t: F.struct(*[t[c].alias(c) for c in spans])
         ).alias("loss"),
     )
 
@@ -141,7 +148,13 @@ def read_turns(formatted: Column) -> Column:
 
 
 def read_loss(formatted: Column, loss: Column) -> Column:
-    """The unescaped texts under the mask, in order."""
-    return F.transform(
-        loss, lambda s: unescape(F.substring(formatted, s["start"].cast("int") + 1, s["length"].cast("int")))
-    )
+    """The unescaped texts under the mask, in order.
+
+    Each is cut out by its bytes: places in characters are counted from the start of the conversation, again for every
+    text, places in bytes are not.
+    """
+
+    def cut(raw: Column) -> Column:
+        return F.transform(loss, lambda s: unescape(F.substring(raw, s["byte_start"].cast("int") + 1, s["byte_length"].cast("int")).cast("string")))
+
+    return let(formatted.cast("binary"), cut)
