@@ -14,6 +14,7 @@ from curate.operators.asof import asof_join
 from curate.operators.ranking import dedupe_first, ordered_rank
 from curate.plans.training_set import plan_and_route
 from curate.sources import tables
+from curate.sources.pools import write_pool
 from curate.storage import stage, stage_path
 
 # Unequal on purpose, so that the scarcest stratum is not the same for every scale.
@@ -379,6 +380,19 @@ def _(spark, sf):
     return sampling.head_per_group(rows, "source", HEADS, ["l_partkey", "rid"]).select("rid", "source")
 
 
+@query(
+    "head_of_pool",
+    f"""select rid, source from (select rid, source, row_number() over (partition by source order by l_partkey, rid) as rk from plies) x
+       where rk <= case source when 'game' then {HEADS['game']} when 'puzzle' then {HEADS['puzzle']} else {HEADS['tablebase']} end""",
+    ("plies",),
+)
+def _(spark, sf):
+    rows = roles.plies(spark, sf).select("rid", "source", "l_partkey")
+    path = stage_path(spark, "pool")
+    write_pool(rows, path, "source", "l_partkey", 40)
+    return sampling.head_of_pool(spark, path, "source", HEADS, ["l_partkey", "rid"]).select("rid", "source")
+
+
 @query(
     "drop_ambiguous",
     """select rid, s as score, s = 0 as exact_draw from (select rid, l_partkey % 5 - 2 as s from plies) x where abs(s) <> 1""",

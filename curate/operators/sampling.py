@@ -11,6 +11,7 @@ from curate.functions.base import ColumnLike, col, cols
 from curate.functions.positions import mirror_fen
 from curate.functions.seeded import seeded_int, seeded_key
 from curate.operators.ranking import DIGITS, dedupe_first, ordered_rank, seeded_rank, select_first, top_per_group
+from curate.sources.pools import read_first
 from curate.storage import stage
 
 # Chunk size, rows per chunk of (source, class), seeds, windows.
@@ -151,6 +152,15 @@ def head_per_group(df: DataFrame, group: str, quotas: dict, order: list[str]) ->
     return select_first(df.where(F.col(group).isin(*quotas)), group, order, _kept(df, group, quotas))
 
 
+def head_of_pool(spark, path: str, group: str, quotas: dict, order: list[str]) -> DataFrame:
+    """``head_per_group`` of a pool stored by ``write_pool`` with the same group and first order column.
+
+    The catalogue says where the quotas are full, and files behind that are never opened.
+    """
+    keep = _kept(spark.read.parquet(path), group, quotas)
+    return select_first(read_first(spark, path, group, keep), group, order, keep)
+
+
 def drop_ambiguous(df: DataFrame, score: ColumnLike, exact_draw_only: bool = False) -> DataFrame:
     """Without the scores +-1 (a win or loss only outside the 50-move rule); or exact draws only."""
     return df.where(col(score) == 0) if exact_draw_only else df.where(F.abs(col(score)) != 1)
