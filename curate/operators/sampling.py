@@ -201,19 +201,16 @@ def epoch_order(
 def replay_sample(df: DataFrame, iteration: str, key, iters: int = REPLAY_ITERATIONS, k: int = REPLAY_ROWS, seed: int = SEED) -> DataFrame:
     """k rows, uniform over the last ``iters`` iterations; with replacement only where the window holds fewer.
 
-    Adds ``draw`` 0..k-1.
+    Adds ``draw`` 0..k-1. The last iteration and the window's rows are counted inside the query; no job runs while the plan is
+    made, and at most ``k`` rows leave the scan.
     """
-    last = df.agg(F.max(iteration).alias("_last")).first()["_last"]
-    if last is None:
-        return df.withColumn("draw", F.lit(0)).limit(0)
-    recent = df.where(F.col(iteration) > last - iters)
-    n = recent.count()
-    ranked = seeded_rank(recent, [], key, seed, k if n >= k else None, name="_rank")
-    if n >= k:
-        return ranked.withColumn("draw", (F.col("_rank") - 1).cast("int")).drop("_rank")
-    rows = ranked.withColumn("_row", F.col("_rank") - 1).drop("_rank")
-    draws = df.sparkSession.range(k).select(F.col("id").cast("int").alias("draw"))
-    return draws.withColumn("_row", seeded_int(seed + 1, n, "draw").cast("long")).join(rows, "_row").drop("_row")
+    recent = df.where(F.col(iteration) > df.agg(F.max(iteration)).scalar() - iters)
+    n = recent.agg(F.count(F.lit(1))).scalar()
+    rows = seeded_rank(recent, [], key, seed, k, name="_rank").withColumn("_row", F.col("_rank") - 1).drop("_rank")
+    once = rows.where(n >= k).select(*df.columns, F.col("_row").cast("int").alias("draw"))
+    draws = df.sparkSession.range(k).select(F.col("id").cast("int").alias("draw")).where(n < k)
+    again = draws.withColumn("_row", seeded_int(seed + 1, F.greatest(n, F.lit(1)), "draw").cast("long")).join(rows, "_row")
+    return once.unionByName(again.select(*df.columns, "draw"))
 
 
 def unique_sequences(df: DataFrame, moves: str, order: list, n: int | None = None) -> DataFrame:
