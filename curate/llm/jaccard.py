@@ -2,8 +2,10 @@
 
 Copies (texts with the same n-gram set) are one class, so only class representatives are compared. Rows
 are dealt out by band hash; classes that share a bucket are tied to the bucket's least class (a star, never
-all pairs), and the components of these ties are the candidate groups. Inside a group all pairs are compared
-on their full n-gram sets, block against block, so no task holds more than two blocks however large a group is.
+all pairs), and the components of these ties are the candidate groups. Pairs that share a bucket are verified on
+their full n-gram sets. A group is dealt out block against block, so no task holds more than two blocks however
+large it is; a group of several blocks is dealt out by its buckets instead where that makes fewer rows, as in long
+chains of texts of which only neighbours meet. Both ways verify the same pairs, each once.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curate.llm.components import components
@@ -27,7 +29,7 @@ from curate.storage import stage
 GRAM = 5
 SIMILARITY = 0.8
 #: Share of pairs at exactly the similarity that must meet in a band; more similar pairs meet more surely.
-RECALL = 0.9999
+RECALL = 0.999999
 ROWS = 5
 BLOCK_CLASSES = 256
 BLOCK_BYTES = 4 << 20
@@ -124,21 +126,26 @@ def _gram_sets(n: int):
                         batch.column("class").slice(lo, hi - lo),
                         batch.column("root").slice(lo, hi - lo),
                         batch.column("copies").slice(lo, hi - lo),
+                        batch.column("bands").slice(lo, hi - lo),
                         pa.array(sets, pa.binary()),
                     ],
-                    names=["class", "root", "copies", "grams"],
+                    names=["class", "root", "copies", "bands", "grams"],
                 )
 
     return run
 
 
 def _compare(similarity: float):
-    """Links between two blocks of a group: per class the copies linked to it, and the least class it is tied to."""
+    """Links between two blocks of a group or bucket: per class the copies linked to it, and the least class it is tied to.
+
+    A pair is verified if it shares a band; inside the bucket of one band, if that is the first band it shares.
+    """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("class")
         low, high = int(group["low"].iloc[0]), int(group["high"].iloc[0])
-        block = group["block"].to_numpy()
+        block, at = group["block"].to_numpy(), int(group["at"].iloc[0])
+        bands_of = np.stack(group["bands"].to_numpy())
         sets = [np.frombuffer(x, np.uint64) for x in group["grams"]]
         size = np.array([len(x) for x in sets])
         copies = group["copies"].to_numpy()
@@ -150,6 +157,9 @@ def _compare(similarity: float):
         for i in np.flatnonzero(block == low):
             others = (rank > i) if low == high else (block == high)
             others &= (size >= similarity * size[i] - 1e-9) & (similarity * size <= size[i] + 1e-9)
+            near = np.flatnonzero(others)
+            same = bands_of[near] == bands_of[i]
+            others[near] = same.any(axis=1) if at < 0 else same.any(axis=1) & (same.argmax(axis=1) == at)
             if not others.any():
                 continue
             mine = ids[starts[i] : starts[i + 1]]
@@ -168,14 +178,40 @@ def _compare(similarity: float):
     return run
 
 
-def _blocks(candidates: DataFrame) -> DataFrame:
+def _n_blocks() -> Column:
+    return F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum("bytes") / BLOCK_BYTES))
+
+
+def _ways(candidates: DataFrame) -> DataFrame:
+    """(root, n_blocks, apart) of every group; ``apart``: its buckets make fewer rows than its pairs of blocks."""
+    sized = candidates.select("class", "root", "bands", F.length("grams").alias("bytes"))
+    groups = sized.groupBy("root").agg(_n_blocks().alias("n_blocks"), F.count(F.lit(1)).alias("n"))
+    large = join_unique(sized, groups.where("n_blocks > 1").select("root", "n_blocks"), "root", "inner")
+    buckets = large.select("root", "bytes", F.explode("bands").alias("band"))
+    buckets = buckets.groupBy("root", "band").agg(F.count(F.lit(1)).alias("n"), _n_blocks().alias("blocks")).where("n > 1")
+    cost = buckets.groupBy("root").agg(F.sum(F.col("n") * F.col("blocks")).alias("rows"))
+    apart = F.coalesce(F.col("rows") < F.col("n") * F.col("n_blocks"), F.lit(False))
+    return groups.join(cost, "root", "left").select("root", "n_blocks", apart.alias("apart"))
+
+
+def _crossed(rows: DataFrame) -> DataFrame:
     """Each class once per pair of blocks it takes part in: about (group size / block size) rows."""
-    groups = candidates.groupBy("root").agg(
-        F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_CLASSES, F.sum(F.length("grams")) / BLOCK_BYTES)).alias("n_blocks")
-    )
-    rows = join_unique(candidates, groups, "root", "inner").withColumn("block", F.pmod(F.xxhash64("class"), "n_blocks"))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("class"), "n_blocks"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
-    return rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    rows = rows.withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")})
+    return rows.select("root", "at", "band", "low", "high", "block", "class", "copies", "bands", "grams")
+
+
+def _blocks(candidates: DataFrame) -> DataFrame:
+    """Rows to compare. ``at`` and ``band`` tell the bucket in groups that are dealt out by buckets, else -1 and 0."""
+    ways = stage(_ways(candidates), "ways")
+    rows = join_unique(candidates, ways, "root", "inner")
+    whole = rows.where("not apart").withColumns({"at": F.lit(-1), "band": F.lit(0).cast("long")})
+    apart = rows.where("apart").drop("n_blocks").select("*", F.posexplode("bands").alias("at", "band"))
+    sizes = apart.select("root", "at", "band", F.length("grams").alias("bytes")).groupBy("root", "at", "band")
+    sizes = sizes.agg(_n_blocks().alias("n_blocks"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n", "root")
+    apart = join_unique(apart, sizes, ["at", "band"], "inner")
+    return _crossed(whole).unionByName(_crossed(apart))
 
 
 def similarity_join(
@@ -193,8 +229,8 @@ def similarity_join(
     ``n_links`` counts a row's links, copies included. ``class`` marks rows of one n-gram set, ``group`` rows
     connected by links (its least class). A text of fewer words is one gram, so short texts link to equal ones
     only; NULL and empty texts have no class, no group and no link. Repeated rows are copies of each other.
-    Each pair at the similarity is met with probability ``recall``, more similar ones more surely; every pair of a
-    candidate group is then compared exactly (64-bit hashes of grams), so nothing reported is below the similarity.
+    Each pair at the similarity meets in a bucket with probability ``recall``, more similar ones more surely; every pair
+    that meets is compared exactly (64-bit hashes of grams), so nothing reported is below the similarity.
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     rows = keyed(docs, id_col, text_col)
@@ -213,13 +249,12 @@ def similarity_join(
     ties = components(stars, "candidates")
     ties = ties.select(F.col("a").alias("class"), "root").union(ties.select("root", "root").distinct())
 
-    ones = classes.select("class", "copies", "one._id", "one._th").join(ties, "class")
-    texts_of = with_facts(rows, ones, "inner").select("class", "root", "copies", "_text")
+    ones = classes.select("class", "copies", "bands", "one._id", "one._th").join(ties, "class")
+    texts_of = with_facts(rows, ones, "inner").select("class", "root", "copies", "bands", "_text")
     # A repeated row carries the same key: one of them is enough.
-    sets = texts_of.mapInArrow(_gram_sets(gram), "class binary, root binary, copies long, grams binary")
+    sets = texts_of.mapInArrow(_gram_sets(gram), "class binary, root binary, copies long, bands array<long>, grams binary")
     candidates = stage(sets, "grams").dropDuplicates(["class"])
-    compared = _blocks(candidates).select("root", "low", "high", "block", "class", "copies", "grams")
-    compared = compared.groupBy("root", "low", "high").applyInPandas(_compare(similarity), "class binary, links long, tied binary")
+    compared = _blocks(candidates).groupBy("root", "at", "band", "low", "high").applyInPandas(_compare(similarity), "class binary, links long, tied binary")
     compared = stage(compared, "compared")
     groups = components(compared.where("tied != class").select(F.col("class").alias("a"), F.col("tied").alias("b")), "groups")
     links = compared.groupBy("class").agg(F.sum("links").alias("links"))

@@ -1,5 +1,6 @@
 """Decontamination, substring dedup and the similarity join against plain versions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from curate.llm import decontam, jaccard, substring
@@ -97,6 +98,42 @@ def test_similarity_of_a_group_larger_than_a_block(spark, monkeypatch):
     assert len({g for _, g in got.values()}) == len({g for _, g in want})
 
 
+@pytest.mark.parametrize("apart", [True, False])
+def test_groups_dealt_out_by_blocks_or_buckets_have_the_same_links(spark, monkeypatch, apart):
+    monkeypatch.setattr(jaccard, "BLOCK_CLASSES", 4)
+    ways = jaccard._ways
+    monkeypatch.setattr(jaccard, "_ways", lambda candidates: ways(candidates).withColumn("apart", F.lit(apart)))
+    texts = []
+    for k in range(60):  # a chain of overlapping texts, some of them near copies of their neighbours' neighbours
+        w = [f"w{i}" for i in range(5 * (k // 2), 5 * (k // 2) + 60)]
+        w[(k * 7) % 60] = f"new{k}" if k % 3 else w[(k * 7) % 60]
+        texts.append(" ".join(w))
+    docs = spark.createDataFrame(list(enumerate(texts + texts[:5])), "doc_id long, text string")
+    want = brute.similar(texts + texts[:5])
+    got = {r["_id"]: (r["n_links"], r["group"]) for r in jaccard.similarity_join(docs).collect()}
+    assert [got[i][0] for i in range(65)] == [w[0] for w in want]
+    pairs = {(got[i][1], want[i][1]) for i in range(65)}
+    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def _candidates(spark, bands):
+    rows = [(b"%06d" % i, b"root", 1, list(b), b"12345678" * 50) for i, b in enumerate(bands)]
+    return spark.createDataFrame(rows, "class binary, root binary, copies long, bands array<long>, grams binary")
+
+
+def test_rows_to_compare_grow_with_a_chain_and_not_with_its_square(spark):
+    """Each text meets its neighbours only, in one bucket each."""
+    for n in (1000, 4000):
+        chain = [(10 * ((i + 1) // 2) + 1, 10 * (i // 2) + 2, -i - 1) for i in range(n)]
+        rows = jaccard._blocks(_candidates(spark, chain))
+        assert n - 2 <= rows.where("at >= 0").count() <= 2 * n and rows.where("at < 0").count() == 0
+
+
+def test_a_dense_group_goes_block_against_block(spark):
+    rows = jaccard._blocks(_candidates(spark, [(1, 2, 3)] * 1000))
+    assert rows.where("at >= 0").count() == 0 and rows.count() == 4 * 1000
+
+
 def test_similarity_of_the_small_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = docs.select("doc_id", "text").collect()
