@@ -122,11 +122,14 @@ def score_choice(
 
     ``suite`` holds (position, move, cp, rank, best_cp), one row per move; a chosen move that it holds twice is an error. A
     move the suite does not hold is an error, or a row with ``found`` false if not strict; it is never scored 0.
+
+    A suite's moves come out of arrays, and what comes out of an array is planned with the size of the array's table. The join is
+    therefore asked to merge: by that size a suite of millions of rows would be collected for a broadcast.
     """
     key = [*cols(position), move]
     facts = suite.groupBy(*key).agg(F.min(F.struct("cp", "rank", "best_cp")).alias("_f"), F.count(F.lit(1)).alias("_times"))
     twice = F.concat(F.lit("move twice in the suite: "), F.concat_ws(" ", *[F.col(k).cast("string") for k in key]))
-    joined = join_unique(choices, facts, key)
+    joined = join_unique(choices, facts.hint("merge"), key)
     joined = joined.withColumns({v: F.col(f"_f.{v}") for v in ("rank", "best_cp")})
     joined = joined.withColumn("cp", F.when(F.col("_times") > 1, F.raise_error(twice).cast("int")).otherwise(F.col("_f.cp"))).drop("_f", "_times")
     raw = F.col("best_cp") - F.col("cp")

@@ -168,3 +168,16 @@ def test_a_store_is_joined_with_one_shuffle(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
         spark.sql("drop table store_of_test")
+
+
+def test_score_choice_does_not_broadcast_exploded_moves(spark, tmp_path):
+    # Two short columns on disk, many moves out of them.
+    spark.range(100).select("id", F.lit(30).alias("n")).write.parquet(str(tmp_path / "suite"))
+    moves = spark.read.parquet(str(tmp_path / "suite")).select(F.col("id").alias("position"), F.explode(F.sequence(F.lit(1), "n")).alias("rank"))
+    suite = moves.select("position", F.concat(F.lit("m"), F.col("rank").cast("string")).alias("move"), (-F.col("rank")).alias("cp"), "rank", F.lit(-1).alias("best_cp"))
+    choices = spark.range(300).select((F.col("id") % 100).alias("position"), F.lit("m3").alias("move"))
+    scored = j.score_choice(choices, suite)
+    assert scored.agg(F.count(F.lit(1)), F.sum("cp_loss")).first() == (300, 600)
+    scored.collect()
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
