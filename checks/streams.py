@@ -12,6 +12,9 @@ from curate.sources import logs
 from curate.storage import stage_path
 from curate.streaming import ingest, monitor, progress
 
+# Files in a batch of the distinct ingest.
+FILES = 12
+
 
 def stream(spark, sf, name: str) -> DataFrame:
     schema = table(spark, sf, name).schema
@@ -157,8 +160,9 @@ def _(spark, sf):
     sink, inbox, checkpoint = (stage_path(spark, n) for n in ("store", "in", "checkpoint"))
     middle = lines.agg(F.percentile_approx("at", [0.25, 0.6])).scalar()
     for cut in (F.col("at") <= middle[0], (F.col("at") > middle[0]) & (F.col("at") <= middle[1]), F.col("at") > middle[1]):
-        lines.where(cut).coalesce(1).sortWithinPartitions("at").select(text).write.mode("append").text(inbox)
-        ingest.ingest_distinct(ingest.stream_results(spark, inbox, 1), sink, checkpoint).awaitTermination()
+        # A file per partition, each of whole keys: what is written first of a key is in one file.
+        lines.where(cut).repartition("fen").sortWithinPartitions("at").select(text).write.mode("append").text(inbox)
+        ingest.ingest_distinct(ingest.stream_results(spark, inbox, FILES), sink, checkpoint).awaitTermination()
     stored = spark.read.parquet(sink).groupBy("fen", "depth").agg(F.count(F.lit(1)).cast("int").alias("copies"))
     return ingest.read_store(spark, sink).join(stored, ["fen", "depth"])
 
