@@ -12,6 +12,7 @@ from curate.functions.scores import expected_score
 from curate.functions.vectors import argmax, hard_ce, soft_ce
 from curate.operators import joins, monitor, ranking, reports, scoring
 from curate.plans.model_audit import audit
+from curate.storage import stage
 
 PRED = """with pred as (select *, case when p_win >= p_draw and p_win >= p_loss then 0 when p_draw >= p_loss then 1 else 2 end as best,
     case wdl when 0 then p_win when 1 then p_draw else p_loss end as p_true_cls from predictions)
@@ -269,7 +270,9 @@ def _(spark, sf):
     ("predictions", "annotations"),
 )
 def _(spark, sf):
-    return rounded(audit(expectations(spark, sf), "source", "probs", "wdl", "ref", "pieces"), "value")
+    # Four reports read it: joined once and stored, it is not shuffled again for each.
+    scored = stage(expectations(spark, sf).select("source", "probs", "wdl", "ref", "pieces"), "audited")
+    return rounded(audit(scored, "source", "probs", "wdl", "ref", "pieces"), "value")
 
 
 def measured(events):
