@@ -173,20 +173,19 @@ def read_games(spark: SparkSession, paths, event_first: bool = True) -> DataFram
 
 def _drop_variations(text: Column) -> Column:
     """Remove bracketed side lines of any depth: keep what stands at depth 0."""
-    parts = F.split(text, r"(?=[()])|(?<=[()])")
-    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("kept"))
-
-    def step(acc: Column, part: Column) -> Column:
-        depth = (
-            F.when(part == "(", acc["depth"] + 1)
-            .when(part == ")", F.greatest(acc["depth"] - 1, F.lit(0)))
-            .otherwise(acc["depth"])
-        )
-        plain = (acc["depth"] == 0) & ~part.isin("(", ")")
-        kept = F.when(plain, F.concat(acc["kept"], part)).otherwise(acc["kept"])
-        return F.struct(depth.alias("depth"), kept.alias("kept"))
-
-    return F.aggregate(parts, start, step, lambda acc: acc["kept"])
+    # The innermost lines go first, so there are as many rounds as brackets are deep, each in proportion to the text.
+    brackets = F.split(F.regexp_replace(text, "[^()]+", ""), "")
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("deepest"))
+
+    def step(acc: Column, bracket: Column) -> Column:
+        depth = F.when(bracket == "(", acc["depth"] + 1).when(bracket == ")", F.greatest(acc["depth"] - 1, F.lit(0))).otherwise(acc["depth"])
+        return F.struct(depth.alias("depth"), F.greatest(acc["deepest"], depth).alias("deepest"))
+
+    deepest = F.aggregate(brackets, start, step, lambda acc: acc["deepest"])
+    rounds = F.sequence(F.lit(0), deepest)
+    inner = F.aggregate(rounds, text, lambda kept, _: F.regexp_replace(kept, r"\([^()]*+\)", ""))
+    # A line that never ends takes the rest of the text; an end without a beginning is nothing.
+    return F.translate(F.regexp_replace(inner, r"(?s)\(.*", ""), ")", "")
 
 
 def with_moves(df: DataFrame, movetext: str = "movetext", name: str = "moves") -> DataFrame:
