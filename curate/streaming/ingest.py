@@ -118,7 +118,7 @@ def first_state(columns: list[str], order: list[str], expires: int | None) -> St
             first = min(rows, key=lambda row: [row[c] for c in order], default=None)
             if first is not None:
                 self.seen.update((True,))
-                yield Row(*[first[c] for c in columns])
+                yield Row(**{c: first[c] for c in columns})
 
         def close(self) -> None:
             pass
