@@ -1,5 +1,6 @@
 import pytest
 
+from checks import roles
 from curate.operators import artifacts, matches, monitor, sweeps
 from curate.plans.match_report import match_report
 from tests.conftest import rows
@@ -175,3 +176,8 @@ def test_disagreements(spark):
 def test_values_that_are_no_numbers_beat_nothing(spark, values, want, eps):
     log = spark.createDataFrame([("r", i, v) for i, v in enumerate(values)], "run string, step long, v double")
     assert [r.step for r in monitor.best_so_far(log, "run", "step", "v", eps).orderBy("step").collect()] == want
+
+
+def test_lines_are_joined_with_their_games_without_a_sort(spark, sf):
+    plan = roles.plies(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan.replace("ShuffledHashJoin", "")
