@@ -42,7 +42,7 @@ def join_annotations(
     """
     key = cols(key)
     base = df.drop(*values)
-    joined = join_unique(base, one_per_key(annotations, key, values, order, depth), key)
+    joined = join_unique(base, one_per_key(annotations, key, values, order, depth).hint("shuffle_hash"), key)
     wanted = annotatable(source, skip)
     return joined.withColumns({v: F.when(wanted, F.col(v)) for v in values})
 

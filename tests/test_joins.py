@@ -18,6 +18,13 @@ def test_join_annotations_is_idempotent_and_skips_sources(spark):
     assert tuple(j.annotation_report(once).first()) == (1, 2, pytest.approx(33.333333))
 
 
+def test_annotated_rows_are_joined_without_a_sort(spark):
+    df = spark.range(100).selectExpr("id % 7 fen", "0 source_id")
+    ann = spark.range(1000).selectExpr("id % 50 fen", "id w", "id d", "id l")
+    joined = j.join_annotations(df, ann)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in joined and "SortMergeJoin" not in joined
+
+
 def test_worklist_first_seen_order(spark):
     df = spark.createDataFrame([("b", 0, 3), ("a", 0, 1), ("b", 0, 0), ("t", 2, 2), ("c", 1, 4)], "fen string, source_id int, i int")
     done = spark.createDataFrame([("c",)], "fen string")
