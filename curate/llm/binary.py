@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from curate.llm.tokens import encoder
+from curate.llm.words import slices
 
 BLOCK = 1 << 16
 LEVEL = 3
@@ -77,19 +79,12 @@ def _write(path: str, end_id: int, block: int, level: int, id_type: pa.DataType)
             if len(batch) == 0:
                 continue
             part = batch.column("part")[0].as_py()
-            column = batch.column("text")
-            lo = 0
-            while lo < len(batch):
-                hi, weight = lo, 0
-                texts = []
-                while hi < len(batch) and (weight < SLICE or hi == lo):
-                    text = column[hi].as_py()
-                    weight += len(text or "")
-                    texts.append(text)
-                    hi += 1
-                for i, ids in enumerate(encode.ids(texts)):
+            column, names = batch.column("text"), batch.column("doc_id").to_pylist()
+            ends = np.cumsum([0, *pc.fill_null(pc.binary_length(column), 0).to_pylist()])
+            for lo, hi in slices(ends, SLICE):
+                for name, ids in zip(names[lo:hi], encode.ids(column.slice(lo, hi - lo).to_pylist()), strict=True):
                     ids += end
-                    name, at, seq, total = batch.column("doc_id")[lo + i].as_py(), 0, 0, len(ids) // 4
+                    at, seq, total = 0, 0, len(ids) // 4
                     while at < total:
                         step = min(total - at, block - size)
                         held.append(ids[4 * at : 4 * (at + step)])
@@ -99,7 +94,6 @@ def _write(path: str, end_id: int, block: int, level: int, id_type: pa.DataType)
                         if size == block:
                             yield close()
                     row += 1
-                lo = hi
         if size:
             yield close()
 

@@ -6,12 +6,16 @@ import json
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept per worker; beyond it the memory is emptied, which costs time and changes no result.
 REMEMBERED = 600_000
 #: Words encoded in one go, and chunks given to the library at once: its working memory is about 1 kB per word.
 TOGETHER = 100
 AT_ONCE = 5_000
+#: Bytes of texts whose chunks are looked up together: temporary arrays take about 20 bytes per byte.
+LOOKED_UP = 1 << 20
 #: Words of letters below this are letters in every version of Unicode, and stand alone in lower-casing and composing.
 LATIN_END = "\u0250"
 WORD_END = "</w>"
@@ -74,18 +78,22 @@ class Encoder:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
-        trial = ["a", "trial", "größe", "über", "ñandú", "zzyzx", "straße", "œuvre"]
-        self.has_ends = self._together(trial) == [self._alone([w])[0] for w in trial]
+        trial = [w.encode() for w in ("a", "trial", "größe", "über", "ñandú", "zzyzx", "straße", "œuvre")]
+        self.has_ends = self._together(trial) == [self._apart([w])[0] for w in trial]
 
-    def _alone(self, chunks: list[str]) -> list[bytes]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4").tobytes() for e in encoded]
 
-    def _together(self, words: list[str]) -> list[bytes]:
+    def _apart(self, chunks: list[bytes]) -> list[bytes]:
+        return self._alone([chunk.decode() for chunk in chunks])
+
+    def _together(self, words: list[bytes]) -> list[bytes]:
         """Ids of plain words; empty if the word ends do not tell them apart."""
         out: list[bytes] = []
         groups = [words[i : i + TOGETHER] for i in range(0, len(words), TOGETHER)]
-        for group, e in zip(groups, self.words.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+        joined = [b" ".join(g).decode() for g in groups]
+        for group, e in zip(groups, self.words.encode_batch_fast(joined, add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
             stops = (np.flatnonzero(self.ends[ids]) + 1).tolist()
             if len(stops) != len(group) or stops[-1] != len(ids):
@@ -98,23 +106,27 @@ class Encoder:
         """Remember the ids of chunks that the library has not been asked for."""
         plain, other = [], []
         for chunk in chunks:
-            text = chunk.decode()
-            easy = self.has_ends and text.isalpha() and max(text) < LATIN_END and text == text.lower()
-            (plain if easy else other).append((chunk, text))
-        for todo, encode in ((plain, self._together), (other, self._alone)):
+            if chunk.isascii():
+                easy = chunk.isalpha() and chunk.islower()
+            else:
+                text = chunk.decode()
+                easy = text.isalpha() and max(text) < LATIN_END and text == text.lower()
+            (plain if easy else other).append(chunk)
+        if not self.has_ends:
+            plain, other = [], chunks
+        for todo, encode in ((plain, self._together), (other, self._apart)):
             for i in range(0, len(todo), AT_ONCE):
                 part = todo[i : i + AT_ONCE]
-                found = encode([text for _, text in part]) or self._alone([text for _, text in part])
-                self.known.update(zip([chunk for chunk, _ in part], found, strict=True))
+                self.known.update(zip(part, encode(part) or self._apart(part), strict=True))
 
-    def _encode(self, chunks: list[bytes]) -> None:
+    def _encode(self, chunks: set[bytes]) -> None:
         """Remember the ids of new chunks. A letter and the marks after it are always parted, so ``word.`` is ``word`` and ``.``."""
         known = self.known
         ask: set[bytes] = set()
         split, cores, tails = [], [], []
         for chunk in chunks:
-            core = chunk.rstrip(_TAIL)
-            if len(core) == len(chunk) or not _ends_in_letter(core):
+            core = chunk.rstrip(_TAIL) if chunk[-1] in _TAIL else chunk
+            if core is chunk or not _ends_in_letter(core):
                 ask.add(chunk)
             else:
                 split.append(chunk)
@@ -122,7 +134,7 @@ class Encoder:
                 tails.append(chunk[len(core) :])
         ask.update(cores)
         ask.update(tails)
-        self._ask([x for x in ask if x not in known])
+        self._ask(list(ask.difference(known)))
         for chunk, core, tail in zip(split, cores, tails, strict=True):
             known[chunk] = known[core] + known[tail]
 
@@ -130,7 +142,9 @@ class Encoder:
         """Little-endian unsigned 32-bit ids of each text; NULL is empty."""
         if not self.chunks:
             return self._alone([text or "" for text in texts])
-        chunks = []
+        out: list[bytes] = []
+        raws: list[bytes] = []
+        weight = 0
         for text in texts:
             text = text or ""
             raw = text.encode()
@@ -141,17 +155,33 @@ class Encoder:
                 elif unicodedata.is_normalized("NFC", text):
                     low = raw.lower()
                     raw = low if unicodedata.is_normalized("NFC", low.decode()) else raw
-            chunks.append(raw.split())
+            raws.append(raw)
+            weight += len(raw)
+            if weight >= LOOKED_UP:
+                out += self._looked_up(raws)
+                raws, weight = [], 0
+        return out + self._looked_up(raws)
+
+    def _looked_up(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of some texts. Each distinct chunk is looked up once; white space at the ends of a text leaves an empty one."""
+        parts = pc.ascii_split_whitespace(pa.array(raws, pa.binary()).cast(pa.string()))
+        coded = parts.values.dictionary_encode()
+        chunks, place = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
         known = self.known
         if len(known) > REMEMBERED:
             known.clear()
-        distinct: set[bytes] = set()
-        for parts in chunks:
-            distinct.update(parts)
-        new = [c for c in distinct if c not in known]
+        known[b""] = b""
+        new = {chunk for chunk in chunks if chunk not in known}
         if new:
             self._encode(new)
-        return [b"".join(map(known.__getitem__, parts)) for parts in chunks]
+        found = [known[chunk] for chunk in chunks]
+        size = np.array([len(ids) // 4 for ids in found], np.int64)
+        first, n = np.cumsum(size) - size, size[place]
+        stop = np.concatenate([[0], np.cumsum(n)])
+        flat = np.frombuffer(b"".join(found), "<u4")
+        ids = flat[np.repeat(first[place] - stop[:-1], n) + np.arange(stop[-1])].tobytes()
+        ends = (4 * stop[parts.offsets.to_numpy()]).tolist()
+        return [ids[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 def encoder(path: str) -> Encoder:

@@ -187,3 +187,18 @@ def test_sequences_hold_the_same_lengths_as_one_by_one(lengths):
     # Gaps of one size may be taken in another order, which changes no sequence's free space.
     free = lambda made: sorted(24 - sum(s) for s in made)
     assert free(sequences(lengths, 24)) == free(best_fit_contents(lengths, 24))
+
+
+def test_a_word_that_repeats_is_looked_up_once(encode, monkeypatch):
+    class Counting(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            self.asked += 1
+            return super().__getitem__(key)
+
+    known = Counting()
+    monkeypatch.setattr(encode, "known", known)
+    got = encode.ids([" word  other\n" * 500, None, "", "word\t" * 500, " "])
+    assert [len(x) for x in got] == [500 * len(b"".join(encode.ids(["word other"]))), 0, 0, 500 * len(encode.ids(["word"])[0]), 0]
+    assert known.asked < 50
