@@ -122,34 +122,39 @@ def _places(survivors: DataFrame) -> DataFrame:
     return survivors.groupBy(*KEY).agg(F.collect_set("at").alias("places"))
 
 
+def _cut(column: pa.Array, lists: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Words, words removed, and what is left of each text without the words that its repeated windows cover."""
+    data, offsets = texts(column)
+    lists = lists.fill_null([]) if lists.null_count else lists
+    ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    out: list[str] = []
+    removed = np.zeros(len(column), np.int64)
+    total = np.zeros(len(column), np.int64)
+    for lo, hi in slices(offsets, SLICE):
+        words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], PLAIN, False)
+        total[lo:hi] = words.count
+        raw = words.data.tobytes()
+        for i in range(hi - lo):
+            a, b = int(words.first[i]), int(words.first[i + 1])
+            gone = np.zeros(b - a + 1, np.int64)
+            at = flat[ends[lo + i] : ends[lo + i + 1]]
+            np.add.at(gone, at, 1)
+            np.add.at(gone, at + size, -1)
+            stay = a + np.flatnonzero(np.cumsum(gone)[:-1] == 0)
+            removed[lo + i] = b - a - len(stay)
+            starts, stops = words.start[stay].tolist(), words.end[stay].tolist()
+            out.append(b" ".join([raw[s:e] for s, e in zip(starts, stops, strict=True)]).decode())
+    return total, removed, pa.array(out, pa.large_string()).cast(pa.string())
+
+
 def _keep(size: int):
     """Each text without the words that its repeated windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = texts(batch.column("_text"))
-            lists = batch.column("places")
-            lists = lists.fill_null([]) if lists.null_count else lists
-            ends, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
-            out: list[str] = []
-            removed = np.zeros(len(batch), np.int64)
-            total = np.zeros(len(batch), np.int64)
-            for lo, hi in slices(offsets, SLICE):
-                words = Words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1], PLAIN, False)
-                total[lo:hi] = words.count
-                raw = words.data.tobytes()
-                for i in range(hi - lo):
-                    a, b = int(words.first[i]), int(words.first[i + 1])
-                    gone = np.zeros(b - a + 1, np.int64)
-                    at = flat[ends[lo + i] : ends[lo + i + 1]]
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, at + size, -1)
-                    stay = a + np.flatnonzero(np.cumsum(gone)[:-1] == 0)
-                    removed[lo + i] = b - a - len(stay)
-                    starts, stops = words.start[stay].tolist(), words.end[stay].tolist()
-                    out.append(b" ".join([raw[s:e] for s, e in zip(starts, stops, strict=True)]).decode())
+            total, removed, kept = _cut(batch.column("_text"), batch.column("places"), size)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("_id"), batch.column("_th"), pa.array(total), pa.array(removed), pa.array(out, pa.large_string()).cast(pa.string())],
+                [batch.column("_id"), batch.column("_th"), pa.array(total), pa.array(removed), kept],
                 names=["_id", "_th", "n_words", "n_removed", "kept"],
             )
 
@@ -157,7 +162,13 @@ def _keep(size: int):
 
 
 def repeated_places(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, _th, places, _text): documents with repeated windows, where these start, and the text.
+    """(_id, _th, places, _text): documents with repeated windows, where these start, and the text."""
+    found, rows = _found(docs, window, id_col, text_col)
+    return with_facts(rows.dropDuplicates(KEY), _places(found), "inner").select(*KEY, "_text", "places")
+
+
+def _found(docs: DataFrame, window: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(_id, _th, at) of every repeated window, and (_id, _th, _text) of the rows that may hold one.
 
     Rows of equal id and text are told apart here: a repeated row makes all its windows repeated.
     """
@@ -171,7 +182,7 @@ def repeated_places(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id
         candidates = stage(with_facts(rows, _places(found), "inner").select(*KEY, "_text", "places"), "windows")
         found = _survivors(candidates.mapInArrow(_next_level(size, before), shape))
         rows = candidates.select(*KEY, "_text")
-    return with_facts(rows.dropDuplicates(KEY), _places(found), "inner").select(*KEY, "_text", "places")
+    return found, rows
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,12 +235,20 @@ def without_repeats(
     """``docs`` with repeated windows cut from the text; other texts and columns stay as they are.
 
     A text that is cut to nothing stays as an empty one. ``length_col`` is a column to hold the new length of a cut text.
+    Only the places of the windows are joined to ``docs``, and the texts are cut there, so no cut text is shuffled.
     """
-    cut = substring_dedup(docs, window, id_col, text_col).select("_id", "_th", F.col("kept").alias("_kept"))
-    cut = cut.withColumnsRenamed({"_id": "_fid", "_th": "_fth"})
-    match = docs[id_col].eqNullSafe(cut["_fid"]) & (F.xxhash64(docs[text_col]) == cut["_fth"])
-    new = {text_col: F.coalesce(cut["_kept"], docs[text_col]).alias(text_col)}
+    found, _ = _found(docs, window, id_col, text_col)
+    places = _places(found).withColumnsRenamed({"_id": "_fid", "_th": "_fth", "places": "_places"})
+    match = docs[id_col].eqNullSafe(places["_fid"]) & (F.xxhash64(docs[text_col]) == places["_fth"])
+
+    @F.arrow_udf("string")
+    def left(text: pa.Array, lists: pa.Array) -> pa.Array:
+        return _cut(text, lists, window)[2]
+
+    hit = F.col("_places").isNotNull()
+    marked = docs.join(places, match, "left").withColumn("_kept", F.when(hit, left(F.when(hit, F.col(text_col)), "_places")))
+    new = {text_col: F.coalesce("_kept", text_col).alias(text_col)}
     if length_col:
         kind = docs.schema[length_col].dataType
-        new[length_col] = F.coalesce(F.length(cut["_kept"]).cast(kind), docs[length_col]).alias(length_col)
-    return docs.join(cut, match, "left").select(*[new.get(c, docs[c]) for c in docs.columns])
+        new[length_col] = F.coalesce(F.length("_kept").cast(kind), length_col).alias(length_col)
+    return marked.select(*[new.get(c, F.col(c)) for c in docs.columns])

@@ -57,6 +57,11 @@ def test_substring_rewrites_only_repeats(odd_docs):
     assert sorted(r["text"] for r in again) == ["", "", "again"] and sorted(r["n_chars"] for r in again) == [0, 0, 5]
 
 
+def test_rewriting_joins_places_and_no_texts(odd_docs):
+    plan = substring.without_repeats(odd_docs, 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "first(_text" not in plan and plan.count("Join") == 1
+
+
 def test_levels_double():
     assert substring.levels(35) == [18, 35] and substring.levels(64) == [16, 32, 64] and substring.levels(5) == [5]
     for size in range(2, 200):
